@@ -9,7 +9,7 @@ way; ``{arr}`` stands for the array constructor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PREFIXES = ["mm", "fs", "net", "block", "kernel", "drivers", "usb", "bpf", "rcu", "kvm", "security",
             "sched", "x86/mm"]
@@ -149,7 +149,8 @@ def _div(expr: str, n: int) -> str:
 
 
 def _diff_text(plus: list[str], minus: list[str]) -> str:
-    lines = ["--- a/{file}", "+++ b/{file}", "@@ -1,4 +1,6 @@", " \tcontext();"]
+    lines = ["--- a/{file}", "+++ b/{file}", "@@ -1,4 +1,6 @@", "int probe_one(struct dev *d)",
+             " = setup(d);", " \tcontext();"]
     return "\n".join(lines + ["-" + m for m in minus] + ["+" + p for p in plus])
 
 
@@ -242,7 +243,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(table(spark, sf_dir, "documents"), COMMIT_COLUMNS)
+    """One commit per document, in the input schema of :mod:`faultline.operators.commits`."""
+    base = _view(table(spark, sf_dir, "documents"), COMMIT_COLUMNS)
+    change = F.struct(F.get("files_changed", 0).alias("filename"), "complexity", "methods",
+                      F.col("parsed_added").alias("diff_parsed_added"),
+                      F.col("insertions").alias("added_lines"), F.col("deletions").alias("deleted_lines"))
+    return (base.withColumn("file_changes", F.when(F.size("files_changed") > 0, F.array(change)))
+            .withColumnRenamed("diff", "diff_content").drop("complexity", "methods", "parsed_added"))
 
 
 def crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
