@@ -7,53 +7,58 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from ..rules import taxonomy as tx
+from . import sqltext as sq
 
 # Unicode word characters, spelled out so that every regex engine agrees.
 WORD = r"\p{L}\p{N}_"
 
 
-def any_contains(text: Column, words: list[str]) -> Column:
-    """True when ``text`` contains any of ``words`` (plain substring test)."""
+def any_contains(text: Column | str, words: list[str]) -> Column:
+    """True when ``text`` contains any of ``words`` (plain substring test).
+
+    Here and below, ``text`` is a Column or the name of a column; large word tables want the name.
+    """
+    if isinstance(text, str):
+        return F.expr(sq.any_contains(text, words))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def any_rlike(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
+def any_rlike(text: Column | str, patterns: list[str], ignore_case: bool = False) -> Column:
+    if isinstance(text, str):
+        return F.expr(sq.any_rlike(text, patterns, ignore_case))
     flag = "(?i)" if ignore_case else ""
     return reduce(lambda a, b: a | b, [text.rlike(flag + p) for p in patterns])
 
 
-def first_group(text: Column, groups: list[tuple[str, list[str]]], default: str = "unknown",
+def first_group(text: str, groups: list[tuple[str, list[str]]], default: str = "unknown",
                 relabel=lambda x: x) -> Column:
     """Label of the first group with a substring hit; ``text`` is already lower-cased."""
-    out = None
-    for label, words in groups:
-        cond, value = any_contains(text, words), F.lit(relabel(label))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out.otherwise(F.lit(default))
+    return F.expr(sq.first_of([(sq.any_contains(text, words), sq.lit(relabel(label))) for label, words in groups],
+                              sq.lit(default)))
 
 
-def all_groups(text: Column, groups: list[tuple[str, list[str]]], default: str = "unknown",
+def all_groups(text: str, groups: list[tuple[str, list[str]]], default: str = "unknown",
                relabel=lambda x: x) -> Column:
     """Distinct labels of every group with a hit, in table order; ``[default]`` when none."""
-    hits = F.array_compact(F.array_distinct(F.array(*[
-        F.when(any_contains(text, words), F.lit(relabel(label))) for label, words in groups])))
+    hits = F.array_distinct(F.expr(sq.kept([(sq.any_contains(text, words), sq.lit(relabel(label)))
+                                            for label, words in groups])))
     return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(default)))
 
 
-def count_hits(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+def count_hits(text: str, words: list[str]) -> Column:
+    return F.expr(sq.count_hits(text, words))
 
 
-def matching_words(text: Column, words: list[str]) -> Column:
+def matching_words(text: str, words: list[str]) -> Column:
     """The sub-list of ``words`` found in ``text`` (lower-cased comparison), table order."""
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w.lower())), F.lit(w)) for w in words]))
+    return F.expr(sq.kept([(f"contains({text}, {sq.lit(w.lower())})", sq.lit(w)) for w in words]))
 
 
-def most_hits(text: Column, groups: list[tuple[str, list[str]]], default: str = "unknown") -> Column:
+def most_hits(text: str, groups: list[tuple[str, list[str]]], default: str = "unknown") -> Column:
     """Label with the most keyword hits; the earlier group wins ties."""
-    scored = F.array(*[F.struct(count_hits(text, words).alias("n"), F.lit(-i).alias("o"),
-                                F.lit(label).alias("v")) for i, (label, words) in enumerate(groups)])
-    best = F.array_max(scored)
+    rows = [f"named_struct('n', {sq.count_hits(text, words)}, 'o', {-i}, 'v', {sq.lit(label)})"
+            for i, (label, words) in enumerate(groups)]
+    best = F.array_max(F.expr(sq.arr(rows)))
     return F.when(best["n"] > 0, best["v"]).otherwise(F.lit(default))
 
 
@@ -74,8 +79,7 @@ def normalize_bug_label(raw: str) -> str:
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """Literal map lookup; null when the key is absent."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(F.expr(sq.map_of(table)), key)
 
 
 def normalize_bug_type(raw: Column) -> Column:
@@ -103,9 +107,14 @@ def bug_description(bug_type: Column) -> Column:
     return F.coalesce(lookup(bug_type, tx.BUG_DESCRIPTIONS), F.lit(tx.BUG_DESCRIPTION_DEFAULT))
 
 
+# Every Unicode white-space character.
+SPACES = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+          "\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
     """Trim all Unicode white space on both ends."""
-    return F.regexp_replace(text, r"^[\s\p{Z}\x0B\x1C-\x1F\x85]+|[\s\p{Z}\x0B\x1C-\x1F\x85]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def non_empty(text: Column) -> Column:

@@ -8,11 +8,12 @@ file_changes array<struct>, diff_content, insertions, deletions, is_merge.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as tf, versions as vf
+from ..functions import sqltext as sq, text as tf, versions as vf
 from ..rules import commit_rules as cr, taxonomy as tx
 
 _C = F.col
@@ -121,18 +122,22 @@ def subsystem_hierarchy(subsystem: Column) -> Column:
         F.array_compact(F.array(subsystem, parent)))
 
 
-def guess_subsystem(text: Column) -> Column:
-    return tf.most_hits(F.lower(text), tx.SUBSYSTEM_CONTENT_KEYWORDS)
+def guess_subsystem(df: DataFrame, text: str, out: str = "guess") -> DataFrame:
+    """Subsystem with the most content keywords in column ``text``."""
+    return (df.withColumn("_low", F.lower(_C(text)))
+            .withColumn(out, tf.most_hits("_low", tx.SUBSYSTEM_CONTENT_KEYWORDS)).drop("_low"))
 
 
 def detect_bug_type(df: DataFrame) -> DataFrame:
-    return df.withColumn("bug_type", tf.first_group(F.lower(_message()), tx.BUG_TYPE_KEYWORDS,
-                                                    relabel=tf.normalize_bug_label))
+    return (df.withColumn("_low", F.lower(_message()))
+            .withColumn("bug_type", tf.first_group("_low", tx.BUG_TYPE_KEYWORDS, relabel=tf.normalize_bug_label))
+            .drop("_low"))
 
 
 def detect_all_bug_types(df: DataFrame) -> DataFrame:
-    return df.withColumn("bug_types", tf.all_groups(F.lower(_message()), tx.BUG_TYPE_KEYWORDS,
-                                                    relabel=tf.normalize_bug_label))
+    return (df.withColumn("_low", F.lower(_message()))
+            .withColumn("bug_types", tf.all_groups("_low", tx.BUG_TYPE_KEYWORDS, relabel=tf.normalize_bug_label))
+            .drop("_low"))
 
 
 def added_lines(df: DataFrame) -> DataFrame:
@@ -148,12 +153,12 @@ def added_lines(df: DataFrame) -> DataFrame:
 def fix_evidence(df: DataFrame) -> DataFrame:
     """lock_added, refcount_fix, rcu_fix from added lines and message patterns."""
     src = df if "added_lines" in df.columns else added_lines(df)
-    code = F.lower(F.array_join(_C("added_lines"), "\n"))
-    msg = F.lower(_message())
-    return (src.withColumn("lock_added", tf.any_contains(code, tx.LOCK_KEYWORDS))
-            .withColumn("refcount_fix", tf.any_contains(code, tx.REFCOUNT_KEYWORDS)
-                        | tf.any_rlike(msg, tx.REFCOUNT_PATTERNS))
-            .withColumn("rcu_fix", tf.any_contains(code, tx.RCU_KEYWORDS) | tf.any_rlike(msg, tx.RCU_PATTERNS)))
+    src = src.withColumns({"_code": F.lower(F.array_join(_C("added_lines"), "\n")), "_msg": F.lower(_message())})
+    return src.withColumns({
+        "lock_added": tf.any_contains("_code", tx.LOCK_KEYWORDS),
+        "refcount_fix": tf.any_contains("_code", tx.REFCOUNT_KEYWORDS) | tf.any_rlike("_msg", tx.REFCOUNT_PATTERNS),
+        "rcu_fix": tf.any_contains("_code", tx.RCU_KEYWORDS) | tf.any_rlike("_msg", tx.RCU_PATTERNS),
+    }).drop("_code", "_msg")
 
 
 def importance_score(df: DataFrame) -> DataFrame:
@@ -228,19 +233,16 @@ def score_diff_rules(df: DataFrame, rules: list = cr.DIFF_RULES) -> DataFrame:
         parts, gates = [], []
         for words, col, weight in ((req_p, "_plus", 3), (req_m, "_minus", 2)):
             if words:
-                hits = tf.count_hits(_C(col), words)
-                gates.append(hits > 0)
-                parts.append(hits * weight)
+                gates.append(sq.any_contains(col, words))
+                parts.append(f"{weight} * {sq.count_hits(col, words)}")
         if opt_p:
-            hits = tf.count_hits(_C("_plus"), opt_p)
-            parts.append(F.when(hits >= min_hits, hits).otherwise(0))
+            hits = sq.count_hits("_plus", opt_p)
+            parts.append(f"CASE WHEN {hits} >= {min_hits} THEN {hits} ELSE 0 END")
         if hints:
-            parts.append(F.when(tf.any_contains(_C("_msg"), hints), 2).otherwise(-1))
-        total = reduce(lambda a, b: a + b, parts)
-        gate = reduce(lambda a, b: a & b, gates)
-        scored.append(F.struct(F.when(gate, total).otherwise(0).alias("s"), F.lit(-i).alias("o"),
-                               F.lit(name).alias("r")))
-    src = src.withColumn("_best", F.array_max(F.array(*scored)))
+            parts.append(f"CASE WHEN {sq.any_contains('_msg', hints)} THEN 2 ELSE -1 END")
+        total = f"CASE WHEN {' AND '.join(gates)} THEN {' + '.join(parts)} ELSE 0 END"
+        scored.append(f"named_struct('s', {total}, 'o', {-i}, 'r', {sq.lit(name)})")
+    src = src.withColumn("_best", F.array_max(F.expr(sq.arr(scored))))
     hit = (F.coalesce(_C("diff_content"), F.lit("")) != "") & (_C("_best.s") > 0)
     return (src.withColumn("diff_rule", F.when(hit, _C("_best.r")))
             .withColumn("diff_score", F.when(hit, _C("_best.s")).otherwise(0))
@@ -275,14 +277,10 @@ def adjust_confidence(df: DataFrame) -> DataFrame:
 
 def message_fallback(df: DataFrame, limit: float = 0.60) -> DataFrame:
     """First matching message group for unknown commits below ``limit`` confidence."""
-    msg = F.lower(_message())
-    group = None
-    for patterns, bug, cause in cr.MESSAGE_FALLBACK:
-        value = F.struct(F.lit(bug).alias("bug"), F.lit(cause).alias("cause"))
-        cond = tf.any_rlike(msg, patterns)
-        group = F.when(cond, value) if group is None else group.when(cond, value)
+    group = sq.first_of([(sq.any_rlike("_msg", patterns), f"named_struct('bug', {sq.lit(bug)}, 'cause', {sq.lit(cause)})")
+                         for patterns, bug, cause in cr.MESSAGE_FALLBACK], "NULL")
     weak = (_C("confidence") < limit) & (_C("bug_type") == "unknown")
-    src = df.withColumn("_fb", F.when(weak, group))
+    src = df.withColumn("_msg", F.lower(_message())).withColumn("_fb", F.when(weak, F.expr(group))).drop("_msg")
     hit = _C("_fb").isNotNull()
     return (src.withColumn("bug_type", F.when(hit, _C("_fb.bug")).otherwise(_C("bug_type")))
             .withColumn("root_cause", F.when(hit, _C("_fb.cause")).otherwise(_C("root_cause")))
@@ -302,11 +300,11 @@ def build_root_cause(df: DataFrame) -> DataFrame:
 def key_diff_lines(diff: Column, n: int = 15, words: list[str] = tx.KEY_LINE_WORDS,
                    skip_header: bool = True) -> Column:
     """The first ``n`` '+' lines holding a fix keyword, stripped, at most 120 characters each."""
-    lows = [w.lower() for w in words]
+    pattern = "(?i)" + "|".join(sorted({re.escape(w) for w in words}))
 
     def keep(l: Column) -> Column:
         plus = l.startswith("+") & ~l.startswith("+++") if skip_header else l.startswith("+")
-        return plus & tf.any_contains(F.lower(l), lows)
+        return plus & l.rlike(pattern)
     lines = F.filter(F.split(F.coalesce(diff, F.lit("")), "\n"), keep)
     return F.array_join(F.transform(F.slice(lines, 1, n), lambda l: F.substring(
         tf.strip(F.substring(l, F.lit(2), F.length(l))), 1, 120)), "\n")

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import numeric as nf, text as tf
+from ..functions import numeric as nf, sqltext as sq, text as tf
 from ..rules import crash_rules as cr, knowledge as kn
 from . import graph
 
@@ -26,7 +26,8 @@ def _empty() -> Column:
 def is_frame(line: Column) -> Column:
     """Stack frame: ``f+0x1/0x2`` anywhere, or an ``[<addr>]`` prefix unless marked uncertain."""
     s = tf.strip(line)
-    return s.rlike(cr.FRAME_FUNC) | (~s.startswith("?") & s.rlike(cr.FRAME_ADDR))
+    func = F.contains(s, F.lit("+0x")) & s.rlike(cr.FRAME_FUNC)
+    return func | (F.contains(s, F.lit(">]")) & ~s.startswith("?") & s.rlike(cr.FRAME_ADDR))
 
 
 def locate_trace(df: DataFrame, content: str = "content") -> DataFrame:
@@ -70,23 +71,35 @@ def trace_region(df: DataFrame, context: int = 2) -> DataFrame:
         F.slice("lines", lo + 1, hi - lo), "\n")).otherwise(F.lit("")))
 
 
+# A lower-case piece every match of the pattern must contain: a cheap test before the regex.
+_ANCHORS = {
+    "kernel_panic": "not syncing:", "kernel_bug": "bug", "kernel_oops": "oops:",
+    "general_protection": "general protection fault:", "null_pointer_deref": "unable to handle kernel",
+    "kasan_uaf": "use-after-free in", "kasan_double_free": "invalid free in", "kasan_oob": "-out-of-bounds",
+    "list_corruption": "corruption", "hardlockup": "hard lockup", "softlockup": "soft lockup",
+    "hungtask": "blocked for more than", "rcu_stall": "rcu_", "refcount_underflow": "refcount_t", "bug_on": "kernel bug at",
+    "warning": "warning:", "machine_check": "machine check exception", "divide_error": "divide error:",
+    "ubsan": "ubsan:", "bad_mode": "bad mode in", "alignment_fault": "alignment fault", "irq_storm": "nobody cared",
+    "stack_overflow": "stack ",
+}
+
+
 # --- panic facts --------------------------------------------------------------------------------
 
 def panic_info(df: DataFrame) -> DataFrame:
     """panic_type/panic_msg of the first match (line-major, then pattern order), every matched
     pattern with repeats, and per group index the last non-empty capture."""
-    def hits(line: Column) -> Column:
-        out = []
-        for name, pattern, groups in cr.PANIC_PATTERNS:
-            p = "(?i)" + pattern
-            caps = [F.regexp_extract(line, p, g + 1) if g < groups else F.lit("") for g in range(2)]
-            out.append(F.when(line.rlike(p), F.struct(
-                F.lit(name).alias("name"), tf.strip(F.regexp_extract(line, p, 0)).alias("msg"),
-                caps[0].alias("g0"), caps[1].alias("g1"))))
-        return F.array_compact(F.array(*out))
-    screen = "(?i)(?:" + "|".join(p for _, p, _ in cr.PANIC_PATTERNS) + ")"
-    # a match whose text strips to nothing keeps the first type but not the message
-    df = df.withColumn("_hits", F.flatten(F.transform(F.filter("lines", lambda l: l.rlike(screen)), hits)))
+    arms = []
+    for name, pattern, groups in cr.PANIC_PATTERNS:
+        p = sq.lit("(?i)" + pattern)
+        caps = [f"regexp_extract(x.l, {p}, {g + 1})" if g < groups else "''" for g in range(2)]
+        arms.append((f"contains(x.w, {sq.lit(_ANCHORS[name])}) AND x.l RLIKE {p}",
+                     f"named_struct('name', {sq.lit(name)}, 'msg', trim(regexp_extract(x.l, {p}, 0)), "
+                     f"'g0', {caps[0]}, 'g1', {caps[1]})"))
+    screen = sq.any_contains("x.w", sorted(set(_ANCHORS.values())))
+    df = df.withColumn("_hits", F.expr(
+        "flatten(transform(filter(transform(lines, l -> named_struct('l', l, 'w', lower(l))), "
+        f"x -> {screen}), x -> {sq.kept(arms)}))"))
 
     def last(g: str) -> Column:
         kept = F.filter(F.transform("_hits", lambda h: h[g]), lambda x: x != "")
@@ -100,12 +113,11 @@ def panic_info(df: DataFrame) -> DataFrame:
             .withColumn("panic_details", F.map_from_entries(entries)).drop("_hits"))
 
 
-def detect_log_subsystem(text: Column) -> Column:
-    return tf.first_group(F.lower(text), cr.LOG_SUBSYSTEM_HINTS)
-
-
-def detect_log_bug_type(text: Column) -> Column:
-    return tf.first_group(F.lower(text), cr.LOG_BUG_HINTS, relabel=tf.normalize_bug_label)
+def log_hints(df: DataFrame, content: str = "content") -> DataFrame:
+    """Keyword subsystem and bug type of the whole log."""
+    return df.withColumn("_low", F.lower(_C(content))).withColumns({
+        "subsystem": tf.first_group("_low", cr.LOG_SUBSYSTEM_HINTS),
+        "bug_type": tf.first_group("_low", cr.LOG_BUG_HINTS, relabel=tf.normalize_bug_label)}).drop("_low")
 
 
 def kernel_version_in(text: Column) -> Column:
@@ -123,10 +135,9 @@ def modules_in(text: Column) -> Column:
 def parse_logs(df: DataFrame, content: str = "content") -> DataFrame:
     """Full log parse: trace, panic facts, subsystem, bug type, version, RIP, modules."""
     out = (df.transform(locate_trace, content).transform(call_trace).transform(panic_info)
-           .transform(trace_region))
+           .transform(trace_region).transform(log_hints, content))
     text = _C(content)
     return out.withColumns({
-        "subsystem": detect_log_subsystem(text), "bug_type": detect_log_bug_type(text),
         "kernel_version": kernel_version_in(text), "rip_function": rip_function_in(text),
         "modules": modules_in(text)}).drop("lines")
 
@@ -199,14 +210,14 @@ def trace_structure(df: DataFrame) -> DataFrame:
     df = df.withColumn("_t", F.lower(F.array_join("call_trace", "\n")))
     sets = {"lock_functions": cr.LOCK_TRACE_FUNCTIONS, "memory_functions": cr.MEMORY_TRACE_FUNCTIONS,
             "rcu_functions": cr.RCU_TRACE_FUNCTIONS, "sched_functions": cr.SCHED_TRACE_FUNCTIONS}
-    df = df.withColumns({n: tf.matching_words(_C("_t"), w) for n, w in sets.items()})
+    df = df.withColumns({n: tf.matching_words("_t", w) for n, w in sets.items()})
     has = {n: F.size(n) > 0 for n in sets}
     issue = (F.when(has["lock_functions"] & has["sched_functions"], F.lit("deadlock_or_lock_contention"))
              .when(has["lock_functions"], F.lit("possible_lock_issue"))
              .when(has["rcu_functions"], F.lit("rcu_related")).when(has["memory_functions"], F.lit("memory_related"))
              .when(has["sched_functions"], F.lit("scheduling_related")).otherwise(F.lit("unknown")))
     return (df.withColumn("inferred_issue", issue)
-            .withColumn("involved_subsystem", tf.first_group(_C("_t"), cr.TRACE_SUBSYSTEM_HINTS)).drop("_t"))
+            .withColumn("involved_subsystem", tf.first_group("_t", cr.TRACE_SUBSYSTEM_HINTS)).drop("_t"))
 
 
 # --- expert rules -------------------------------------------------------------------------------
@@ -221,39 +232,37 @@ def match_rules(df: DataFrame, rules: list = cr.EXPERT_RULES) -> DataFrame:
                          "_t": F.lower(F.array_join("call_trace", "\n"))})
     scored = []
     for i, (rid, _, _, _, keywords, patterns, _, _) in enumerate(rules):
-        def tests(level: float, kind: str, conds: list[tuple[str, Column]]) -> list[Column]:
-            return [F.when(c, F.struct(F.lit(level).alias("score"), F.lit(-i).alias("o"), F.lit(rid).alias("id"),
-                                       F.lit(f"{kind}:{v}").alias("how"))) for v, c in conds]
-        options = tests(0.95, "panic_pattern", [(p[:50], _C("panic_msg").rlike("(?i)" + p)) for p in patterns])
-        options += tests(0.85, "panic_keyword", [(k, F.contains(_C("_p"), F.lit(k.lower()))) for k in keywords])
-        options += tests(0.70, "trace_keyword", [(k, F.contains(_C("_t"), F.lit(k.lower()))) for k in keywords])
         spanning = [k for k in keywords if "\n" in k]
-        options += tests(0.60, "combined_keyword", [(k, F.contains(
-            F.concat_ws("\n", "_p", "_t"), F.lit(k.lower()))) for k in spanning])
-        scored.append(F.coalesce(*options))
-    best = F.array_max(F.array_compact(F.array(*scored)))
+        levels = [(0.95, "panic_pattern", [(p[:50], f"panic_msg RLIKE {sq.lit('(?i)' + p)}") for p in patterns]),
+                  (0.85, "panic_keyword", [(k, f"contains(_p, {sq.lit(k.lower())})") for k in keywords]),
+                  (0.70, "trace_keyword", [(k, f"contains(_t, {sq.lit(k.lower())})") for k in keywords]),
+                  (0.60, "combined_keyword", [(k, f"contains(concat(_p, '\n', _t), {sq.lit(k.lower())})") for k in spanning])]
+        arms = [(cond, f"named_struct('score', {level}D, 'o', {-i}, 'id', {sq.lit(rid)}, 'how', {sq.lit(f'{kind}:{v}')})")
+                for level, kind, tests in levels for v, cond in tests]
+        scored.append(sq.first_of(arms, "NULL"))
+    best = F.array_max(F.array_compact(F.expr(sq.arr(scored))))
     return (df.withColumn("_best", best).withColumn("rule_id", _C("_best.id"))
             .withColumn("rule_score", _C("_best.score")).withColumn("rule_match", _C("_best.how"))
             .drop("_p", "_t", "_best"))
 
 
-def symptom_matches(text: Column) -> Column:
-    """Knowledge symptoms: array of struct(score, -order, bug_type, name), best first.
+def symptom_matches(df: DataFrame, text: str, out: str = "symptoms") -> DataFrame:
+    """Knowledge symptoms: array of struct(score, o, bug_type, name), best first.
 
     A symptom counts when at least half of its words occur in the text; a pattern's score is the
     number of matched words over its counting symptoms.
     """
-    low = F.lower(text)
-    out = []
+    rows = []
     for i, (bug, p) in enumerate(kn.BUG_PATTERNS.items()):
-        score = F.lit(0)
+        parts = []
         for symptom in p["symptoms"]:
-            parts = symptom.lower().split()
-            n = tf.count_hits(low, parts)
-            score = score + F.when(n >= len(parts) * 0.5, n).otherwise(0)
-        out.append(F.struct(score.alias("score"), F.lit(-i).alias("o"), F.lit(bug).alias("bug_type"),
-                            F.lit(p["name"]).alias("name")))
-    return F.sort_array(F.filter(F.array(*out), lambda s: s["score"] > 0), asc=False)
+            tokens = symptom.lower().split()
+            n = sq.count_hits("_low", tokens)
+            parts.append(f"CASE WHEN {n} >= {len(tokens) * 0.5}D THEN {n} ELSE 0 END")
+        rows.append(f"named_struct('score', {' + '.join(parts)}, 'o', {-i}, 'bug_type', {sq.lit(bug)}, "
+                    f"'name', {sq.lit(p['name'])})")
+    found = f"sort_array(filter({sq.arr(rows)}, s -> s.score > 0), false)"
+    return df.withColumn("_low", F.lower(_C(text))).withColumn(out, F.expr(found)).drop("_low")
 
 
 def fix_flags(bug_type: Column, panic: Column) -> dict[str, Column]:
@@ -268,8 +277,7 @@ def fix_flags(bug_type: Column, panic: Column) -> dict[str, Column]:
 
 def fix_keywords(bug_type: Column) -> Column:
     """Suggested search keywords, sorted (the source of truth is an unordered set)."""
-    table = F.create_map(*[x for b, (_, k) in cr.FIX_HINTS.items()
-                           for x in (F.lit(b), F.array(*[F.lit(w) for w in k]))])
+    table = F.expr(sq.map_of({b: k for b, (_, k) in cr.FIX_HINTS.items()}))
     base = F.coalesce(F.try_element_at(table, bug_type), _empty())
     joined = F.array_join(base, "|")
     lock = F.when((F.size("lock_functions") > 0) & ~F.contains(joined, F.lit("spin_lock")),
@@ -316,9 +324,7 @@ def analyze_root_cause(df: DataFrame) -> DataFrame:
     df = df.withColumn("subsystem", F.when((_C("subsystem") == "unknown") & (_C("involved_subsystem") != "unknown"),
                                            _C("involved_subsystem")).otherwise(_C("subsystem")))
     df = df.transform(match_rules)
-    df = df.withColumn("symptoms", F.when(_C("panic_msg") != "", symptom_matches(_C("panic_msg")))
-                       .otherwise(symptom_matches(F.lit("")).cast(
-                           "array<struct<score:int,o:int,bug_type:string,name:string>>")))
+    df = df.transform(symptom_matches, "panic_msg")
     df = df.transform(graph.lock_usage).withColumn("related_subsystems", graph.related_subsystems(_C("subsystem")))
 
     by_rule = {r[0]: r for r in cr.EXPERT_RULES}
@@ -334,7 +340,7 @@ def analyze_root_cause(df: DataFrame) -> DataFrame:
         return F.when(F.size(col) > 0, F.concat(F.lit(label), F.array_join(F.slice(col, 1, 5), ", ")))
 
     def score_of(key: Column, table: dict) -> Column:
-        return F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v[2])]), key)
+        return F.try_element_at(F.expr(sq.map_of({k: float(v[2]) for k, v in table.items()})), key)
     issue = _C("inferred_issue")
     issue_name = tf.lookup(issue, {k: v[0] for k, v in cr.TRACE_ISSUES.items()})
     trace_layer = F.when(issue != "unknown", _layer({
@@ -414,8 +420,7 @@ def root_cause_evidence(df: DataFrame) -> DataFrame:
 
 
 def possible_causes(bug_type: Column, subsystem: Column, trace: Column) -> Column:
-    table = F.create_map(*[x for b, causes in cr.POSSIBLE_CAUSES.items()
-                           for x in (F.lit(b), F.array(*[F.lit(c) for c in causes]))])
+    table = F.expr(sq.map_of(cr.POSSIBLE_CAUSES))
     base = F.coalesce(F.try_element_at(table, tf.normalize_bug_type(bug_type)),
                       F.array(*[F.lit(c) for c in cr.POSSIBLE_CAUSES_DEFAULT]))
     context = F.array_compact(F.array(tf.lookup(subsystem, cr.SUBSYSTEM_CONTEXTS)))
@@ -487,12 +492,12 @@ def hybrid_root_cause(df: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 def infer_from_dump(df: DataFrame, trace: str = "dump_trace") -> DataFrame:
     """Bug type, subsystem and confidence suggested by a memory dump's stack."""
-    t = F.lower(F.array_join(trace, "\n"))
-    lock, mem = tf.any_contains(t, cr.DUMP_LOCK_FUNCTIONS), tf.any_contains(t, cr.DUMP_MEMORY_FUNCTIONS)
+    df = df.withColumn("_t", F.lower(F.array_join(trace, "\n")))
+    lock, mem = tf.any_contains("_t", cr.DUMP_LOCK_FUNCTIONS), tf.any_contains("_t", cr.DUMP_MEMORY_FUNCTIONS)
     return df.withColumns({
         "dump_bug_type": F.when(lock, F.lit("deadlock")).when(mem, F.lit("memory_corruption")).otherwise(F.lit("unknown")),
         "dump_confidence": F.when(lock, 0.6).when(mem, 0.5).otherwise(0.0),
-        "dump_subsystem": tf.first_group(t, cr.DUMP_SUBSYSTEM_HINTS)})
+        "dump_subsystem": tf.first_group("_t", cr.DUMP_SUBSYSTEM_HINTS)}).drop("_t")
 
 
 def fuse_features(dump: DataFrame, log: DataFrame, key: str = "crash_id") -> DataFrame:
@@ -519,8 +524,10 @@ def fuse_features(dump: DataFrame, log: DataFrame, key: str = "crash_id") -> Dat
 def panic_class(panic: Column) -> Column:
     low = F.lower(F.coalesce(panic, F.lit("")))
     needle, sub, default = cr.PANIC_CLASS_PANIC
-    inner = tf.first_group(low, [(label, words) for words, label in sub], default)
-    out = F.when(F.contains(low, F.lit(needle)), inner)
+    out = F
+    for words, label in sub:
+        out = out.when(F.contains(low, F.lit(needle)) & tf.any_contains(low, words), F.lit(label))
+    out = out.when(F.contains(low, F.lit(needle)), F.lit(default))
     for words, label in cr.PANIC_CLASSES:
         out = out.when(tf.any_contains(low, words), F.lit(label))
     return out.otherwise(F.lit("Unknown"))

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text as tf
+from ..functions import sqltext as sq, text as tf
 from ..rules import knowledge as kn
 
 _C = F.col
@@ -21,7 +21,7 @@ def _empty() -> Column:
 
 
 def _list_map(table: dict[str, list[str]]) -> Column:
-    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    return F.expr(sq.map_of(table))
 
 
 def _members(key: Column, table: dict[str, list[str]]) -> Column:
@@ -166,14 +166,13 @@ def lock_usage(df: DataFrame, trace: str = "call_trace") -> DataFrame:
     release = [(a, t) for t, apis in kn.LOCK_APIS for a in apis if "unlock" in a or ("up_" in a and "lock" not in a)]
 
     def per_frame(pairs) -> Column:
-        return F.flatten(F.transform(trace, lambda f: F.array_compact(F.array(*[
-            F.when(F.contains(F.lower(f), F.lit(a)), F.lit(a)) for a, _ in pairs]))))
-    text = F.lower(F.array_join(trace, "\n"))
+        hits = sq.kept([(f"contains(lower(f), {sq.lit(a)})", sq.lit(a)) for a, _ in pairs])
+        return F.expr(f"slice(flatten(transform({trace}, f -> {hits})), 1, 10)")
     pairs = acquire + release
-    types = F.array_compact(F.array(*[F.when(tf.any_contains(text, [a for a, k in pairs if k == t]), F.lit(t))
-                                      for t in sorted(t for t, _ in kn.LOCK_APIS)]))
-    df = df.withColumns({"lock_types": types, "locks_acquired": F.slice(per_frame(acquire), 1, 10),
-                         "locks_released": F.slice(per_frame(release), 1, 10)})
+    types = F.expr(sq.kept([(sq.any_contains("_text", [a for a, k in pairs if k == t]), sq.lit(t))
+                            for t in sorted(t for t, _ in kn.LOCK_APIS)]))
+    df = df.withColumn("_text", F.lower(F.array_join(trace, "\n"))).withColumns({
+        "lock_types": types, "locks_acquired": per_frame(acquire), "locks_released": per_frame(release)}).drop("_text")
     has = lambda test: F.exists(trace, lambda f: test(F.lower(f)))
     sleeps = has(lambda f: tf.any_contains(f, ["schedule", "sleep"]))
     spin = F.arrays_overlap("lock_types", F.array(F.lit("spinlock"), F.lit("rwlock")))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .stage import spread
+
 PREFIXES = ["mm", "fs", "net", "block", "kernel", "drivers", "usb", "bpf", "rcu", "kvm", "security",
             "sched", "x86/mm"]
 FOLDERS = ["mm", "fs/ext4", "net/core", "block", "kernel/sched", "drivers/net", "drivers/usb/core",
@@ -229,7 +231,7 @@ ANSWER_COLUMNS = [
 
 
 def _view(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
-    return df.selectExpr(*[f"{e.replace('{arr}', 'array')} AS {n}" for n, e in columns])
+    return spread(df).selectExpr(*[f"{e.replace('{arr}', 'array')} AS {n}" for n, e in columns])
 
 
 def ansi_view(columns: list[tuple[str, str]], table: str) -> str:
