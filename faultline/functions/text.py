@@ -175,11 +175,9 @@ def safe_filename(name: Column, max_len: int = 120) -> Column:
 def format_duration(ms: Column) -> Column:
     secs = ms / 1000
     minutes = F.floor(secs / 60)
-    return (F.when(ms < 1, F.concat(F.format_number(ms * 1000, "0"), F.lit("μs")))
-            .when(ms < 1000, F.concat(F.format_number(ms, "0"), F.lit("ms")))
-            .when(ms < 60000, F.concat(F.format_number(secs, "0.00"), F.lit("s")))
-            .otherwise(F.concat(minutes.cast("string"), F.lit("m "),
-                                F.format_number(secs - minutes * 60, "0"), F.lit("s"))))
+    return (F.when(ms < 1, F.format_string("%.0fμs", ms * 1000)).when(ms < 1000, F.format_string("%.0fms", ms))
+            .when(ms < 60000, F.format_string("%.2fs", secs))
+            .otherwise(F.concat(minutes.cast("string"), F.format_string("m %.0fs", secs - minutes * 60))))
 
 
 def to_bool(text: Column) -> Column:
