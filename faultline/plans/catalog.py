@@ -110,7 +110,7 @@ def hits(spark, sf, k=100) -> DataFrame:
 
 def ranked(spark, sf, mode=rt.STANDARD) -> DataFrame:
     def build():
-        return rt.retrieve(label_queries(spark, sf), vector_index(spark, sf), mode).withColumns({
+        return rt.retrieve(label_queries(spark, sf), vector_index(spark, sf), mode, cosine=False).withColumns({
             "crash_subsystem": _C("target_subsystem"), "crash_bug_type": _C("target_bug_type"),
             "crash_version": _C("target_version")})
     return stage(spark, sf, f"ranked_{mode}", build)
@@ -490,19 +490,19 @@ RAW_BUGS = ["uaf", "Use-After-Free", "NULL pointer dereference", "deadlock_or_lo
 def _(spark, sf):
     q = label_queries(spark, sf).where("query_id = 3").select("query_id", "vec")
     h = ve.topk(q, vector_index(spark, sf), 10)
-    return h.select("query_id", "id", F.round("score", 5).alias("score"), big("rank").alias("rank"))
+    return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
 @query("r10_batch_topk")
 def _(spark, sf):
     h = ve.topk(label_queries(spark, sf), vector_index(spark, sf), 50)
-    return h.select("query_id", "id", F.round("score", 5).alias("score"), big("rank").alias("rank"))
+    return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
 @query("r3_auto_index")
 def _(spark, sf):
     h = ve.auto_topk(label_queries(spark, sf).select("query_id", "vec"), vector_index(spark, sf).select("id", "vec"), 20)
-    return h.select("query_id", "id", F.round("score", 5).alias("score"), big("rank").alias("rank"))
+    return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
 @query("r5_prefilter")
@@ -515,7 +515,7 @@ def _(spark, sf):
 @query("r4_postfilter")
 def _(spark, sf):
     h = ve.post_filter(hits(spark, sf, 50), 'bug_type=="memory_leak"')
-    return h.select("query_id", "id", "bug_type", F.round("distance", 5).alias("distance"))
+    return h.select("query_id", "id", "bug_type", F.round("distance", 6).alias("distance"))
 
 
 @query("r11_recall_stats")
@@ -535,7 +535,7 @@ def _(spark, sf):
     q = ve.encode_text(vw.table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "text")
     c = ve.encode_text(caused(spark, sf).withColumnRenamed("doc_id", "id"), "embedding_text")
     h = ve.topk(q, c, 10, cosine=True)
-    return h.select("query_id", "id", F.round("score", 5).alias("score"), big("rank").alias("rank"))
+    return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
 @query("s12_normalize_and_number")
@@ -584,12 +584,12 @@ def _(spark, sf):
 @query("k15_standard")
 def _(spark, sf):
     return ranked(spark, sf).select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 4).alias("vector_score"),
-                                    F.round("reranker_score", 5).alias("reranker_score"), F.round("final_score", 5).alias("final_score"), "rank_reason")
+                                    F.round("reranker_score", 5).alias("reranker_score"), F.round("final_score", 6).alias("final_score"), "rank_reason")
 
 
 @query("k15_fast")
 def _(spark, sf):
-    return ranked(spark, sf, rt.FAST).select("query_id", big("rank").alias("rank"), "id", F.round("final_score", 5).alias("final_score"),
+    return ranked(spark, sf, rt.FAST).select("query_id", big("rank").alias("rank"), "id", F.round("final_score", 6).alias("final_score"),
                                              F.round("boosted_score", 5).alias("boosted"))
 
 
@@ -611,7 +611,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = rk.why_not(ranked(spark, sf))
     return d.select("query_id", big("rank").alias("rank"), big(F.size("same_aspects")).alias("n_same"), big(F.size("different_aspects")).alias("n_diff"),
-                    F.round("score_gap", 5).alias("gap"))
+                    F.round("score_gap", 6).alias("gap"))
 
 
 @query("k3_judge_answers")
@@ -661,7 +661,7 @@ def _(spark, sf):
     """Every crash log against every commit: parse, diagnose, encode, recall, filter, rank; top 3."""
     index = stage(spark, sf, "text_index", lambda: ix.index_rows(vw.commits(spark, sf)))
     d = rt.diagnose_and_retrieve(vw.crashes(spark, sf), index, rt.FAST, 100, 3)
-    return d.select("crash_id", big("rank").alias("rank"), "root_cause", "commit_hash", "subject", F.round("final_score", 5).alias("final_score"))
+    return d.select("crash_id", big("rank").alias("rank"), "root_cause", "commit_hash", "subject", F.round("final_score", 6).alias("final_score"))
 
 
 # --- aggregation, paging, maintenance -----------------------------------------------------------

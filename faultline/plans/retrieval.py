@@ -22,7 +22,7 @@ def recall(queries: DataFrame, index: DataFrame, k: int = 100, condition: Column
 
 
 def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int = 100, rerank_k: int = 50,
-             condition: Column | None = None, scorer=None, judge: str | None = None) -> DataFrame:
+             condition: Column | None = None, scorer=None, judge: str | None = None, cosine: bool = True) -> DataFrame:
     """Ranked candidates of a batch of queries.
 
     ``queries``: query_id, vec, query_text, target_subsystem, target_bug_type, target_version.
@@ -30,7 +30,7 @@ def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int
     ``rerank_k`` filtered candidates; deep also uses the ``judge`` score column of the queries.
     """
     targets = queries.drop("vec")
-    found = recall(queries.select("query_id", "vec"), index, k, condition).join(targets, "query_id")
+    found = recall(queries.select("query_id", "vec"), index, k, condition, cosine).join(targets, "query_id")
     kept = fl.apply_filters(found, _C("target_subsystem"), _C("target_bug_type"), _C("target_version"), query="query_id")
     order = Window.partitionBy("query_id").orderBy(F.round("boosted_score", 9).desc(), "uncertain", "pos")
     kept = kept.withColumn("order_no", F.row_number().over(order))
