@@ -172,12 +172,17 @@ def safe_filename(name: Column, max_len: int = 120) -> Column:
     return F.when(out == "", F.lit("unnamed")).otherwise(out)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed-point text without digit grouping (exact half-even rounding)."""
+    return F.translate(F.format_number(x, digits), ",", "")
+
+
 def format_duration(ms: Column) -> Column:
     secs = ms / 1000
     minutes = F.floor(secs / 60)
-    return (F.when(ms < 1, F.format_string("%.0fμs", ms * 1000)).when(ms < 1000, F.format_string("%.0fms", ms))
-            .when(ms < 60000, F.format_string("%.2fs", secs))
-            .otherwise(F.concat(minutes.cast("string"), F.format_string("m %.0fs", secs - minutes * 60))))
+    return (F.when(ms < 1, F.concat(fixed(ms * 1000, 0), F.lit("μs"))).when(ms < 1000, F.concat(fixed(ms, 0), F.lit("ms")))
+            .when(ms < 60000, F.concat(fixed(secs, 2), F.lit("s")))
+            .otherwise(F.concat(minutes.cast("string"), F.lit("m "), fixed(secs - minutes * 60, 0), F.lit("s"))))
 
 
 def to_bool(text: Column) -> Column:

@@ -19,22 +19,26 @@ def next_version(major: Column, minor: Column) -> Column:
                     F.when(roll, F.lit(0)).otherwise(minor + 1).alias("minor"))
 
 
-def _asof(day: Column, strict: bool) -> Column:
-    """Latest release before (``strict``) or on/before ``day``; a constant array, so no join."""
-    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("major"), F.lit(b).alias("minor"))
-                      for a, b, d in sorted(KERNEL_RELEASES, key=lambda r: r[2])])
-    hits = F.filter(table, lambda r: (r["d"] < day) if strict else (r["d"] <= day))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1))
+def _release_case(day: Column, strict: bool, value) -> Column:
+    """CASE over the fixed releases, newest first: ``value(major, minor)`` of the first one before
+    (``strict``) or on/before ``day``; null when there is none.  An as-of lookup without a join."""
+    out = F
+    for a, b, d in sorted(KERNEL_RELEASES, key=lambda r: r[2], reverse=True):
+        major, minor = value(a, b)
+        out = out.when((day > d) if strict else (day >= d), F.struct(F.lit(major).alias("major"), F.lit(minor).alias("minor")))
+    return out
+
+
+def _following(major: int, minor: int) -> tuple[int, int]:
+    return (major + 1, 0) if minor >= 19 else (major, minor + 1)
 
 
 def resolve_version(date: Column) -> Column:
     """First release that can contain a commit of this date: struct(major, minor), null if invalid."""
     day = iso_day(date)
-    prev = _asof(day, strict=True)
     first = min(KERNEL_RELEASES, key=lambda r: r[2])
     oldest = F.struct(F.lit(first[0]).alias("major"), F.lit(first[1]).alias("minor"))
-    return F.when(day.isNotNull(), F.when(prev.isNull(), oldest)
-                  .otherwise(next_version(prev["major"], prev["minor"])))
+    return F.when(day.isNotNull(), _release_case(day, True, _following).otherwise(oldest))
 
 
 def version_string(major: Column, minor: Column) -> Column:
@@ -86,7 +90,7 @@ def version_weight(distance: Column) -> Column:
 
 def date_compatible(date: Column, major: Column, minor: Column, tolerance: int = 1) -> Column:
     """Tri-state: can a commit of this date apply to the target release?  Null = cannot tell."""
-    rel = _asof(F.substring(date, 1, 10), strict=False)
+    rel = _release_case(F.substring(date, 1, 10), False, lambda a, b: (a, b))
     return (F.when((F.coalesce(date, F.lit("")) == "") | rel.isNull(), F.lit(None).cast("boolean"))
             .when(rel["major"] - major > 1, F.lit(False))
             .when(rel["major"] > major, F.lit(None).cast("boolean"))

@@ -245,7 +245,7 @@ def _(spark, sf):
 
 def _order_days(spark, sf) -> DataFrame:
     day = F.date_add(F.to_date("o_orderdate"), 8000).cast("string")
-    d = vw.table(spark, sf, "orders").select("o_orderkey", F.when(_C("o_orderkey") % 50 == 7, "2023-13-45").otherwise(day).alias("day"))
+    d = spread(vw.table(spark, sf, "orders")).select("o_orderkey", F.when(_C("o_orderkey") % 50 == 7, "2023-13-45").otherwise(day).alias("day"))
     return d
 
 
@@ -590,7 +590,7 @@ def _(spark, sf):
 @query("k15_fast")
 def _(spark, sf):
     return ranked(spark, sf, rt.FAST).select("query_id", big("rank").alias("rank"), "id", F.round("final_score", 6).alias("final_score"),
-                                             F.round("boosted_score", 5).alias("boosted"))
+                                             F.round("boosted_score", 10).alias("boosted"))
 
 
 @query("k7_breakdown")

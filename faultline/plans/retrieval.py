@@ -32,7 +32,7 @@ def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int
     targets = queries.drop("vec")
     found = recall(queries.select("query_id", "vec"), index, k, condition, cosine).join(targets, "query_id")
     kept = fl.apply_filters(found, _C("target_subsystem"), _C("target_bug_type"), _C("target_version"), query="query_id")
-    order = Window.partitionBy("query_id").orderBy(F.round("boosted_score", 9).desc(), "uncertain", "pos")
+    order = Window.partitionBy("query_id").orderBy(F.round("boosted_score", 10).desc(), "uncertain", "pos")
     kept = kept.withColumn("order_no", F.row_number().over(order))
     if mode == FAST:
         return kept.withColumns({"rank": _C("order_no"), "vector_score": _C("score"), "final_score": _C("score")})

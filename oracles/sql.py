@@ -81,9 +81,8 @@ oracle("p1_keywords", "commits", f"""SELECT doc_id, array_to_string({_refs} || r
     || CASE WHEN regexp_matches(t, '(?i)Cc:\\s*stable') THEN ['Cc:stable'] ELSE [] END || {_person}, '|') AS keywords
     FROM (SELECT doc_id, concat(subject, chr(10), body) AS t FROM commits)""")
 
-values("tagw(o, w, label)", [(i, w, l) for i, (w, l) in enumerate(tx.FIX_TAG_WORDS)])
-cte("p2", "msg tagw", f"""SELECT doc_id, coalesce(list(label ORDER BY o) FILTER (label IS NOT NULL), []) AS fix_tags FROM msg LEFT JOIN tagw
-    ON regexp_matches(m, concat('(?i)(?:^|[^{W}])', w, '(?:$|[^{W}])')) GROUP BY doc_id""")
+_tags = ", ".join(f"CASE WHEN regexp_matches(m, {v(f'(?i)(?:^|[^{W}]){w}(?:$|[^{W}])')}) THEN {v(l)} END" for w, l in tx.FIX_TAG_WORDS)
+cte("p2", "msg", f"SELECT doc_id, list_filter([{_tags}], lambda x: x IS NOT NULL) AS fix_tags FROM msg")
 oracle("p2_fix_tags", "p2", "SELECT doc_id, array_to_string(fix_tags, '|') AS fix_tags FROM p2")
 
 _id = "[a-zA-Z_][a-zA-Z0-9_]*"
@@ -271,8 +270,8 @@ cte("frames", "kinds bounds", "SELECT crash_id, i, s, row_number() OVER (PARTITI
 cte("trace", "crashes frames", "SELECT c.crash_id, coalesce(list(s ORDER BY i) FILTER (s IS NOT NULL), []) AS tr FROM crashes c LEFT JOIN frames USING (crash_id) GROUP BY c.crash_id")
 oracle("d2_trace_bounds", "bounds trace lines", """SELECT b.crash_id, a::BIGINT AS trace_start, b::BIGINT AS trace_end, array_to_string(tr, '|') AS frames, coalesce(reg, '') AS trace_region FROM bounds b JOIN trace USING (crash_id)
     LEFT JOIN (SELECT crash_id, string_agg(l, chr(10) ORDER BY i) AS reg FROM lines JOIN bounds USING (crash_id) WHERE a >= 0 AND i - 1 BETWEEN a - 2 AND b + 2 GROUP BY crash_id) USING (crash_id)""")
-values("pp(po, pname, p)", [(i, n, "(?i)" + p + "()" * (2 - g)) for i, (n, p, g) in enumerate(kr.PANIC_PATTERNS)])
-cte("ph", "lines pp", "SELECT crash_id, i * 100 + po AS k, pname, trim(regexp_extract(l, p)) AS msg, regexp_extract(l, p, 1) AS g0, regexp_extract(l, p, 2) AS g1 FROM lines JOIN pp ON regexp_matches(l, p)")
+_pp = [(i, n, v("(?i)" + p + "()" * (2 - g))) for i, (n, p, g) in enumerate(kr.PANIC_PATTERNS)]
+cte("ph", "lines", " UNION ALL ".join(f"SELECT crash_id, i * 100 + {i} AS k, {v(n)} AS pname, trim(regexp_extract(l, {p})) AS msg, regexp_extract(l, {p}, 1) AS g0, regexp_extract(l, {p}, 2) AS g1 FROM lines WHERE regexp_matches(l, {p})" for i, n, p in _pp))
 cte("d6", "crashes ph", """SELECT c.crash_id, content, coalesce(arg_min(pname, k), 'unknown') AS panic_type, coalesce(arg_min(msg, k), '') AS panic_msg, coalesce(string_agg(pname, '|' ORDER BY k), '') AS matched,
     arg_max(g0, k) FILTER (g0 <> '') AS g0, arg_max(g1, k) FILTER (g1 <> '') AS g1 FROM crashes c LEFT JOIN ph USING (crash_id) GROUP BY c.crash_id, content""")
 oracle("d6_panic_info", "d6", "SELECT crash_id, panic_type, panic_msg, matched, g0, g1 FROM d6")
@@ -527,10 +526,10 @@ cte("cand", "rk vi lq anv", f"""SELECT r.query_id, r.rank AS pos, r.id, r.s AS d
     FROM (SELECT *, max(s) OVER (PARTITION BY query_id) AS mx FROM rk WHERE rank <= 100) r JOIN vi USING (id) JOIN lq USING (query_id) LEFT JOIN (SELECT doc_id, ta, tb, da, db FROM anv) x ON x.doc_id = r.id""")
 _subq = "CASE target_subsystem " + " ".join(f"WHEN {v(t)} THEN {allowed_sub(t)}" for t in ("net", "mm", "drivers", "block", "rcu", "fs", "kernel")) + " ELSE TRUE END"
 _bugq = "CASE target_bug_type " + " ".join(f"WHEN {v(t)} THEN {allowed_bug(t)}" for t in ("null_pointer", "use_after_free", "memory_leak", "race_condition", "double_free")) + " ELSE TRUE END"
-cte("filt", "cand", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 9) DESC, unc, pos) AS ord FROM (SELECT *, score0 * CASE WHEN fix_tags IS NULL THEN 1.0 ELSE {_boost} END * w AS boosted, vv = 'uncertain' AS unc FROM (
+cte("filt", "cand", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(boosted, 10) DESC, unc, pos) AS ord FROM (SELECT *, score0 * CASE WHEN fix_tags IS NULL THEN 1.0 ELSE {_boost} END * w AS boosted, vv = 'uncertain' AS unc FROM (
     SELECT *, CASE WHEN tmaj IS NULL THEN 'passed' WHEN ta IS NULL AND kmajor IS NULL THEN 'uncertain' ELSE {vver('tmaj', 'tmin')} END AS vv, CASE WHEN tmaj IS NULL THEN 1.0 ELSE {vweight('tmaj', 'tmin')} END AS w,
       coalesce(commit_hash, '') = '' OR row_number() OVER (PARTITION BY query_id, commit_hash ORDER BY pos) = 1 AS uniq FROM cand) WHERE uniq AND {_subq} AND {_bugq} AND vv <> 'rejected')""")
-oracle("k15_fast", "filt", "SELECT query_id, ord::BIGINT AS rank, id, round(score0, 6)::DOUBLE AS final_score, round(boosted, 5)::DOUBLE AS boosted FROM filt")
+oracle("k15_fast", "filt", "SELECT query_id, ord::BIGINT AS rank, id, round(score0, 6)::DOUBLE AS final_score, round(boosted, 10)::DOUBLE AS boosted FROM filt")
 _wsplit = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '{SP}+'), lambda x: x <> ''))"
 cte("rr", "filt", f"""SELECT *, CASE WHEN len(qw) = 0 THEN 0.5 ELSE len(list_intersect(qw, {_wsplit('doc')})) / len(qw) END AS rer, CASE WHEN mb IS NULL THEN boosted WHEN mb > 1 OR mb < 0.01 THEN round(least(0.99, boosted / mb), 4) ELSE greatest(0, least(1, boosted)) END AS vs0
     FROM (SELECT *, {_wsplit('query_text')} AS qw, max(boosted) FILTER (boosted > 0) OVER (PARTITION BY query_id) AS mb, concat('[', subsystem, '] [', bug_type, '] ', substr(subject, 1, 200),
@@ -588,7 +587,7 @@ cte("qsim", "qtok ctok cnorm", """SELECT q.k AS qid, c.k AS id, round(coalesce(d
 cte("qtop", "qsim", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS pos FROM qsim QUALIFY pos <= 100")
 values("fsub(t, a)", [(t, a) for t in [n for n, _ in kr.LOG_SUBSYSTEM_HINTS] for a in [t] + [p for p, cs in kn.FILTER_HIERARCHY.items() if t in cs] + kn.FILTER_RELATED.get(t, [])])
 values("fbug(t, a)", [(t, a) for t in tx.BUG_TYPES if t != "unknown" for a in kn.BUG_TYPE_GROUPS.get(t, [t])])
-cte("qrank", "qs qtop commits an v1c fsub fbug", f"""SELECT qid, id, s, commit_hash, subject, row_number() OVER (PARTITION BY qid ORDER BY round(bs, 9) DESC, unc, pos) AS rank FROM (
+cte("qrank", "qs qtop commits an v1c fsub fbug", f"""SELECT qid, id, s, commit_hash, subject, row_number() OVER (PARTITION BY qid ORDER BY round(bs, 10) DESC, unc, pos) AS rank FROM (
     SELECT *, greatest(0, least(1, s)) * {_boost} * CASE WHEN tm IS NULL THEN 1.0 ELSE {vweight('tm', 'tn').replace('kmajor', 'v_major').replace('kminor', 'v_minor')} END AS bs, tm IS NOT NULL AND coalesce(v_major > tm, TRUE) AS unc FROM (
       SELECT t.*, a.commit_hash, a.subject, a.fix_tags, a.subsystem, a.bug_type, a.date, v1c.major AS v_major, v1c.minor AS v_minor, tsb, tbt, CASE WHEN tkv <> '' THEN regexp_extract(tkv, '(\\d+)\\.(\\d+)', 1)::INT END AS tm,
         CASE WHEN tkv <> '' THEN regexp_extract(tkv, '(\\d+)\\.(\\d+)', 2)::INT END AS tn, a.commit_hash = '' OR row_number() OVER (PARTITION BY t.qid, a.commit_hash ORDER BY t.pos) = 1 AS uniq
