@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.stage import cut
+
 _C = F.col
 
 
@@ -53,7 +55,7 @@ def dense_number(df: DataFrame, key: str, out: str = "row_no", width: int = 100_
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_b").orderBy(key)
-    return (b.join(offsets, "_b").withColumn(out, _C("_off") + F.row_number().over(inner) - 1).drop("_b", "_off"))
+    return (b.join(cut(offsets), "_b").withColumn(out, _C("_off") + F.row_number().over(inner) - 1).drop("_b", "_off"))
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -76,17 +78,18 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 
 
 def min_max(df: DataFrame, group: list[str], value: str, out: str = "normalized") -> DataFrame:
-    """Min-max per group (0.5 for a constant group).  One row per group joins back."""
-    stats = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    """Min-max per group (0.5 for a constant group).  One row per group joins back; the statistics
+    are written first, so Spark knows their size and only broadcasts a small table."""
+    stats = cut(df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     v = _C(value)
     return (df.join(stats, group).withColumn(out, F.when(_C("_lo") == _C("_hi"), F.lit(0.5)).otherwise(
         (v - _C("_lo")) / (_C("_hi") - _C("_lo")))).drop("_lo", "_hi"))
 
 
 def softmax(df: DataFrame, group: list[str], value: str, out: str = "probability") -> DataFrame:
-    top = df.groupBy(*group).agg(F.max(value).alias("_top"))
+    top = cut(df.groupBy(*group).agg(F.max(value).alias("_top")))
     e = df.join(top, group).withColumn("_e", F.exp(_C(value) - _C("_top")))
-    return (e.join(e.groupBy(*group).agg(F.sum("_e").alias("_sum")), group)
+    return (e.join(cut(e.groupBy(*group).agg(F.sum("_e").alias("_sum"))), group)
             .withColumn(out, _C("_e") / _C("_sum")).drop("_top", "_e", "_sum"))
 
 

@@ -225,8 +225,13 @@ def normalize_recall(hits: DataFrame) -> DataFrame:
 
 
 def with_metadata(hits: DataFrame, meta: DataFrame, key: str = "id") -> DataFrame:
-    """Attach index rows to hits; a hit without metadata keeps nulls."""
-    return hits.join(meta, key, "left")
+    """Attach index rows to hits; a hit without metadata keeps nulls.
+
+    The index is first reduced to the hit ids (a semi join whose small side is the hits), so the
+    outer join never moves the whole index.
+    """
+    wanted = meta.join(hits.select(key).distinct(), key, "left_semi")
+    return hits.join(wanted, key, "left")
 
 
 def recall_stats(hits: DataFrame) -> DataFrame:

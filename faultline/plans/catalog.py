@@ -656,11 +656,37 @@ def _(spark, sf):
                     F.contains("report_markdown", F.lit("No matching patches")).alias("no_patch_text"))
 
 
+@query("x3_evidence_summary")
+def _(spark, sf):
+    return ex.evidence_summary(ex.patch_explanations(ranked(spark, sf)))
+
+
+@query("g15_contexts")
+def _(spark, sf):
+    d = analysed(spark, sf)
+    return d.select("doc_id", gr.subsystem_context(_C("subsystem")).alias("subsystem_context"))
+
+
+@query("k16_search_by_bug_type")
+def _(spark, sf):
+    """One labelled query per (subsystem, bug type) present in the commits, against every commit."""
+    def build():
+        kinds = analysed(spark, sf).groupBy("subsystem", "bug_type").agg(F.min("doc_id").alias("query_id"))
+        return rt.bug_type_queries(kinds)
+    q = stage(spark, sf, "bug_queries", build).select("query_id", "vec", "query_text", "target_subsystem", "target_bug_type", "target_version")
+    h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50)
+    return h.where("rank <= 5").select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 4).alias("vector_score"),
+                                       F.round("reranker_score", 6).alias("reranker_score"), F.round("final_score", 6).alias("final_score"))
+
+
+def text_index(spark, sf) -> DataFrame:
+    return stage(spark, sf, "text_index", lambda: ix.index_rows(vw.commits(spark, sf)))
+
+
 @query("k18_diagnose")
 def _(spark, sf):
     """Every crash log against every commit: parse, diagnose, encode, recall, filter, rank; top 3."""
-    index = stage(spark, sf, "text_index", lambda: ix.index_rows(vw.commits(spark, sf)))
-    d = rt.diagnose_and_retrieve(vw.crashes(spark, sf), index, rt.FAST, 100, 3)
+    d = rt.diagnose_and_retrieve(vw.crashes(spark, sf), text_index(spark, sf), rt.FAST, 100, 3)
     return d.select("crash_id", big("rank").alias("rank"), "root_cause", "commit_hash", "subject", F.round("final_score", 6).alias("final_score"))
 
 

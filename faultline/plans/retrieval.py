@@ -16,7 +16,7 @@ def recall(queries: DataFrame, index: DataFrame, k: int = 100, condition: Column
            cosine: bool = True) -> DataFrame:
     """Top-k candidates with metadata per query; ``condition`` filters the index before the search."""
     pool = index if condition is None else index.where(condition)
-    hits = ve.normalize_recall(ve.topk(queries, pool, k, cosine))
+    hits = cut(ve.normalize_recall(ve.topk(queries, pool, k, cosine)))  # at most k rows per query, size now known
     return ve.with_metadata(hits.withColumnRenamed("score", "recall_score"), pool.drop("vec", "score")).withColumn(
         "score", _C("recall_score")).withColumn("pos", _C("rank")).drop("rank", "recall_score")
 
@@ -60,24 +60,30 @@ def diagnose(logs: DataFrame) -> DataFrame:
     return logs.transform(cx.parse_logs).transform(cx.analyze_root_cause)
 
 
+def query_key(df: DataFrame) -> DataFrame:
+    """Adds ``query_key``: equal for crashes with equal query text, subsystem, bug type and version."""
+    return df.withColumn("query_key", F.sha2(F.concat_ws("\x1f", "retrieval_query", "subsystem", "bug_type", "kernel_version"), 256))
+
+
 def crash_queries(diagnosed: DataFrame, dim: int = 512) -> DataFrame:
-    """One query per distinct (query text, subsystem, bug type, version): equal crashes search once."""
-    keys = {"query_text": _C("retrieval_query"), "target_subsystem": _C("subsystem"), "target_bug_type": _C("bug_type"),
-            "target_version": _C("kernel_version")}
-    distinct = diagnosed.groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.min("crash_id").alias("query_id"))
+    """One query per distinct key: equal crashes search once, however many copies a key has
+    (the grouping keeps one row per key map-side)."""
+    distinct = query_key(diagnosed).groupBy("query_key").agg(
+        F.min("crash_id").alias("query_id"), F.any_value("retrieval_query").alias("query_text"),
+        F.any_value("subsystem").alias("target_subsystem"), F.any_value("bug_type").alias("target_bug_type"),
+        F.any_value("kernel_version").alias("target_version"))
     return ve.encode_text(distinct, "query_text", "vec", dim)
 
 
 def diagnose_and_retrieve(logs: DataFrame, index: DataFrame, mode: str = FAST, k: int = 100, top: int = 5) -> DataFrame:
     """The top patches of every crash log."""
-    crashes = cut(diagnose(logs).select("crash_id", "retrieval_query", "subsystem", "bug_type", "kernel_version",
-                                    "root_cause", "score", "rule_id").withColumnRenamed("score", "confidence"))
+    crashes = cut(query_key(diagnose(logs).select(
+        "crash_id", "retrieval_query", "subsystem", "bug_type", "kernel_version", "root_cause",
+        _C("score").alias("confidence"), "rule_id")))
     queries = cut(crash_queries(crashes))
-    ranked = retrieve(queries, index, mode, k).where(_C("rank") <= top).select(
-        "query_id", "rank", "commit_hash", "subject", _C("subsystem").alias("patch_subsystem"),
-        _C("bug_type").alias("patch_bug_type"), "vector_score", "final_score")
-    ids = queries.select("query_id", "query_text", "target_subsystem", "target_bug_type", "target_version")
-    link = crashes.join(ids, [crashes.retrieval_query == ids.query_text, crashes.subsystem == ids.target_subsystem,
-                              crashes.bug_type == ids.target_bug_type, crashes.kernel_version == ids.target_version])
-    return link.select("crash_id", "query_id", "root_cause", "subsystem", "bug_type", "confidence", "rule_id").join(
-        ranked, "query_id")
+    ranked = cut(retrieve(queries, index, mode, k).where(_C("rank") <= top).select(
+        "query_key", "query_id", "rank", "commit_hash", "subject", _C("subsystem").alias("patch_subsystem"),
+        _C("bug_type").alias("patch_bug_type"), "vector_score", "final_score"))
+    # at most ``top`` rows per key with a known size: broadcast while small, else a skew-split join
+    return crashes.select("crash_id", "query_key", "root_cause", "subsystem", "bug_type", "confidence", "rule_id").join(
+        ranked, "query_key").drop("query_key")
