@@ -50,7 +50,7 @@ def rerank(df: DataFrame, query_text: str = "query_text", scorer=None, judge: st
         "reranker_score": nf.clamp01(scorer(_C(query_text), doc) if scorer else tf.overlap_score(_C(query_text), doc)),
         "judge_score": nf.clamp01(F.coalesce(_C(judge), F.lit(0.5)) if judge else F.lit(0.5))})
     scored = scored.withColumn("final_score", F.round(fuse(
-        _C("vector_score"), _C("reranker_score"), _C("judge_score"), weights), 6))
+        _C("vector_score"), _C("reranker_score"), _C("judge_score"), weights), 12))
     w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.asc("order_no"))
     return (scored.withColumn("rank", F.row_number().over(w))
             .withColumn("rank_reason", rank_reason(_C("final_score"), _C("reranker_score"))))

@@ -583,8 +583,8 @@ def _(spark, sf):
 
 @query("k15_standard")
 def _(spark, sf):
-    return ranked(spark, sf).select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 4).alias("vector_score"),
-                                    F.round("reranker_score", 5).alias("reranker_score"), F.round("final_score", 6).alias("final_score"), "rank_reason")
+    return ranked(spark, sf).select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 10).alias("vector_score"),
+                                    F.round("reranker_score", 10).alias("reranker_score"), F.round("final_score", 12).alias("final_score"), "rank_reason")
 
 
 @query("k15_fast")
@@ -611,7 +611,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = rk.why_not(ranked(spark, sf))
     return d.select("query_id", big("rank").alias("rank"), big(F.size("same_aspects")).alias("n_same"), big(F.size("different_aspects")).alias("n_diff"),
-                    F.round("score_gap", 6).alias("gap"))
+                    F.round("score_gap", 12).alias("gap"))
 
 
 @query("k3_judge_answers")
@@ -675,8 +675,8 @@ def _(spark, sf):
         return rt.bug_type_queries(kinds)
     q = stage(spark, sf, "bug_queries", build).select("query_id", "vec", "query_text", "target_subsystem", "target_bug_type", "target_version")
     h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50)
-    return h.where("rank <= 5").select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 4).alias("vector_score"),
-                                       F.round("reranker_score", 6).alias("reranker_score"), F.round("final_score", 6).alias("final_score"))
+    return h.where("rank <= 5").select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 10).alias("vector_score"),
+                                       F.round("reranker_score", 10).alias("reranker_score"), F.round("final_score", 12).alias("final_score"))
 
 
 def text_index(spark, sf) -> DataFrame:

@@ -534,8 +534,8 @@ _wsplit = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t})
 cte("rr", "filt", f"""SELECT *, CASE WHEN len(qw) = 0 THEN 0.5 ELSE len(list_intersect(qw, {_wsplit('doc')})) / len(qw) END AS rer, CASE WHEN mb IS NULL THEN boosted WHEN mb > 1 OR mb < 0.01 THEN round(least(0.99, boosted / mb), 4) ELSE greatest(0, least(1, boosted)) END AS vs0
     FROM (SELECT *, {_wsplit('query_text')} AS qw, max(boosted) FILTER (boosted > 0) OVER (PARTITION BY query_id) AS mb, concat('[', subsystem, '] [', bug_type, '] ', substr(subject, 1, 200),
       CASE WHEN len(fix_tags) > 0 THEN concat(' Fixes: [''', array_to_string(fix_tags, ''', '''), ''']') ELSE '' END) AS doc FROM filt WHERE ord <= 50)""")
-cte("ranked", "rr", """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord) AS rank FROM (SELECT *, greatest(0, least(1, vs0)) AS vs, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * 0.5)), 6) AS fin FROM rr)""")
-oracle("k15_standard", "ranked", """SELECT query_id, rank::BIGINT AS rank, id, round(vs, 4)::DOUBLE AS vector_score, round(rer, 5)::DOUBLE AS reranker_score, round(fin, 6)::DOUBLE AS final_score,
+cte("ranked", "rr", """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord) AS rank FROM (SELECT *, greatest(0, least(1, vs0)) AS vs, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * 0.5)), 12) AS fin FROM rr)""")
+oracle("k15_standard", "ranked", """SELECT query_id, rank::BIGINT AS rank, id, round(vs, 10)::DOUBLE AS vector_score, round(rer, 10)::DOUBLE AS reranker_score, round(fin, 12)::DOUBLE AS final_score,
     concat_ws('; ', CASE WHEN fin >= 0.85 THEN '高度匹配' WHEN fin >= 0.7 THEN '显著相关' WHEN fin >= 0.5 THEN '中度相关' ELSE '低度相关' END, concat('子系统=', subsystem), concat('Bug类型=', bug_type), CASE WHEN rer >= 0.8 THEN '语义高度相似' END) AS rank_reason FROM ranked""")
 
 
@@ -558,7 +558,7 @@ oracle("k14_version_analysis", "bd rel", """SELECT query_id, rank::BIGINT AS ran
     CASE WHEN cm IS NULL OR cn IS NULL THEN -1 WHEN gap IS NULL THEN 0 ELSE abs(gap) END::BIGINT AS distance_value, CASE WHEN kmajor IS NOT NULL THEN concat(kmajor, '.', kminor, '.0') END AS patch_kernel_version,
     CASE WHEN cm IS NOT NULL THEN (SELECT d FROM rel WHERE a = cm AND b = cn) END AS crash_release_date FROM bd""")
 oracle("k13_why_not", "ranked", """SELECT query_id, rank::BIGINT AS rank, CASE WHEN rank > 1 THEN ((bug_type = b1 AND bug_type <> 'unknown')::INT + (subsystem = s1 AND subsystem <> 'unknown')::INT + (vs = v1)::INT + (abs(w - w1) > 0.01 AND w > w1)::INT) END::BIGINT AS n_same,
-    CASE WHEN rank > 1 THEN 2 + (bug_type <> b1)::INT + (subsystem <> s1)::INT + (vs <> v1)::INT + (CASE WHEN abs(w - w1) > 0.01 THEN w < w1 ELSE w <> 1.0 END)::INT END::BIGINT AS n_diff, CASE WHEN rank > 1 THEN round(f1 - fin, 6) END::DOUBLE AS gap
+    CASE WHEN rank > 1 THEN 2 + (bug_type <> b1)::INT + (subsystem <> s1)::INT + (vs <> v1)::INT + (CASE WHEN abs(w - w1) > 0.01 THEN w < w1 ELSE w <> 1.0 END)::INT END::BIGINT AS n_diff, CASE WHEN rank > 1 THEN round(f1 - fin, 12) END::DOUBLE AS gap
     FROM (SELECT *, first_value(bug_type) OVER x AS b1, first_value(subsystem) OVER x AS s1, first_value(vs) OVER x AS v1, first_value(w) OVER x AS w1, first_value(fin) OVER x AS f1 FROM ranked WINDOW x AS (PARTITION BY query_id ORDER BY rank))""")
 oracle("k3_judge_answers", "", """SELECT conv_id, turn, i::BIGINT AS index, CASE WHEN z = 0 AND i = conv_id % 5 THEN 0.75 ELSE 0.5 END::DOUBLE AS judge_score, CASE WHEN z = 2 THEN 'Parse failed' WHEN z = 0 AND i = conv_id % 5 THEN 'same file' ELSE 'Not found in response' END AS judge_reason
     FROM (SELECT conv_id, turn, (conv_id + turn) % 3 AS z, unnest(range(5)) AS i FROM conversations)""")
@@ -579,6 +579,26 @@ oracle("x2_comparison", "x1", " UNION ALL ".join(f"""SELECT query_id, {o}::BIGIN
 oracle("x5_reports", "rc ranked", f"""SELECT crash_id, {_svl} AS severity, {_pc} AS panic_class, coalesce(n, 0)::BIGINT AS n_patches, root_cause AS json_cause, n IS NULL AS no_patch_text FROM (SELECT *, lower(panic_msg) AS pm FROM rc)
     LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY query_id) ON query_id = crash_id""")
 
+oracle("x3_evidence_summary", "x1", r"""SELECT query_id, string_agg(concat('Evidence ', rank, ':', chr(10), '  Crash:  ', CASE WHEN len(crash_trace) = 0 THEN 'unknown' ELSE
+    array_to_string(list_sort(list_transform(crash_trace, lambda x: split_part(x, '+', 1)))[1:3], ', ') END, chr(10), '  Patch:  ', coalesce(nullif(ft, ''), nullif(array_to_string(functions[1:2], ', '), ''), 'unknown'), chr(10),
+    '  共同:   ', coalesce(nullif(replace(rs, '|', '; '), ''), 'N/A'), chr(10)), chr(10) ORDER BY rank) AS evidence_summary FROM x1 WHERE rank <= 3 GROUP BY query_id""")
+oracle("g15_contexts", "an si related", """SELECT doc_id, CASE WHEN title IS NULL THEN concat('Subsystem ''', subsystem, ''' not found.') ELSE concat('## Subsystem: ', title, ' (', subsystem, ')', chr(10), chr(10), '**Key Functions**: ',
+    array_to_string(fs[1:8], ', '), chr(10), '**Common Bug Types**: ', array_to_string(bugs, ', '), chr(10), chr(10), '**Related Subsystems**: ',
+    array_to_string(list_filter(string_split(relp, '|'), lambda x: x <> subsystem), ', ')) END AS subsystem_context FROM an LEFT JOIN si ON si.n = subsystem JOIN related r ON r.n = subsystem""")
+cte("kq", "an", """SELECT min(doc_id) AS qid, subsystem AS tsb, concat('RootCause: ', replace(bug_type, '_', ' '), chr(10), 'BugType: ', bug_type, CASE WHEN subsystem <> 'unknown' THEN concat(chr(10), 'Subsystem: ', subsystem) ELSE '' END) AS qt
+    FROM an GROUP BY subsystem, bug_type""")
+cte("kqtok", "kq", tokens("kq", "qid", "qt"))
+cte("kqtop", "kqtok ctok cnorm", """SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS pos FROM (SELECT q.k AS qid, c.k AS id, round(coalesce(d, 0) / (q.z * c.z), 6) AS s FROM (SELECT k, sqrt(sum(n * n)) AS z FROM kqtok GROUP BY k) q
+    CROSS JOIN cnorm c LEFT JOIN (SELECT a.k AS qk, b.k AS ck, sum(a.n * b.n)::DOUBLE AS d FROM kqtok a JOIN ctok b USING (b) GROUP BY ALL) ON qk = q.k AND ck = c.k) QUALIFY pos <= 50""")
+values("fsub2(t, a)", [(t, a) for t in [n for n, _ in tx.SUBSYSTEM_PATHS] for a in [t] + [p for p, cs in kn.FILTER_HIERARCHY.items() if t in cs] + kn.FILTER_RELATED.get(t, [])])
+cte("kf", "kq kqtop an fsub2", f"""SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(boosted, 10) DESC, pos) AS ord FROM (SELECT z.*, greatest(0, least(1, s)) * {_boost} AS boosted FROM (
+    SELECT t.*, qt, tsb, a.subject, a.subsystem, a.bug_type, a.fix_tags, a.commit_hash = '' OR row_number() OVER (PARTITION BY t.qid, a.commit_hash ORDER BY t.pos) = 1 AS uniq FROM kqtop t JOIN an a ON a.doc_id = t.id JOIN kq USING (qid)) z
+    WHERE uniq AND (tsb = 'unknown' OR EXISTS (SELECT 1 FROM fsub2 f WHERE f.t = tsb AND f.a = z.subsystem)))""")
+cte("kr", "kf", f"""SELECT *, len(list_intersect(qw, {_wsplit('doc')})) / len(qw) AS rer, CASE WHEN mb IS NULL THEN boosted WHEN mb > 1 OR mb < 0.01 THEN round(least(0.99, boosted / mb), 4) ELSE greatest(0, least(1, boosted)) END AS vs FROM (SELECT *, {_wsplit('qt')} AS qw,
+    max(boosted) FILTER (boosted > 0) OVER (PARTITION BY qid) AS mb, concat('[', subsystem, '] [', bug_type, '] ', substr(subject, 1, 200), CASE WHEN len(fix_tags) > 0 THEN concat(' Fixes: [''', array_to_string(fix_tags, ''', '''), ''']') ELSE '' END) AS doc FROM kf WHERE ord <= 50)""")
+oracle("k16_search_by_bug_type", "kr", """SELECT qid AS query_id, rank::BIGINT AS rank, id, round(vs, 10)::DOUBLE AS vector_score, round(rer, 10)::DOUBLE AS reranker_score, fin::DOUBLE AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fin DESC, ord) AS rank
+    FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs)) + 0.4 * rer + 0.4 * 0.5)), 12) AS fin FROM kr)) WHERE rank <= 5""")
+
 # crash logs against all commits: distinct queries, cosine over hashed terms, filters, top 3
 cte("qs", "rq", "SELECT retrieval_query, subsystem AS tsb, nb AS tbt, kernel_version AS tkv, min(crash_id) AS qid FROM rq GROUP BY ALL")
 cte("qtok", "qs", tokens("qs", "qid", "retrieval_query"))
