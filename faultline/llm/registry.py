@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mtree, packing, quality, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -14,13 +14,47 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify_table(spark, sf)
+
+
+def op4_warc_members(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),
+     k AS (SELECT digest, max(page_id) AS kept FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN n >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND kept <> page_id THEN kept END AS refers_to
+FROM d LEFT JOIN k ON k.digest = d.digest AND d.n >= 1000
+"""
+
+
+def op9_mtree_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return mtree.search_table(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_best_fit_packing": op10_best_fit_packing}
+    return {f.__name__: f for f in (op2_quality_trees, op4_warc_members, op9_mtree_top_k, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_members": OP4_SQL, "op9_mtree_top_k": OP9_SQL}
