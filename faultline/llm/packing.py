@@ -7,10 +7,13 @@ capacities finds the tightest open sequence in logarithmic time. Groups grow in
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,34 +23,65 @@ from .shared import cut, text_of
 
 CAPACITY = 2048
 GROUP_ROWS = 25_000
-CACHE_UNITS = 300_000
 _SPACE = r"[^\S\x1c-\x1f]"  # white space as the tokenizer sees it
+_PLAIN = re.compile(r"[\t\n\r -~\xa1-\u024f]*")
+#: FIXED VALUE: how byte-level BPE of this kind divides text before merging.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _UNIT = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
-class UnitEncoder:
-    """Token ids of texts as little-endian bytes.
-
-    Byte-level BPE never merges across the start of white space, so a text is the concatenation of its units (white space
-    plus the word after it). Frequent units are encoded once; the cache is emptied at ``CACHE_UNITS``.
+def _rank_encoder(tokenizer_path: str):
+    """An encoder that merges by rank, made from the tokenizer's own vocabulary, or None where merges are not in order of ids."""
+    import tiktoken
+    model = json.loads(Path(tokenizer_path).read_text())["model"]
+    vocab, merges = model["vocab"], model["merges"]
+    # byte-level vocabularies write each byte as a printable character: printable bytes as themselves, the others from U+0100 on
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if [vocab.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))) or any(vocab.get(c, 256) > 255 for c in byte_of):
+        return None
+    ranks = {bytes(map(byte_of.__getitem__, token)): k for token, k in vocab.items() if k < 256 + len(pairs)}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class TextEncoder:
+    """Token ids of texts as little-endian 32-bit bytes, equal to ``tokenizers`` for every text.
+
+    Texts of plain characters, on whose classes all Unicode versions agree, go to an encoder that merges the same pairs by
+    rank. Others are cut at white space: merges never cross its start, so a text is the concatenation of its units (white space plus
+    the word after it), and each unit that is not plain is encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._cache: dict[str, bytes] = {}
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._ranks = _rank_encoder(tokenizer_path)
+
+    def _plain(self, text: str) -> bool:
+        return self._ranks is not None and bool(_PLAIN.fullmatch(text)) and not any(a in text for a in self._added)
+
+    def encode(self, text: str) -> bytes:
+        if self._plain(text):
+            return _packed(self._ranks.encode_ordinary(text))
+        if any(any(c.isspace() for c in a) for a in self._added):  # such a token could reach over units
+            return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self._unit, _UNIT.findall(text)))
+
+    def _unit(self, unit: str) -> bytes:
+        return _packed(self._ranks.encode_ordinary(unit) if self._plain(unit) else self._tokenizer.encode(unit, add_special_tokens=False).ids)
+
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache, units = self._cache, [_UNIT.findall(t) for t in texts]
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
-        missing = list(set(chain.from_iterable(units)).difference(cache))
-        for unit, e in zip(missing, self._tokenizer.encode_batch(missing, add_special_tokens=False)):
-            cache[unit] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, u)) for u in units]
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def cut_points(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -65,15 +99,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     doc_id is kept. Other columns are ignored.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = UnitEncoder(tokenizer_path)
+        encoder = TextEncoder(tokenizer_path)
         for batch in batches:
             out = []
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo:lo + 256]
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(part["text"].tolist())):
-                    ids += b"\0\0\0\0"
-                    for k, (start, n) in enumerate(cut_points(len(ids) // 4, capacity)):
-                        out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = encoder.encode(text) + b"\0\0\0\0"
+                for k, (start, n) in enumerate(cut_points(len(ids) // 4, capacity)):
+                    out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
 
