@@ -9,8 +9,8 @@ its signature. Two texts share it with the probability of their weighted Jaccard
 drawn, about K ln K of them however long the text is; the limit doubles for texts with an empty coordinate.
 
 Exact copies (equal word sequences) are one text from the first shuffle on. In a bucket, every text is compared with the
-bucket's first one; then only pairs of texts that are still in different classes are compared, so that a large group of near
-copies costs one comparison a member and no link between classes is lost.
+bucket's first one. The other texts of a bucket that are then still in different classes are compared in blocks, by matrix
+products, so that no link between classes is lost and pairs of texts never become rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ BANDS, ROWS = 25, 5
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 500_000
 BATCH_WORDS = 400_000
+BLOCK = 1024
 
 
 # --- hashing ------------------------------------------------------------------------------------
@@ -216,6 +217,79 @@ def similar_pairs(pairs: DataFrame, names: DataFrame, similarity: float) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
+def linked_within(names: list[np.ndarray], root: np.ndarray, node: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a block of texts as all its similar pairs would: a spanning forest over the roots.
+
+    Sizes of all intersections are products of incidence matrices, taken over bounded slices of the names that occur twice.
+    """
+    size = np.array([len(x) for x in names])
+    row, flat = np.repeat(np.arange(len(names)), size), np.concatenate(names)
+    order = np.argsort(flat, kind="stable")
+    row, flat = row[order], flat[order]
+    column = np.cumsum(np.diff(flat, prepend=flat[:1]) != 0)
+    often = np.bincount(column)[column] > 1
+    row, column = row[often], column[often]
+    common = np.zeros((len(names), len(names)), np.float32)
+    lo = 0
+    while lo < len(row):
+        hi = int(np.searchsorted(column, column[lo] + 2048))
+        x = np.zeros((len(names), 2048), np.float32)
+        x[row[lo:hi], column[lo:hi] - column[lo]] = 1
+        common += x @ x.T
+        lo = hi
+    near = common >= similarity * (size[:, None] + size[None, :] - common) - 1e-6
+    parent = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(near & (root[:, None] != root[None, :])))):
+        if (a := find(int(root[i]))) != (b := find(int(root[j]))):
+            parent[a] = b
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def links_in_buckets(rows: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links between the texts of each bucket; rows: key, n (texts of the bucket), node, root, names.
+
+    A bucket of more than ``block`` texts is cut into blocks by hash, and each pair of blocks is a group of its own; a task holds
+    one group at a time. Pairs of texts never become rows.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "node", "root", "names")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+
+        def links(part: pd.DataFrame) -> list[tuple[int, int]]:
+            if len(part) < 2 or part["root"].nunique() < 2:
+                return []
+            names = [np.frombuffer(x, np.uint64) for x in part["names"]]
+            return linked_within(names, part["root"].to_numpy("int64"), part["node"].to_numpy("int64"), similarity)
+
+        for batch in batches:
+            out = []
+            for key, part in batch.groupby(["key", "i", "j"], sort=False):
+                if held and key != last:
+                    out += links(pd.concat(held))
+                    held = []
+                held.append(part)
+                last = key
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        if held:
+            yield pd.DataFrame(links(pd.concat(held)), columns=["a", "b"]).astype("int64")
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, root: the smallest id of its connected component, for all ids of ``edges`` (a, b).
 
@@ -258,14 +332,12 @@ def _linked(docs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     links = cut(similar_pairs(star, names, similarity), "links")
     roots = components(links)
 
-    # texts that share a bucket and are still apart: the pairs across their classes there, but for those with the first one
-    apart = _with_root(members, roots)
-    mixed = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    apart = cut(apart.join(mixed, "key", "left_semi"), "apart")
-    other = apart.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = (apart.select("key", F.col("node").alias("a"), "root", "first").join(other, "key")
-            .filter("a < b and root <> root_b and a <> first").select("a", "b").distinct())
-    more = cut(similar_pairs(rest, names, similarity), "links")
+    # the star compared a bucket's first text with all others; what is left are buckets whose other texts are in different classes
+    others = _with_root(members.filter("node <> first"), roots)
+    mixed = (others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .filter("lo <> hi").select("key", "n"))
+    rest = others.select("key", "node", "root").join(mixed, "key").join(names, "node")
+    more = cut(links_in_buckets(rest, similarity), "links")
     return roots if more.isEmpty() else components(links.union(more))
 
 
