@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mtree, neardup, packing, quality, warc
+from . import decontam, mtree, neardup, packing, pii, quality, secrets, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -18,6 +18,10 @@ def op2_quality_trees(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify_table(spark, sf)
 
 
+def op3_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_personal_data(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op4_warc_members(spark: SparkSession, sf: str) -> DataFrame:
     records = warc.archive_pages(spark, spark.read.parquet(f"{sf}/pages.parquet"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +46,10 @@ def op7_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op8_window_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op9_mtree_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return mtree.search_table(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
@@ -61,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_trees, op4_warc_members, op5_block_max_wand, op7_dart_minhash, op9_mtree_top_k, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_trees, op3_weak_supervision, op4_warc_members, op5_block_max_wand, op7_dart_minhash, op8_window_entropy, op9_mtree_top_k, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
