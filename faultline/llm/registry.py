@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mtree, neardup, packing, pii, quality, secrets, warc
+from . import decontam, licenses, mtree, neardup, packing, pii, quality, secrets, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,6 +42,10 @@ def op5_block_max_wand(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+def op6_license_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op7_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.classes(spark.read.parquet(f"{sf}/documents.parquet"))
 
@@ -69,7 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_trees, op3_weak_supervision, op4_warc_members, op5_block_max_wand, op7_dart_minhash, op8_window_entropy, op9_mtree_top_k, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_trees, op3_weak_supervision, op4_warc_members, op5_block_max_wand, op6_license_bands, op7_dart_minhash, op8_window_entropy, op9_mtree_top_k, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
