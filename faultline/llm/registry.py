@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mtree, neardup, packing, pii, quality, secrets, warc
+from . import decontam, licenses, lm, mtree, neardup, packing, pii, quality, secrets, warc
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_elias_fano_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score_table(spark, sf)
+
+
 def op2_quality_trees(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify_table(spark, sf)
 
@@ -73,7 +77,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_trees, op3_weak_supervision, op4_warc_members, op5_block_max_wand, op6_license_bands, op7_dart_minhash, op8_window_entropy, op9_mtree_top_k, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_elias_fano_trie, op2_quality_trees, op3_weak_supervision, op4_warc_members, op5_block_max_wand, op6_license_bands, op7_dart_minhash, op8_window_entropy, op9_mtree_top_k, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
