@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, text_of
+from .shared import cut, spare, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -362,12 +362,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows that repeat both doc_id and text stay once; rows without doc_id stay.
     """
-    kept = (classes(docs, similarity).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_kept"))
-            .agg(F.count(F.lit(1)).alias("_rows")))
+    kept_id, kept_rows = spare(docs, "_kept"), spare(docs, "_rows")
+    kept = (classes(docs, similarity).filter("doc_id = class_id").groupBy(F.col("doc_id").alias(kept_id))
+            .agg(F.count(F.lit(1)).alias(kept_rows)))
     kept = cut(kept, "kept")
-    out = docs.join(kept, F.col("doc_id") == F.col("_kept"), "inner").drop("_kept")
-    if kept.filter("_rows > 1").isEmpty():
-        out = out.drop("_rows")
-    else:
-        out = out.filter("_rows = 1").unionByName(out.filter("_rows > 1").dropDuplicates(["doc_id", "text"])).drop("_rows")
+    out = docs.join(kept, F.col("doc_id") == F.col(kept_id), "inner")
+    if not kept.filter(F.col(kept_rows) > 1).isEmpty():
+        once = out.filter(F.col(kept_rows) > 1).dropDuplicates(["doc_id", "text"])
+        out = out.filter(F.col(kept_rows) == 1).unionByName(once)
     return out.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -233,6 +233,6 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns and rows, each span of text replaced by its kind in brackets; null text stays null."""
     model = train(cut(candidates(docs.select("text")).drop("text").filter((F.size("base") > 0) | (F.size("other") > 0)), "candidates"))
-    spans = accepted(candidates(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("text"))), model)
+    spans = accepted(candidates(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))), model)
     return spans.select("_row", F.when(F.col("text").isNotNull(), sp.redacted(F.col("text"), F.col("spans"))).alias("_new")).select(
         *[F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

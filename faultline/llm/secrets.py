@@ -65,35 +65,38 @@ def _bits(piece: Column) -> Column:
     return out
 
 
-def find_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with base_spans (assign, access, hex) and secret_spans (those, and entropy spans that overlap none of them).
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """_row (the row of ``docs``), base_spans (assign, access, hex) and secret_spans (those, and entropy spans that overlap none of them).
 
-    Null text counts as empty. Existing columns of these names are replaced. Rows are independent: repeated rows give equal
-    results, an empty table gives none.
+    Null text counts as empty. Rows are independent: repeated rows give equal results, an empty table gives none.
     """
     t = F.col("_text")
     low = F.lower(t)
     word = low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api")
     assign = F.filter(sp.matches(t, "assign", 0, ASSIGN, word), lambda s: F.char_length(F.regexp_extract(s["piece"], ASSIGN, 1)) >= 8)
     access = F.filter(sp.matches(t, "access", 1, ACCESS, t.contains("AKIA")), lambda s: F.char_length(s["piece"]) >= 16)
-    digit = t.rlike("[0-9]")
     hexes = sp.matches(t, "hex", 2, HEX, t.rlike("[0-9a-f]{32}"))
-    candidates = sp.matches(t, "entropy", 3, CANDIDATE, digit & t.rlike("[A-Za-z0-9+/_=-]{20}"))
-    docs = docs.withColumn("_text", text_of(text)).withColumn("base_spans", F.concat(assign, access, hexes)).withColumn("_candidates", candidates)
+    candidates = sp.matches(t, "entropy", 3, CANDIDATE, t.rlike("[0-9]") & t.rlike("[A-Za-z0-9+/_=-]{20}"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of().alias("_text"))
+    rows = rows.withColumn("base_spans", F.concat(assign, access, hexes)).withColumn("_candidates", candidates)
     known = F.filter("_candidates", lambda s: ~s["piece"].rlike(ALLOWED) & ~s["before"].rlike(ALLOWED_BEFORE))
     fresh = sp.uncovered(known, F.col("base_spans"))
-    random = F.filter(fresh, lambda s: best_window_entropy(s["piece"], window) >= _bits(s["piece"]))
-    return docs.withColumn("secret_spans", F.concat("base_spans", random)).drop("_text", "_candidates")
+    random = F.filter(fresh, lambda s: best_window_entropy(s["piece"]) >= _bits(s["piece"]))
+    return rows.withColumn("secret_spans", F.concat("base_spans", random)).drop("_text", "_candidates")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; one row per row of ``docs``. Counts are those of the base spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans; one row per row of ``docs``. Counts are those of the base spans.
+
+    Other columns are ignored; a null doc_id stays null.
+    """
     found = find_secrets(docs.select("doc_id", "text"))
-    return found.select("doc_id", *[sp.count(F.col("base_spans"), k).alias(f"n_{k}") for k in KINDS[:3]],
+    return found.select("_row.doc_id", *[sp.count(F.col("base_spans"), k).alias(f"n_{k}") for k in KINDS[:3]],
                         F.sha2(sp.listed(F.col("base_spans")), 256).alias("base_sha256"), sp.listed(F.col("secret_spans")).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns, each secret span of text replaced by its kind in brackets."""
-    found = find_secrets(docs)
-    return found.withColumn("text", sp.redacted(text_of(), F.col("secret_spans"))).select(docs.columns)
+    """``docs`` with its columns, each secret span of text replaced by its kind in brackets; null text stays null."""
+    text = F.col("_row.text")
+    new = F.when(text.isNotNull(), sp.redacted(text, F.col("secret_spans")))
+    return find_secrets(docs).select(*[new.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

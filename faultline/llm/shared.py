@@ -35,6 +35,14 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def file_system(uri: str):
     """(file system, path) of a URI for tasks; works for local folders and for any store that pyarrow knows."""
     from pyarrow import fs
