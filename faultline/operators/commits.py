@@ -66,8 +66,8 @@ def extract_fix_tags(df: DataFrame) -> DataFrame:
     return df.withColumn("fix_tags", F.array_compact(F.array(*tags)))
 
 
-def extract_functions(df: DataFrame) -> DataFrame:
-    """Changed functions: parser-supplied methods, else names from three line shapes of the diff."""
+def extract_functions(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Changed functions: parser-supplied methods, else names from three line shapes of the diff (``limit``: the first ones)."""
     methods = F.filter(F.array_distinct(F.flatten(F.transform(
         F.coalesce(_C("file_changes"), F.array().cast(_schema_of(df, "file_changes"))),
         lambda f: F.coalesce(f["methods"], F.array().cast("array<string>"))))),
@@ -78,7 +78,7 @@ def extract_functions(df: DataFrame) -> DataFrame:
     names = F.flatten(F.transform(_diff_lines(), lambda line: F.array(*[
         F.regexp_extract(F.regexp_extract(line, s, 0), ident, 0) for s in shapes])))
     found = F.array_distinct(F.filter(names, lambda n: n != ""))
-    return df.withColumn("functions", F.slice(F.when(F.size(methods) > 0, methods).otherwise(found), 1, 20))
+    return df.withColumn("functions", upto(F.when(F.size(methods) > 0, methods).otherwise(found), limit))
 
 
 def _schema_of(df: DataFrame, name: str) -> str:
@@ -185,8 +185,13 @@ def analyze_commits(df: DataFrame) -> DataFrame:
     return df
 
 
-def _join(items: Column, n: int, sep: str = ", ") -> Column:
-    return F.array_join(F.slice(items, 1, n), sep)
+def upto(items: Column, n: int | None) -> Column:
+    """The first ``n`` items; all of them without a limit."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def _join(items: Column, n: int | None = None, sep: str = ", ") -> Column:
+    return F.array_join(upto(items, n), sep)
 
 
 def _py_bool(c: Column) -> Column:
@@ -197,8 +202,8 @@ def embedding_text_simple(df: DataFrame) -> DataFrame:
     """Plain labelled text of an analysed commit."""
     lines = [F.concat(F.lit("Title: "), _C("subject")), F.concat(F.lit("Subsystem: "), _C("subsystem")),
              F.concat(F.lit("BugType: "), _C("bug_type")),
-             F.concat(F.lit("Files: "), _join(_C("files_changed"), 10)),
-             F.concat(F.lit("CommitMessage: "), F.substring("body", 1, 2000)),
+             F.concat(F.lit("Files: "), _join(_C("files_changed"))),
+             F.concat(F.lit("CommitMessage: "), _C("body")),
              F.concat(F.lit("FixTags: "), F.array_join("fix_tags", ", ")),
              F.concat(F.lit("LockAdded: "), _py_bool(_C("lock_added"))),
              F.concat(F.lit("RCUFix: "), _py_bool(_C("rcu_fix"))),
@@ -297,17 +302,16 @@ def build_root_cause(df: DataFrame) -> DataFrame:
     return df
 
 
-def key_diff_lines(diff: Column, n: int = 15, words: list[str] = tx.KEY_LINE_WORDS,
+def key_diff_lines(diff: Column, n: int | None = None, words: list[str] = tx.KEY_LINE_WORDS,
                    skip_header: bool = True) -> Column:
-    """The first ``n`` '+' lines holding a fix keyword, stripped, at most 120 characters each."""
+    """The '+' lines holding a fix keyword, stripped (``n``: the first ones)."""
     pattern = "(?i)" + "|".join(sorted({re.escape(w) for w in words}))
 
     def keep(l: Column) -> Column:
         plus = l.startswith("+") & ~l.startswith("+++") if skip_header else l.startswith("+")
         return plus & l.rlike(pattern)
     lines = F.filter(F.split(F.coalesce(diff, F.lit("")), "\n"), keep)
-    return F.array_join(F.transform(F.slice(lines, 1, n), lambda l: F.substring(
-        tf.strip(F.substring(l, F.lit(2), F.length(l))), 1, 120)), "\n")
+    return F.array_join(F.transform(upto(lines, n), lambda l: tf.strip(F.substring(l, F.lit(2), F.length(l)))), "\n")
 
 
 def embedding_text(df: DataFrame) -> DataFrame:
@@ -323,10 +327,10 @@ def embedding_text(df: DataFrame) -> DataFrame:
              F.when(_C("refcount_fix"), F.lit("FixAction: reference count correction applied")),
              F.when(_C("rcu_fix"), F.lit("FixAction: RCU synchronization/protection fix applied")),
              line("CommitTitle: ", _C("subject"), _C("subject") != ""),
-             line("CommitMessage: ", F.substring("body", 1, 500), _C("body") != ""),
-             line("ModifiedFiles: ", _join(_C("files_changed"), 10), F.size("files_changed") > 0),
-             line("Tags: ", _join(_C("fix_tags"), 8), F.size("fix_tags") > 0),
-             line("CVEs: ", _join(_C("cves"), 5), F.size("cves") > 0),
+             line("CommitMessage: ", _C("body"), _C("body") != ""),
+             line("ModifiedFiles: ", _join(_C("files_changed")), F.size("files_changed") > 0),
+             line("Tags: ", _join(_C("fix_tags")), F.size("fix_tags") > 0),
+             line("CVEs: ", _join(_C("cves")), F.size("cves") > 0),
              F.when(_C("severity") >= 8, F.concat(F.lit("Severity: Critical (level "),
                                                   _C("severity").cast("string"), F.lit(")"))),
              line("KeyDiffLines:\n", keys, (diff != "") & (keys != ""))]
@@ -334,10 +338,10 @@ def embedding_text(df: DataFrame) -> DataFrame:
 
 
 def embedding_text_routed(df: DataFrame, use_root_cause: bool = True) -> DataFrame:
-    """Root-cause text, or the simple text with the shorter key-line list appended."""
+    """Root-cause text, or the simple text with its own key lines appended."""
     if use_root_cause:
         return embedding_text(df)
-    keys = key_diff_lines(_C("diff_content"), 20, tx.KEY_LINE_WORDS_SIMPLE, skip_header=False)
+    keys = key_diff_lines(_C("diff_content"), None, tx.KEY_LINE_WORDS_SIMPLE, skip_header=False)
     return embedding_text_simple(df).withColumn("embedding_text", F.concat_ws(
         "\n", "embedding_text", F.when(keys != "", F.concat(F.lit("KeyDiffLines:\n"), keys))))
 
@@ -349,19 +353,23 @@ def to_crash_feature(df: DataFrame) -> DataFrame:
         "commit_hash", empty.alias("call_trace"), F.coalesce(tf.non_empty(_C("subsystem")), F.lit("unknown")).alias("subsystem"),
         F.coalesce(tf.non_empty(_C("bug_type")), F.lit("unknown")).alias("bug_type"), F.lit("").alias("kernel_version"),
         empty.alias("modules"),
-        F.when(F.coalesce(_C("body"), F.lit("")) != "", F.concat_ws("\n", "subject", F.substring("body", 1, 500)))
+        F.when(F.coalesce(_C("body"), F.lit("")) != "", F.concat_ws("\n", "subject", "body"))
         .otherwise(_C("subject")).alias("panic_msg"), F.lit("").alias("rip_function"))
 
 
-def diff_preview(df: DataFrame) -> DataFrame:
-    """Readable preview assembled from index metadata (raw diffs are not stored)."""
+def diff_preview(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Readable preview assembled from index metadata (raw diffs are not stored).
+
+    ``limit``: the first files, functions and tags, with the number of the others.
+    """
     n_fc = F.coalesce(F.size("file_changes"), F.lit(-1))
-    from_changes = F.transform(F.slice("file_changes", 1, 3), lambda f: F.concat(
+    from_changes = F.transform(upto(_C("file_changes"), limit), lambda f: F.concat(
         F.lit("  "), f["filename"], F.lit(" (+"), f["added_lines"].cast("string"), F.lit("/-"),
         f["deleted_lines"].cast("string"), F.lit(")")))
-    more = F.when(n_fc > 3, F.concat(F.lit("  ... and "), (n_fc - 3).cast("string"), F.lit(" more files")))
+    more = F.lit(None).cast("string") if limit is None else F.when(
+        n_fc > limit, F.concat(F.lit("  ... and "), (n_fc - limit).cast("string"), F.lit(" more files")))
     files = F.when(n_fc > 0, F.concat_ws("\n", F.array_join(from_changes, "\n"), more)).otherwise(
-        tf.non_empty(F.array_join(F.transform(F.slice("files_changed", 1, 3), lambda f: F.concat(F.lit("  "), f)), "\n")))
+        tf.non_empty(F.array_join(F.transform(upto(_C("files_changed"), limit), lambda f: F.concat(F.lit("  "), f)), "\n")))
     n_fn = F.size("functions")
     feats = F.array_compact(F.array(*[F.when(_C(c), F.lit(c)) for c in ("lock_added", "refcount_fix", "rcu_fix")]))
     kv = tf.non_empty(F.coalesce(_C("kernel_version"), F.lit("")))
@@ -370,12 +378,12 @@ def diff_preview(df: DataFrame) -> DataFrame:
         F.lit("+"), ins.cast("string"), F.lit("/-"), dele.cast("string"))))
     text = F.concat_ws(
         "\n", F.concat(F.lit("Modified files:\n"), files),
-        F.when(n_fn > 0, F.concat(F.lit("Functions: "), _join(_C("functions"), 8), F.when(n_fn > 8, F.concat(
-            F.lit(" ... (+"), (n_fn - 8).cast("string"), F.lit(" more)"))).otherwise(F.lit("")))),
-        F.when(F.size("fix_tags") > 0, F.concat(F.lit("Tags: "), _join(_C("fix_tags"), 5))),
+        F.when(n_fn > 0, F.concat(F.lit("Functions: "), _join(_C("functions"), limit), F.lit("") if limit is None else F.when(
+            n_fn > limit, F.concat(F.lit(" ... (+"), (n_fn - limit).cast("string"), F.lit(" more)"))).otherwise(F.lit("")))),
+        F.when(F.size("fix_tags") > 0, F.concat(F.lit("Tags: "), _join(_C("fix_tags"), limit))),
         F.when(F.size(feats) > 0, F.concat(F.lit("Fix features: "), F.array_join(feats, ", "))),
         tf.non_empty(info),
-        F.when(F.coalesce(_C("body"), F.lit("")) != "", F.concat(F.lit("\nCommit message:\n"), F.substring("body", 1, 300))))
+        F.when(F.coalesce(_C("body"), F.lit("")) != "", F.concat(F.lit("\nCommit message:\n"), _C("body"))))
     return df.withColumn("diff_preview", F.when(text != "", text).otherwise(
         F.lit("(diff not available - raw diff not stored in index)")))
 

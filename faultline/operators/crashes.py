@@ -165,15 +165,14 @@ def parse_model_answer(df: DataFrame, answer: str = "answer") -> DataFrame:
         one_of("subsystem", cr.VALID_SUBSYSTEMS, "unknown").alias("subsystem"),
         one_of("bug_type", cr.VALID_BUG_TYPES, "unknown").alias("bug_type"),
         one_of("severity", cr.VALID_SEVERITIES, "medium").alias("severity"),
-        F.substring(F.coalesce(a["root_cause_hypothesis"], F.lit("")), 1, 500).alias("root_cause_hypothesis"),
-        F.substring(F.coalesce(a["trigger_function"], F.lit("")), 1, 200).alias("trigger_function"),
+        F.coalesce(a["root_cause_hypothesis"], F.lit("")).alias("root_cause_hypothesis"),
+        F.coalesce(a["trigger_function"], F.lit("")).alias("trigger_function"),
         nf.clamp01(F.coalesce(a["confidence"], F.lit(0.5))).alias("confidence"),
-        F.slice(F.coalesce(a["keywords"], _empty()), 1, 10).alias("keywords"),
-        F.slice(F.filter(F.coalesce(a["fix_type_hints"], _empty()), lambda h: h.isin(cr.VALID_FIX_HINTS)), 1, 5)
-        .alias("fix_type_hints"))
+        F.coalesce(a["keywords"], _empty()).alias("keywords"),
+        F.filter(F.coalesce(a["fix_type_hints"], _empty()), lambda h: h.isin(cr.VALID_FIX_HINTS)).alias("fix_type_hints"))
     bad = F.struct(
         F.lit("unknown").alias("subsystem"), F.lit("unknown").alias("bug_type"), F.lit("low").alias("severity"),
-        F.concat(F.lit("Failed to parse LLM response: "), F.substring(raw, 1, 200)).alias("root_cause_hypothesis"),
+        F.concat(F.lit("Failed to parse LLM response: "), raw).alias("root_cause_hypothesis"),
         F.lit("").alias("trigger_function"), F.lit(0.1).alias("confidence"), _empty().alias("keywords"),
         _empty().alias("fix_type_hints"))
     return df.withColumn("analysis", F.when(a.isNotNull(), good).otherwise(bad)).drop("_a")
@@ -233,7 +232,7 @@ def match_rules(df: DataFrame, rules: list = cr.EXPERT_RULES) -> DataFrame:
     scored = []
     for i, (rid, _, _, _, keywords, patterns, _, _) in enumerate(rules):
         spanning = [k for k in keywords if "\n" in k]
-        levels = [(0.95, "panic_pattern", [(p[:50], f"panic_msg RLIKE {sq.lit('(?i)' + p)}") for p in patterns]),
+        levels = [(0.95, "panic_pattern", [(p, f"panic_msg RLIKE {sq.lit('(?i)' + p)}") for p in patterns]),
                   (0.85, "panic_keyword", [(k, f"contains(_p, {sq.lit(k.lower())})") for k in keywords]),
                   (0.70, "trace_keyword", [(k, f"contains(_t, {sq.lit(k.lower())})") for k in keywords]),
                   (0.60, "combined_keyword", [(k, f"contains(concat(_p, '\n', _t), {sq.lit(k.lower())})") for k in spanning])]
@@ -297,9 +296,7 @@ def infer_fixes(df: DataFrame, bug_type: str = "bug_type") -> DataFrame:
 def retrieval_query(df: DataFrame) -> DataFrame:
     """Labelled query text of a diagnosed crash (mirrors the commit embedding text)."""
     known = lambda c: F.when(F.coalesce(_C(c), F.lit("unknown")).isin("unknown", "") == F.lit(False), _C(c))
-    key = F.slice(F.array_distinct(F.concat(
-        F.slice(trace_function_names(_C("call_trace")), 1, 5), F.slice("lock_functions", 1, 3),
-        F.slice("memory_functions", 1, 3), F.slice("rcu_functions", 1, 3))), 1, 8)
+    key = F.array_distinct(F.concat(trace_function_names(_C("call_trace")), "lock_functions", "memory_functions", "rcu_functions"))
     fixes = F.array_compact(F.array(*[F.when(_C(f"needs_{k}"), F.lit(s)) for k, s in cr.FIX_SENTENCES]))
     parts = [F.concat(F.lit("RootCause: "), _C("root_cause")),
              F.concat(F.lit("BugType: "), F.translate(known("cause_bug_type"), "_", " ")),
@@ -310,7 +307,7 @@ def retrieval_query(df: DataFrame) -> DataFrame:
              F.concat(F.lit("CrashFunction: "), tf.non_empty(_C("rip_function"))),
              F.when(F.size(fixes) > 0, F.concat(F.lit("FixPattern: commit that "), F.array_join(fixes, "; "))),
              F.when(F.size("causal_chain") > 0, F.concat(
-                 F.lit("CausalChain: "), F.array_join(F.slice("causal_chain", 1, 5), " -> ")))]
+                 F.lit("CausalChain: "), F.array_join("causal_chain", " -> ")))]
     return df.withColumn("retrieval_query", F.concat_ws("\n", *parts))
 
 
@@ -337,7 +334,7 @@ def analyze_root_cause(df: DataFrame) -> DataFrame:
                          tf.lookup(_C("rule_id"), sev))}))
 
     def in_trace(label: str, col: str) -> Column:
-        return F.when(F.size(col) > 0, F.concat(F.lit(label), F.array_join(F.slice(col, 1, 5), ", ")))
+        return F.when(F.size(col) > 0, F.concat(F.lit(label), F.array_join(col, ", ")))
 
     def score_of(key: Column, table: dict) -> Column:
         return F.try_element_at(F.expr(sq.map_of({k: float(v[2]) for k, v in table.items()})), key)
@@ -392,7 +389,7 @@ def analyze_root_cause(df: DataFrame) -> DataFrame:
                       F.concat(F.lit("Affected Subsystem: "), _C("subsystem")))
     tail = F.array_compact(F.array(
         affected, F.concat(F.lit("Kernel Version: "), tf.non_empty(_C("kernel_version"))),
-        F.when(F.size("modules") > 0, F.concat(F.lit("Loaded Modules: "), F.array_join(F.slice("modules", 1, 10), ", ")))))
+        F.when(F.size("modules") > 0, F.concat(F.lit("Loaded Modules: "), F.array_join("modules", ", ")))))
     df = df.withColumns({
         "root_cause": _C("_final.name"), "cause_bug_type": _C("_final.bug"), "reason": _C("_final.reason"),
         # a knowledge hit confirms an already found cause
@@ -416,7 +413,7 @@ def root_cause_evidence(df: DataFrame) -> DataFrame:
         "panic_keyword": label, "fault_address": tf.extract(msg, cr.FAULT_ADDRESS_PATTERN),
         "error_code": tf.extract(msg, cr.ERROR_CODE_PATTERN, 0),
         "matched_rule_name": tf.lookup(_C("rule_id"), {r[0]: r[1] for r in cr.EXPERT_RULES}),
-        "trace_functions": F.slice("call_trace", 1, 5)})
+        "trace_functions": _C("call_trace")})
 
 
 def possible_causes(bug_type: Column, subsystem: Column, trace: Column) -> Column:
@@ -424,7 +421,7 @@ def possible_causes(bug_type: Column, subsystem: Column, trace: Column) -> Colum
     base = F.coalesce(F.try_element_at(table, tf.normalize_bug_type(bug_type)),
                       F.array(*[F.lit(c) for c in cr.POSSIBLE_CAUSES_DEFAULT]))
     context = F.array_compact(F.array(tf.lookup(subsystem, cr.SUBSYSTEM_CONTEXTS)))
-    names = F.array_join(F.transform(F.slice(trace, 1, 3), lambda f: F.substring_index(f, "+", 1)), ", ")
+    names = F.array_join(F.transform(trace, lambda f: F.substring_index(f, "+", 1)), ", ")
     head, tail = cr.CAUSE_TRACE_FORMAT.split("{funcs}")
     via = F.when(F.size(trace) > 0, F.array(F.concat(F.lit(head), names, F.lit(tail)))).otherwise(_empty())
     return F.concat(context, base, via)

@@ -10,8 +10,12 @@ from . import crashes
 _C = F.col
 
 
-def patch_explanations(df: DataFrame, top: int = 5) -> DataFrame:
-    """Fix target, fix method, affected folders and match reasons of each query's top patches.
+def first_ranks(df: DataFrame, top: int | None) -> DataFrame:
+    return df if top is None else df.where(_C("rank") <= top)
+
+
+def patch_explanations(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Fix target, fix method, affected folders and match reasons of each query's patches (``top``: the first ones).
 
     Reads rank, subject, subsystem, bug_type, functions, files_changed, fix_tags, evidence flags,
     crash_subsystem, crash_bug_type and crash_trace.
@@ -35,12 +39,12 @@ def patch_explanations(df: DataFrame, top: int = 5) -> DataFrame:
     reasons = F.array_compact(F.array(
         F.when((_C("subsystem") != "unknown") & (_C("subsystem") == _C("crash_subsystem")), F.lit("same subsystem")),
         F.when((_C("bug_type") != "unknown") & (_C("bug_type") == _C("crash_bug_type")), F.lit("same bug")),
-        F.when(F.size(shared) > 0, F.concat(F.lit("same path: "), F.array_join(F.slice(shared, 1, 3), ", "))),
+        F.when(F.size(shared) > 0, F.concat(F.lit("same path: "), F.array_join(shared, ", "))),
         F.when(F.exists("fix_tags", lambda t: F.contains(F.lower(t), F.lit("stable"))), F.lit("Cc: stable"))))
     unknown = lambda c: F.when(c != "", c).otherwise(F.lit("unknown"))
-    return df.where(_C("rank") <= top).withColumns({
+    return first_ranks(df, top).withColumns({
         "fix_target": target, "fix_method": unknown(method),
-        "affected_path": unknown(F.array_join(F.slice(folders, 1, 3), ", ")), "reasons": reasons})
+        "affected_path": unknown(F.array_join(folders, ", ")), "reasons": reasons})
 
 
 def patch_comparison(df: DataFrame, top: int = 5) -> DataFrame:
@@ -56,17 +60,17 @@ def patch_comparison(df: DataFrame, top: int = 5) -> DataFrame:
         F.max(F.when(_C("rank") == r, _C("value"))).alias(f"top{r}") for r in range(1, top + 1)])
 
 
-def evidence_summary(df: DataFrame, top: int = 3) -> DataFrame:
-    """Per query, the crash/patch/common lines of the first three patches (bounded group)."""
+def evidence_summary(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Per query, the crash/patch/common lines of its patches, which are at most the k of the search."""
     funcs = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "crash_trace", lambda f: F.regexp_extract_all(f, F.lit(r"(\w+)\+0x[0-9a-f]+"), 1)))))
-    crash = F.when(F.size(funcs) > 0, F.array_join(F.slice(funcs, 1, 3), ", ")).otherwise(F.lit("unknown"))
-    patch = F.coalesce(tf.non_empty(_C("fix_target")), tf.non_empty(F.array_join(F.slice("functions", 1, 2), ", ")),
+    crash = F.when(F.size(funcs) > 0, F.array_join(funcs, ", ")).otherwise(F.lit("unknown"))
+    patch = F.coalesce(tf.non_empty(_C("fix_target")), tf.non_empty(F.array_join("functions", ", ")),
                        F.lit("unknown"))
     common = F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise(F.lit("N/A"))
     block = F.concat(F.lit("Evidence "), _C("rank").cast("string"), F.lit(":\n  Crash:  "), crash,
                      F.lit("\n  Patch:  "), patch, F.lit("\n  共同:   "), common, F.lit("\n"))
-    rows = df.where(_C("rank") <= top).select("query_id", F.struct("rank", block.alias("text")).alias("b"))
+    rows = first_ranks(df, top).select("query_id", F.struct("rank", block.alias("text")).alias("b"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list("b")), lambda b: b["text"]), "\n").alias("evidence_summary"))
 
@@ -87,16 +91,16 @@ def report_scores(df: DataFrame) -> DataFrame:
         "rep_rerank": F.round(F.least(_C("reranker_score") / top_r, F.lit(1.0)), 2)})
 
 
-def _patch_rows(n: int = 10) -> Column:
-    return F.transform(F.slice("patches", 1, n), lambda p: F.concat(
-        F.lit("| "), p["rank"].cast("string"), F.lit(" | `"), F.substring(p["commit_hash"], 1, 10), F.lit("` | "),
+def _patch_rows() -> Column:
+    return F.transform("patches", lambda p: F.concat(
+        F.lit("| "), p["rank"].cast("string"), F.lit(" | `"), p["commit_hash"], F.lit("` | "),
         p["subsystem"], F.lit(" | "), p["bug_type"], F.lit(" | "), F.format_number(p["final_score"], 3), F.lit(" | "),
-        F.substring(p["subject"], 1, 80), F.lit(" |")))
+        p["subject"], F.lit(" |")))
 
 
-def reports(crash_df: DataFrame, ranked: DataFrame, key: str = "query_id", top: int = 10) -> DataFrame:
-    """Diagnosis report per crash: report columns, JSON and Markdown.  At most ``top`` patches each."""
-    patches = ranked.where(_C("rank") <= top).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+def reports(crash_df: DataFrame, ranked: DataFrame, key: str = "query_id", top: int | None = None) -> DataFrame:
+    """Diagnosis report per crash: report columns, JSON and Markdown (``top``: the first patches only)."""
+    patches = first_ranks(ranked, top).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         "rank", "commit_hash", "subject", "subsystem", "bug_type", "final_score"))).alias("patches"))
     none = F.array().cast("array<struct<rank:int,commit_hash:string,subject:string,subsystem:string,bug_type:string,final_score:double>>")
     df = crash_df.join(patches, key, "left").withColumn("patches", F.coalesce("patches", none))
@@ -104,7 +108,7 @@ def reports(crash_df: DataFrame, ranked: DataFrame, key: str = "query_id", top:
     chain = F.transform("causal_chain", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c))
     table = F.when(F.size("patches") > 0, F.concat(
         F.lit("| # | Commit | Subsystem | Bug Type | Score | Subject |\n|---|--------|-----------|----------|-------|---------|\n"),
-        F.array_join(_patch_rows(top), "\n"))).otherwise(F.lit("*(No matching patches found)*"))
+        F.array_join(_patch_rows(), "\n"))).otherwise(F.lit("*(No matching patches found)*"))
     md = F.concat_ws("\n", F.lit("# Kernel Crash Report"), F.concat(F.lit("**Panic Type**: "), _C("panic_class")),
                      F.concat(F.lit("**Severity**: "), _C("severity")), F.concat(F.lit("**Subsystem**: "), _C("subsystem")),
                      F.concat(F.lit("**Root Cause**: "), _C("root_cause")), F.array_join(chain, "\n"), table)

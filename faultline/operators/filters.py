@@ -168,7 +168,7 @@ def scalar_filter(subsystem: str | None = None, bug_type: str | None = None, dat
     """Pre-filter for recall: plain comparisons only, so the scan can push them down."""
     conds = []
     if subsystem and subsystem != "unknown":
-        names = ([subsystem] + kn.FILTER_RELATED.get(subsystem, [subsystem]))[:5]
+        names = [subsystem] + kn.FILTER_RELATED.get(subsystem, [])
         conds.append(_C("subsystem").isin(names))
     if bug_type and bug_type != "unknown":
         conds.append(_C("bug_type") == bug_type)
@@ -188,7 +188,7 @@ def scalar_filter_text(subsystem=None, bug_type=None, date_from=None, date_to=No
     """The same pre-filter in the textual expression syntax of vector stores."""
     parts = []
     if subsystem and subsystem != "unknown":
-        names = ([subsystem] + kn.FILTER_RELATED.get(subsystem, [subsystem]))[:5]
+        names = [subsystem] + kn.FILTER_RELATED.get(subsystem, [])
         parts.append("(" + " || ".join(f'subsystem=="{s}"' for s in names) + ")")
     if bug_type and bug_type != "unknown":
         parts.append(f'bug_type=="{bug_type}"')

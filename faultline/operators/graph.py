@@ -161,13 +161,13 @@ def deadlock_patterns(text: Column) -> Column:
 
 
 def lock_usage(df: DataFrame, trace: str = "call_trace") -> DataFrame:
-    """Lock acquisitions/releases (first 10, frame-major), lock types (sorted) and lock issues."""
+    """Lock acquisitions/releases (frame-major), lock types (sorted) and lock issues."""
     acquire = [(a, t) for t, apis in kn.LOCK_APIS for a in apis if "lock" in a and "unlock" not in a]
     release = [(a, t) for t, apis in kn.LOCK_APIS for a in apis if "unlock" in a or ("up_" in a and "lock" not in a)]
 
     def per_frame(pairs) -> Column:
         hits = sq.kept([(f"contains(lower(f), {sq.lit(a)})", sq.lit(a)) for a, _ in pairs])
-        return F.expr(f"slice(flatten(transform({trace}, f -> {hits})), 1, 10)")
+        return F.expr(f"flatten(transform({trace}, f -> {hits}))")
     pairs = acquire + release
     types = F.expr(sq.kept([(sq.any_contains("_text", [a for a, k in pairs if k == t]), sq.lit(t))
                             for t in sorted(t for t, _ in kn.LOCK_APIS)]))
@@ -186,11 +186,11 @@ def lock_usage(df: DataFrame, trace: str = "call_trace") -> DataFrame:
 
 def subsystem_context(s: Column) -> Column:
     """Text context of a subsystem for a prompt."""
-    def joined(i: int, n: int) -> Column:
-        return tf.lookup(s, {r[0]: ", ".join(r[i][:n]) for r in kn.SUBSYSTEMS})
+    def joined(i: int) -> Column:
+        return tf.lookup(s, {r[0]: ", ".join(r[i]) for r in kn.SUBSYSTEMS})
     others = F.array_join(F.filter(related_subsystems(s), lambda r: r != s), ", ")
     body = F.concat(F.lit("## Subsystem: "), subsystem_title(s), F.lit(" ("), s, F.lit(")\n\n**Key Functions**: "),
-                    joined(3, 8), F.lit("\n**Common Bug Types**: "), joined(4, 99),
+                    joined(3), F.lit("\n**Common Bug Types**: "), joined(4),
                     F.lit("\n\n**Related Subsystems**: "), others)
     return F.coalesce(body, F.concat(F.lit("Subsystem '"), s, F.lit("' not found.")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import commits as co, vectors as ve
 
@@ -24,12 +24,13 @@ def index_rows(commits: DataFrame, dim: int = 512, encoder=None) -> DataFrame:
     return df.withColumns({c: F.coalesce(_C(c), F.lit("unknown")) for c in ("subsystem", "bug_type")}).select(*INDEX_COLUMNS)
 
 
-def store_row(df: DataFrame) -> DataFrame:
-    """Width-limited row of a vector collection: capped strings, joined lists."""
-    cap = lambda c, n: F.substring(F.coalesce(_C(c).cast("string"), F.lit("")), 1, n).alias(c)
-    lst = lambda c, k, n: F.substring(F.array_join(F.slice(c, 1, k), ", "), 1, n).alias(c)
-    return df.select(cap("commit_hash", 64), cap("subject", 512), cap("subsystem", 64), cap("bug_type", 64),
-                     cap("author", 128), cap("date", 32), lst("files_changed", 20, 2048), lst("fix_tags", 10, 512),
+def store_row(df: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
+    """Row of a vector collection: plain strings, joined lists.  ``widths``: characters that a store's column holds."""
+    def fitted(c: str, text: Column) -> Column:
+        n = (widths or {}).get(c)
+        return (text if n is None else F.substring(text, 1, n)).alias(c)
+    return df.select(*[fitted(c, F.coalesce(_C(c).cast("string"), F.lit(""))) for c in ("commit_hash", "subject", "subsystem", "bug_type", "author", "date")],
+                     *[fitted(c, F.array_join(c, ", ")) for c in ("files_changed", "fix_tags")],
                      F.coalesce(_C("score"), F.lit(0.0)).cast("float").alias("score"))
 
 

@@ -26,7 +26,7 @@ def batch_relative(score: Column, query: str = "query_id") -> Column:
 
 def document_text() -> Column:
     tags = F.array_join(F.coalesce(_C("fix_tags"), F.array().cast("array<string>")), "', '")
-    base = F.concat(F.lit("["), _C("subsystem"), F.lit("] ["), _C("bug_type"), F.lit("] "), F.substring("subject", 1, 200))
+    base = F.concat(F.lit("["), _C("subsystem"), F.lit("] ["), _C("bug_type"), F.lit("] "), _C("subject"))
     return F.when(tags != "", F.concat(base, F.lit(" Fixes: ['"), tags, F.lit("']"))).otherwise(base)
 
 
@@ -69,7 +69,7 @@ def parse_judge(df: DataFrame, answer: str = "answer", n: Column | int = 50) ->
             .withColumn("judge_score", F.when(_C("_hit").isNotNull(), F.coalesce(_C("_hit.score"), F.lit(0.5))).otherwise(0.5))
             .withColumn("judge_reason", F.when(_C("_items").isNull(), F.lit("Parse failed"))
                         .when(_C("_hit").isNull(), F.lit("Not found in response"))
-                        .otherwise(F.substring(F.coalesce(_C("_hit.reason"), F.lit("")), 1, 200))).drop("_items", "_hit"))
+                        .otherwise(F.coalesce(_C("_hit.reason"), F.lit("")))).drop("_items", "_hit"))
 
 
 # --- seven display dimensions -------------------------------------------------------------------

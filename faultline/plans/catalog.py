@@ -402,7 +402,7 @@ def _(spark, sf):
     return cx.apply_model_answer(d).select(
         "conv_id", "turn", _C("analysis.subsystem").alias("said_subsystem"), _C("analysis.bug_type").alias("said_bug"),
         _C("analysis.severity").alias("severity"), _C("analysis.confidence").alias("confidence"), "subsystem", "bug_type",
-        F.when(_C("analysis.confidence") != 0.1, _C("analysis.root_cause_hypothesis")).alias("hypothesis"))
+        _C("analysis.root_cause_hypothesis").alias("hypothesis"))
 
 
 @query("x7_structured_output")
@@ -414,13 +414,13 @@ def _(spark, sf):
 
 @query("d26_hybrid")
 def _(spark, sf):
-    """Crash n meets the model answer of conversation n, turn 0; crashes without one keep the rules."""
-    a = cx.parse_model_answer(vw.answers(spark, sf).where("turn = 0")).select(_C("conv_id").alias("crash_id"), F.struct(
-        F.substring("analysis.root_cause_hypothesis", 1, 80).alias("root_cause"), _C("analysis.bug_type").alias("bug_type"),
+    """Crash n meets the model answer of every turn of conversation n; crashes without one keep the rules."""
+    a = cx.parse_model_answer(vw.answers(spark, sf)).select(_C("conv_id").alias("crash_id"), "turn", F.struct(
+        _C("analysis.root_cause_hypothesis").alias("root_cause"), _C("analysis.bug_type").alias("bug_type"),
         _C("analysis.confidence").alias("score"), F.lit("model says so").alias("reason"),
         F.array(F.lit("step one"), F.lit("step two")).alias("causal_chain"), F.lit("").alias("retrieval_query")).alias("llm"))
     d = diagnosed(spark, sf).join(a, "crash_id", "left")
-    return cx.hybrid_root_cause(d).select("crash_id", "analysis_source", "root_cause", "bug_type", F.round("score", 4).alias("score"),
+    return cx.hybrid_root_cause(d).select("crash_id", "turn", "analysis_source", "root_cause", "bug_type", F.round("score", 4).alias("score"),
                                           joined("causal_chain").alias("chain"))
 
 
@@ -643,7 +643,7 @@ def _(spark, sf):
 @query("x2_comparison")
 def _(spark, sf):
     d = ex.patch_comparison(ex.patch_explanations(ranked(spark, sf)))
-    return d.where("ord in (0, 1, 4, 5, 6)").select("query_id", big("ord").alias("ord"), "dimension", "top1", "top2", "top3", "top4", "top5")
+    return d.select("query_id", big("ord").alias("ord"), "dimension", "top1", "top2", "top3", "top4", "top5")
 
 
 @query("x5_reports")

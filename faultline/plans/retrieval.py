@@ -21,13 +21,13 @@ def recall(queries: DataFrame, index: DataFrame, k: int = 100, condition: Column
         "score", _C("recall_score")).withColumn("pos", _C("rank")).drop("rank", "recall_score")
 
 
-def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int = 100, rerank_k: int = 50,
+def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int = 100, rerank_k: int | None = None,
              condition: Column | None = None, scorer=None, judge: str | None = None, cosine: bool = True) -> DataFrame:
     """Ranked candidates of a batch of queries.
 
     ``queries``: query_id, vec, query_text, target_subsystem, target_bug_type, target_version.
-    Fast mode orders by the boosted score and reports the raw one; standard reranks the first
-    ``rerank_k`` filtered candidates; deep also uses the ``judge`` score column of the queries.
+    Fast mode orders by the boosted score and reports the raw one; standard reranks the filtered
+    candidates (``rerank_k``: the first ones only); deep also uses the ``judge`` score column of the queries.
     """
     targets = queries.drop("vec")
     found = recall(queries.select("query_id", "vec"), index, k, condition, cosine).join(targets, "query_id")
@@ -36,7 +36,7 @@ def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int
     kept = kept.withColumn("order_no", F.row_number().over(order))
     if mode == FAST:
         return kept.withColumns({"rank": _C("order_no"), "vector_score": _C("score"), "final_score": _C("score")})
-    return rk.rerank(kept.where(_C("order_no") <= rerank_k), scorer=scorer,
+    return rk.rerank(kept if rerank_k is None else kept.where(_C("order_no") <= rerank_k), scorer=scorer,
                      judge=judge if mode == DEEP else None)
 
 

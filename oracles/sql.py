@@ -90,9 +90,9 @@ _shapes = [rf"^{_id}\s+\*?{_id}\s*\([^)]*\)", rf"^{_id}\s*\([^)]*\)\s*\{{", rf"^
 cte("dl", "commits", """SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM
     (SELECT doc_id, string_split(diff, chr(10)) AS ls FROM commits WHERE diff IS NOT NULL)""")
 cte("p3", "commits dl", f"""SELECT c.doc_id, CASE WHEN len(files_changed) > 0 AND len(methods) > 0 THEN a.fs ELSE b.fs END AS functions
-    FROM commits c LEFT JOIN (SELECT doc_id, list(f ORDER BY i)[1:20] AS fs FROM (SELECT doc_id, f, min(i) AS i FROM
+    FROM commits c LEFT JOIN (SELECT doc_id, list(f ORDER BY i) AS fs FROM (SELECT doc_id, f, min(i) AS i FROM
       (SELECT doc_id, unnest(methods) AS f, generate_subscripts(methods, 1) AS i FROM commits) GROUP BY doc_id, f) GROUP BY doc_id) a USING (doc_id)
-    LEFT JOIN (SELECT doc_id, list(f ORDER BY i)[1:20] AS fs FROM (SELECT doc_id, f, min(i) AS i FROM (
+    LEFT JOIN (SELECT doc_id, list(f ORDER BY i) AS fs FROM (SELECT doc_id, f, min(i) AS i FROM (
       {" UNION ALL ".join(f"SELECT doc_id, regexp_extract(regexp_extract(l, {Q(s)}), '{_id}') AS f, i * 3 + {n} AS i FROM dl" for n, s in enumerate(_shapes))})
       WHERE f <> '' GROUP BY doc_id, f) GROUP BY doc_id) b USING (doc_id)""")
 oracle("p3_functions", "p3", "SELECT doc_id, coalesce(array_to_string(functions, '|'), '') AS functions FROM p3")
@@ -168,18 +168,18 @@ _kw20 = "|".join(sorted({__import__('re').escape(w) for w in tx.KEY_LINE_WORDS_S
 _kw15 = "|".join(sorted({__import__('re').escape(w) for w in tx.KEY_LINE_WORDS}))
 
 
-def keylines(n, kw, header):
+def keylines(kw, header):
     plus = "starts_with(l, '+')" + (" AND NOT starts_with(l, '+++')" if header else "")
-    return f"""SELECT doc_id, string_agg(substr({strip('substr(l, 2)')}, 1, 120), chr(10) ORDER BY i) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r
-      FROM dl WHERE {plus} AND regexp_matches(l, {v('(?i)' + kw.replace(chr(92) + ' ', ' '))})) WHERE r <= {n} GROUP BY doc_id"""
+    return f"""SELECT doc_id, string_agg({strip('substr(l, 2)')}, chr(10) ORDER BY i) AS k
+      FROM dl WHERE {plus} AND regexp_matches(l, {v('(?i)' + kw.replace(chr(92) + ' ', ' '))}) GROUP BY doc_id"""
 
 
-cte("kl15", "dl", keylines(15, _kw15, True))
-cte("kl20", "dl", keylines(20, _kw20, False))
+cte("kl15", "dl", keylines(_kw15, True))
+cte("kl20", "dl", keylines(_kw20, False))
 oracle("p25_key_lines", "commits kl15", "SELECT doc_id, coalesce(k, '') AS key_lines FROM commits LEFT JOIN kl15 USING (doc_id)")
 _tf = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
 oracle("p18_simple_text", "an kl20", f"""SELECT doc_id, concat('Title: ', subject, chr(10), 'Subsystem: ', subsystem, chr(10), 'BugType: ', bug_type, chr(10), 'Files: ',
-    array_to_string(files_changed[1:10], ', '), chr(10), 'CommitMessage: ', substr(body, 1, 2000), chr(10), 'FixTags: ', array_to_string(fix_tags, ', '), chr(10),
+    array_to_string(files_changed, ', '), chr(10), 'CommitMessage: ', body, chr(10), 'FixTags: ', array_to_string(fix_tags, ', '), chr(10),
     'LockAdded: ', {_tf('lock_added')}, chr(10), 'RCUFix: ', {_tf('rcu_fix')}, chr(10), 'RefcountFix: ', {_tf('refcount_fix')},
     CASE WHEN k IS NOT NULL THEN concat(chr(10), 'KeyDiffLines:', chr(10), k) ELSE '' END) AS embedding_text FROM an LEFT JOIN kl20 USING (doc_id)""")
 
@@ -210,18 +210,18 @@ oracle("p22_message_fallback", "msg fbw", """SELECT doc_id, coalesce(b, 'unknown
 cte("etext", "caused kl15", """SELECT doc_id, concat_ws(chr(10), concat('BugType: ', bug_type), concat('Subsystem: ', subsystem), concat('RootCause: ', root_cause),
     CASE WHEN fix_pattern <> '' THEN concat('FixPattern: ', fix_pattern) END, CASE WHEN lock_added THEN 'FixAction: lock synchronization added' END,
     CASE WHEN refcount_fix THEN 'FixAction: reference count correction applied' END, CASE WHEN rcu_fix THEN 'FixAction: RCU synchronization/protection fix applied' END,
-    concat('CommitTitle: ', subject), concat('CommitMessage: ', substr(body, 1, 500)), CASE WHEN len(files_changed) > 0 THEN concat('ModifiedFiles: ', array_to_string(files_changed[1:10], ', ')) END,
-    CASE WHEN len(fix_tags) > 0 THEN concat('Tags: ', array_to_string(fix_tags[1:8], ', ')) END, CASE WHEN len(cves) > 0 THEN concat('CVEs: ', array_to_string(cves[1:5], ', ')) END,
+    concat('CommitTitle: ', subject), concat('CommitMessage: ', body), CASE WHEN len(files_changed) > 0 THEN concat('ModifiedFiles: ', array_to_string(files_changed, ', ')) END,
+    CASE WHEN len(fix_tags) > 0 THEN concat('Tags: ', array_to_string(fix_tags, ', ')) END, CASE WHEN len(cves) > 0 THEN concat('CVEs: ', array_to_string(cves, ', ')) END,
     CASE WHEN severity >= 8 THEN concat('Severity: Critical (level ', severity, ')') END, CASE WHEN k <> '' THEN concat('KeyDiffLines:', chr(10), k) END) AS embedding_text
     FROM caused LEFT JOIN kl15 USING (doc_id)""")
 oracle("p24_embedding_text", "etext", "SELECT doc_id, embedding_text FROM etext")
-oracle("p27_crash_feature", "an", """SELECT subsystem, bug_type, count(*) AS n, sum(length(subject) + 1 + least(length(body), 500))::BIGINT AS chars FROM an
+oracle("p27_crash_feature", "an", """SELECT subsystem, bug_type, count(*) AS n, sum(length(subject) + 1 + length(body))::BIGINT AS chars FROM an
     WHERE commit_hash <> '' GROUP BY subsystem, bug_type""")
 oracle("p29_diff_preview", "an", f"""SELECT doc_id, concat_ws(chr(10), CASE WHEN len(files_changed) > 0 THEN concat('Modified files:', chr(10), '  ', files_changed[1], ' (+', insertions, '/-', deletions, ')') END,
-    CASE WHEN len(functions) > 0 THEN concat('Functions: ', array_to_string(functions[1:8], ', ')) END, CASE WHEN len(fix_tags) > 0 THEN concat('Tags: ', array_to_string(fix_tags[1:5], ', ')) END,
+    CASE WHEN len(functions) > 0 THEN concat('Functions: ', array_to_string(functions, ', ')) END, CASE WHEN len(fix_tags) > 0 THEN concat('Tags: ', array_to_string(fix_tags, ', ')) END,
     nullif(concat('Fix features: ', concat_ws(', ', CASE WHEN lock_added THEN 'lock_added' END, CASE WHEN refcount_fix THEN 'refcount_fix' END, CASE WHEN rcu_fix THEN 'rcu_fix' END)), 'Fix features: '),
     nullif(concat_ws(' | ', 'v' || kver, CASE WHEN insertions <> 0 OR deletions <> 0 THEN concat('+', insertions, '/-', deletions) END), ''),
-    concat(chr(10), 'Commit message:', chr(10), substr(body, 1, 300))) AS diff_preview FROM an""")
+    concat(chr(10), 'Commit message:', chr(10), body)) AS diff_preview FROM an""")
 oracle("p30_json_round_trip", "an", "SELECT doc_id, commit_hash, subject, array_to_string(fix_tags, '|') AS fix_tags, score FROM an")
 
 cte("odays", "", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN '2023-13-45' ELSE (o_orderdate::DATE + 8000)::VARCHAR END AS day FROM orders")
@@ -303,7 +303,7 @@ cte("d15", "d11 tsub", f"""SELECT *, CASE WHEN len(lf) > 0 AND len(sf) > 0 THEN
 oracle("d15_trace_structure", "d15 fname", """SELECT d.crash_id, coalesce(ns, '') AS names, array_to_string(lf, '|') AS lock_f, array_to_string(mf, '|') AS mem_f, array_to_string(rf, '|') AS rcu_f, array_to_string(sf, '|') AS sched_f,
     issue AS inferred_issue, tsub AS involved_subsystem FROM d15 d LEFT JOIN (SELECT crash_id, string_agg(n, '|' ORDER BY r) AS ns FROM fname GROUP BY crash_id) USING (crash_id)""")
 values("er(o, id, name, bug, sev, kws, pats, rsub, why)", [(i, *r) for i, r in enumerate(kr.EXPERT_RULES)])
-cte("needles", "er", """SELECT o, id, 0.95 AS sc, 'panic_pattern:' || substr(x, 1, 50) AS how, 0 AS kind, x, j FROM (SELECT o, id, unnest(pats) AS x, generate_subscripts(pats, 1) AS j FROM er)
+cte("needles", "er", """SELECT o, id, 0.95 AS sc, 'panic_pattern:' || x AS how, 0 AS kind, x, j FROM (SELECT o, id, unnest(pats) AS x, generate_subscripts(pats, 1) AS j FROM er)
     UNION ALL SELECT o, id, 0.85, 'panic_keyword:' || x, 1, lower(x), j FROM (SELECT o, id, unnest(kws) AS x, generate_subscripts(kws, 1) AS j FROM er)
     UNION ALL SELECT o, id, 0.70, 'trace_keyword:' || x, 2, lower(x), j FROM (SELECT o, id, unnest(kws) AS x, generate_subscripts(kws, 1) AS j FROM er)""")
 cte("d18", "d11 needles", """SELECT d.crash_id, h.id AS rule_id, h.sc::DOUBLE AS rule_score, h.how AS rule_match FROM d11 d LEFT JOIN (
@@ -355,8 +355,8 @@ cte("lockhits", "frames api", "SELECT crash_id, r, o, a, t, rel FROM frames JOIN
 cte("locku", "crashes lockhits frames", f"""SELECT c.crash_id, coalesce(ty, '') AS types, coalesce(acq, '') AS acquired, coalesce(rl, '') AS released, list_filter([
       CASE WHEN spin AND slp THEN {v(kn.LOCK_ISSUES[0])} END, CASE WHEN plain AND irq THEN {v(kn.LOCK_ISSUES[1])} END, CASE WHEN rcu AND slp THEN {v(kn.LOCK_ISSUES[2])} END], lambda x: x IS NOT NULL) AS issues FROM crashes c
     LEFT JOIN (SELECT crash_id, string_agg(DISTINCT t, '|' ORDER BY t) AS ty, bool_or(t IN ('spinlock', 'rwlock')) AS spin FROM lockhits GROUP BY crash_id) USING (crash_id)
-    LEFT JOIN (SELECT crash_id, string_agg(a, '|' ORDER BY r, o) AS acq FROM (SELECT *, row_number() OVER (PARTITION BY crash_id ORDER BY r, o) AS q FROM lockhits WHERE NOT rel) WHERE q <= 10 GROUP BY crash_id) USING (crash_id)
-    LEFT JOIN (SELECT crash_id, string_agg(a, '|' ORDER BY r, o) AS rl FROM (SELECT *, row_number() OVER (PARTITION BY crash_id ORDER BY r, o) AS q FROM lockhits WHERE rel) WHERE q <= 10 GROUP BY crash_id) USING (crash_id)
+    LEFT JOIN (SELECT crash_id, string_agg(a, '|' ORDER BY r, o) AS acq FROM lockhits WHERE NOT rel GROUP BY crash_id) USING (crash_id)
+    LEFT JOIN (SELECT crash_id, string_agg(a, '|' ORDER BY r, o) AS rl FROM lockhits WHERE rel GROUP BY crash_id) USING (crash_id)
     LEFT JOIN (SELECT crash_id, bool_or(regexp_matches(lower(s), 'schedule|sleep')) AS slp, bool_or(contains(lower(s), 'spin_lock') AND NOT contains(lower(s), 'irq')) AS plain,
       bool_or(regexp_matches(lower(s), 'irq|interrupt')) AS irq, bool_or(contains(lower(s), 'rcu_read_lock')) AS rcu FROM frames GROUP BY crash_id) USING (crash_id)""")
 _ex = "concat_ws('|', " + ", ".join(f"CASE WHEN contains(pm, {v(m)}) THEN {v(n)} END" for n, m, _ in kn.DEADLOCK_PATTERNS) + ")"
@@ -389,14 +389,14 @@ cte("rc2", "rc1", f"""SELECT *, CASE lay WHEN 'R' THEN {_rule(1)} WHEN 'T' THEN
     CASE lay WHEN 'R' THEN {_rule(7)} WHEN 'T' THEN {_iss(1)} WHEN 'K' THEN concat('匹配到知识库中的 ', sname, ' 模式') WHEN 'B' THEN {_abs(1)} WHEN 'H' THEN {_hint(2)} ELSE {v(kr.UNKNOWN_CAUSE[1])} END AS reason,
     CASE WHEN lay IN ('R', 'T') AND sbug IS NOT NULL THEN greatest(0.85, CASE lay WHEN 'R' THEN rule_score ELSE {_iss(2)} END) ELSE CASE lay WHEN 'R' THEN rule_score WHEN 'T' THEN {_iss(2)} WHEN 'K' THEN least(0.9, ssc * 0.2 + 0.6)
       WHEN 'B' THEN {_abs(2)} WHEN 'H' THEN {_hint(3)} ELSE 0.1 END END::DOUBLE AS score,
-    CASE lay WHEN 'R' THEN [concat('Expert Rule: ', rule_id, ' (', rule_match, ')'), {_sevtext}] WHEN 'T' THEN list_filter([concat('Trace Structure: ', {_iss(0)}), CASE WHEN len(lf) > 0 THEN concat('Lock Functions in trace: ', array_to_string(lf[1:5], ', ')) END,
-      CASE WHEN len(mf) > 0 THEN concat('Memory Functions in trace: ', array_to_string(mf[1:5], ', ')) END, CASE WHEN len(rf) > 0 THEN concat('RCU Functions in trace: ', array_to_string(rf[1:5], ', ')) END], lambda x: x IS NOT NULL)
+    CASE lay WHEN 'R' THEN [concat('Expert Rule: ', rule_id, ' (', rule_match, ')'), {_sevtext}] WHEN 'T' THEN list_filter([concat('Trace Structure: ', {_iss(0)}), CASE WHEN len(lf) > 0 THEN concat('Lock Functions in trace: ', array_to_string(lf, ', ')) END,
+      CASE WHEN len(mf) > 0 THEN concat('Memory Functions in trace: ', array_to_string(mf, ', ')) END, CASE WHEN len(rf) > 0 THEN concat('RCU Functions in trace: ', array_to_string(rf, ', ')) END], lambda x: x IS NOT NULL)
       WHEN 'K' THEN [concat('Knowledge Base: ', sname, ' (score=', ssc, ')')] ELSE [] END
     || CASE WHEN len(tr) > 0 THEN list_transform(issues, lambda x: 'Lock Issue: ' || x) ELSE [] END || CASE WHEN subsystem <> 'unknown' AND nrel > 1 THEN ['Related Subsystems: ' || rel] ELSE [] END
     || CASE lay WHEN 'B' THEN ['Bug Type: ' || bug_type] WHEN 'H' THEN ['Panic Keyword: ' || {_hint(1)}] WHEN 'U' THEN ['Insufficient information for root cause determination'] ELSE [] END AS ch FROM rc1""")
 cte("g16c", "enum rc2", f"""SELECT k, coalesce(CASE WHEN k IN {one_of(tx.BUG_TYPES)} THEN k END, {_al('k')}, (SELECT arg_min(b, o) FROM enum WHERE contains(k, b) OR contains(b, k)), 'unknown') AS nb FROM (SELECT DISTINCT cbug AS k FROM rc2)""")
 cte("rc", "rc2 g16c", """SELECT *, ch || CASE WHEN subsystem <> 'unknown' AND len(list_filter(ch, lambda x: contains(x, 'Subsystem'))) = 0 THEN ['Affected Subsystem: ' || subsystem] ELSE [] END
-    || CASE WHEN kernel_version <> '' THEN ['Kernel Version: ' || kernel_version] ELSE [] END || CASE WHEN len(modules) > 0 THEN ['Loaded Modules: ' || array_to_string(modules[1:10], ', ')] ELSE [] END AS chain,
+    || CASE WHEN kernel_version <> '' THEN ['Kernel Version: ' || kernel_version] ELSE [] END || CASE WHEN len(modules) > 0 THEN ['Loaded Modules: ' || array_to_string(modules, ', ')] ELSE [] END AS chain,
     nb FROM rc2 JOIN g16c ON k = cbug""")
 _svl = "CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.70 THEN 'HIGH' WHEN score >= 0.50 THEN 'MEDIUM' WHEN score >= 0.30 THEN 'LOW' ELSE 'UNCERTAIN' END"
 oracle("d21_root_cause", "rc", f"SELECT crash_id, root_cause, nb AS bug_type, round(score, 4) AS score, reason, subsystem, array_to_string(chain, '|') AS chain, {_svl} AS severity FROM rc")
@@ -406,13 +406,13 @@ cte("fx", "rc", f"""SELECT *, {_flag('lock')} OR len(lf) > 0 AS needs_lock, {_fl
     kw || CASE WHEN len(rf) > 0 AND NOT contains(array_to_string(kw, '|'), 'rcu') THEN ['kfree_rcu'] ELSE [] END AS kws FROM (SELECT *, base || CASE WHEN len(lf) > 0 AND NOT contains(array_to_string(base, '|'), 'spin_lock') THEN ['spin_lock', 'mutex_lock'] ELSE [] END AS kw
       FROM (SELECT *, {case('cbug', {b: k for b, (_, k) in kr.FIX_HINTS.items()}, '[]')} AS base FROM rc))""")
 oracle("d16_fix_inference", "fx", "SELECT crash_id, needs_lock, needs_refcount, needs_rcu, needs_null, needs_bound, array_to_string(list_sort(list_distinct(kws)), '|') AS keywords FROM fx")
-cte("keyf", "fx fname", """SELECT crash_id, string_agg(f, ', ' ORDER BY o) AS keyf FROM (SELECT crash_id, f, o, row_number() OVER (PARTITION BY crash_id ORDER BY o) AS q FROM (SELECT crash_id, f, min(o) AS o FROM (
-    SELECT crash_id, n AS f, rr AS o FROM (SELECT *, row_number() OVER (PARTITION BY crash_id ORDER BY r) AS rr FROM fname) WHERE rr <= 5 UNION ALL SELECT crash_id, unnest(lf[1:3]), 10 + generate_subscripts(lf[1:3], 1) FROM fx
-    UNION ALL SELECT crash_id, unnest(mf[1:3]), 20 + generate_subscripts(mf[1:3], 1) FROM fx UNION ALL SELECT crash_id, unnest(rf[1:3]), 30 + generate_subscripts(rf[1:3], 1) FROM fx) GROUP BY crash_id, f)) WHERE q <= 8 GROUP BY crash_id""")
+cte("keyf", "fx fname", """SELECT crash_id, string_agg(f, ', ' ORDER BY o) AS keyf FROM (SELECT crash_id, f, min(o) AS o FROM (
+    SELECT crash_id, n AS f, r AS o FROM fname UNION ALL SELECT crash_id, unnest(lf), 1000000 + generate_subscripts(lf, 1) FROM fx
+    UNION ALL SELECT crash_id, unnest(mf), 2000000 + generate_subscripts(mf, 1) FROM fx UNION ALL SELECT crash_id, unnest(rf), 3000000 + generate_subscripts(rf, 1) FROM fx) GROUP BY crash_id, f) GROUP BY crash_id""")
 _fixs = "concat_ws('; ', " + ", ".join(f"CASE WHEN needs_{k} THEN {v(s)} END" for k, s in kr.FIX_SENTENCES) + ")"
 cte("rq", "fx keyf", f"""SELECT fx.*, concat_ws(chr(10), 'RootCause: ' || root_cause, CASE WHEN cbug <> 'unknown' THEN 'BugType: ' || replace(cbug, '_', ' ') END, CASE WHEN subsystem <> 'unknown' THEN 'Subsystem: ' || subsystem END,
     CASE WHEN kernel_version <> '' THEN 'KernelVersion: ' || kernel_version END, CASE WHEN panic_msg <> '' THEN 'PanicInfo: ' || panic_msg END, 'KeyFunctions: ' || keyf, CASE WHEN rip <> '' THEN 'CrashFunction: ' || rip END,
-    CASE WHEN {_fixs} <> '' THEN 'FixPattern: commit that ' || {_fixs} END, CASE WHEN len(chain) > 0 THEN 'CausalChain: ' || array_to_string(chain[1:5], ' -> ') END) AS retrieval_query FROM fx LEFT JOIN keyf USING (crash_id)""")
+    CASE WHEN {_fixs} <> '' THEN 'FixPattern: commit that ' || {_fixs} END, CASE WHEN len(chain) > 0 THEN 'CausalChain: ' || array_to_string(chain, ' -> ') END) AS retrieval_query FROM fx LEFT JOIN keyf USING (crash_id)""")
 oracle("d17_retrieval_query", "rq", "SELECT crash_id, retrieval_query FROM rq")
 _lab = "CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(panic_msg, {v(chr(40) + chr(63) + chr(105) + chr(41) + p)})' for p in ps)} THEN {v(l)}" for l, ps in kr.PANIC_LABELS) + " END"
 cte("ev", "rc", f"""SELECT *, {_lab} AS panic_keyword, nullif(regexp_extract(panic_msg, {v(kr.FAULT_ADDRESS_PATTERN)}, 1), '') AS fa, nullif(regexp_extract(panic_msg, {v(kr.ERROR_CODE_PATTERN)}), '') AS ec,
@@ -421,25 +421,25 @@ cte("ev2", "ev", """SELECT *, CASE WHEN hf THEN round(tot * CASE WHEN hr THEN 0.
     CASE WHEN len(tr) > 0 THEN round(tot * CASE WHEN hr THEN 0.10 ELSE 0.20 END, 1) ELSE 0.0 END AS pt, list_filter([CASE WHEN panic_msg = '' THEN 'Panic Keyword' END, CASE WHEN len(tr) = 0 THEN 'Call Trace' END, CASE WHEN kernel_version = '' THEN 'Kernel Version' END,
       CASE WHEN NOT hr THEN 'Expert Rule' END], lambda x: x IS NOT NULL) AS miss, round((CASE WHEN panic_msg <> '' THEN 3 ELSE 0 END + CASE WHEN fa IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN len(tr) > 0 THEN 3 ELSE 0 END
       + CASE WHEN kernel_version <> '' THEN 3 ELSE 0 END + CASE WHEN ec IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN subsystem <> 'unknown' THEN 2 ELSE 0 END + 3 + CASE WHEN hr THEN 3 ELSE 0 END) / 21.0 * 100, 1)::DOUBLE AS pct FROM ev""")
-oracle("d22_evidence", "ev2", f"""SELECT crash_id, panic_keyword, fa AS fault_address, ec AS error_code, {_rule(1)} AS matched_rule_name, array_to_string(tr[1:5], '|') AS frames, round(greatest(0.0, tot - (pf + ps + pt)), 1) AS pct_rule, pf AS pct_fault,
+oracle("d22_evidence", "ev2", f"""SELECT crash_id, panic_keyword, fa AS fault_address, ec AS error_code, {_rule(1)} AS matched_rule_name, array_to_string(tr, '|') AS frames, round(greatest(0.0, tot - (pf + ps + pt)), 1) AS pct_rule, pf AS pct_fault,
     ps AS pct_subsystem, pt AS pct_trace, 0.0::DOUBLE AS pct_history, pct AS coverage_pct, CASE WHEN pct >= 75 AND len(miss) = 0 THEN 'High' WHEN pct >= 50 AND len(miss) <= 1 THEN 'Medium' ELSE 'Low' END AS reliability, array_to_string(miss, '|') AS missing FROM ev2""")
 _ch, _ct = kr.CAUSE_TRACE_FORMAT.split("{funcs}")
 oracle("d23_possible_causes", "rc", f"""SELECT crash_id, array_to_string(list_filter([{case('subsystem', kr.SUBSYSTEM_CONTEXTS)}, {case('nb', {k: '|'.join(x) for k, x in kr.POSSIBLE_CAUSES.items()}, v('|'.join(kr.POSSIBLE_CAUSES_DEFAULT)))},
-    CASE WHEN len(tr) > 0 THEN concat({v(_ch)}, array_to_string(list_transform(tr[1:3], lambda x: split_part(x, '+', 1)), ', '), {v(_ct)}) END], lambda x: x IS NOT NULL), '|') AS causes FROM rc""")
+    CASE WHEN len(tr) > 0 THEN concat({v(_ch)}, array_to_string(list_transform(tr, lambda x: split_part(x, '+', 1)), ', '), {v(_ct)}) END], lambda x: x IS NOT NULL), '|') AS causes FROM rc""")
 _jx = lambda f: f"CASE WHEN json_valid(answer) THEN json_extract_string(answer, '$.{f}') WHEN json_valid(br) THEN json_extract_string(br, '$.{f}') END"
-cte("ans", "answers", f"""SELECT conv_id, turn, ok, {', '.join(f'{_jx(f)} AS {f}' for f in ('subsystem', 'bug_type', 'severity', 'confidence', 'root_cause_hypothesis'))} FROM
+cte("ans", "answers", f"""SELECT conv_id, turn, answer, ok, {', '.join(f'{_jx(f)} AS {f}' for f in ('subsystem', 'bug_type', 'severity', 'confidence', 'root_cause_hypothesis'))} FROM
     (SELECT *, json_valid(answer) OR (br <> '' AND json_valid(br)) AS ok FROM (SELECT *, regexp_extract(answer, '\\{{[\\s\\S]*\\}}') AS br FROM answers))""")
 cte("ans2", "ans", f"""SELECT conv_id, turn, CASE WHEN ok AND subsystem IN {one_of(kr.VALID_SUBSYSTEMS)} THEN subsystem ELSE 'unknown' END AS ss, CASE WHEN ok AND bug_type IN {one_of(kr.VALID_BUG_TYPES)} THEN bug_type ELSE 'unknown' END AS sb,
     CASE WHEN NOT ok THEN 'low' WHEN severity IN {one_of(kr.VALID_SEVERITIES)} THEN severity ELSE 'medium' END AS sev, CASE WHEN NOT ok THEN 0.1 ELSE least(1, greatest(0, coalesce(confidence::DOUBLE, 0.5))) END::DOUBLE AS conf,
-    CASE WHEN ok THEN substr(coalesce(root_cause_hypothesis, ''), 1, 500) END AS hyp, ok FROM ans""")
+    CASE WHEN ok THEN coalesce(root_cause_hypothesis, '') ELSE concat('Failed to parse LLM response: ', answer) END AS hyp, ok FROM ans""")
 oracle("d12_model_answers", "ans2", """SELECT conv_id, turn, ss AS said_subsystem, sb AS said_bug, sev AS severity, conf AS confidence, CASE WHEN conf >= 0.5 AND ss <> 'unknown' THEN ss ELSE 'fs' END AS subsystem,
     CASE WHEN conf >= 0.5 AND sb <> 'unknown' THEN sb ELSE 'hang' END AS bug_type, hyp AS hypothesis FROM ans2""")
 oracle("x7_structured_output", "ans", "SELECT conv_id, turn, ok, subsystem, severity FROM ans")
-oracle("d26_hybrid", "rc ans2 answers", """SELECT crash_id, CASE WHEN conv_id IS NULL THEN 'rule_only (llm failed)' WHEN score >= 0.6 THEN 'hybrid_rule_primary' ELSE 'hybrid_llm_primary' END AS analysis_source,
+oracle("d26_hybrid", "rc ans2", """SELECT crash_id, turn, CASE WHEN conv_id IS NULL THEN 'rule_only (llm failed)' WHEN score >= 0.6 THEN 'hybrid_rule_primary' ELSE 'hybrid_llm_primary' END AS analysis_source,
     CASE WHEN conv_id IS NOT NULL AND score < 0.6 AND hyp <> '' THEN hyp ELSE root_cause END AS root_cause, CASE WHEN conv_id IS NOT NULL AND score < 0.6 AND sb <> 'unknown' THEN sb ELSE nb END AS bug_type,
     round(CASE WHEN conv_id IS NOT NULL AND score < 0.6 AND conf > score THEN conf ELSE score END, 4) AS score,
     CASE WHEN conv_id IS NULL THEN array_to_string(chain, '|') WHEN score >= 0.6 THEN concat(array_to_string(chain, '|'), '|[LLM] step one|[LLM] step two') ELSE 'step one|step two' END AS chain
-    FROM rc LEFT JOIN (SELECT conv_id, turn, sb, conf, substr(CASE WHEN ok THEN hyp ELSE concat('Failed to parse LLM response: ', substr(answer, 1, 200)) END, 1, 80) AS hyp FROM ans2 JOIN answers USING (conv_id, turn) WHERE turn = 0) ON conv_id = crash_id""")
+    FROM rc LEFT JOIN ans2 ON conv_id = crash_id""")
 values("dsub(o, label, w)", words(kr.DUMP_SUBSYSTEM_HINTS))
 cte("dmp", "dumps dsub", f"""SELECT d.*, coalesce(s, 'unknown') AS ds, CASE WHEN {_hit('t', kr.DUMP_LOCK_FUNCTIONS)} THEN 'deadlock' WHEN {_hit('t', kr.DUMP_MEMORY_FUNCTIONS)} THEN 'memory_corruption' ELSE 'unknown' END AS db FROM
     (SELECT *, lower(array_to_string(dump_trace, chr(10))) AS t FROM dumps) d LEFT JOIN (SELECT crash_id, arg_min(label, o) AS s FROM dumps JOIN dsub ON contains(lower(array_to_string(dump_trace, chr(10))), w) GROUP BY crash_id) USING (crash_id)""")
@@ -483,8 +483,8 @@ oracle("r12_similar_commits", "ctok cnorm btok", """SELECT query_id, id, round(s
     LEFT JOIN (SELECT b1.k AS qk, c1.k AS ck, sum(b1.n * c1.n)::DOUBLE AS d FROM btok b1 JOIN ctok c1 USING (b) GROUP BY ALL) ON qk = q.k AND ck = c.k)) WHERE rank <= 10""")
 oracle("s12_normalize_and_number", "", """SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS row_no, round(list_inner_product(e, e) / (z * z), 5) AS norm, round(e[1] / z, 5) AS x0
     FROM (SELECT vec_id, e, sqrt(list_inner_product(e, e)) + 1e-8 AS z FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""")
-oracle("s13_store_rows", "an", """SELECT substr(commit_hash, 1, 64) AS commit_hash, substr(subject, 1, 512) AS subject, subsystem, bug_type, author, date, substr(array_to_string(files_changed[1:20], ', '), 1, 2048) AS files_changed,
-    substr(array_to_string(fix_tags[1:10], ', '), 1, 512) AS fix_tags, score FROM an""")
+oracle("s13_store_rows", "an", """SELECT commit_hash, subject, subsystem, bug_type, author, date, array_to_string(files_changed, ', ') AS files_changed,
+    array_to_string(fix_tags, ', ') AS fix_tags, score FROM an""")
 oracle("f1_dedupe", "commits", """SELECT doc_id, CASE WHEN commit_hash = '' OR row_number() OVER (PARTITION BY commit_hash ORDER BY pos) = 1 THEN 'passed' ELSE 'rejected' END AS verdict FROM commits""")
 
 
@@ -532,8 +532,8 @@ cte("filt", "cand", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 oracle("k15_fast", "filt", "SELECT query_id, ord::BIGINT AS rank, id, round(score0, 6)::DOUBLE AS final_score, round(boosted, 10)::DOUBLE AS boosted FROM filt")
 _wsplit = lambda t: f"list_distinct(list_filter(regexp_split_to_array(lower({t}), '{SP}+'), lambda x: x <> ''))"
 cte("rr", "filt", f"""SELECT *, CASE WHEN len(qw) = 0 THEN 0.5 ELSE len(list_intersect(qw, {_wsplit('doc')})) / len(qw) END AS rer, CASE WHEN mb IS NULL THEN boosted WHEN mb > 1 OR mb < 0.01 THEN round(least(0.99, boosted / mb), 4) ELSE greatest(0, least(1, boosted)) END AS vs0
-    FROM (SELECT *, {_wsplit('query_text')} AS qw, max(boosted) FILTER (boosted > 0) OVER (PARTITION BY query_id) AS mb, concat('[', subsystem, '] [', bug_type, '] ', substr(subject, 1, 200),
-      CASE WHEN len(fix_tags) > 0 THEN concat(' Fixes: [''', array_to_string(fix_tags, ''', '''), ''']') ELSE '' END) AS doc FROM filt WHERE ord <= 50)""")
+    FROM (SELECT *, {_wsplit('query_text')} AS qw, max(boosted) FILTER (boosted > 0) OVER (PARTITION BY query_id) AS mb, concat('[', subsystem, '] [', bug_type, '] ', subject,
+      CASE WHEN len(fix_tags) > 0 THEN concat(' Fixes: [''', array_to_string(fix_tags, ''', '''), ''']') ELSE '' END) AS doc FROM filt)""")
 cte("ranked", "rr", """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord) AS rank FROM (SELECT *, greatest(0, least(1, vs0)) AS vs, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * 0.5)), 12) AS fin FROM rr)""")
 oracle("k15_standard", "ranked", """SELECT query_id, rank::BIGINT AS rank, id, round(vs, 10)::DOUBLE AS vector_score, round(rer, 10)::DOUBLE AS reranker_score, round(fin, 12)::DOUBLE AS final_score,
     concat_ws('; ', CASE WHEN fin >= 0.85 THEN '高度匹配' WHEN fin >= 0.7 THEN '显著相关' WHEN fin >= 0.5 THEN '中度相关' ELSE '低度相关' END, concat('子系统=', subsystem), concat('Bug类型=', bug_type), CASE WHEN rer >= 0.8 THEN '语义高度相似' END) AS rank_reason FROM ranked""")
@@ -567,23 +567,23 @@ oracle("a6_normalizers", "", """SELECT event_id, round(nv, 6) AS normalized, rou
 cte("x1", "ranked", """SELECT *, CASE WHEN coalesce(functions[1], '') <> '' THEN functions[1] WHEN instr(subject, ':') > 0 THEN regexp_extract(subject, '(\\w+)\\s*\\(\\)', 1) ELSE '' END AS ft,
     coalesce(nullif(CASE WHEN lock_added OR refcount_fix OR rcu_fix THEN concat_ws(', ', CASE WHEN lock_added THEN 'add_lock' END, CASE WHEN refcount_fix THEN 'fix_refcount' END, CASE WHEN rcu_fix THEN 'add_rcu_sync' END)
       ELSE concat_ws(', ', CASE WHEN contains(tg, 'null') THEN 'NULL check' END, CASE WHEN regexp_matches(tg, 'overflow|bound') THEN 'bound check' END, CASE WHEN contains(tg, 'leak') THEN 'fix leak' END) END, ''), 'unknown') AS fm,
-    coalesce(nullif(array_to_string(list_sort(list_distinct(list_transform(list_filter(files_changed, lambda x: contains(x, '/')), lambda x: split_part(x, '/', 1))))[1:3], ', '), ''), 'unknown') AS ap,
+    coalesce(nullif(array_to_string(list_sort(list_distinct(list_transform(list_filter(files_changed, lambda x: contains(x, '/')), lambda x: split_part(x, '/', 1)))), ', '), ''), 'unknown') AS ap,
     concat_ws('|', CASE WHEN subsystem <> 'unknown' AND subsystem = target_subsystem THEN 'same subsystem' END, CASE WHEN bug_type <> 'unknown' AND bug_type = target_bug_type THEN 'same bug' END,
-      CASE WHEN len(sh) > 0 THEN 'same path: ' || array_to_string(sh[1:3], ', ') END, CASE WHEN list_contains(fix_tags, 'stable') THEN 'Cc: stable' END) AS rs FROM (SELECT *, lower(array_to_string(fix_tags, ' ')) AS tg,
-      list_sort(list_distinct(list_filter(functions, lambda x: length(x) > 3 AND contains(lower(array_to_string(crash_trace, chr(10))), lower(x))))) AS sh FROM ranked WHERE rank <= 5)""")
+      CASE WHEN len(sh) > 0 THEN 'same path: ' || array_to_string(sh, ', ') END, CASE WHEN list_contains(fix_tags, 'stable') THEN 'Cc: stable' END) AS rs FROM (SELECT *, lower(array_to_string(fix_tags, ' ')) AS tg,
+      list_sort(list_distinct(list_filter(functions, lambda x: length(x) > 3 AND contains(lower(array_to_string(crash_trace, chr(10))), lower(x))))) AS sh FROM ranked)""")
 oracle("x1_patch_explain", "x1", """SELECT query_id, rank::BIGINT AS rank, ft AS fix_target, fm AS fix_method, ap AS affected_path, rs AS reasons, round(CASE WHEN subsystem <> 'unknown' AND subsystem = target_subsystem THEN 0.6 ELSE 0 END
     + CASE WHEN bug_type <> 'unknown' AND bug_type = target_bug_type THEN 0.4 ELSE 0 END, 2)::DOUBLE AS rep_expert, CASE WHEN len(sh) > 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS rep_callstack, round(least(len(functions) / 10.0, 1), 2)::DOUBLE AS rep_functions,
     round(round(least(vs / coalesce(nullif(max(vs) OVER (PARTITION BY query_id), 0), 1), 1), 2), 1)::DOUBLE AS rep_embedding FROM x1""")
-_dims = [(0, "子系统", "subsystem"), (1, "Bug类型", "bug_type"), (4, "修复方法", "fm"), (5, "内核版本", "coalesce(kver, '')"), (6, "匹配原因", "coalesce(nullif(replace(rs, '|', '; '), ''), '无')")]
+_dims = [(0, "子系统", "subsystem"), (1, "Bug类型", "bug_type"), (2, "Embedding", "printf('%.3f', vs)"), (3, "Rerank", "printf('%.3f', rer)"), (4, "修复方法", "fm"), (5, "内核版本", "coalesce(kver, '')"), (6, "匹配原因", "coalesce(nullif(replace(rs, '|', '; '), ''), '无')")]
 oracle("x2_comparison", "x1", " UNION ALL ".join(f"""SELECT query_id, {o}::BIGINT AS ord, {v(d)} AS dimension, {", ".join(f"max(CASE WHEN rank = {r} THEN {e} END) AS top{r}" for r in range(1, 6))} FROM x1 GROUP BY query_id""" for o, d, e in _dims))
 oracle("x5_reports", "rc ranked", f"""SELECT crash_id, {_svl} AS severity, {_pc} AS panic_class, coalesce(n, 0)::BIGINT AS n_patches, root_cause AS json_cause, n IS NULL AS no_patch_text FROM (SELECT *, lower(panic_msg) AS pm FROM rc)
-    LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY query_id) ON query_id = crash_id""")
+    LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked GROUP BY query_id) ON query_id = crash_id""")
 
 oracle("x3_evidence_summary", "x1", r"""SELECT query_id, string_agg(concat('Evidence ', rank, ':', chr(10), '  Crash:  ', CASE WHEN len(crash_trace) = 0 THEN 'unknown' ELSE
-    array_to_string(list_sort(list_transform(crash_trace, lambda x: split_part(x, '+', 1)))[1:3], ', ') END, chr(10), '  Patch:  ', coalesce(nullif(ft, ''), nullif(array_to_string(functions[1:2], ', '), ''), 'unknown'), chr(10),
-    '  共同:   ', coalesce(nullif(replace(rs, '|', '; '), ''), 'N/A'), chr(10)), chr(10) ORDER BY rank) AS evidence_summary FROM x1 WHERE rank <= 3 GROUP BY query_id""")
+    array_to_string(list_sort(list_transform(crash_trace, lambda x: split_part(x, '+', 1))), ', ') END, chr(10), '  Patch:  ', coalesce(nullif(ft, ''), nullif(array_to_string(functions, ', '), ''), 'unknown'), chr(10),
+    '  共同:   ', coalesce(nullif(replace(rs, '|', '; '), ''), 'N/A'), chr(10)), chr(10) ORDER BY rank) AS evidence_summary FROM x1 GROUP BY query_id""")
 oracle("g15_contexts", "an si related", """SELECT doc_id, CASE WHEN title IS NULL THEN concat('Subsystem ''', subsystem, ''' not found.') ELSE concat('## Subsystem: ', title, ' (', subsystem, ')', chr(10), chr(10), '**Key Functions**: ',
-    array_to_string(fs[1:8], ', '), chr(10), '**Common Bug Types**: ', array_to_string(bugs, ', '), chr(10), chr(10), '**Related Subsystems**: ',
+    array_to_string(fs, ', '), chr(10), '**Common Bug Types**: ', array_to_string(bugs, ', '), chr(10), chr(10), '**Related Subsystems**: ',
     array_to_string(list_filter(string_split(relp, '|'), lambda x: x <> subsystem), ', ')) END AS subsystem_context FROM an LEFT JOIN si ON si.n = subsystem JOIN related r ON r.n = subsystem""")
 cte("kq", "an", """SELECT min(doc_id) AS qid, subsystem AS tsb, concat('RootCause: ', replace(bug_type, '_', ' '), chr(10), 'BugType: ', bug_type, CASE WHEN subsystem <> 'unknown' THEN concat(chr(10), 'Subsystem: ', subsystem) ELSE '' END) AS qt
     FROM an GROUP BY subsystem, bug_type""")
@@ -595,7 +595,7 @@ cte("kf", "kq kqtop an fsub2", f"""SELECT *, row_number() OVER (PARTITION BY qid
     SELECT t.*, qt, tsb, a.subject, a.subsystem, a.bug_type, a.fix_tags, a.commit_hash = '' OR row_number() OVER (PARTITION BY t.qid, a.commit_hash ORDER BY t.pos) = 1 AS uniq FROM kqtop t JOIN an a ON a.doc_id = t.id JOIN kq USING (qid)) z
     WHERE uniq AND (tsb = 'unknown' OR EXISTS (SELECT 1 FROM fsub2 f WHERE f.t = tsb AND f.a = z.subsystem)))""")
 cte("kr", "kf", f"""SELECT *, len(list_intersect(qw, {_wsplit('doc')})) / len(qw) AS rer, CASE WHEN mb IS NULL THEN boosted WHEN mb > 1 OR mb < 0.01 THEN round(least(0.99, boosted / mb), 4) ELSE greatest(0, least(1, boosted)) END AS vs FROM (SELECT *, {_wsplit('qt')} AS qw,
-    max(boosted) FILTER (boosted > 0) OVER (PARTITION BY qid) AS mb, concat('[', subsystem, '] [', bug_type, '] ', substr(subject, 1, 200), CASE WHEN len(fix_tags) > 0 THEN concat(' Fixes: [''', array_to_string(fix_tags, ''', '''), ''']') ELSE '' END) AS doc FROM kf WHERE ord <= 50)""")
+    max(boosted) FILTER (boosted > 0) OVER (PARTITION BY qid) AS mb, concat('[', subsystem, '] [', bug_type, '] ', subject, CASE WHEN len(fix_tags) > 0 THEN concat(' Fixes: [''', array_to_string(fix_tags, ''', '''), ''']') ELSE '' END) AS doc FROM kf)""")
 oracle("k16_search_by_bug_type", "kr", """SELECT qid AS query_id, rank::BIGINT AS rank, id, round(vs, 10)::DOUBLE AS vector_score, round(rer, 10)::DOUBLE AS reranker_score, fin::DOUBLE AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fin DESC, ord) AS rank
     FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs)) + 0.4 * rer + 0.4 * 0.5)), 12) AS fin FROM kr)) WHERE rank <= 5""")
 
