@@ -91,11 +91,14 @@ def version_weight(distance: Column) -> Column:
 def date_compatible(date: Column, major: Column, minor: Column, tolerance: int = 1) -> Column:
     """Tri-state: can a commit of this date apply to the target release?  Null = cannot tell."""
     rel = _release_case(F.substring(date, 1, 10), False, lambda a, b: (a, b))
-    return (F.when((F.coalesce(date, F.lit("")) == "") | rel.isNull(), F.lit(None).cast("boolean"))
-            .when(rel["major"] - major > 1, F.lit(False))
-            .when(rel["major"] > major, F.lit(None).cast("boolean"))
-            .when(rel["major"] == major, rel["minor"] <= minor + tolerance)
-            .otherwise(F.lit(True)))
+    def verdict(r: Column) -> Column:
+        return (F.when((F.coalesce(date, F.lit("")) == "") | r.isNull(), F.lit(None).cast("boolean"))
+                .when(r["major"] - major > 1, F.lit(False))
+                .when(r["major"] > major, F.lit(None).cast("boolean"))
+                .when(r["major"] == major, r["minor"] <= minor + tolerance)
+                .otherwise(F.lit(True)))
+    # the release is looked up once, however often the verdict reads it
+    return F.element_at(F.transform(F.array(rel), verdict), 1)
 
 
 def release_date(major: Column, minor: Column) -> Column:

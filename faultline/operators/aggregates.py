@@ -44,18 +44,18 @@ def stratified_sample(df: DataFrame, max_count: int, group: str, newest: Column,
     return picked.orderBy(F.desc(group), F.asc("rank")).limit(max_count).drop("_newest")
 
 
-def dense_number(df: DataFrame, key: str, out: str = "row_no", width: int = 100_000) -> DataFrame:
-    """Consecutive 0-based numbers in the order of a unique integer ``key``.
+def dense_number(df: DataFrame, key: str, out: str = "row_no") -> DataFrame:
+    """Consecutive 0-based numbers in the order of a unique ``key``.
 
-    Rows are numbered inside key ranges of ``width`` values and shifted by the counts of earlier
-    ranges, so no task sees more than ``width`` rows; the range counts are one row per range.
+    Rows are cut into ranges of about equal row counts, numbered inside their range and shifted by the counts of earlier
+    ranges; there are as many ranges as shuffle partitions, however sparse the keys are.  The ranged rows are written
+    first, so both steps see the same ranges.
     """
-    b = df.withColumn("_b", F.floor(_C(key) / width))
-    counts = b.groupBy("_b").count()
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("_b").orderBy(key)
-    return (b.join(cut(offsets), "_b").withColumn(out, _C("_off") + F.row_number().over(inner) - 1).drop("_b", "_off"))
+    ranged = cut(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("_p").orderBy(key)
+    return (ranged.join(cut(offsets), "_p").withColumn(out, _C("_off") + F.row_number().over(inner) - 1).drop("_p", "_off"))
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:

@@ -21,6 +21,11 @@ def _known(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).isin("", "unknown") == F.lit(False)
 
 
+def no_target(target) -> Column:
+    """Whether a target says nothing: null, empty or unknown."""
+    return ~_known(_as_col(target))
+
+
 def allowed_subsystems(target, related: bool = True, parent: bool = True) -> Column:
     t = _as_col(target)
     parts = [F.array(t)]

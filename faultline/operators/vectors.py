@@ -17,11 +17,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as nf, text as tf
+from ..plans.stage import cut
+from . import aggregates as ag
 
 # Query blocks up to this size travel as a broadcast; larger ones use the grid.
 MAX_BROADCAST_BYTES = 64 << 20
 GRID_QUERIES, GRID_VECTORS = 4096, 200_000
-IVF_MIN_ROWS, IVF_PROBES = 1000, 32
+IVF_PROBES = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,25 +79,32 @@ def _unit(m: np.ndarray) -> np.ndarray:
 class _TopK:
     """Running k best (score desc, id asc) per query over any number of corpus batches."""
 
-    def __init__(self, queries: np.ndarray, k: int, cosine: bool, digits: int):
+    def __init__(self, queries: np.ndarray, k: int, cosine: bool, digits: int, allowed: list[list[str]] | None = None):
         self.q, self.k, self.cosine, self.digits = queries, k, cosine, digits
+        self.codes: dict[str, int] | None = None
+        if allowed is not None:
+            self.codes = {x: i for i, x in enumerate(sorted({x for a in allowed for x in a or ()}))}
+            self.may = np.zeros((len(self.codes) + 1, len(queries)), bool)  # last row: labels that no query allows
+            for j, a in enumerate(allowed):
+                self.may[[self.codes[x] for x in a or ()], j] = True
         self.qn = _unit(queries)
         self.best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
 
-    def add(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vecs: np.ndarray, labels: list[str] | None = None) -> None:
         if not len(ids):
             return
+        if self.codes is not None:
+            label = np.array([self.codes.get(x, len(self.codes)) for x in labels])
         vn = _unit(vecs)
         for lo in range(0, len(self.q), 512):
             sims = vecs @ self.q[lo:lo + 512].T
             if self.cosine:
                 sims = sims / (vn[:, None] * self.qn[None, lo:lo + 512])
             sims = np.round(sims, self.digits) + 0.0
-            if len(ids) > self.k:
-                kth = np.partition(sims, len(ids) - self.k, axis=0)[len(ids) - self.k]
-                rows, cols = np.nonzero(sims >= kth)
-            else:
-                rows, cols = (a.ravel() for a in np.indices(sims.shape))
+            if self.codes is not None:
+                sims = np.where(self.may[label, lo:lo + 512], sims, -np.inf)
+            kth = np.partition(sims, len(ids) - self.k, axis=0)[len(ids) - self.k] if len(ids) > self.k else -np.inf
+            rows, cols = np.nonzero((sims >= kth) & (sims > -np.inf))
             self._merge(cols + lo, sims[rows, cols], ids[rows])
 
     def _merge(self, q, s, i) -> None:
@@ -108,19 +117,20 @@ class _TopK:
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k best of each query: thinned by salt first, since every task of a scan sends up to k."""
+    return ag.top_n_per_group(hits, ["query_id"], [F.desc("score"), F.asc("id")], k, "id", salts=16)
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, digits: int = 6) -> DataFrame:
     """Exact top-k by inner product (or cosine): (query_id, id, score, rank).
 
-    ``queries``: query_id bigint, vec; ``corpus``: id bigint, vec.  Order is score (rounded to
-    ``digits``) descending, then id.  A query block whose size is checked to be small is broadcast
+    ``queries``: query_id bigint, vec[, allowed array<string>]; ``corpus``: id bigint, vec[, label].
+    With ``allowed``, only rows of an allowed label are candidates.  Order is score (rounded to ``digits``) descending, then id.  A query block whose size is checked to be small is broadcast
     and the corpus is scanned in place; a larger query side uses a shard × block grid.
     """
-    corpus = corpus.where("vec IS NOT NULL").select("id", "vec")
-    queries = queries.where("vec IS NOT NULL").select("query_id", "vec")
+    by_label = "allowed" in queries.columns
+    corpus = corpus.where("vec IS NOT NULL").select("id", "vec", *["label"] * by_label)
+    queries = queries.where("vec IS NOT NULL").select("query_id", "vec", *["allowed"] * by_label)
     probe = queries.select(F.size("vec").alias("n")).first()
     if probe is None:
         return corpus.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
@@ -129,13 +139,13 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, di
     if rows.num_rows > cap:
         return _topk_grid(queries, corpus, k, cosine, digits)
     names = np.asarray(rows.column("query_id").to_numpy(), dtype=np.int64)
-    block = corpus.sparkSession.sparkContext.broadcast(_matrix(rows.column("vec")))
+    block = corpus.sparkSession.sparkContext.broadcast((_matrix(rows.column("vec")), rows.column("allowed").to_pylist() if by_label else None))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _TopK(block.value, k, cosine, digits)
+        top = _TopK(block.value[0], k, cosine, digits, block.value[1])
         for b in batches:
             if b.num_rows:
-                top.add(np.asarray(b.column("id"), dtype=np.int64), _matrix(b.column("vec")))
+                top.add(np.asarray(b.column("id"), dtype=np.int64), _matrix(b.column("vec")), b.column("label").to_pylist() if by_label else None)
         q, s, i = top.best
         for lo in range(0, len(q), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[q[lo:lo + 50_000]]), pa.array(i[lo:lo + 50_000]),
@@ -163,8 +173,9 @@ def _cogroup_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, cosine: b
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
         if not qt.num_rows or not ct.num_rows:
             return schema.empty_table()
-        top = _TopK(_matrix(qt.column("vec")), k, cosine, digits)
-        top.add(ct.column("id").to_numpy(), _matrix(ct.column("vec")))
+        by_label = "allowed" in qt.column_names
+        top = _TopK(_matrix(qt.column("vec")), k, cosine, digits, qt.column("allowed").to_pylist() if by_label else None)
+        top.add(ct.column("id").to_numpy(), _matrix(ct.column("vec")), ct.column("label").to_pylist() if by_label else None)
         bq, bs, bi = top.best
         names = qt.column("query_id").to_numpy()
         return pa.table([pa.array(names[bq]), pa.array(bi), pa.array(bs)], schema=schema)
@@ -180,39 +191,57 @@ def ivf_lists(n: int) -> int:
 
 
 def build_ivf(corpus: DataFrame, lists: int, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, DataFrame]:
-    """K-means cells: (corpus with ``cell``, centroids(cell, vec)).  Centroids are at most 4096 rows."""
+    """K-means cells: (corpus with ``cell``, centroids(cell, vec, radius)).  Centroids are at most 4096 rows; the radius is
+    the largest distance of a cell's vector to its centroid."""
     pts = corpus.where("vec IS NOT NULL").withColumn("_v", array_to_vector(F.col("vec").cast("array<double>")))
     model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cell").fit(pts)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return (model.transform(pts).drop("_v"),
-            corpus.sparkSession.createDataFrame(centres, "cell int, vec array<double>"))
+    centres = corpus.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, vec array<double>")
+    cells = model.transform(pts).drop("_v")
+    apart = F.zip_with("vec", "_c", lambda x, y: x.cast("double") - y)
+    radii = (cells.join(F.broadcast(centres.withColumnRenamed("vec", "_c")), "cell")
+             .groupBy("cell").agg(F.max(F.sqrt(dot(apart, apart))).alias("radius")))
+    return cells, centres.join(radii, "cell")
 
 
 def ivf_topk(queries: DataFrame, cells: DataFrame, centroids: DataFrame, k: int, probes: int = IVF_PROBES,
-             rows_per_salt: int = GRID_VECTORS, cosine: bool = False, digits: int = 6) -> DataFrame:
-    """Top-k over the ``probes`` nearest cells of each query.
+             rows_per_salt: int = GRID_VECTORS, digits: int = 6, exact: bool = True) -> DataFrame:
+    """Top-k by inner product over the cells of an inverted file.
 
-    Cells larger than ``rows_per_salt`` are split by a hash salt and probed in every split, so one
-    hot cell never lands in one task.
+    First the ``probes`` best cells of each query are searched.  With ``exact``, every other cell follows whose bound
+    q.c + |q| r (no vector of the cell can score more) reaches the k-th score found; the result is that of ``topk``.
+    Cells larger than ``rows_per_salt`` are split by a hash salt and probed in every split.
     """
-    near = topk(queries, centroids.select(F.col("cell").cast("bigint").alias("id"), "vec"), probes, cosine, digits)
+    n_cells = centroids.count()
+    near = topk(queries, centroids.select(F.col("cell").cast("bigint").alias("id"), "vec"), n_cells, False, digits)
+    near = cut(near.join(centroids.select(F.col("cell").cast("bigint").alias("id"), "radius"), "id").join(queries, "query_id").select(
+        "query_id", "vec", F.col("id").cast("int").alias("cell"), "rank",
+        (F.col("score") + F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.col("radius") + 10.0 ** -digits).alias("bound")))
     splits = cells.groupBy("cell").count().select(
         "cell", F.ceil(F.col("count") / rows_per_salt).cast("int").alias("splits"))
-    want = (near.select("query_id", F.col("id").cast("int").alias("cell")).join(queries, "query_id")
-            .join(splits, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits"))
     have = (cells.select("id", "vec", "cell").join(splits, "cell")
             .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).drop("splits"))
-    return _rank(_cogroup_topk(want.select("query_id", "vec", "cell", "salt"), have, ["cell", "salt"], k, cosine,
-                               digits), k)
 
+    def search(wanted: DataFrame) -> DataFrame:
+        want = (wanted.select("query_id", "vec", "cell").join(splits, "cell")
+                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits"))
+        return _cogroup_topk(want, have, ["cell", "salt"], k, False, digits)
 
-def auto_topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False) -> DataFrame:
-    """Flat search below 1000 vectors, inverted-file search from there on."""
-    n = corpus.count()
-    if n < IVF_MIN_ROWS:
+    first = _rank(search(near.where(F.col("rank") <= probes)), k)
+    if not exact:
+        return first
+    first = cut(first)
+    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    more = near.where(F.col("rank") > probes).join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
+    return _rank(first.drop("rank").unionByName(search(more)), k)
+
+
+def indexed_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "flat", cosine: bool = False) -> DataFrame:
+    """Search by kind of index: ``flat`` (also for cosine), or ``ivf``, which gives the same rows from fewer cells."""
+    if kind == "flat" or cosine:
         return topk(queries, corpus, k, cosine)
-    cells, centres = build_ivf(corpus, ivf_lists(n))
-    return ivf_topk(queries, cells, centres, k, cosine=cosine)
+    cells, centres = build_ivf(corpus, ivf_lists(corpus.count()))
+    return ivf_topk(queries, cut(cells), cut(centres), k)
 
 
 # --- recall helpers -----------------------------------------------------------------------------

@@ -501,7 +501,7 @@ def _(spark, sf):
 
 @query("r3_auto_index")
 def _(spark, sf):
-    h = ve.auto_topk(label_queries(spark, sf).select("query_id", "vec"), vector_index(spark, sf).select("id", "vec"), 20)
+    h = ve.indexed_topk(label_queries(spark, sf).select("query_id", "vec"), vector_index(spark, sf).select("id", "vec"), 20, "ivf")
     return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
@@ -540,7 +540,7 @@ def _(spark, sf):
 
 @query("s12_normalize_and_number")
 def _(spark, sf):
-    d = ag.dense_number(vw.table(spark, sf, "embeddings"), "vec_id", "row_no", width=64)
+    d = ag.dense_number(vw.table(spark, sf, "embeddings"), "vec_id", "row_no")
     v = ve.l2_normalize(_C("embedding"))
     return d.select("vec_id", big("row_no").alias("row_no"), F.round(ve.dot(v, v), 5).alias("norm"), F.round(F.get(v, 0), 5).alias("x0"))
 

@@ -17,20 +17,41 @@ def recall(queries: DataFrame, index: DataFrame, k: int = 100, condition: Column
     """Top-k candidates with metadata per query; ``condition`` filters the index before the search."""
     pool = index if condition is None else index.where(condition)
     hits = cut(ve.normalize_recall(ve.topk(queries, pool, k, cosine)))  # at most k rows per query, size now known
-    return ve.with_metadata(hits.withColumnRenamed("score", "recall_score"), pool.drop("vec", "score")).withColumn(
+    return ve.with_metadata(hits.withColumnRenamed("score", "recall_score"), pool.drop("vec", "score", "label")).withColumn(
         "score", _C("recall_score")).withColumn("pos", _C("rank")).drop("rank", "recall_score")
 
 
+def label_of(subsystem: Column, bug_type: Column) -> Column:
+    return F.concat_ws("/", F.coalesce(subsystem, F.lit("unknown")), F.coalesce(bug_type, F.lit("unknown")))
+
+
+def allowed_labels(subsystem: Column, bug_type: Column, labels: list[str]) -> Column:
+    """Those of the index's ``labels`` whose subsystem and bug type a query may find."""
+    of = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
+    sub_ok = lambda x: fl.no_target(subsystem) | F.array_contains(fl.allowed_subsystems(subsystem), F.substring_index(x, "/", 1))
+    bug_ok = lambda x: fl.no_target(bug_type) | F.array_contains(fl.allowed_bug_types(bug_type), F.substring_index(x, "/", -1))
+    return F.filter(of, lambda x: sub_ok(x) & bug_ok(x))
+
+
 def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int = 100, rerank_k: int | None = None,
-             condition: Column | None = None, scorer=None, judge: str | None = None, cosine: bool = True) -> DataFrame:
+             condition: Column | None = None, scorer=None, judge: str | None = None, cosine: bool = True,
+             filter_first: bool = False) -> DataFrame:
     """Ranked candidates of a batch of queries.
 
     ``queries``: query_id, vec, query_text, target_subsystem, target_bug_type, target_version.
     Fast mode orders by the boosted score and reports the raw one; standard reranks the filtered
     candidates (``rerank_k``: the first ones only); deep also uses the ``judge`` score column of the queries.
+    With ``filter_first`` the k of the search are the best of those that a query's subsystem and bug type
+    allow; without it the k best of all are filtered afterwards.
     """
     targets = queries.drop("vec")
-    found = recall(queries.select("query_id", "vec"), index, k, condition, cosine).join(targets, "query_id")
+    asked = queries.select("query_id", "vec")
+    if filter_first:
+        index = index.withColumn("label", label_of(_C("subsystem"), _C("bug_type")))
+        # as many labels as subsystems times bug types, whatever the index's size
+        labels = [r.label for r in index.select("label").distinct().collect()]
+        asked = queries.select("query_id", "vec", allowed_labels(_C("target_subsystem"), _C("target_bug_type"), sorted(labels)).alias("allowed"))
+    found = recall(asked, index, k, condition, cosine).join(targets, "query_id")
     kept = fl.apply_filters(found, _C("target_subsystem"), _C("target_bug_type"), _C("target_version"), query="query_id")
     order = Window.partitionBy("query_id").orderBy(F.round("boosted_score", 10).desc(), "uncertain", "pos")
     kept = kept.withColumn("order_no", F.row_number().over(order))
@@ -76,14 +97,14 @@ def crash_queries(diagnosed: DataFrame, dim: int = 512) -> DataFrame:
 
 
 def diagnose_and_retrieve(logs: DataFrame, index: DataFrame, mode: str = FAST, k: int = 100, top: int = 5) -> DataFrame:
-    """The top patches of every crash log."""
+    """Every crash log with its root cause and its top patches; one row without patch where none survives the filters."""
     crashes = cut(query_key(diagnose(logs).select(
         "crash_id", "retrieval_query", "subsystem", "bug_type", "kernel_version", "root_cause",
         _C("score").alias("confidence"), "rule_id")))
     queries = cut(crash_queries(crashes))
-    ranked = cut(retrieve(queries, index, mode, k).where(_C("rank") <= top).select(
+    ranked = cut(retrieve(queries, index, mode, k, filter_first=True).where(_C("rank") <= top).select(
         "query_key", "query_id", "rank", "commit_hash", "subject", _C("subsystem").alias("patch_subsystem"),
         _C("bug_type").alias("patch_bug_type"), "vector_score", "final_score"))
     # at most ``top`` rows per key with a known size: broadcast while small, else a skew-split join
     return crashes.select("crash_id", "query_key", "root_cause", "subsystem", "bug_type", "confidence", "rule_id").join(
-        ranked, "query_key").drop("query_key")
+        ranked, "query_key", "left").drop("query_key")

@@ -604,17 +604,19 @@ cte("qs", "rq", "SELECT retrieval_query, subsystem AS tsb, nb AS tbt, kernel_ver
 cte("qtok", "qs", tokens("qs", "qid", "retrieval_query"))
 cte("qsim", "qtok ctok cnorm", """SELECT q.k AS qid, c.k AS id, round(coalesce(d, 0) / (q.z * c.z), 6) AS s FROM (SELECT k, sqrt(sum(n * n)) AS z FROM qtok GROUP BY k) q CROSS JOIN cnorm c
     LEFT JOIN (SELECT a.k AS qk, b.k AS ck, sum(a.n * b.n)::DOUBLE AS d FROM qtok a JOIN ctok b USING (b) GROUP BY ALL) ON qk = q.k AND ck = c.k""")
-cte("qtop", "qsim", "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS pos FROM qsim QUALIFY pos <= 100")
 values("fsub(t, a)", [(t, a) for t in [n for n, _ in kr.LOG_SUBSYSTEM_HINTS] for a in [t] + [p for p, cs in kn.FILTER_HIERARCHY.items() if t in cs] + kn.FILTER_RELATED.get(t, [])])
+_qtop = """SELECT z.*, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS pos FROM (SELECT qsim.*, tsb, tbt, a.subsystem AS asub, a.bug_type AS abug FROM qsim JOIN qs USING (qid) JOIN an a ON a.doc_id = qsim.id) z
+    WHERE (tsb = 'unknown' OR EXISTS (SELECT 1 FROM fsub WHERE fsub.t = tsb AND fsub.a = asub)) AND (tbt = 'unknown' OR EXISTS (SELECT 1 FROM fbug WHERE fbug.t = tbt AND fbug.a = abug)) QUALIFY pos <= 100"""
 values("fbug(t, a)", [(t, a) for t in tx.BUG_TYPES if t != "unknown" for a in kn.BUG_TYPE_GROUPS.get(t, [t])])
+cte("qtop", "qsim qs an fsub fbug", _qtop)
 cte("qrank", "qs qtop commits an v1c fsub fbug", f"""SELECT qid, id, s, commit_hash, subject, row_number() OVER (PARTITION BY qid ORDER BY round(bs, 10) DESC, unc, pos) AS rank FROM (
     SELECT *, greatest(0, least(1, s)) * {_boost} * CASE WHEN tm IS NULL THEN 1.0 ELSE {vweight('tm', 'tn').replace('kmajor', 'v_major').replace('kminor', 'v_minor')} END AS bs, tm IS NOT NULL AND coalesce(v_major > tm, TRUE) AS unc FROM (
-      SELECT t.*, a.commit_hash, a.subject, a.fix_tags, a.subsystem, a.bug_type, a.date, v1c.major AS v_major, v1c.minor AS v_minor, tsb, tbt, CASE WHEN tkv <> '' THEN regexp_extract(tkv, '(\\d+)\\.(\\d+)', 1)::INT END AS tm,
+      SELECT t.qid, t.id, t.s, t.pos, a.commit_hash, a.subject, a.fix_tags, v1c.major AS v_major, v1c.minor AS v_minor, CASE WHEN tkv <> '' THEN regexp_extract(tkv, '(\\d+)\\.(\\d+)', 1)::INT END AS tm,
         CASE WHEN tkv <> '' THEN regexp_extract(tkv, '(\\d+)\\.(\\d+)', 2)::INT END AS tn, a.commit_hash = '' OR row_number() OVER (PARTITION BY t.qid, a.commit_hash ORDER BY t.pos) = 1 AS uniq
       FROM qtop t JOIN an a ON a.doc_id = t.id JOIN v1c ON v1c.doc_id = t.id JOIN qs USING (qid)) z
-    WHERE uniq AND (tsb = 'unknown' OR EXISTS (SELECT 1 FROM fsub WHERE fsub.t = tsb AND fsub.a = z.subsystem)) AND (tbt = 'unknown' OR EXISTS (SELECT 1 FROM fbug WHERE fbug.t = tbt AND fbug.a = z.bug_type)))""")
-oracle("k18_diagnose", "rq qs qrank", """SELECT crash_id, rank::BIGINT AS rank, root_cause, commit_hash, subject, round(greatest(0, least(1, s)), 6)::DOUBLE AS final_score FROM rq JOIN qs ON qs.retrieval_query = rq.retrieval_query AND tsb = subsystem AND tbt = nb AND tkv = kernel_version
-    JOIN qrank USING (qid) WHERE rank <= 3""")
+    WHERE uniq)""")
+oracle("k18_diagnose", "rq qs qrank", """SELECT crash_id, rank::BIGINT AS rank, root_cause, commit_hash, subject, CASE WHEN s IS NOT NULL THEN round(greatest(0, least(1, s)), 6)::DOUBLE END AS final_score FROM rq JOIN qs ON qs.retrieval_query = rq.retrieval_query AND tsb = subsystem AND tbt = nb AND tkv = kernel_version
+    LEFT JOIN (SELECT * FROM qrank WHERE rank <= 3) r USING (qid)""")
 
 # --- aggregation, paging, maintenance -----------------------------------------------------------
 

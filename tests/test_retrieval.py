@@ -62,7 +62,7 @@ def test_scalar_filter_is_pushed_to_the_scan(spark, tmp_path):
 
 def test_numbering_chunks_and_top_n(spark):
     df = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    got = [r.row_no for r in ag.dense_number(df, "k", width=50).orderBy("k").collect()]
+    got = [r.row_no for r in ag.dense_number(df, "k").orderBy("k").collect()]
     assert got == list(range(143))
     sizes = [r["count"] for r in ag.even_chunks(df, "k", 4).groupBy("chunk_no").count().orderBy("chunk_no").collect()]
     assert sizes == [36, 36, 36, 35]
