@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, spare, text_of
+from .shared import cut, hinted, spare, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -326,8 +326,8 @@ def _linked(docs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
     members = cut(members.join(full, "key"), "members")  # key, node, doc_id, first
 
     star = cut(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    used = members.select(F.col("doc_id").alias("_used")).distinct()
-    source = docs.join(used, F.col("doc_id").eqNullSafe(F.col("_used")), "left_semi")
+    used = cut(members.select(F.col("doc_id").alias("_used")).distinct(), "used")
+    source = docs.join(hinted(used, 16), F.col("doc_id").eqNullSafe(F.col("_used")), "left_semi")
     names = cut(_names(source).dropDuplicates(["node"]), "names")
     links = cut(similar_pairs(star, names, similarity), "links")
     roots = components(links)
@@ -362,12 +362,16 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows that repeat both doc_id and text stay once; rows without doc_id stay.
     """
-    kept_id, kept_rows = spare(docs, "_kept"), spare(docs, "_rows")
-    kept = (classes(docs, similarity).filter("doc_id = class_id").groupBy(F.col("doc_id").alias(kept_id))
-            .agg(F.count(F.lit(1)).alias(kept_rows)))
-    kept = cut(kept, "kept")
-    out = docs.join(kept, F.col("doc_id") == F.col(kept_id), "inner")
-    if not kept.filter(F.col(kept_rows) > 1).isEmpty():
-        once = out.filter(F.col(kept_rows) > 1).dropDuplicates(["doc_id", "text"])
-        out = out.filter(F.col(kept_rows) == 1).unionByName(once)
-    return out.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    name = spare(docs, "_id")
+    mine = F.col("doc_id") == F.col("class_id")
+    ids = cut(classes(docs, similarity).filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(name))
+              .agg(F.count_if(mine).alias("kept")), "kept")
+    # few are dropped or repeated, so their ids are mostly small enough to go to the texts, not the texts to them
+    among = lambda rows: hinted(ids.filter(rows).select(name), 16)
+    same = F.col("doc_id") == F.col(name)
+    out = docs.join(among("kept = 0"), same, "left_anti")
+    repeated = ids.filter("kept > 1").select(name)
+    if not repeated.isEmpty():
+        once = out.join(among("kept > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(among("kept > 1"), same, "left_anti").unionByName(once)
+    return out

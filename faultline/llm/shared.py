@@ -35,6 +35,14 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows fit into BROADCAST_BYTES; beyond that Spark joins by shuffling."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have in any case."""
     taken = {c.lower() for c in df.columns}
