@@ -23,7 +23,7 @@ def _release_case(day: Column, strict: bool, value) -> Column:
     """CASE over the fixed releases, newest first: ``value(major, minor)`` of the first one before
     (``strict``) or on/before ``day``; null when there is none.  An as-of lookup without a join."""
     out = F
-    for a, b, d in sorted(KERNEL_RELEASES, key=lambda r: r[2], reverse=True):
+    for a, b, d in KERNEL_RELEASES:
         major, minor = value(a, b)
         out = out.when((day > d) if strict else (day >= d), F.struct(F.lit(major).alias("major"), F.lit(minor).alias("minor")))
     return out
@@ -36,7 +36,7 @@ def _following(major: int, minor: int) -> tuple[int, int]:
 def resolve_version(date: Column) -> Column:
     """First release that can contain a commit of this date: struct(major, minor), null if invalid."""
     day = iso_day(date)
-    first = min(KERNEL_RELEASES, key=lambda r: r[2])
+    first = KERNEL_RELEASES[-1]
     oldest = F.struct(F.lit(first[0]).alias("major"), F.lit(first[1]).alias("minor"))
     return F.when(day.isNotNull(), _release_case(day, True, _following).otherwise(oldest))
 

@@ -40,6 +40,31 @@ def join_diffs(df: DataFrame) -> DataFrame:
     return df.withColumn("diff_content", F.array_join(diffs, "\n"))
 
 
+def changed_files(df: DataFrame) -> DataFrame:
+    """files_changed, file_changes, insertions and deletions of a commit's unified diff.
+
+    A file's section begins at its "diff --git" line and is named by its new path (the old one of a deleted file).  Lines count
+    within hunks, so the file headers do not.  Merges and empty diffs have no files.
+    """
+    sections = F.filter(F.split(F.concat(F.lit("\n"), F.coalesce(_C("diff_content"), F.lit(""))), r"\ndiff --git "), lambda s: F.contains(s, F.lit(" b/")))
+
+    def change(section: Column) -> Column:
+        lines = F.split(section, "\n")
+        hunks = F.slice(lines, F.greatest(F.coalesce(F.array_position(F.transform(lines, lambda l: l.startswith("@@")), True), F.lit(0)), F.lit(1)).cast("int"),
+                        F.size(lines))
+        body = F.when(F.contains(section, F.lit("\n@@")), hunks).otherwise(F.array().cast("array<string>"))
+        count = lambda sign: F.size(F.filter(body, lambda l: l.startswith(sign)))
+        gone = F.contains(section, F.lit("\n+++ /dev/null"))
+        name = F.when(gone, F.regexp_extract(section, r"^a/(.*) b/", 1)).otherwise(F.regexp_extract(section, r"^.* b/(.*)", 1))
+        return F.struct(name.alias("filename"), F.lit(0).alias("complexity"), F.array().cast("array<string>").alias("methods"),
+                        F.transform(F.filter(body, lambda l: l.startswith("+")), lambda l: F.substring(l, F.lit(2), F.length(l))).alias("diff_parsed_added"),
+                        count("+").alias("added_lines"), count("-").alias("deleted_lines"), F.concat(F.lit("diff --git "), section).alias("diff"))
+    total = lambda name: F.aggregate(F.col("file_changes"), F.lit(0), lambda a, f: a + f[name])
+    return (df.withColumn("file_changes", F.transform(sections, change))
+            .withColumns({"files_changed": F.transform("file_changes", lambda f: f["filename"]),
+                          "insertions": total("added_lines"), "deletions": total("deleted_lines")}))
+
+
 def extract_keywords(df: DataFrame) -> DataFrame:
     """References, CVE ids, Cc: stable and person tags, in that order."""
     text = F.concat(F.coalesce(_C("subject"), F.lit("")), F.lit("\n"), F.coalesce(_C("body"), F.lit("")))

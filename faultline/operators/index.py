@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.stage import cut
 from . import commits as co, vectors as ve
 
 _C = F.col
@@ -35,8 +36,13 @@ def store_row(df: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
 
 
 def write_index(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
-    """Parquet by subsystem.  Rows are spread by (subsystem, hash salt) so a big subsystem is many files."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("commit_hash", "id"), F.lit(16)))
+    """Parquet by subsystem.  Each subsystem is spread over as many tasks and files as its counted rows need."""
+    counts = {r.subsystem: r["count"] for r in df.groupBy("subsystem").count().collect()}  # one row per subsystem
+    files = F.lit(1)
+    for name, n in counts.items():
+        if n > rows_per_file:
+            files = F.when(_C("subsystem") == name, F.lit(-(-n // rows_per_file))).otherwise(files)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("commit_hash", "id"), files))
     (salted.repartition("subsystem", "_salt").drop("_salt").write.mode(mode)
      .option("maxRecordsPerFile", rows_per_file).partitionBy("subsystem").parquet(path))
 
@@ -45,16 +51,44 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def new_rows(rows: DataFrame, index: DataFrame, key: str = "commit_hash") -> DataFrame:
-    """Rows whose key is not in the index yet (anti join); empty keys always count as new."""
-    known = index.where(_C(key) != "").select(key).distinct()
-    return rows.join(known, key, "left_anti")
+def exists_index(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_index(spark: SparkSession, path: str) -> bool:
+    """Delete an index; False where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def new_rows(rows: DataFrame, index: DataFrame, key: str = "commit_hash", row_id: str | None = None) -> DataFrame:
+    """Rows whose key is not in the index yet (anti join).
+
+    Rows with an empty key have no name: they always count as new, or with ``row_id`` unless the index has an empty-key row
+    of that id.  With ``row_id`` a key that is repeated in ``rows`` also goes in once, with its smallest id.
+    """
+    if row_id is None:
+        return rows.join(index.where(_C(key) != "").select(key).distinct(), key, "left_anti")
+    named = F.coalesce(_C(key), F.lit("")) != ""
+    known = index.select(F.coalesce(_C(key), F.lit("")).alias("_k"), F.when(~named, _C(row_id)).alias("_i")).distinct()
+    first = rows.where(named).groupBy(_C(key).alias("_k")).agg(F.min(row_id).alias("_i"))
+    keyed = rows.withColumns({"_key": F.coalesce(_C(key), F.lit("")), "_row": _C(row_id)})
+    once = keyed.join(first, (_C("_key") == _C("_k")) & (_C("_row") == _C("_i")), "left_semi")
+    nameless = keyed.where("_key = ''").dropDuplicates(["_row"])
+    kept = once.unionByName(nameless)
+    mark = F.when(_C("_key") == "", _C("_row"))
+    return kept.join(known, (_C("_key") == _C("_k")) & mark.eqNullSafe(_C("_i")), "left_anti").drop("_key", "_row")
 
 
 def append_index(rows: DataFrame, path: str) -> None:
-    """Incremental append of not yet indexed commits."""
+    """Incremental append of not yet indexed commits; an index that does not exist is made.  Appending again adds nothing."""
     spark = rows.sparkSession
-    write_index(new_rows(rows, read_index(spark, path)), path, mode="append")
+    if exists_index(spark, path):
+        write_index(cut(new_rows(rows, read_index(spark, path), row_id="id")), path, mode="append")
+    else:
+        empty = spark.createDataFrame([], rows.schema)
+        write_index(cut(new_rows(rows, empty, row_id="id")), path)
 
 
 def resume_since(spark: SparkSession, path: str) -> str | None:

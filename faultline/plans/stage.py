@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the input when it has fewer partitions than cores (few or unsplittable files)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -15,18 +18,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder.  Only a local master without one gets a temporary folder: executors elsewhere would not see it."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="faultline-")
         sc.setCheckpointDir(path)
     return path
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stage tables that this process wrote; returns their number.  Call it when their results are stored."""
+    n = len(_WRITTEN)
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage and read it back: later stages prune columns, push filters, see sizes, and a
     lost executor re-reads the table instead of recomputing the stage."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

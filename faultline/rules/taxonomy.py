@@ -208,18 +208,18 @@ KEY_LINE_WORDS_SIMPLE = [
     "WARN", "atomic_inc", "atomic_dec", "atomic_read",
 ]
 
-# (major, minor, release date), oldest first.
+# (major, minor, release date), newest first.
 KERNEL_RELEASES = [
-    (4, 9, "2016-12-11"), (4, 10, "2017-02-19"), (4, 11, "2017-04-30"), (4, 12, "2017-07-02"),
-    (4, 13, "2017-09-03"), (4, 14, "2017-11-12"), (4, 15, "2018-01-28"), (4, 16, "2018-04-01"),
-    (4, 17, "2018-06-03"), (4, 18, "2018-08-12"), (4, 19, "2018-10-22"), (4, 20, "2018-12-23"),
-    (5, 0, "2019-03-03"), (5, 1, "2019-05-05"), (5, 2, "2019-07-07"), (5, 3, "2019-09-15"),
-    (5, 4, "2019-11-24"), (5, 5, "2020-01-26"), (5, 6, "2020-03-29"), (5, 7, "2020-05-31"),
-    (5, 8, "2020-08-02"), (5, 9, "2020-10-11"), (5, 10, "2020-12-13"), (5, 11, "2021-02-14"),
-    (5, 12, "2021-04-25"), (5, 13, "2021-06-27"), (5, 14, "2021-08-29"), (5, 15, "2021-10-31"),
-    (5, 16, "2022-01-09"), (5, 17, "2022-03-20"), (5, 18, "2022-05-22"), (5, 19, "2022-07-31"),
-    (6, 0, "2022-10-02"), (6, 1, "2022-12-11"), (6, 2, "2023-02-19"), (6, 3, "2023-04-23"),
-    (6, 4, "2023-06-25"), (6, 5, "2023-08-27"), (6, 6, "2023-10-29"), (6, 7, "2024-01-07"),
-    (6, 8, "2024-03-10"), (6, 9, "2024-05-12"), (6, 10, "2024-07-14"), (6, 11, "2024-09-15"),
-    (6, 12, "2024-12-01"),
+    (6, 12, "2024-12-01"), (6, 11, "2024-09-15"), (6, 10, "2024-07-14"), (6, 9, "2024-05-12"),
+    (6, 8, "2024-03-10"), (6, 7, "2024-01-07"), (6, 6, "2023-10-29"), (6, 5, "2023-08-27"),
+    (6, 4, "2023-06-25"), (6, 3, "2023-04-23"), (6, 2, "2023-02-19"), (6, 1, "2022-12-11"),
+    (6, 0, "2022-10-02"), (5, 19, "2022-07-31"), (5, 18, "2022-05-22"), (5, 17, "2022-03-20"),
+    (5, 16, "2022-01-09"), (5, 15, "2021-10-31"), (5, 14, "2021-08-29"), (5, 13, "2021-06-27"),
+    (5, 12, "2021-04-25"), (5, 11, "2021-02-14"), (5, 10, "2020-12-13"), (5, 9, "2020-10-11"),
+    (5, 8, "2020-08-02"), (5, 7, "2020-05-31"), (5, 6, "2020-03-29"), (5, 5, "2020-01-26"),
+    (5, 4, "2019-11-24"), (5, 3, "2019-09-15"), (5, 2, "2019-07-07"), (5, 1, "2019-05-05"),
+    (5, 0, "2019-03-03"), (4, 20, "2018-12-23"), (4, 19, "2018-10-22"), (4, 18, "2018-08-12"),
+    (4, 17, "2018-06-03"), (4, 16, "2018-04-01"), (4, 15, "2018-01-28"), (4, 14, "2017-11-12"),
+    (4, 13, "2017-09-03"), (4, 12, "2017-07-02"), (4, 11, "2017-04-30"), (4, 10, "2017-02-19"),
+    (4, 9, "2016-12-11"),
 ]

@@ -5,52 +5,74 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators import commits as co
 
 GITLOG_SCHEMA = ("commit_hash string, author string, email string, date string, committer_date string, parents string, "
-                 "message string, diff_content string")
+                 "message string, diff_content string, pos bigint")
 # git log --format=%x1e%H%x1f%an%x1f%ae%x1f%ad%x1f%cd%x1f%P%x1f%B%x1f -p --date=format:'%Y-%m-%d %H:%M:%S'
 RECORD, FIELD = "\x1e", "\x1f"
 
 
+SPLIT_BYTES = 64 << 20
+
+
 class _Dump(InputPartition):
-    def __init__(self, path: str, since: str | None):
-        self.path, self.since = path, since
+    def __init__(self, path: str, number: int, lo: int, hi: int, since: str | None, to: str | None):
+        self.path, self.number, self.lo, self.hi, self.since, self.to = path, number, lo, hi, since, to
 
 
 class GitLogReader(DataSourceReader):
-    """One partition per dump file; a lower bound on ``date`` is applied while reading."""
+    """Byte ranges of dump files, cut at record marks; the options since and to bound ``date`` while reading."""
 
-    def __init__(self, path: str):
-        self.path, self.since = path, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("date",):
-                self.since = max(self.since or "", f.value)
-            yield f  # Spark re-checks the predicate
+    def __init__(self, path: str, split_bytes: int, since: str | None, to: str | None):
+        self.path, self.split_bytes, self.since, self.to = path, split_bytes, since, to
 
     def partitions(self):
         files = [self.path] if os.path.isfile(self.path) else sorted(
             os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names)
-        return [_Dump(p, self.since) for p in files]
+        return [_Dump(p, k, lo, lo + self.split_bytes, self.since, self.to) for k, p in enumerate(files)
+                for lo in range(0, max(1, os.path.getsize(p)), self.split_bytes)]
 
     def read(self, part: _Dump):
-        for record in _records(part.path):
-            fields = record.split(FIELD)
-            if len(fields) == 8 and (part.since is None or fields[3] >= part.since):
-                yield tuple(x.strip("\n") for x in fields)
-
-
-def _records(path: str, size: int = 1 << 20):
-    """Records of a dump, read in blocks (a dump may be larger than memory)."""
-    tail = ""
-    with open(path, encoding="utf-8", errors="replace", newline="") as f:
-        while block := f.read(size):
-            *done, tail = (tail + block).split(RECORD)
-            yield from (r for r in done if r)
-    if tail:
-        yield tail
+        for at, record in _records(part.path, part.lo, part.hi):
+            fields = record.decode("utf-8", "replace").split(FIELD)
+            if len(fields) == 8 and (part.since is None or fields[3] >= part.since) and (part.to is None or fields[3] <= part.to):
+                yield (*(x.strip("\n") for x in fields), (part.number << 44) + at)
+
+
+def _records(path: str, lo: int, hi: int, size: int = 1 << 20):
+    """(place, record) of the records whose mark lies in [lo, hi); a dump may be larger than memory."""
+    mark = RECORD.encode()
+    with open(path, "rb") as f:
+        f.seek(lo)
+        at, held, started = lo, b"", False
+        while True:
+            block = f.read(size)
+            held += block
+            while True:
+                if not started:
+                    begin = held.find(mark)
+                    if begin < 0:
+                        at, held = at + len(held), b""
+                        break
+                    at, held, started = at + begin, held[begin + 1:], True
+                    if at >= hi:
+                        return
+                end = held.find(mark)
+                if end < 0:
+                    break
+                yield at, held[:end]
+                at, held = at + 1 + end, held[end + 1:]
+                if at >= hi:
+                    return
+            if not block:
+                if started:
+                    yield at, held
+                return
+            if not started and at >= hi:
+                return
 
 
 class GitLogSource(DataSource):
@@ -62,17 +84,20 @@ class GitLogSource(DataSource):
         return GITLOG_SCHEMA
 
     def reader(self, schema) -> GitLogReader:
-        return GitLogReader(self.options["path"])
+        return GitLogReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)), self.options.get("since"), self.options.get("to"))
 
 
-def read_git_log(spark: SparkSession, path: str) -> DataFrame:
-    """Dumps to commits: subject = first line, body = whole message, merge flag from the parents."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_git_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, since: str | None = None, to: str | None = None) -> DataFrame:
+    """Dumps to commits, ready for the index: subject = first line, body = whole message, merge flag from the parents, changed
+    files and lines from the diff.  The reader skips commits outside [since, to]; ``pos`` grows with the place in the dump."""
     spark.dataSource.register(GitLogSource)
-    df = spark.read.format("gitlog").option("path", path).load()
+    reader = spark.read.format("gitlog").option("path", path).option("splitBytes", str(split_bytes))
+    for name, value in (("since", since), ("to", to)):
+        reader = reader.option(name, value) if value else reader
+    df = reader.load()
     return (df.withColumn("subject", F.substring_index("message", "\n", 1)).withColumn("body", F.col("message"))
             .withColumn("parent_hashes", F.filter(F.split("parents", " "), lambda p: p != ""))
-            .withColumn("is_merge", F.size("parent_hashes") > 1).drop("message", "parents"))
+            .withColumn("is_merge", F.size("parent_hashes") > 1).drop("message", "parents")).transform(co.changed_files)
 
 
 def read_commits(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, since: str | None = None,

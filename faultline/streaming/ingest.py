@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import commits as co, index as ix
 from ..plans import retrieval as rt
-from ..plans.stage import cut
 
 
 def stream_commits(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -25,19 +24,10 @@ def diagnose_stream(logs: DataFrame) -> DataFrame:
 def index_stream(commits: DataFrame, index_path: str, checkpoint: str, dim: int = 512):
     """Append each micro-batch to the index; returns the started query.
 
-    A batch that is retried after a failure adds nothing twice: rows whose hash is already in the
-    index are anti-joined away, and the checkpoint resumes where the last batch ended.
+    A batch that is retried after a failure adds nothing twice: rows that the index has by hash, or by id where the hash
+    is empty, are anti-joined away, and the checkpoint resumes where the last batch ended.
     """
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = ix.index_rows(batch.dropDuplicates(["commit_hash", "pos"]), dim)
-        try:
-            known = ix.read_index(spark, index_path)
-        except Exception as e:  # first batch: nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ix.write_index(cut(rows), index_path)
-            return
-        ix.write_index(ix.new_rows(cut(rows), known), index_path, mode="append")
+        ix.append_index(ix.index_rows(batch, dim), index_path)
     return (commits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

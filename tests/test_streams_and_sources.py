@@ -44,16 +44,29 @@ def test_task_rows_keep_the_latest(spark, tmp_path):
 
 
 def test_index_stream_equals_batch_and_is_idempotent(spark, tmp_path):
-    commits = vw.commits(spark, SF).where("commit_hash <> ''").dropDuplicates(["commit_hash"])
+    commits = vw.commits(spark, SF).withColumn("commit_hash", F.when(F.col("pos") % 20 == 0, "").otherwise(F.col("commit_hash")))
+    assert commits.where("commit_hash = ''").count() > 1 and commits.select("commit_hash").distinct().count() < commits.count()
     commits.repartition(2).write.parquet(str(tmp_path / "in"))
     path = str(tmp_path / "index")
     for run in ("a", "b"):  # a fresh checkpoint replays everything
         src = ingest.stream_commits(spark, str(tmp_path / "in"), commits.schema, 1)
         ingest.index_stream(src, path, str(tmp_path / run)).awaitTermination()
-    want = {(r.commit_hash, r.subsystem, r.bug_type, r.score) for r in ix.index_rows(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    every = ix.index_rows(spark.read.parquet(str(tmp_path / "in"))).collect()
     rows = ix.read_index(spark, path).collect()
-    assert {(r.commit_hash, r.subsystem, r.bug_type, r.score) for r in rows} == want and len(rows) == len(want)
+    # each hash once, whichever of its rows came first, and each row without hash once
+    assert sorted(r.commit_hash for r in rows if r.commit_hash) == sorted({r.commit_hash for r in every} - {""})
+    assert sorted(r.id for r in rows if not r.commit_hash) == sorted(r.id for r in every if not r.commit_hash)
+    of = {r.id: (r.commit_hash, r.subsystem, r.bug_type, r.score) for r in every}
+    assert all(of[r.id] == (r.commit_hash, r.subsystem, r.bug_type, r.score) for r in rows)
+    assert ix.exists_index(spark, path)
     assert ix.resume_since(spark, path) < max(r.date for r in rows if r.date[:2] == "20")
+    assert ix.drop_index(spark, path) and not ix.exists_index(spark, path)
+
+
+def test_large_subsystem_is_spread_over_files(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "mm").otherwise("fs").alias("subsystem"), F.col("id").cast("string").alias("commit_hash"))
+    ix.write_index(df, str(tmp_path / "i"), rows_per_file=200)
+    assert len(list((tmp_path / "i" / "subsystem=mm").glob("*.parquet"))) >= 5 and len(list((tmp_path / "i" / "subsystem=fs").glob("*.parquet"))) == 1
 
 
 def test_git_log_source(spark, tmp_path):
@@ -64,9 +77,34 @@ def test_git_log_source(spark, tmp_path):
     assert [(r.commit_hash, r.subject, r.is_merge) for r in df.orderBy("commit_hash").collect()] == [
         ("h1", "fix 1", False), ("h2", "fix 2", False), ("h3", "fix 3", True)]
     assert df.where("date >= '2020-01-02'").count() == 2
+    assert [r.commit_hash for r in sc.read_git_log(spark, str(tmp_path), since="2020-01-02", to="2020-01-02 23").collect()] == ["h2"]
     assert sc.scan_options(df, since="2020-01-02").count() == 1
 
 
+def test_dump_to_index_and_back(spark, tmp_path):
+    diff = ("diff --git a/mm/slub.c b/mm/slub.c\nindex 1..2 100644\n--- a/mm/slub.c\n+++ b/mm/slub.c\n@@ -1,2 +1,3 @@ void f(void)\n-kfree(p);\n+spin_lock(&l);\n+kfree(p);\n"
+            "+++ odd line\ndiff --git a/fs/old.c b/fs/old.c\ndeleted file mode 100644\n--- a/fs/old.c\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone\n"
+            "diff --git a/fs/a.c b/fs/b.c\nsimilarity index 100%\nrename from fs/a.c\nrename to fs/b.c")
+    rec = "".join(f"\x1eh{i:03d}\x1fJane é\x1fj@x.org\x1f2020-01-{i % 28 + 1:02d} 10:00:00\x1f2020-01-01 11:00:00\x1fp1\x1fmm: fix use-after-free {i}\n\nbody {'x' * (i * 7 % 50)}\x1f\n{diff}\n"
+                  for i in range(60))
+    (tmp_path / "dump.txt").write_text(rec, encoding="utf-8")
+    whole = sc.read_git_log(spark, str(tmp_path)).collect()
+    for size in (97, 1000, 5000):  # ranges that begin anywhere in a record
+        assert sorted(sc.read_git_log(spark, str(tmp_path), size).collect()) == sorted(whole)
+    assert len({r.pos for r in whole}) == len(whole) == 60
+    r = min(whole, key=lambda r: r.pos)
+    assert r.commit_hash == "h000" and r.files_changed == ["mm/slub.c", "fs/old.c", "fs/b.c"] and (r.insertions, r.deletions) == (3, 2)
+    assert [(f.added_lines, f.deleted_lines) for f in r.file_changes] == [(3, 1), (0, 1), (0, 0)]
+    df = sc.scan_options(sc.read_git_log(spark, str(tmp_path)), since="2020-01-05", to="2020-01-10", filepath="mm/slub.c")
+    assert {r.date[:10] for r in df.collect()} == {f"2020-01-{d:02d}" for d in range(5, 10)}
+    path = str(tmp_path / "index")
+    ix.append_index(ix.index_rows(sc.read_git_log(spark, str(tmp_path))), path)
+    ix.append_index(ix.index_rows(sc.read_git_log(spark, str(tmp_path), 500)), path)
+    back = ix.read_index(spark, path).collect()
+    assert sorted(r.commit_hash for r in back) == [f"h{i:03d}" for i in range(60)]
+    assert {(r.subsystem, r.bug_type) for r in back} == {("mm", "use_after_free")} and all(r.lock_added for r in back)
+
+
 def test_log_source(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Oops: 1\nCall Trace:\n f+0x1/0x2\n")
     r = ingest.diagnose_stream(sl.read_logs(spark, str(tmp_path))).first()
