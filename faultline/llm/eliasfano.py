@@ -23,10 +23,10 @@ _PLACE = np.stack([np.where(_ONES > r, (_BITS.cumsum(1) > r).argmax(1), 0) for r
 
 
 class EliasFano:
-    """A non-decreasing sequence of numbers below 2^63."""
+    """A non-decreasing sequence of numbers below 2^63, kept as distances to the first (a shard's names fill a small range)."""
 
-    def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
-        self.n, self.low_bits = n, low_bits
+    def __init__(self, n: int, low_bits: int, least: int, lows: np.ndarray, highs: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.least = n, low_bits, _U(least)
         self.lows, self.highs = lows, highs  # packed low parts; unary high parts (a one for each number, a zero for each bucket's end)
         self.zeros, self.ones = zeros, ones  # how many zeros and ones lie before each word of highs
 
@@ -34,6 +34,8 @@ class EliasFano:
     def build(cls, values: np.ndarray) -> "EliasFano":
         values = np.asarray(values, _U)
         n = len(values)
+        least = int(values[0]) if n else 0
+        values = values - _U(least)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(1, n)).bit_length() - 1)
         high = (values >> _U(low_bits)).astype(np.int64)
@@ -45,7 +47,7 @@ class EliasFano:
         count = bits.reshape(-1, 64).sum(1, dtype=np.int64)
         ones = np.concatenate([[0], count.cumsum()]).astype("<i8")
         zeros = (np.arange(len(ones), dtype=np.int64) * 64 - ones).astype("<i8")
-        return cls(n, low_bits, cls._pack(values, low_bits), highs, zeros, ones)
+        return cls(n, low_bits, least, cls._pack(values, low_bits), highs, zeros, ones)
 
     @staticmethod
     def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +93,7 @@ class EliasFano:
         """The numbers at these places."""
         def part(i):
             high = self._select(i, self.ones, True) - i
-            return (high.astype(_U) << _U(self.low_bits)) | self._low(i)
+            return ((high.astype(_U) << _U(self.low_bits)) | self._low(i)) + self.least
         return self._in_batches(part, np.asarray(index, np.int64)).astype(_U)
 
     def successor(self, value: np.ndarray) -> np.ndarray:
@@ -107,6 +109,8 @@ class EliasFano:
 
     def _search(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Successors' places, and whether they equal the values."""
+        below = value < self.least
+        value = np.where(below, _U(0), value - self.least)
         high = (value >> _U(self.low_bits)).astype(np.int64)
         low = value & _U((1 << self.low_bits) - 1)
         buckets = int(self.zeros[-1])  # every bucket up to that of the largest number ends in a zero
@@ -120,22 +124,22 @@ class EliasFano:
             todo = todo[(self.highs[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1]
             found = self._low(place[todo])
             smaller = found < low[todo]
-            equal[todo] = found == low[todo]
+            equal[todo] = (found == low[todo]) & ~below[todo]
             todo = todo[smaller]
             bit[todo] += 1
             place[todo] += 1
         return place, equal
 
     def arrays(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.low_bits, len(self.lows), len(self.highs)], "<i8"), self.lows, self.highs, self.zeros, self.ones]
+        return [np.array([self.n, self.low_bits, int(self.least), len(self.lows), len(self.highs)], "<i8"), self.lows, self.highs, self.zeros, self.ones]
 
     @classmethod
     def read(cls, words: np.ndarray, at: int) -> tuple["EliasFano", int]:
         """A sequence at a place of a buffer of 64-bit words, and the place after it."""
-        n, low_bits, lows, highs = (int(x) for x in words[at:at + 4])
-        cut = np.cumsum([at + 4, lows, highs, highs + 1, highs + 1])
+        n, low_bits, least, lows, highs = (int(x) for x in words[at:at + 5])
+        cut = np.cumsum([at + 5, lows, highs, highs + 1, highs + 1])
         parts = [words[a:b] for a, b in zip(cut, cut[1:])]
-        return cls(n, low_bits, parts[0], parts[1], parts[2].view("<i8"), parts[3].view("<i8")), int(cut[-1])
+        return cls(n, low_bits, least, parts[0], parts[1], parts[2].view("<i8"), parts[3].view("<i8")), int(cut[-1])
 
     @property
     def bits(self) -> int:

@@ -26,7 +26,7 @@ from .shared import crc_of_id, cut, file_system, fresh_path, text_of
 
 ORDER = 2
 BLOCK_TOKENS = 1_000_000
-SHARD_NGRAMS = 1_500_000
+SHARD_NGRAMS = 1_000_000
 HEAVY_SHARE = 0.001
 GRID = (1.0, 5.0, 25.0, 100.0, 400.0, 1600.0)
 EXACT, RATIO = 32, 1.115  # codes of counts: each up to EXACT, then steps of RATIO
@@ -245,11 +245,11 @@ def ngram_codes(table: DataFrame, k: int, parts: int, heavy: dict[int, float], f
         contexts = [np.frombuffer(x, "<u8") for x in rows["contexts"]]
         sizes = [np.frombuffer(x, "<u4") for x in rows["sizes"]]
         distinct, place = np.unique(np.concatenate(contexts), return_inverse=True)
-        context = np.repeat(place, np.concatenate(sizes))
+        key = np.repeat(place.astype(_U) << _U(40), np.concatenate(sizes))
         word = np.concatenate([np.frombuffer(x, "<u4") for x in rows["low"]]).astype(_U)
         word |= np.concatenate([np.frombuffer(x, np.uint8) for x in rows["high"]]).astype(_U) << _U(32)
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
-        key = context.astype(_U) << _U(40) | word
+        key |= word
         trained = np.nonzero(counts)[0]
         known, inverse = np.unique(key[trained], return_inverse=True)
         total = np.bincount(inverse, counts[trained], len(known))
@@ -295,25 +295,26 @@ def _score_block(row, answers: pd.DataFrame, order: int, parts: int, heavy: dict
     count[np.argsort(names)] = np.concatenate(by_order[1])
     total = float(tokens + distinct + 1)
     base = np.log10((count + 1) / total)
-    # probabilities of each token, and with its own occurrence left out, for every m of the grid
-    p = np.repeat(((count + 1) / total)[codes][None], len(GRID), 0)
-    q = np.repeat((np.maximum(count, 1) / (total - 1))[codes][None], len(GRID), 0)
-    of_context = None
     starts = np.cumsum(lengths) - lengths
-    grid = np.array(GRID)[:, None]
+    per_doc = lambda w: np.bincount(doc, w, len(lengths))
+    levels, of_context = [], count[codes]  # of each token: count of its n-gram, and of the context alone
     for k in range(2, order + 1):
         g = Grams(codes, lengths, names, k)
         c = np.empty(len(g.context))
         c[np.argsort(g.shards(parts, heavy), kind="stable")] = count_table()[np.concatenate(by_order[k])]
-        c = c[g.of]
-        before = np.concatenate([[0], (count[codes] if k == 2 else of_context)[:-1]]).astype(float)
+        before = np.concatenate([[0], of_context[:-1]]).astype(float)
         before[starts] = texts
-        p = (c + grid * p) / (before + grid)
-        q = (np.maximum(c - 1, 0) + grid * q) / (np.maximum(before - 1, 0) + grid)
-        of_context = c
-    per_doc = lambda w: np.bincount(doc, w, len(lengths))
-    scores = np.stack([per_doc(np.log10(x)) for x in p], 1)
-    left_out = np.stack([per_doc(np.log10(x)) for x in q], 1) * ~held[:, None]
+        of_context = c[g.of]
+        levels.append((of_context, before))
+        del g
+    scores, left_out = np.empty((len(lengths), len(GRID))), np.empty((len(lengths), len(GRID)))
+    for j, m in enumerate(GRID):
+        # probabilities of each token, and with its own occurrence left out
+        p, q = ((count + 1) / total)[codes], (np.maximum(count, 1) / (total - 1))[codes]
+        for c, before in levels:
+            p = (c + m * p) / (before + m)
+            q = (np.maximum(c - 1, 0) + m * q) / (np.maximum(before - 1, 0) + m)
+        scores[:, j], left_out[:, j] = per_doc(np.log10(p)), per_doc(np.log10(q)) * ~held
     ids, known = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.known_ids, np.uint8)
     return pd.DataFrame({"doc_id": [str(i) if ok else None for i, ok in zip(ids.tolist(), known.tolist())], "held_out": held, "n_tokens": lengths,
                          "n_known": per_doc((count > 0)[codes]).astype(np.int64), "base_score": per_doc(base[codes]), "scores": list(scores),
