@@ -208,3 +208,22 @@ def json_from_answer(answer: Column, schema) -> Column:
     fenced = F.regexp_extract(answer, r"```(?:json)?\s*([\s\S]*?)\s*```", 1)
     braces = F.regexp_extract(answer, r"\{[\s\S]*\}", 0)
     return F.coalesce(attempt(answer), attempt(fenced), attempt(braces))
+
+
+def flattened(schema, sep: str = ".", parent: str = "") -> list[Column]:
+    """The leaves of nested structs as columns named by their path; arrays and maps are leaves."""
+    from pyspark.sql.types import StructType
+    out = []
+    for f in schema.fields:
+        path = f"{parent}.`{f.name}`" if parent else f"`{f.name}`"
+        if isinstance(f.dataType, StructType):
+            out += [c.alias(f"{f.name}{sep}{n}") for n, c in zip(leaf_names(f.dataType, sep), flattened(f.dataType, sep, path))]
+        else:
+            out.append(F.col(path).alias(f.name))
+    return out
+
+
+def leaf_names(schema, sep: str = ".") -> list[str]:
+    from pyspark.sql.types import StructType
+    return [f"{f.name}{sep}{n}" if isinstance(f.dataType, StructType) else f.name for f in schema.fields
+            for n in (leaf_names(f.dataType, sep) if isinstance(f.dataType, StructType) else [""])]

@@ -20,6 +20,14 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).select("p.*").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def usage(df: DataFrame, by: str, text: str) -> DataFrame:
+    """Calls, characters and words by ``by`` (null: unknown); sums join map-side."""
+    t = F.coalesce(_C(text), F.lit(""))
+    words = F.size(F.filter(F.split(t, " "), lambda w: w != ""))
+    return df.groupBy(F.coalesce(_C(by), F.lit("unknown")).alias(by)).agg(
+        F.count("*").alias("calls"), F.sum(F.char_length(t)).cast("bigint").alias("characters"), F.sum(words).cast("bigint").alias("words"))
+
+
 def status_counts(df: DataFrame, status: str, values: list[str], by: list[str] | None = None) -> DataFrame:
     aggs = [F.count("*").alias("total")] + [F.count_if(_C(status) == v).alias(f"n_{v}") for v in values]
     return (df.groupBy(*by) if by else df).agg(*aggs)

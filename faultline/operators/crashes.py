@@ -293,6 +293,14 @@ def infer_fixes(df: DataFrame, bug_type: str = "bug_type") -> DataFrame:
             .withColumn("search_keywords", fix_keywords(_C(bug_type))))
 
 
+def confirm_fixes(df: DataFrame) -> DataFrame:
+    """Fixes seen in a commit's diff confirm the inferred ones: flags are set and their search words join (sorted, once)."""
+    seen = {"lock": _C("lock_added"), "refcount": _C("refcount_fix"), "rcu": _C("rcu_fix")}
+    words = [F.when(c, F.array(*[F.lit(w) for w in kn.DIFF_EVIDENCE_WORDS[k]])).otherwise(_empty()) for k, c in seen.items()]
+    return df.withColumns({**{f"needs_{k}": _C(f"needs_{k}") | c for k, c in seen.items()},
+                           "search_keywords": F.sort_array(F.array_distinct(F.concat("search_keywords", *words)))})
+
+
 def retrieval_query(df: DataFrame) -> DataFrame:
     """Labelled query text of a diagnosed crash (mirrors the commit embedding text)."""
     known = lambda c: F.when(F.coalesce(_C(c), F.lit("unknown")).isin("unknown", "") == F.lit(False), _C(c))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as nf, text as tf
+from ..rules.knowledge import PATCH_REASONS
 from . import crashes
 
 _C = F.col
@@ -47,6 +48,30 @@ def patch_explanations(df: DataFrame, top: int | None = None) -> DataFrame:
         "affected_path": unknown(F.array_join(folders, ", ")), "reasons": reasons})
 
 
+def rank_reasons(df: DataFrame) -> DataFrame:
+    """Adds ``rank_reasons``: why a patch stands where it does, from its labels and match reasons."""
+    same = lambda a, b: (_C(a) != "unknown") & (_C(a) == _C(b))
+    found = lambda word: F.exists("reasons", lambda r: F.contains(r, F.lit(word)))
+    sub, bug, path, stable = PATCH_REASONS
+    return df.withColumn("rank_reasons", F.array_compact(F.array(
+        F.when(same("subsystem", "crash_subsystem"), F.concat("subsystem", F.lit(sub))),
+        F.when(same("bug_type", "crash_bug_type"), F.concat("bug_type", F.lit(bug))),
+        F.when(found("same path"), F.lit(path)), F.when(found("stable"), F.lit(stable)))))
+
+
+def evidence_table(crash_df: DataFrame, best: DataFrame, key: str = "crash_id") -> DataFrame:
+    """(key, ord, field, value, status): what is known of a crash and its best patch (rank 1 of ``best``, at most one a crash)."""
+    top = best.where("rank = 1").select(_C("query_id").alias(key), _C("vector_score").alias("_v"), _C("reranker_score").alias("_r"))
+    text = lambda c: tf.non_empty(F.coalesce(c, F.lit("")))
+    fields = [("Rule Match", F.coalesce(_C("rule_id"), F.lit("unknown"))), ("Bug Type", _C("bug_type")), ("Subsystem", _C("subsystem")),
+              ("Embedding Score", F.format_number("_v", 2)), ("Rerank Score", F.format_number("_r", 3)),
+              ("Call Trace", text(F.array_join("call_trace", ", "))), ("Kernel Version", text(_C("kernel_version")))]
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("field"), v.alias("value")) for i, (n, v) in enumerate(fields)])
+    return crash_df.join(top, key, "left").select(key, F.explode(rows).alias("e")).select(
+        key, "e.ord", "e.field", F.coalesce("e.value", F.lit("N/A")).alias("value"),
+        F.when(_C("e.value").isNull(), F.lit("Unavailable")).otherwise(F.lit("Available")).alias("status"))
+
+
 def patch_comparison(df: DataFrame, top: int = 5) -> DataFrame:
     """One row per query and dimension, one column per rank (Top1..TopN)."""
     dims = [("子系统", _C("subsystem")), ("Bug类型", _C("bug_type")),

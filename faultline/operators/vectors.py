@@ -268,6 +268,14 @@ def recall_stats(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("hit_count"), F.avg("distance").alias("avg_distance"))
 
 
+def recall_counts(hits: DataFrame) -> DataFrame:
+    """(query_id, facet, value, n): how many hits of a query each subsystem and bug type has, most frequent first in ``place``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for c in ("subsystem", "bug_type")]))
+    counted = hits.select("query_id", pairs.alias("p")).groupBy("query_id", "p.facet", "p.value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("query_id", "facet").orderBy(F.desc("n"), "value")  # as many rows as values
+    return counted.withColumn("place", F.row_number().over(order))
+
+
 def post_filter(hits: DataFrame, expr: str | None) -> DataFrame:
     """Single equality applied after top-k (fewer than k rows may remain); no '==' keeps all rows."""
     if not expr or "==" not in expr:

@@ -294,7 +294,7 @@ def _(spark, sf):
     t = _C("text")
     return d.select("doc_id", tf.truncate_text(t, 200).alias("short"), F.md5(tf.clean_text(t)).alias("clean_md5"),
                     tf.commit_hash_in(t).alias("hash"), joined(tf.emails(t)).alias("emails"),
-                    F.sha2(t, 256).alias("sha256"), F.left(F.md5(t), F.lit(8)).alias("short_hash"))
+                    F.sha2(t, 256).alias("sha256"), F.sha1(t).alias("sha1"), F.left(F.md5(t), F.lit(8)).alias("short_hash"))
 
 
 @query("u4_cve_ids")
@@ -524,6 +524,52 @@ def _(spark, sf):
     return ve.recall_stats(h).select("query_id", "hit_count", F.round("avg_distance", 5).alias("avg_distance"))
 
 
+@query("r11_recall_counts")
+def _(spark, sf):
+    return ve.recall_counts(hits(spark, sf)).select("query_id", "facet", "value", "n", big("place").alias("place"))
+
+
+@query("x3_evidence_table")
+def _(spark, sf):
+    """Every crash with the best patch of the query of the same number."""
+    return ex.evidence_table(diagnosed(spark, sf), ranked(spark, sf)).select("crash_id", big("ord").alias("ord"), "field", "value", "status")
+
+
+@query("p28_confirmed_fixes")
+def _(spark, sf):
+    d = analysed(spark, sf).withColumn("panic_msg", _C("subject"))
+    for n in ("lock_functions", "memory_functions", "rcu_functions"):
+        d = d.withColumn(n, F.array().cast("array<string>"))
+    d = cx.confirm_fixes(cx.infer_fixes(d, "bug_type"))
+    return d.select("doc_id", "needs_lock", "needs_refcount", "needs_rcu", joined("search_keywords").alias("keywords"))
+
+
+@query("a8_usage")
+def _(spark, sf):
+    return ag.usage(vw.table(spark, sf, "conversations"), "role", "text").select("role", "calls", "characters", "words")
+
+
+@query("u11_flatten")
+def _(spark, sf):
+    d = vw.table(spark, sf, "documents").select("doc_id", F.struct("lang", F.struct("source", "n_chars").alias("of")).alias("meta"))
+    return d.select(*tf.flattened(d.schema, "_"))
+
+
+@query("g12_lock_fix")
+def _(spark, sf):
+    d = vw.table(spark, sf, "part").select("p_partkey", F.expr(vw.pick("p_partkey % 9", [*LOCK_FIX_KINDS, "other"])).alias("kind"))
+    return d.select("p_partkey", "kind", gr.lock_fix(_C("kind")).alias("fix"))
+
+
+LOCK_FIX_KINDS = ["add_spinlock", "add_spinlock_irqsave", "add_mutex", "add_rcu", "fix_ordering", "reduce_critical_section", "convert_to_atomic",
+                  "add_rcu_dereference"]
+
+
+@query("g15_bug_context")
+def _(spark, sf):
+    return analysed(spark, sf).select("doc_id", gr.bug_context(_C("bug_type")).alias("bug_context"))
+
+
 @query("a1_facets")
 def _(spark, sf):
     return ag.facets(analysed(spark, sf), ["subsystem", "bug_type", "kernel_version"])
@@ -635,9 +681,10 @@ def _(spark, sf):
 
 @query("x1_patch_explain")
 def _(spark, sf):
-    d = ex.report_scores(ex.patch_explanations(ranked(spark, sf)))
+    d = ex.rank_reasons(ex.report_scores(ex.patch_explanations(ranked(spark, sf))))
     return d.select("query_id", big("rank").alias("rank"), "fix_target", "fix_method", "affected_path", joined("reasons").alias("reasons"),
-                    "rep_expert", "rep_callstack", "rep_functions", F.round("rep_embedding", 1).alias("rep_embedding"))
+                    "rep_expert", "rep_callstack", "rep_functions", F.round("rep_embedding", 1).alias("rep_embedding"),
+                    F.round("rep_rerank", 1).alias("rep_rerank"), joined("rank_reasons").alias("rank_reasons"))
 
 
 @query("x2_comparison")

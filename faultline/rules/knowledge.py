@@ -299,3 +299,13 @@ BUG_TYPE_GROUPS = {
 FUSION_WEIGHTS = (0.2, 0.4, 0.4)
 DISPLAY_WEIGHTS = {"embedding": 0.15, "reranker": 0.25, "expert_rule": 0.15, "callstack_match": 0.10,
                    "subsystem_match": 0.10, "version_match": 0.10, "llm_judge": 0.15}
+
+# FIXED VALUES: suffixes and texts of a patch's ranking reasons (subsystem, bug type, call path, stable tag).
+PATCH_REASONS = ("子系统一致", "一致", "调用路径一致", "Cc: stable 标记")
+
+# FIXED VALUES: search words that a fix seen in the diff adds to the inferred ones.
+DIFF_EVIDENCE_WORDS = {
+    "lock": ["spin_lock", "mutex_lock", "lock_irqsave"],
+    "refcount": ["kref_get", "kref_put", "refcount_inc", "refcount_dec"],
+    "rcu": ["kfree_rcu", "synchronize_rcu", "rcu_read_lock", "rcu_read_unlock"],
+}

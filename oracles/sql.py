@@ -243,7 +243,7 @@ cte("mails", "", f"""SELECT doc_id, string_agg(e, '|' ORDER BY i) AS emails FROM
 oracle("u1_text_scalars", "mails", f"""SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE concat(CASE WHEN instr(cut, ' ') > 0 AND 197 - instr(reverse(cut), ' ') > 100
       THEN substr(cut, 1, 197 - instr(reverse(cut), ' ')) ELSE cut END, '...') END AS short,
     md5({strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\x1b\\[[0-9;]*m', '', 'g'), chr(13) || chr(10) || '?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t\\f\\x0B\\x1C-\\x1F\\x{0085}\\p{Z}]+(\\n|$)', '\\1', 'g')")}) AS clean_md5,
-    coalesce({_word(40)}, {_word(12)}) AS hash, coalesce(emails, '') AS emails, sha256(text) AS sha256, substr(md5(text), 1, 8) AS short_hash
+    coalesce({_word(40)}, {_word(12)}) AS hash, coalesce(emails, '') AS emails, sha256(text) AS sha256, sha1(text) AS sha1, substr(md5(text), 1, 8) AS short_hash
     FROM (SELECT *, substr(text, 1, 197) AS cut FROM documents) LEFT JOIN mails USING (doc_id)""")
 oracle("u4_cve_ids", "commits", """SELECT c.doc_id, coalesce(s, '') AS cves FROM commits c LEFT JOIN (SELECT doc_id, string_agg(e, '|' ORDER BY i) AS s FROM (SELECT doc_id, e, min(i) AS i FROM
     (SELECT doc_id, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM (SELECT doc_id, regexp_extract_all(body, '(?i)CVE-\\d{4}-\\d{4,}') AS es FROM commits)) GROUP BY doc_id, e) GROUP BY doc_id) USING (doc_id)""")
@@ -467,6 +467,16 @@ oracle("r5_prefilter", "sims vi", """SELECT query_id, id, rank::BIGINT AS rank F
     WHERE subsystem IN ('mm', 'fs', 'block', 'kernel') AND bug_type = 'use_after_free' AND date >= '2017-01-01' AND date <= '2024-12-31') WHERE rank <= 10""")
 oracle("r4_postfilter", "rk vi", "SELECT query_id, id, bug_type, round(s, 6) AS distance FROM rk JOIN vi USING (id) WHERE rank <= 50 AND bug_type = 'memory_leak'")
 oracle("r11_recall_stats", "rk", "SELECT query_id, count(*) AS hit_count, round(avg(s), 5) AS avg_distance FROM rk WHERE rank <= 100 GROUP BY query_id")
+oracle("r11_recall_counts", "rk vi", """SELECT query_id, facet, value, n, row_number() OVER (PARTITION BY query_id, facet ORDER BY n DESC, value) AS place FROM (SELECT query_id, 'subsystem' AS facet, subsystem AS value, count(*) AS n FROM rk JOIN vi USING (id)
+    WHERE rank <= 100 GROUP BY ALL UNION ALL SELECT query_id, 'bug_type', bug_type, count(*) FROM rk JOIN vi USING (id) WHERE rank <= 100 GROUP BY ALL)""")
+oracle("p28_confirmed_fixes", "an", f"""SELECT doc_id, lk OR lock_added AS needs_lock, rf OR refcount_fix AS needs_refcount, rc OR rcu_fix AS needs_rcu, array_to_string(list_sort(list_distinct(base
+    || CASE WHEN lock_added THEN ['spin_lock', 'mutex_lock', 'lock_irqsave'] ELSE [] END || CASE WHEN refcount_fix THEN ['kref_get', 'kref_put', 'refcount_inc', 'refcount_dec'] ELSE [] END
+    || CASE WHEN rcu_fix THEN ['kfree_rcu', 'synchronize_rcu', 'rcu_read_lock', 'rcu_read_unlock'] ELSE [] END)), '|') AS keywords FROM (SELECT *, {case('bug_type', {b: k for b, (_, k) in kr.FIX_HINTS.items()}, '[]')} AS base,
+      {', '.join(f"bug_type IN {one_of([b for b, (f, _) in kr.FIX_HINTS.items() if k in f])} AS {n}" for k, n in (('lock', 'lk'), ('refcount', 'rf'), ('rcu', 'rc')))} FROM an)""")
+oracle("a8_usage", "", """SELECT coalesce(role, 'unknown') AS role, count(*) AS calls, sum(length(coalesce(text, '')))::BIGINT AS characters,
+    sum(len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')))::BIGINT AS words FROM conversations GROUP BY 1""")
+oracle("u11_flatten", "", "SELECT doc_id, lang AS meta_lang, source AS meta_of_source, n_chars AS meta_of_n_chars FROM documents")
+oracle("g12_lock_fix", "", f"""SELECT p_partkey, kind, {case('kind', kn.LOCK_FIXES, v(kn.LOCK_FIX_DEFAULT))} AS fix FROM (SELECT p_partkey, ([{', '.join(v(k) for k in [*kn.LOCK_FIXES, 'other'])}])[(p_partkey % 9 + 1)::INT] AS kind FROM part)""")
 oracle("a1_facets", "an", """SELECT 'subsystem' AS facet, subsystem AS value, count(*) AS n FROM an GROUP BY ALL UNION ALL SELECT 'bug_type', bug_type, count(*) FROM an GROUP BY ALL
     UNION ALL SELECT 'kernel_version', coalesce(kver, 'unknown'), count(*) FROM an GROUP BY ALL""")
 
@@ -573,7 +583,10 @@ cte("x1", "ranked", """SELECT *, CASE WHEN coalesce(functions[1], '') <> '' THEN
       list_sort(list_distinct(list_filter(functions, lambda x: length(x) > 3 AND contains(lower(array_to_string(crash_trace, chr(10))), lower(x))))) AS sh FROM ranked)""")
 oracle("x1_patch_explain", "x1", """SELECT query_id, rank::BIGINT AS rank, ft AS fix_target, fm AS fix_method, ap AS affected_path, rs AS reasons, round(CASE WHEN subsystem <> 'unknown' AND subsystem = target_subsystem THEN 0.6 ELSE 0 END
     + CASE WHEN bug_type <> 'unknown' AND bug_type = target_bug_type THEN 0.4 ELSE 0 END, 2)::DOUBLE AS rep_expert, CASE WHEN len(sh) > 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS rep_callstack, round(least(len(functions) / 10.0, 1), 2)::DOUBLE AS rep_functions,
-    round(round(least(vs / coalesce(nullif(max(vs) OVER (PARTITION BY query_id), 0), 1), 1), 2), 1)::DOUBLE AS rep_embedding FROM x1""")
+    round(round(least(vs / coalesce(nullif(max(vs) OVER (PARTITION BY query_id), 0), 1), 1), 2), 1)::DOUBLE AS rep_embedding,
+    round(round(least(rer / coalesce(nullif(max(rer) OVER (PARTITION BY query_id), 0), 1), 1), 2), 1)::DOUBLE AS rep_rerank,
+    concat_ws('|', CASE WHEN subsystem <> 'unknown' AND subsystem = target_subsystem THEN subsystem || '子系统一致' END, CASE WHEN bug_type <> 'unknown' AND bug_type = target_bug_type THEN bug_type || '一致' END,
+      CASE WHEN contains(rs, 'same path') THEN '调用路径一致' END, CASE WHEN contains(rs, 'stable') THEN 'Cc: stable 标记' END) AS rank_reasons FROM x1""")
 _dims = [(0, "子系统", "subsystem"), (1, "Bug类型", "bug_type"), (2, "Embedding", "printf('%.3f', vs)"), (3, "Rerank", "printf('%.3f', rer)"), (4, "修复方法", "fm"), (5, "内核版本", "coalesce(kver, '')"), (6, "匹配原因", "coalesce(nullif(replace(rs, '|', '; '), ''), '无')")]
 oracle("x2_comparison", "x1", " UNION ALL ".join(f"""SELECT query_id, {o}::BIGINT AS ord, {v(d)} AS dimension, {", ".join(f"max(CASE WHEN rank = {r} THEN {e} END) AS top{r}" for r in range(1, 6))} FROM x1 GROUP BY query_id""" for o, d, e in _dims))
 oracle("x5_reports", "rc ranked", f"""SELECT crash_id, {_svl} AS severity, {_pc} AS panic_class, coalesce(n, 0)::BIGINT AS n_patches, root_cause AS json_cause, n IS NULL AS no_patch_text FROM (SELECT *, lower(panic_msg) AS pm FROM rc)
@@ -582,6 +595,14 @@ oracle("x5_reports", "rc ranked", f"""SELECT crash_id, {_svl} AS severity, {_pc}
 oracle("x3_evidence_summary", "x1", r"""SELECT query_id, string_agg(concat('Evidence ', rank, ':', chr(10), '  Crash:  ', CASE WHEN len(crash_trace) = 0 THEN 'unknown' ELSE
     array_to_string(list_sort(list_transform(crash_trace, lambda x: split_part(x, '+', 1))), ', ') END, chr(10), '  Patch:  ', coalesce(nullif(ft, ''), nullif(array_to_string(functions, ', '), ''), 'unknown'), chr(10),
     '  共同:   ', coalesce(nullif(replace(rs, '|', '; '), ''), 'N/A'), chr(10)), chr(10) ORDER BY rank) AS evidence_summary FROM x1 GROUP BY query_id""")
+oracle("x3_evidence_table", "rc ranked", """SELECT crash_id, (u).o::BIGINT AS ord, (u).f AS field, coalesce((u).x, 'N/A') AS value, CASE WHEN (u).x IS NULL THEN 'Unavailable' ELSE 'Available' END AS status FROM (SELECT crash_id, unnest([
+    {'o': 0, 'f': 'Rule Match', 'x': coalesce(rule_id, 'unknown')}, {'o': 1, 'f': 'Bug Type', 'x': nb}, {'o': 2, 'f': 'Subsystem', 'x': subsystem}, {'o': 3, 'f': 'Embedding Score', 'x': CASE WHEN vs IS NOT NULL THEN printf('%.2f', vs) END},
+    {'o': 4, 'f': 'Rerank Score', 'x': CASE WHEN rer IS NOT NULL THEN printf('%.3f', rer) END}, {'o': 5, 'f': 'Call Trace', 'x': nullif(array_to_string(tr, ', '), '')}, {'o': 6, 'f': 'Kernel Version', 'x': nullif(kernel_version, '')}]) AS u
+    FROM (SELECT rc.crash_id, rc.rule_id, nb, rc.subsystem, tr, rc.kernel_version, vs, rer FROM rc LEFT JOIN (SELECT query_id, vs, rer FROM ranked WHERE rank = 1) r ON r.query_id = rc.crash_id))""")
+oracle("g15_bug_context", "an bk", f"""SELECT doc_id, coalesce({case("pattern", {k: f"## {p['name']}{chr(10)}**Severity**: {p['severity']}{chr(10)}**Category**: {p['category']}{chr(10)}{chr(10)}### Typical Symptoms{chr(10)}" + chr(10).join('- ' + x for x in p['symptoms'])
+    + f"{chr(10)}{chr(10)}### Fix Patterns{chr(10)}" + chr(10).join('- ' + x for x in p['fixes']) + f"{chr(10)}{chr(10)}### Detection Tools{chr(10)}{', '.join(p['tools'])}{chr(10)}{chr(10)}### Related Subsystems{chr(10)}{', '.join(p['subsystems'])}" for k, p in kn.BUG_PATTERNS.items()})},
+    concat('Bug type ' || chr(39), bug_type, chr(39) || ' not found in knowledge base.')) AS bug_context FROM (SELECT doc_id, bug_type, coalesce(CASE WHEN bug_type IN {one_of(_keys)} THEN bug_type END,
+    (SELECT arg_min(k, o) FROM bk WHERE contains(bug_type, k) OR contains(k, bug_type))) AS pattern FROM an)""")
 oracle("g15_contexts", "an si related", """SELECT doc_id, CASE WHEN title IS NULL THEN concat('Subsystem ''', subsystem, ''' not found.') ELSE concat('## Subsystem: ', title, ' (', subsystem, ')', chr(10), chr(10), '**Key Functions**: ',
     array_to_string(fs, ', '), chr(10), '**Common Bug Types**: ', array_to_string(bugs, ', '), chr(10), chr(10), '**Related Subsystems**: ',
     array_to_string(list_filter(string_split(relp, '|'), lambda x: x <> subsystem), ', ')) END AS subsystem_context FROM an LEFT JOIN si ON si.n = subsystem JOIN related r ON r.n = subsystem""")
