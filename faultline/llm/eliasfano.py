@@ -115,20 +115,23 @@ class EliasFano:
         low = value & _U((1 << self.low_bits) - 1)
         buckets = int(self.zeros[-1])  # every bucket up to that of the largest number ends in a zero
         inside = np.minimum(high, buckets)
-        # a bucket begins after the zero of the one before it
-        bit = np.where(inside > 0, self._select(np.maximum(inside - 1, 0), self.zeros, False) + 1, 0)
-        place, equal = bit - inside, np.zeros(len(value), bool)
-        todo = np.nonzero(high < buckets)[0]
-        while len(todo):  # numbers of the same bucket, one after the other
-            at = bit[todo]
-            todo = todo[(self.highs[at >> 6] >> (at & 63).astype(_U)) & _U(1) == 1]
-            found = self._low(place[todo])
-            smaller = found < low[todo]
-            equal[todo] = (found == low[todo]) & ~below[todo]
-            todo = todo[smaller]
-            bit[todo] += 1
-            place[todo] += 1
-        return place, equal
+        # a bucket begins after the zero of the one before it and ends at its own
+        start = np.where(inside > 0, self._select(np.maximum(inside - 1, 0), self.zeros, False) + 1, 0) - inside
+        end = start.copy()
+        mine = np.nonzero(high < buckets)[0]
+        end[mine] = self._select(high[mine], self.zeros, False) - high[mine]
+        last = end.copy()
+        todo = mine[start[mine] < end[mine]]
+        while len(todo):  # binary search in every bucket at once: large contexts fill their buckets
+            middle = (start[todo] + end[todo]) >> 1
+            smaller = self._low(middle) < low[todo]
+            start[todo[smaller]] = middle[smaller] + 1
+            end[todo[~smaller]] = middle[~smaller]
+            todo = todo[start[todo] < end[todo]]
+        equal = np.zeros(len(value), bool)
+        some = np.nonzero((start < last) & ~below)[0]
+        equal[some] = self._low(start[some]) == low[some]
+        return start, equal
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits, int(self.least), len(self.lows), len(self.highs)], "<i8"), self.lows, self.highs, self.zeros, self.ones]
