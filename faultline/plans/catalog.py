@@ -384,7 +384,11 @@ def _(spark, sf):
 
 @query("d22_evidence")
 def _(spark, sf):
-    d = cx.evidence_coverage(cx.confidence_breakdown(diagnosed(spark, sf)), F.lit(True))
+    """Patches and history are those of the query of the same number: history is the share of them that fix the crash's bug type."""
+    p = ranked(spark, sf).groupBy(_C("query_id").alias("crash_id")).agg(F.collect_list("bug_type").alias("fixed"))  # at most k a query
+    d = diagnosed(spark, sf).join(p, "crash_id", "left")
+    same = F.size(F.filter("fixed", lambda b: b == _C("bug_type"))) / F.size("fixed")
+    d = cx.evidence_coverage(cx.confidence_breakdown(d, F.coalesce(same, F.lit(0.0))), _C("fixed").isNotNull())
     return d.select("crash_id", "panic_keyword", "fault_address", "error_code", "matched_rule_name", joined("trace_functions").alias("frames"),
                     "pct_rule", "pct_fault", "pct_subsystem", "pct_trace", "pct_history", "coverage_pct", "reliability",
                     joined("missing_high").alias("missing"))
@@ -639,6 +643,26 @@ def _(spark, sf):
                                              F.round("boosted_score", 10).alias("boosted"))
 
 
+@query("k15_deep")
+def _(spark, sf):
+    """Deep mode with one judge answer a query: two candidates get a score, the others the default."""
+    q = label_queries(spark, sf)
+    said = q.select("query_id", F.concat(F.lit('Scores: [{"index": '), (_C("query_id") % 3).cast("string"), F.lit(
+        ', "score": 0.9, "reason": "same lock"}, {"index": 4, "score": 0.1}] end')).alias("answer"))
+    d = rt.retrieve(q, vector_index(spark, sf), rt.DEEP, cosine=False, answers=said)
+    return d.select("query_id", big("rank").alias("rank"), "id", F.round("judge_score", 6).alias("judge_score"), "judge_reason",
+                    F.round("final_score", 12).alias("final_score"))
+
+
+@query("k16_quick_search")
+def _(spark, sf):
+    """Benchmark texts as free queries against every commit; no targets, so only the ranking applies."""
+    q = rt.text_queries(vw.table(spark, sf, "benchmark").select(_C("item_id").alias("query_id"), _C("text").alias("query_text")))
+    h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50)
+    return h.where("rank <= 5").select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 10).alias("vector_score"),
+                                       F.round("reranker_score", 10).alias("reranker_score"), F.round("final_score", 12).alias("final_score"))
+
+
 @query("k7_breakdown")
 def _(spark, sf):
     d = rk.score_breakdown(ranked(spark, sf))
@@ -656,8 +680,8 @@ def _(spark, sf):
 @query("k13_why_not")
 def _(spark, sf):
     d = rk.why_not(ranked(spark, sf))
-    return d.select("query_id", big("rank").alias("rank"), big(F.size("same_aspects")).alias("n_same"), big(F.size("different_aspects")).alias("n_diff"),
-                    F.round("score_gap", 12).alias("gap"))
+    return d.select("query_id", big("rank").alias("rank"), joined("same_aspects").alias("same"), joined("different_aspects").alias("different"),
+                    "ranking_reason", F.round("score_gap", 12).alias("gap"))
 
 
 @query("k3_judge_answers")
@@ -699,8 +723,7 @@ def _(spark, sf):
     d = diagnosed(spark, sf).withColumn("query_id", _C("crash_id"))
     r = ex.reports(d, ranked(spark, sf))
     return r.select("crash_id", "severity", "panic_class", F.size("patches").cast("bigint").alias("n_patches"),
-                    F.get_json_object("report_json", "$.root_cause").alias("json_cause"),
-                    F.contains("report_markdown", F.lit("No matching patches")).alias("no_patch_text"))
+                    F.get_json_object("report_json", "$.root_cause").alias("json_cause"), "report_markdown")
 
 
 @query("x3_evidence_summary")

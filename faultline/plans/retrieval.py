@@ -35,12 +35,13 @@ def allowed_labels(subsystem: Column, bug_type: Column, labels: list[str]) -> Co
 
 def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int = 100, rerank_k: int | None = None,
              condition: Column | None = None, scorer=None, judge: str | None = None, cosine: bool = True,
-             filter_first: bool = False) -> DataFrame:
+             filter_first: bool = False, answers: DataFrame | None = None, judged: int = 50) -> DataFrame:
     """Ranked candidates of a batch of queries.
 
     ``queries``: query_id, vec, query_text, target_subsystem, target_bug_type, target_version.
     Fast mode orders by the boosted score and reports the raw one; standard reranks the filtered
-    candidates (``rerank_k``: the first ones only); deep also uses the ``judge`` score column of the queries.
+    candidates (``rerank_k``: the first ones only); deep also uses the ``judge`` score column of the queries, or
+    ``answers`` (query_id, answer): a judge's texts on the first ``judged`` candidates of each query.
     With ``filter_first`` the k of the search are the best of those that a query's subsystem and bug type
     allow; without it the k best of all are filtered afterwards.
     """
@@ -57,6 +58,10 @@ def retrieve(queries: DataFrame, index: DataFrame, mode: str = STANDARD, k: int
     kept = kept.withColumn("order_no", F.row_number().over(order))
     if mode == FAST:
         return kept.withColumns({"rank": _C("order_no"), "vector_score": _C("score"), "final_score": _C("score")})
+    if mode == DEEP and answers is not None:
+        scores = rk.parse_judge(answers.select("query_id", "answer"), "answer", judged).select(
+            "query_id", (_C("index") + 1).alias("order_no"), _C("judge_score").alias("_said"), "judge_reason")
+        kept, judge = kept.join(scores, ["query_id", "order_no"], "left"), "_said"
     return rk.rerank(kept if rerank_k is None else kept.where(_C("order_no") <= rerank_k), scorer=scorer,
                      judge=judge if mode == DEEP else None)
 

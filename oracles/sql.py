@@ -5,6 +5,8 @@ Rule tables enter as VALUES; logs are split into line rows; best-of rules use ar
 
 from __future__ import annotations
 
+import re
+
 from faultline.functions.text import normalize_bug_label
 from faultline.plans import catalog as cat, views as vw
 from faultline.rules import commit_rules as cr, crash_rules as kr, knowledge as kn, taxonomy as tx
@@ -415,14 +417,14 @@ cte("rq", "fx keyf", f"""SELECT fx.*, concat_ws(chr(10), 'RootCause: ' || root_c
     CASE WHEN {_fixs} <> '' THEN 'FixPattern: commit that ' || {_fixs} END, CASE WHEN len(chain) > 0 THEN 'CausalChain: ' || array_to_string(chain, ' -> ') END) AS retrieval_query FROM fx LEFT JOIN keyf USING (crash_id)""")
 oracle("d17_retrieval_query", "rq", "SELECT crash_id, retrieval_query FROM rq")
 _lab = "CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(panic_msg, {v(chr(40) + chr(63) + chr(105) + chr(41) + p)})' for p in ps)} THEN {v(l)}" for l, ps in kr.PANIC_LABELS) + " END"
-cte("ev", "rc", f"""SELECT *, {_lab} AS panic_keyword, nullif(regexp_extract(panic_msg, {v(kr.FAULT_ADDRESS_PATTERN)}, 1), '') AS fa, nullif(regexp_extract(panic_msg, {v(kr.ERROR_CODE_PATTERN)}), '') AS ec,
-    rule_id IS NOT NULL AS hr, round(score * 100, 1) AS tot, regexp_matches(lower(panic_msg), 'virtual address|at 0x') AS hf FROM rc""")
+cte("ev", "rc ranked", f"""SELECT *, coalesce(len(list_filter(fixed, lambda x: x = nb)) / len(fixed), 0) AS hist, {_lab} AS panic_keyword, nullif(regexp_extract(panic_msg, {v(kr.FAULT_ADDRESS_PATTERN)}, 1), '') AS fa, nullif(regexp_extract(panic_msg, {v(kr.ERROR_CODE_PATTERN)}), '') AS ec,
+    rule_id IS NOT NULL AS hr, round(score * 100, 1) AS tot, regexp_matches(lower(panic_msg), 'virtual address|at 0x') AS hf FROM rc LEFT JOIN (SELECT query_id, list(bug_type) AS fixed FROM ranked GROUP BY query_id) p ON p.query_id = crash_id""")
 cte("ev2", "ev", """SELECT *, CASE WHEN hf THEN round(tot * CASE WHEN hr THEN 0.18 ELSE 0.20 END, 1) ELSE 0.0 END AS pf, CASE WHEN subsystem <> 'unknown' THEN round(tot * CASE WHEN hr THEN 0.10 ELSE 0.15 END, 1) ELSE 0.0 END AS ps,
-    CASE WHEN len(tr) > 0 THEN round(tot * CASE WHEN hr THEN 0.10 ELSE 0.20 END, 1) ELSE 0.0 END AS pt, list_filter([CASE WHEN panic_msg = '' THEN 'Panic Keyword' END, CASE WHEN len(tr) = 0 THEN 'Call Trace' END, CASE WHEN kernel_version = '' THEN 'Kernel Version' END,
-      CASE WHEN NOT hr THEN 'Expert Rule' END], lambda x: x IS NOT NULL) AS miss, round((CASE WHEN panic_msg <> '' THEN 3 ELSE 0 END + CASE WHEN fa IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN len(tr) > 0 THEN 3 ELSE 0 END
-      + CASE WHEN kernel_version <> '' THEN 3 ELSE 0 END + CASE WHEN ec IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN subsystem <> 'unknown' THEN 2 ELSE 0 END + 3 + CASE WHEN hr THEN 3 ELSE 0 END) / 21.0 * 100, 1)::DOUBLE AS pct FROM ev""")
-oracle("d22_evidence", "ev2", f"""SELECT crash_id, panic_keyword, fa AS fault_address, ec AS error_code, {_rule(1)} AS matched_rule_name, array_to_string(tr, '|') AS frames, round(greatest(0.0, tot - (pf + ps + pt)), 1) AS pct_rule, pf AS pct_fault,
-    ps AS pct_subsystem, pt AS pct_trace, 0.0::DOUBLE AS pct_history, pct AS coverage_pct, CASE WHEN pct >= 75 AND len(miss) = 0 THEN 'High' WHEN pct >= 50 AND len(miss) <= 1 THEN 'Medium' ELSE 'Low' END AS reliability, array_to_string(miss, '|') AS missing FROM ev2""")
+    CASE WHEN len(tr) > 0 THEN round(tot * CASE WHEN hr THEN 0.10 ELSE 0.20 END, 1) ELSE 0.0 END AS pt, CASE WHEN hist > 0 THEN round(hist * 100 * CASE WHEN hr THEN 0.12 ELSE 0.20 END, 1) ELSE 0.0 END AS ph, list_filter([CASE WHEN panic_msg = '' THEN 'Panic Keyword' END, CASE WHEN len(tr) = 0 THEN 'Call Trace' END, CASE WHEN kernel_version = '' THEN 'Kernel Version' END,
+      CASE WHEN fixed IS NULL THEN 'Commit Diff' END, CASE WHEN NOT hr THEN 'Expert Rule' END], lambda x: x IS NOT NULL) AS miss, round((CASE WHEN panic_msg <> '' THEN 3 ELSE 0 END + CASE WHEN fa IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN len(tr) > 0 THEN 3 ELSE 0 END
+      + CASE WHEN kernel_version <> '' THEN 3 ELSE 0 END + CASE WHEN ec IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN subsystem <> 'unknown' THEN 2 ELSE 0 END + CASE WHEN fixed IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN hr THEN 3 ELSE 0 END) / 21.0 * 100, 1)::DOUBLE AS pct FROM ev""")
+oracle("d22_evidence", "ev2", f"""SELECT crash_id, panic_keyword, fa AS fault_address, ec AS error_code, {_rule(1)} AS matched_rule_name, array_to_string(tr, '|') AS frames, round(greatest(0.0, tot - (pf + ps + pt + ph)), 1) AS pct_rule, pf AS pct_fault,
+    ps AS pct_subsystem, pt AS pct_trace, ph AS pct_history, pct AS coverage_pct, CASE WHEN pct >= 75 AND len(miss) = 0 THEN 'High' WHEN pct >= 50 AND len(miss) <= 1 THEN 'Medium' ELSE 'Low' END AS reliability, array_to_string(miss, '|') AS missing FROM ev2""")
 _ch, _ct = kr.CAUSE_TRACE_FORMAT.split("{funcs}")
 oracle("d23_possible_causes", "rc", f"""SELECT crash_id, array_to_string(list_filter([{case('subsystem', kr.SUBSYSTEM_CONTEXTS)}, {case('nb', {k: '|'.join(x) for k, x in kr.POSSIBLE_CAUSES.items()}, v('|'.join(kr.POSSIBLE_CAUSES_DEFAULT)))},
     CASE WHEN len(tr) > 0 THEN concat({v(_ch)}, array_to_string(list_transform(tr, lambda x: split_part(x, '+', 1)), ', '), {v(_ct)}) END], lambda x: x IS NOT NULL), '|') AS causes FROM rc""")
@@ -567,9 +569,18 @@ oracle("k14_version_analysis", "bd rel", """SELECT query_id, rank::BIGINT AS ran
       WHEN gap > 5 THEN concat(gap, ' Minor Release (Cross Minor)') ELSE concat(abs(gap), ' Minor Release Behind') END AS version_distance, CASE WHEN gap IS NULL THEN 'Unknown' WHEN gap BETWEEN 0 AND 2 THEN 'High' WHEN gap BETWEEN 3 AND 5 OR gap < 0 THEN 'Medium' ELSE 'Low' END AS compatibility,
     CASE WHEN cm IS NULL OR cn IS NULL THEN -1 WHEN gap IS NULL THEN 0 ELSE abs(gap) END::BIGINT AS distance_value, CASE WHEN kmajor IS NOT NULL THEN concat(kmajor, '.', kminor, '.0') END AS patch_kernel_version,
     CASE WHEN cm IS NOT NULL THEN (SELECT d FROM rel WHERE a = cm AND b = cn) END AS crash_release_date FROM bd""")
-oracle("k13_why_not", "ranked", """SELECT query_id, rank::BIGINT AS rank, CASE WHEN rank > 1 THEN ((bug_type = b1 AND bug_type <> 'unknown')::INT + (subsystem = s1 AND subsystem <> 'unknown')::INT + (vs = v1)::INT + (abs(w - w1) > 0.01 AND w > w1)::INT) END::BIGINT AS n_same,
-    CASE WHEN rank > 1 THEN 2 + (bug_type <> b1)::INT + (subsystem <> s1)::INT + (vs <> v1)::INT + (CASE WHEN abs(w - w1) > 0.01 THEN w < w1 ELSE w <> 1.0 END)::INT END::BIGINT AS n_diff, CASE WHEN rank > 1 THEN round(f1 - fin, 12) END::DOUBLE AS gap
-    FROM (SELECT *, first_value(bug_type) OVER x AS b1, first_value(subsystem) OVER x AS s1, first_value(vs) OVER x AS v1, first_value(w) OVER x AS w1, first_value(fin) OVER x AS f1 FROM ranked WINDOW x AS (PARTITION BY query_id ORDER BY rank))""")
+_num = lambda x, n: f"printf('%.{n}f', {x})"
+oracle("k13_why_not", "ranked", f"""SELECT query_id, rank::BIGINT AS rank, CASE WHEN rank > 1 THEN array_to_string(sa, '|') END AS same, CASE WHEN rank > 1 THEN array_to_string(dlist, '|') END AS different,
+    CASE WHEN rank > 1 THEN concat('综合 ', len(dlist), ' 个差异维度 vs ', len(sa), ' 个相同维度，排名第 ', rank, '（综合分差 ', {_num('f1 - fin', 4)}, '）') END AS ranking_reason, CASE WHEN rank > 1 THEN round(f1 - fin, 12) END::DOUBLE AS gap FROM (SELECT *, list_filter([
+      CASE WHEN bug_type = b1 AND bug_type <> 'unknown' THEN concat('同属于 ', bug_type, ' 修复') END, CASE WHEN subsystem = s1 AND subsystem <> 'unknown' THEN concat('同一子系统 ', subsystem) END,
+      CASE WHEN vs = v1 THEN 'Embedding 相似度相同，差异来自后续排序阶段' END, CASE WHEN abs(w - w1) > 0.01 AND w > w1 THEN concat('版本兼容性相当 (权重 ', {_num('w', 2)}, ' vs Top1 ', {_num('w1', 2)}, ')') END], lambda x: x IS NOT NULL) AS sa, list_filter([
+      CASE WHEN bug_type <> b1 THEN concat('Bug 类型不同 (', bug_type, ' vs ', b1, ')，Top-1 更匹配当前根因') END, CASE WHEN subsystem <> s1 THEN concat('属于 ', subsystem, ' 子系统，与崩溃子系统关联度低于 ', s1) END,
+      concat('综合评分: Top1=', {_num('f1', 3)}, ' vs Top', rank, '=', {_num('fin', 3)}, ' (差 ', {_num('f1 - fin', 4)}, ')'), CASE WHEN vs <> v1 THEN concat('Embedding 相似度: Top1=', {_num('v1', 3)}, ' > Top', rank, '=', {_num('vs', 3)}) END,
+      concat('Cross Encoder 重排: Top1=', {_num('r1', 3)}, ' vs Top', rank, '=', {_num('rer', 3)}, ' (差 ', {_num('r1 - rer', 4)}, ')'), CASE WHEN abs(w - w1) > 0.01 THEN CASE WHEN w < w1 THEN concat('版本兼容性较低 (权重 ', {_num('w', 2)}, ' vs Top1 ', {_num('w1', 2)}, ')') END
+        WHEN w <> 1.0 THEN concat('版本匹配权重 ', {_num('w', 2)}, ' (偏离中性值 1.0)') END], lambda x: x IS NOT NULL) AS dlist
+    FROM (SELECT *, first_value(bug_type) OVER x AS b1, first_value(subsystem) OVER x AS s1, first_value(vs) OVER x AS v1, first_value(rer) OVER x AS r1, first_value(w) OVER x AS w1, first_value(fin) OVER x AS f1 FROM ranked WINDOW x AS (PARTITION BY query_id ORDER BY rank)))""")
+oracle("k15_deep", "rr", """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord)::BIGINT AS rank, id, j AS judge_score, CASE WHEN ord > 50 THEN NULL WHEN ord - 1 = query_id % 3 THEN 'same lock' WHEN ord = 5 THEN '' ELSE 'Not found in response' END AS judge_reason, fin::DOUBLE AS final_score
+    FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * j)), 12) AS fin FROM (SELECT *, CASE WHEN ord - 1 = query_id % 3 THEN 0.9 WHEN ord = 5 THEN 0.1 ELSE 0.5 END::DOUBLE AS j FROM rr))""")
 oracle("k3_judge_answers", "", """SELECT conv_id, turn, i::BIGINT AS index, CASE WHEN z = 0 AND i = conv_id % 5 THEN 0.75 ELSE 0.5 END::DOUBLE AS judge_score, CASE WHEN z = 2 THEN 'Parse failed' WHEN z = 0 AND i = conv_id % 5 THEN 'same file' ELSE 'Not found in response' END AS judge_reason
     FROM (SELECT conv_id, turn, (conv_id + turn) % 3 AS z, unnest(range(5)) AS i FROM conversations)""")
 oracle("a6_normalizers", "", """SELECT event_id, round(nv, 6) AS normalized, round(1000 * exp(nv - mx) / sum(exp(nv - mx)) OVER (PARTITION BY event_type), 6) AS permille FROM (SELECT *, max(nv) OVER (PARTITION BY event_type) AS mx FROM (
@@ -589,8 +600,10 @@ oracle("x1_patch_explain", "x1", """SELECT query_id, rank::BIGINT AS rank, ft AS
       CASE WHEN contains(rs, 'same path') THEN '调用路径一致' END, CASE WHEN contains(rs, 'stable') THEN 'Cc: stable 标记' END) AS rank_reasons FROM x1""")
 _dims = [(0, "子系统", "subsystem"), (1, "Bug类型", "bug_type"), (2, "Embedding", "printf('%.3f', vs)"), (3, "Rerank", "printf('%.3f', rer)"), (4, "修复方法", "fm"), (5, "内核版本", "coalesce(kver, '')"), (6, "匹配原因", "coalesce(nullif(replace(rs, '|', '; '), ''), '无')")]
 oracle("x2_comparison", "x1", " UNION ALL ".join(f"""SELECT query_id, {o}::BIGINT AS ord, {v(d)} AS dimension, {", ".join(f"max(CASE WHEN rank = {r} THEN {e} END) AS top{r}" for r in range(1, 6))} FROM x1 GROUP BY query_id""" for o, d, e in _dims))
-oracle("x5_reports", "rc ranked", f"""SELECT crash_id, {_svl} AS severity, {_pc} AS panic_class, coalesce(n, 0)::BIGINT AS n_patches, root_cause AS json_cause, n IS NULL AS no_patch_text FROM (SELECT *, lower(panic_msg) AS pm FROM rc)
-    LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked GROUP BY query_id) ON query_id = crash_id""")
+oracle("x5_reports", "rc ranked", f"""SELECT crash_id, {_svl} AS severity, {_pc} AS panic_class, coalesce(n, 0)::BIGINT AS n_patches, root_cause AS json_cause, concat_ws(chr(10), '# Kernel Crash Report', concat('**Panic Type**: ', {_pc}), concat('**Severity**: ', {_svl}),
+    concat('**Subsystem**: ', subsystem), concat('**Root Cause**: ', root_cause), array_to_string(list_transform(chain, lambda x, i: concat(i, '. ', x)), chr(10)), CASE WHEN n IS NULL THEN '*(No matching patches found)*' ELSE concat('| # | Commit | Subsystem | Bug Type | Score | Subject |',
+      chr(10), '|---|--------|-----------|----------|-------|---------|', chr(10), coalesce(rows, '')) END) AS report_markdown FROM (SELECT *, lower(panic_msg) AS pm FROM rc) LEFT JOIN (SELECT query_id, count(*) AS n, string_agg('| ' || rank || ' | `' || commit_hash || '` | ' || subsystem || ' | '
+        || bug_type || ' | ' || {_num('fin', 3)} || ' | ' || subject || ' |', chr(10) ORDER BY rank) AS rows FROM ranked GROUP BY query_id) ON query_id = crash_id""")
 
 oracle("x3_evidence_summary", "x1", r"""SELECT query_id, string_agg(concat('Evidence ', rank, ':', chr(10), '  Crash:  ', CASE WHEN len(crash_trace) = 0 THEN 'unknown' ELSE
     array_to_string(list_sort(list_transform(crash_trace, lambda x: split_part(x, '+', 1))), ', ') END, chr(10), '  Patch:  ', coalesce(nullif(ft, ''), nullif(array_to_string(functions, ', '), ''), 'unknown'), chr(10),
@@ -620,6 +633,13 @@ cte("kr", "kf", f"""SELECT *, len(list_intersect(qw, {_wsplit('doc')})) / len(qw
 oracle("k16_search_by_bug_type", "kr", """SELECT qid AS query_id, rank::BIGINT AS rank, id, round(vs, 10)::DOUBLE AS vector_score, round(rer, 10)::DOUBLE AS reranker_score, fin::DOUBLE AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fin DESC, ord) AS rank
     FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs)) + 0.4 * rer + 0.4 * 0.5)), 12) AS fin FROM kr)) WHERE rank <= 5""")
 
+cte("bq", "", "SELECT item_id AS qid, 'unknown' AS tsb, text AS qt FROM benchmark")
+_free = {"kq": "bq", "kqtok": "bqtok", "kqtop": "bqtop", "kf": "bf", "kr": "br"}
+_swap = lambda t: re.sub(r"\b(" + "|".join(_free) + r")\b", lambda m: _free[m[1]], t)
+for _old in ("kqtok", "kqtop", "kf", "kr"):
+    cte(_free[_old], " ".join(_swap(d) for d in _CTE[_old][0]), _swap(_CTE[_old][1].split(" AS (", 1)[1][:-1]))
+oracle("k16_quick_search", "br", _swap(_SQL["k16_search_by_bug_type"][1]))
+
 # crash logs against all commits: distinct queries, cosine over hashed terms, filters, top 3
 cte("qs", "rq", "SELECT retrieval_query, subsystem AS tsb, nb AS tbt, kernel_version AS tkv, min(crash_id) AS qid FROM rq GROUP BY ALL")
 cte("qtok", "qs", tokens("qs", "qid", "retrieval_query"))
