@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import numeric as nf, sqltext as sq, text as tf
-from ..rules import crash_rules as cr, knowledge as kn
+from ..rules import crash_rules as cr, knowledge as kn, texts as say
 from . import graph
 
 _C = F.col
@@ -360,7 +360,7 @@ def analyze_root_cause(df: DataFrame) -> DataFrame:
     knows = F.size("symptoms") > 0
     know_layer = F.when(knows, _layer({
         "name": top["name"], "bug": top["bug_type"], "score": F.least(F.lit(0.90), top["score"] * 0.2 + 0.6),
-        "reason": F.concat(F.lit("匹配到知识库中的 "), top["name"], F.lit(" 模式")),
+        "reason": F.concat(F.lit(say.KNOWN), top["name"], F.lit(say.KNOWN_END)),
         "chain": F.array(F.concat(F.lit("Knowledge Base: "), top["name"], F.lit(" (score="),
                                   top["score"].cast("string"), F.lit(")")))}))
     bug = _C("bug_type")

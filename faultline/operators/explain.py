@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as nf, text as tf
+from ..rules import texts as say
 from ..rules.knowledge import PATCH_REASONS
 from . import crashes
 
@@ -74,10 +75,10 @@ def evidence_table(crash_df: DataFrame, best: DataFrame, key: str = "crash_id")
 
 def patch_comparison(df: DataFrame, top: int = 5) -> DataFrame:
     """One row per query and dimension, one column per rank (Top1..TopN)."""
-    dims = [("子系统", _C("subsystem")), ("Bug类型", _C("bug_type")),
+    dims = [(say.DIM_SUBSYSTEM, _C("subsystem")), (say.DIM_BUG_TYPE, _C("bug_type")),
             ("Embedding", F.format_number("vector_score", 3)), ("Rerank", F.format_number("reranker_score", 3)),
-            ("修复方法", _C("fix_method")), ("内核版本", F.coalesce("kernel_version", F.lit(""))),
-            ("匹配原因", F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise(F.lit("无")))]
+            (say.DIM_FIX, _C("fix_method")), (say.DIM_VERSION, F.coalesce("kernel_version", F.lit(""))),
+            (say.DIM_REASONS, F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise(F.lit(say.NOTHING)))]
     cells = df.select("query_id", "rank", F.explode(F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(n).alias("dimension"), v.alias("value")) for i, (n, v) in enumerate(dims)])
     ).alias("c")).select("query_id", "rank", "c.*")
@@ -94,7 +95,7 @@ def evidence_summary(df: DataFrame, top: int | None = None) -> DataFrame:
                        F.lit("unknown"))
     common = F.when(F.size("reasons") > 0, F.array_join("reasons", "; ")).otherwise(F.lit("N/A"))
     block = F.concat(F.lit("Evidence "), _C("rank").cast("string"), F.lit(":\n  Crash:  "), crash,
-                     F.lit("\n  Patch:  "), patch, F.lit("\n  共同:   "), common, F.lit("\n"))
+                     F.lit("\n  Patch:  "), patch, F.lit(say.COMMON), common, F.lit("\n"))
     rows = first_ranks(df, top).select("query_id", F.struct("rank", block.alias("text")).alias("b"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list("b")), lambda b: b["text"]), "\n").alias("evidence_summary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as nf, text as tf, versions as vf
-from ..rules import knowledge as kn
+from ..rules import knowledge as kn, texts as say
 from . import filters as fl
 
 _C = F.col
@@ -31,10 +31,10 @@ def document_text() -> Column:
 
 
 def rank_reason(final: Column, rerank: Column) -> Column:
-    grade = (F.when(final >= 0.85, F.lit("高度匹配")).when(final >= 0.70, F.lit("显著相关"))
-             .when(final >= 0.50, F.lit("中度相关")).otherwise(F.lit("低度相关")))
-    return F.concat_ws("; ", grade, F.concat(F.lit("子系统="), _C("subsystem")),
-                       F.concat(F.lit("Bug类型="), _C("bug_type")), F.when(rerank >= 0.80, F.lit("语义高度相似")))
+    grade = (F.when(final >= 0.85, F.lit(say.GRADE_HIGH)).when(final >= 0.70, F.lit(say.GRADE_MARKED))
+             .when(final >= 0.50, F.lit(say.GRADE_MIDDLE)).otherwise(F.lit(say.GRADE_LOW)))
+    return F.concat_ws("; ", grade, F.concat(F.lit(say.SUBSYSTEM_IS), _C("subsystem")),
+                       F.concat(F.lit(say.BUG_TYPE_IS), _C("bug_type")), F.when(rerank >= 0.80, F.lit(say.MEANING_CLOSE)))
 
 
 def rerank(df: DataFrame, query_text: str = "query_text", scorer=None, judge: str | None = None,
@@ -144,12 +144,12 @@ def extended_reason(df: DataFrame) -> DataFrame:
     f, ss, cs, v, er = (_C(c) for c in ("final_score", "subsystem_match_score", "callstack_match_score",
                                         "version_match_score", "expert_rule_score"))
     return df.withColumn("reason_extended", F.concat_ws(
-        " | ", F.when(f >= 0.85, F.lit("高度匹配")).when(f >= 0.70, F.lit("显著相关")).when(f >= 0.50, F.lit("中度相关"))
-        .otherwise(F.lit("低度相关")),
-        F.when(ss >= 0.80, F.lit("子系统精确匹配")).when(ss >= 0.50, F.lit("子系统部分匹配")),
-        F.when(cs >= 0.80, F.lit("调用栈直接命中")).when(cs >= 0.40, F.lit("调用栈间接关联")),
-        F.when(v >= 1.0, F.lit("版本兼容")).when(v < 0.80, F.lit("版本兼容性偏低")),
-        F.when(er >= 0.85, F.lit("专家规则高度匹配"))))
+        " | ", F.when(f >= 0.85, F.lit(say.GRADE_HIGH)).when(f >= 0.70, F.lit(say.GRADE_MARKED)).when(f >= 0.50, F.lit(say.GRADE_MIDDLE))
+        .otherwise(F.lit(say.GRADE_LOW)),
+        F.when(ss >= 0.80, F.lit(say.SUBSYSTEM_EXACT)).when(ss >= 0.50, F.lit(say.SUBSYSTEM_PARTLY)),
+        F.when(cs >= 0.80, F.lit(say.STACK_HIT)).when(cs >= 0.40, F.lit(say.STACK_NEAR)),
+        F.when(v >= 1.0, F.lit(say.VERSION_FITS)).when(v < 0.80, F.lit(say.VERSION_POOR)),
+        F.when(er >= 0.85, F.lit(say.RULE_FITS))))
 
 
 def version_analysis(df: DataFrame, version: str = "crash_version") -> DataFrame:
@@ -159,7 +159,7 @@ def version_analysis(df: DataFrame, version: str = "crash_version") -> DataFrame
     d = vf.version_distance(major, minor, crash["major"], crash["minor"])
     n = F.abs(d).cast("string")
     no_patch = major.isNull() | minor.isNull()
-    dist = (F.when(crash.isNull(), F.lit("Unknown — Crash Kernel Version 未提供")).when(no_patch, F.lit("Unknown"))
+    dist = (F.when(crash.isNull(), F.lit(say.VERSION_MISSING)).when(no_patch, F.lit("Unknown"))
             .when(d == 0, F.lit("Same Version")).when(d.between(1, 5), F.concat(n, F.lit(" Minor Release")))
             .when(d > 5, F.concat(n, F.lit(" Minor Release (Cross Minor)")))
             .otherwise(F.concat(n, F.lit(" Minor Release Behind"))))
@@ -183,33 +183,33 @@ def why_not(df: DataFrame) -> DataFrame:
     rank = _C("rank").cast("string")
     pair = lambda label, c, gap: F.concat(
         F.lit(label), num(_C(f"_{c}"), 3), F.lit(" vs Top"), rank, F.lit("="), num(_C(c), 3),
-        *([F.lit(" (差 "), num(_C(f"_{c}") - _C(c), 4), F.lit(")")] if gap else []))
+        *([F.lit(say.GAP), num(_C(f"_{c}") - _C(c), 4), F.lit(")")] if gap else []))
     vw, tw = _C("version_weight"), _C("_version_weight")
     far = F.abs(vw - tw) > 0.01
     same = F.array_compact(F.array(
         F.when((_C("bug_type") == _C("_bug_type")) & (_C("bug_type") != "unknown"),
-               F.concat(F.lit("同属于 "), _C("bug_type"), F.lit(" 修复"))),
+               F.concat(F.lit(say.SAME_BUG), _C("bug_type"), F.lit(say.FIX_END))),
         F.when((_C("subsystem") == _C("_subsystem")) & (_C("subsystem") != "unknown"),
-               F.concat(F.lit("同一子系统 "), _C("subsystem"))),
-        F.when(_C("_vector_score") == _C("vector_score"), F.lit("Embedding 相似度相同，差异来自后续排序阶段")),
-        F.when(far & (vw > tw), F.concat(F.lit("版本兼容性相当 (权重 "), num(vw, 2), F.lit(" vs Top1 "), num(tw, 2), F.lit(")")))))
+               F.concat(F.lit(say.SAME_SUBSYSTEM), _C("subsystem"))),
+        F.when(_C("_vector_score") == _C("vector_score"), F.lit(say.SAME_VECTOR)),
+        F.when(far & (vw > tw), F.concat(F.lit(say.SAME_VERSION), num(vw, 2), F.lit(" vs Top1 "), num(tw, 2), F.lit(")")))))
     diff = F.array_compact(F.array(
         F.when(_C("bug_type") != _C("_bug_type"), F.concat(
-            F.lit("Bug 类型不同 ("), _C("bug_type"), F.lit(" vs "), _C("_bug_type"), F.lit(")，Top-1 更匹配当前根因"))),
+            F.lit(say.OTHER_BUG), _C("bug_type"), F.lit(" vs "), _C("_bug_type"), F.lit(say.OTHER_BUG_END))),
         F.when(_C("subsystem") != _C("_subsystem"), F.concat(
-            F.lit("属于 "), _C("subsystem"), F.lit(" 子系统，与崩溃子系统关联度低于 "), _C("_subsystem"))),
-        pair("综合评分: Top1=", "final_score", True),
+            F.lit(say.OTHER_SUBSYSTEM), _C("subsystem"), F.lit(say.OTHER_SUBSYSTEM_END), _C("_subsystem"))),
+        pair(say.FINAL_SCORES, "final_score", True),
         F.when(_C("_vector_score") != _C("vector_score"), F.concat(
-            F.lit("Embedding 相似度: Top1="), num(_C("_vector_score"), 3), F.lit(" > Top"), rank, F.lit("="),
+            F.lit(say.VECTOR_SCORES), num(_C("_vector_score"), 3), F.lit(" > Top"), rank, F.lit("="),
             num(_C("vector_score"), 3))),
-        pair("Cross Encoder 重排: Top1=", "reranker_score", True),
-        F.when(far & (vw < tw), F.concat(F.lit("版本兼容性较低 (权重 "), num(vw, 2), F.lit(" vs Top1 "), num(tw, 2), F.lit(")")))
-        .when(~far & (vw != 1.0), F.concat(F.lit("版本匹配权重 "), num(vw, 2), F.lit(" (偏离中性值 1.0)")))))
+        pair(say.RERANK_SCORES, "reranker_score", True),
+        F.when(far & (vw < tw), F.concat(F.lit(say.LOWER_VERSION), num(vw, 2), F.lit(" vs Top1 "), num(tw, 2), F.lit(")")))
+        .when(~far & (vw != 1.0), F.concat(F.lit(say.VERSION_WEIGHT), num(vw, 2), F.lit(say.OFF_NEUTRAL)))))
     other = _C("rank") > 1
     gap = _C("_final_score") - _C("final_score")
-    reason = F.concat(F.lit("综合 "), F.size("different_aspects").cast("string"), F.lit(" 个差异维度 vs "),
-                      F.size("same_aspects").cast("string"), F.lit(" 个相同维度，排名第 "), rank,
-                      F.lit("（综合分差 "), num(gap, 4), F.lit("）"))
+    reason = F.concat(F.lit(say.RANK_OF), F.size("different_aspects").cast("string"), F.lit(say.DIFFERENT_COUNT),
+                      F.size("same_aspects").cast("string"), F.lit(say.SAME_COUNT), rank,
+                      F.lit(say.SCORE_GAP), num(gap, 4), F.lit(say.CLOSE))
     out = df.withColumn("same_aspects", F.when(other, same)).withColumn("different_aspects", F.when(other, diff))
     return (out.withColumn("score_gap", F.when(other, gap)).withColumn("ranking_reason", F.when(other, reason))
             .drop("_bug_type", "_subsystem", "_final_score", "_vector_score", "_reranker_score", "_version_weight"))
