@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import cut, file_system, fresh_path, text_of
+from .shared import cut, file_system, fresh_path, hinted, text_of
 
 MIN_REVISIT_BYTES = 1000
 LEVEL = 4
@@ -35,13 +35,14 @@ def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
     Of equal payloads of at least ``min_bytes`` bytes the row with the largest page_id is the response. Null html is an
     empty payload. Rows that repeat the largest page_id with the same payload are all responses; a null page_id is smaller
-    than any other. Only digests that occur twice take part in the join.
+    than any other. Only digests that occur twice take part in the join, and they go to the pages while they are few.
     """
     payload = text_of("html").cast("binary")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1("payload")})
     kept = (rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
             .agg(F.max("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    kept = hinted(cut(kept, "repeated"), 64)
     revisit = F.col("_kept").isNotNull() & ~F.col("_kept").eqNullSafe(F.col("page_id"))
     return rows.join(kept, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
