@@ -100,18 +100,18 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The content of a gzip stream of one or more members, in blocks."""
-    z = zlib.decompressobj(_GZIP)
+    """The content of a gzip stream of one or more members, in blocks; a stream that is cut off raises an error."""
+    z, within = zlib.decompressobj(_GZIP), False
     while data := stream.read(BLOCK):
         while data:
-            out = z.decompress(data, BLOCK)
+            out, within = z.decompress(data, BLOCK), True
             if out:
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(_GZIP)
-    if rest := z.flush():
-        yield rest
+                data, z, within = z.unused_data, zlib.decompressobj(_GZIP), False
+    if within:
+        raise ValueError("the archive ends within a gzip stream")
 
 
 class _Placed:

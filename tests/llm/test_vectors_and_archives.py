@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import io
 import json
 import math
 import random
@@ -106,3 +107,8 @@ def test_truncated_archive_is_refused():
     assert [h["WARC-Type"] for h, _ in warc.split_records(iter([record[:7], record[7:], record]))] == ["response"] * 2
     with pytest.raises(ValueError):
         list(warc.split_records(iter([record, record[:-3]])))
+    packed = gzip.compress(record * 2000)
+    assert b"".join(warc.inflate(io.BytesIO(packed + packed))) == record * 4000
+    for end in (-1, -9, 40):
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO(packed[:end])))
