@@ -15,6 +15,7 @@ probability of hw; m is chosen from GRID by the leave-one-out likelihood of the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,14 +59,15 @@ def tokens_of(text: str) -> list[bytes]:
 BLOCKS = "block string, ids binary, known_ids binary, held binary, lengths binary, codes binary, names binary, counts binary, tokens bigint, trained bigint, texts bigint"
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """24-bit codes by bytes of equal weight: the upper ones are mostly zero and compress well."""
-    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes by bytes of equal weight: the upper ones are mostly zero, so that shuffles compress them well."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<i8").ravel()
 
 
 def blocks(docs: DataFrame, held: F.Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -76,7 +78,7 @@ def blocks(docs: DataFrame, held: F.Column, block_tokens: int = BLOCK_TOKENS) ->
         trained = np.bincount(flat[~np.repeat(held_out, lengths)], minlength=len(codes))
         doc_ids = np.array([-1 if r[0] is None else r[0] for r in rows], "<i8")
         return (name, doc_ids.tobytes(), np.array([r[0] is not None for r in rows], np.uint8).tobytes(), held_out.astype(np.uint8).tobytes(),
-                lengths.astype("<i8").tobytes(), _planes(flat), _names(list(codes)).astype("<u8").tobytes(), trained.astype("<u4").tobytes(),
+                lengths.astype("<i8").tobytes(), _planes(flat, 3), _names(list(codes)).astype("<u8").tobytes(), _planes(trained, 4),
                 len(flat), int(trained.sum()), int((~held_out).sum()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,22 +115,22 @@ def word_counts(table: DataFrame, shards: int) -> DataFrame:
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, names, counts in zip(batch["block"], batch["names"], batch["counts"]):
-                names, counts = np.frombuffer(names, "<u8"), np.frombuffer(counts, "<u4")
+                names, counts = np.frombuffer(names, "<u8"), _from_planes(counts, 4)
                 order = np.argsort(names)
                 names, counts = names[order], counts[order]
                 part = _of_range(names, 62, shards)
                 at = np.nonzero(np.diff(part, prepend=-1))[0]
-                yield pd.DataFrame([(int(part[a]), block, names[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(names)])],
+                yield pd.DataFrame([(int(part[a]), block, names[a:b].tobytes(), _planes(counts[a:b], 4)) for a, b in zip(at, [*at[1:], len(names)])],
                                    columns=["part", "block", "names", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
         names = [np.frombuffer(x, "<u8") for x in rows["names"]]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
+        counts = np.concatenate([_from_planes(x, 4) for x in rows["counts"]])
         distinct, inverse = np.unique(np.concatenate(names), return_inverse=True)
         total = np.bincount(inverse, counts, len(distinct)).astype("<i8")
         ends = np.cumsum([len(x) for x in names])[:-1]
-        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "counts": [x.tobytes() for x in np.split(total[inverse], ends)],
+        return pd.DataFrame({"block": rows["block"], "part": rows["part"], "counts": [_planes(x, 6) for x in np.split(total[inverse], ends)],
                              "distinct": int((total > 0).sum())})
 
     sent = table.select("block", "names", "counts").mapInPandas(send, "part bigint, block string, names binary, counts binary")
@@ -143,7 +145,7 @@ def heavy_contexts(table: DataFrame, tokens: int, share: float = HEAVY_SHARE) ->
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for names, counts in zip(batch["names"], batch["counts"]):
-                counts = np.frombuffer(counts, "<u4")
+                counts = _from_planes(counts, 4)
                 top = np.nonzero(counts > max(1.0, counts.sum() * share / 2))[0]
                 yield pd.DataFrame({"name": np.frombuffer(names, "<u8")[top].astype(np.int64), "n": counts[top].astype(np.int64)})
 
@@ -215,18 +217,21 @@ def count_table() -> np.ndarray:
 
 
 def _block_arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (_from_planes(row.codes), np.frombuffer(row.lengths, "<i8"), np.frombuffer(row.names, "<u8"),
+    return (_from_planes(row.codes, 3), np.frombuffer(row.lengths, "<i8"), np.frombuffer(row.names, "<u8"),
             np.frombuffer(row.held, np.uint8).astype(bool))
 
 
-def ngram_codes(table: DataFrame, k: int, parts: int, heavy: dict[int, float], folder: str) -> DataFrame:
-    """block, part, codes: the trie codes of a block's n-grams of each shard, in their order."""
+def ngram_codes(table: DataFrame, k: int, parts: int, heavy: dict[int, float], folder: str, keep: bool = False) -> DataFrame:
+    """block, part, codes: the trie codes of a block's n-grams of each shard, in their order.
+
+    A shard's trie lies in ``folder`` while its task reads it, and with ``keep`` also afterwards.
+    """
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 codes, lengths, names, held = _block_arrays(row)
                 g = Grams(codes, lengths, names, k)
-                counts = np.bincount(g.of[~np.repeat(held, lengths)], minlength=len(g.context)).astype("<u4")
+                counts = np.bincount(g.of[~np.repeat(held, lengths)], minlength=len(g.context))
                 part = g.shards(parts, heavy)
                 order = np.argsort(part, kind="stable")
                 context, word, counts, part = g.context[order], g.word[order], counts[order], part[order]
@@ -234,27 +239,27 @@ def ngram_codes(table: DataFrame, k: int, parts: int, heavy: dict[int, float], f
                 out = []
                 for a, b in zip(at, [*at[1:], len(part)]):
                     first = np.nonzero(np.diff(context[a:b], prepend=~context[a:a + 1]) != 0)[0]
-                    sizes = np.diff(np.append(first, b - a)).astype("<u4")
+                    sizes = np.diff(np.append(first, b - a))
                     w = word[a:b]
-                    out.append((int(part[a]), row.block, context[a:b][first].tobytes(), sizes.tobytes(), w.astype("<u4").tobytes(),
-                                (w >> _U(32)).astype(np.uint8).tobytes(), counts[a:b].tobytes()))
+                    out.append((int(part[a]), row.block, context[a:b][first].tobytes(), _planes(sizes, 4), w.astype("<u4").tobytes(),
+                                (w >> _U(32)).astype(np.uint8).tobytes(), _planes(counts[a:b], 4)))
                 yield pd.DataFrame(out, columns=["part", "block", "contexts", "sizes", "low", "high", "counts"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block")
         contexts = [np.frombuffer(x, "<u8") for x in rows["contexts"]]
-        sizes = [np.frombuffer(x, "<u4") for x in rows["sizes"]]
+        sizes = [_from_planes(x, 4) for x in rows["sizes"]]
         distinct, place = np.unique(np.concatenate(contexts), return_inverse=True)
         key = np.repeat(place.astype(_U) << _U(40), np.concatenate(sizes))
         word = np.concatenate([np.frombuffer(x, "<u4") for x in rows["low"]]).astype(_U)
         word |= np.concatenate([np.frombuffer(x, np.uint8) for x in rows["high"]]).astype(_U) << _U(32)
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]])
+        counts = np.concatenate([_from_planes(x, 4) for x in rows["counts"]])
         key |= word
         trained = np.nonzero(counts)[0]
         known, inverse = np.unique(key[trained], return_inverse=True)
         total = np.bincount(inverse, counts[trained], len(known))
         built = Trie.build(distinct[(known >> _U(40)).astype(np.int64)], known & _U((1 << 40) - 1), quantise(total))
-        fs, path = _write(f"{folder}/order-{k}-shard-{int(rows['part'].iloc[0])}.trie", built.to_bytes())
+        fs, path = _write(f"{folder}/order-{k}-shard-{int(rows['part'].iloc[0])}{'' if keep else '-' + uuid.uuid4().hex}.trie", built.to_bytes())
         trie = Trie.open(fs, path)
         del built, key, known, inverse, total, counts
         out, at = [], 0
@@ -262,6 +267,9 @@ def ngram_codes(table: DataFrame, k: int, parts: int, heavy: dict[int, float], f
             m = int(n.sum())
             out.append(trie.lookup(np.repeat(c, n), word[at:at + m]).tobytes())
             at += m
+        if not keep:
+            del trie
+            fs.delete_file(path)
         return pd.DataFrame({"block": rows["block"], "part": rows["part"], "codes": out})
 
     sent = table.select("block", "codes", "lengths", "names", "held").mapInPandas(
@@ -271,7 +279,6 @@ def ngram_codes(table: DataFrame, k: int, parts: int, heavy: dict[int, float], f
 
 def _write(uri: str, data: bytes):
     """A whole file under its final name, whatever attempt writes it."""
-    import uuid
     fs, path = file_system(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     mine = f"{path}.{uuid.uuid4().hex}.part"
@@ -290,7 +297,7 @@ def _score_block(row, answers: pd.DataFrame, order: int, parts: int, heavy: dict
     codes, lengths, names, held = _block_arrays(row)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     answers = answers.sort_values(["k", "part"])
-    by_order = {k: [np.frombuffer(x, "<i8" if k == 1 else np.uint8) for x in part["codes"]] for k, part in answers.groupby("k")}
+    by_order = {k: [_from_planes(x, 6) if k == 1 else np.frombuffer(x, np.uint8) for x in part["codes"]] for k, part in answers.groupby("k")}
     count = np.empty(len(names), np.int64)
     count[np.argsort(names)] = np.concatenate(by_order[1])
     total = float(tokens + distinct + 1)
@@ -321,11 +328,12 @@ def _score_block(row, answers: pd.DataFrame, order: int, parts: int, heavy: dict
                          "left_out": list(left_out)})
 
 
-def score(docs: DataFrame, held: F.Column, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, shard_ngrams: int = SHARD_NGRAMS) -> DataFrame:
+def score(docs: DataFrame, held: F.Column, order: int = ORDER, block_tokens: int = BLOCK_TOKENS, shard_ngrams: int = SHARD_NGRAMS,
+          model: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, weight (the m in use); texts with ``held`` never teach.
 
     Null text counts as empty: its one token is the end. Repeated rows teach and are scored as often as they stand; a null doc_id stays
-    null; other columns are ignored; an empty table gives no rows. Without training texts N = V = 0 and every token has probability 1.
+    null; other columns are ignored; an empty table gives no rows. ``model``: a shared folder in which the tries stay. Without training texts N = V = 0 and every token has probability 1.
     """
     spark = docs.sparkSession
     table = cut(blocks(docs, held, block_tokens), "blocks")
@@ -335,10 +343,10 @@ def score(docs: DataFrame, held: F.Column, order: int = ORDER, block_tokens: int
     parts = max(1, -(-all_tokens // shard_ngrams))
     counted = cut(word_counts(table, max(1, -(-words // shard_ngrams))), "words")
     distinct = counted.groupBy("part").agg(F.max("distinct").alias("n")).agg(F.sum("n")).first()[0] or 0
-    folder = fresh_path(spark, "tries")
+    folder = model or fresh_path(spark, "tries")
     answers = counted.select("block", F.lit(1).alias("k"), "part", F.col("counts").alias("codes"))
     for k in range(2, order + 1):
-        got = cut(ngram_codes(table, k, parts, heavy, folder), "codes")
+        got = cut(ngram_codes(table, k, parts, heavy, folder, model is not None), "codes")
         answers = answers.unionAll(got.select("block", F.lit(k).alias("k"), "part", "codes"))
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
