@@ -26,7 +26,7 @@ from .eliasfano import Trie
 from .shared import crc_of_id, cut, file_system, fresh_path, text_of
 
 ORDER = 2
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 600_000
 SHARD_NGRAMS = 1_000_000
 HEAVY_SHARE = 0.001
 GRID = (1.0, 5.0, 25.0, 100.0, 400.0, 1600.0)
