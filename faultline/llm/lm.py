@@ -6,8 +6,8 @@ quantised probability each, writes it to the shared folder, maps it, and answers
 to the blocks, which score their texts. So every n-gram crosses the network once per block and order, however often it occurs, and no
 task, nor the driver, holds the model: shards grow in number with the corpus.
 
-A shard is a range of context names. Contexts that hold over HEAVY_SHARE of all tokens (at most 1 / HEAVY_SHARE of them) are spread over
-several shards by their successors.
+A shard is a range of context names. Contexts of over a shard's share of all tokens, the start of the text among them, are counted for each
+order and spread over several shards by their successors.
 
 Model: p_1(w) = (c(w) + 1) / (N + V + 1), and for order k, with context h: p_k(w|h) = (c(hw) + m p_{k-1}(w)) / (c(h) + m). The tries keep the
 probability of hw; m is chosen from GRID by the leave-one-out likelihood of the training texts.
@@ -137,21 +137,34 @@ def word_counts(table: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("part").applyInPandas(add, "block string, part bigint, counts binary, distinct bigint")
 
 
-def heavy_contexts(table: DataFrame, tokens: int, share: float = HEAVY_SHARE) -> dict[int, float]:
-    """Names of the words that are over ``share`` of the training tokens -> their share; at most 1 / share of them.
+def contexts_of(codes: np.ndarray, lengths: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Name of each token's context: those of the k - 1 tokens before it, mixed; starts fill what is missing."""
+    starts, start_name = np.cumsum(lengths) - lengths, _names([START])[0]
+    previous, context = codes, None
+    for _ in range(k - 1):
+        previous = np.concatenate([[-1], previous[:-1]])
+        previous[starts] = -1
+        name = np.where(previous >= 0, names[previous], start_name)
+        context = name if context is None else _mix(context ^ (_mix(name) >> _U(2))) >> _U(2)
+    return context
 
-    Such a word is over share / 2 of some block's tokens, or of too few tokens to matter; only those are counted over all blocks.
+
+def heavy_contexts(table: DataFrame, k: int, tokens: int, share: float = HEAVY_SHARE) -> dict[int, float]:
+    """Names of the contexts of order k that over ``share`` of all tokens follow -> their share; at most 1 / share of them.
+
+    Such a context has over share / 2 of some block's tokens, or too few tokens to matter; only those are counted over all blocks.
     """
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for names, counts in zip(batch["names"], batch["counts"]):
-                counts = _from_planes(counts, 4)
-                top = np.nonzero(counts > max(1.0, counts.sum() * share / 2))[0]
-                yield pd.DataFrame({"name": np.frombuffer(names, "<u8")[top].astype(np.int64), "n": counts[top].astype(np.int64)})
+            for row in batch.itertuples(index=False):
+                codes, lengths, names, _ = _block_arrays(row)
+                name, counts = np.unique(contexts_of(codes, lengths, names, k), return_counts=True)
+                top = np.nonzero(counts > max(1.0, len(codes) * share / 2))[0]
+                yield pd.DataFrame({"name": name[top].astype(np.int64), "n": counts[top].astype(np.int64)})
 
-    rows = (table.select("names", "counts").mapInPandas(local, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
+    rows = (table.select("codes", "lengths", "names", "held").mapInPandas(local, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
             .filter(F.col("n") > tokens * share).collect())
-    return {r.name: r.n / tokens for r in rows} if tokens else {}
+    return {r.name: r.n / tokens for r in rows}
 
 
 # --- n-grams ------------------------------------------------------------------------------------
@@ -164,19 +177,10 @@ class Grams:
     """
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, names: np.ndarray, k: int):
-        starts = np.cumsum(lengths) - lengths
         order = np.argsort(names)
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
-        # context of each token: names of the k - 1 tokens before it, mixed; starts fill what is missing
-        start_name = _names([START])[0]
-        previous, context = codes, None
-        for _ in range(k - 1):
-            previous = np.concatenate([[-1], previous[:-1]])
-            previous[starts] = -1
-            name = np.where(previous >= 0, names[previous], start_name)
-            context = name if context is None else _mix(context ^ (_mix(name) >> _U(2))) >> _U(2)
-        distinct, context_rank = np.unique(context, return_inverse=True)
+        distinct, context_rank = np.unique(contexts_of(codes, lengths, names, k), return_inverse=True)
         key, self.of = np.unique(context_rank.astype(_U) << _U(32) | rank[codes].astype(_U), return_inverse=True)
         self.context = distinct[(key >> _U(32)).astype(np.int64)]
         self.code = order[(key & _U(0xFFFFFFFF)).astype(np.int64)]
@@ -293,7 +297,7 @@ def _write(uri: str, data: bytes):
 SCORES = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, scores array<double>, left_out array<double>"
 
 
-def _score_block(row, answers: pd.DataFrame, order: int, parts: int, heavy: dict[int, float], tokens: int, distinct: int, texts: int) -> pd.DataFrame:
+def _score_block(row, answers: pd.DataFrame, order: int, parts: int, heavy: dict[int, dict[int, float]], tokens: int, distinct: int, texts: int) -> pd.DataFrame:
     codes, lengths, names, held = _block_arrays(row)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     answers = answers.sort_values(["k", "part"])
@@ -308,7 +312,7 @@ def _score_block(row, answers: pd.DataFrame, order: int, parts: int, heavy: dict
     for k in range(2, order + 1):
         g = Grams(codes, lengths, names, k)
         c = np.empty(len(g.context))
-        c[np.argsort(g.shards(parts, heavy), kind="stable")] = count_table()[np.concatenate(by_order[k])]
+        c[np.argsort(g.shards(parts, heavy[k]), kind="stable")] = count_table()[np.concatenate(by_order[k])]
         before = np.concatenate([[0], of_context[:-1]]).astype(float)
         before[starts] = texts
         of_context = c[g.of]
@@ -339,14 +343,14 @@ def score(docs: DataFrame, held: F.Column, order: int = ORDER, block_tokens: int
     table = cut(blocks(docs, held, block_tokens), "blocks")
     sums = table.agg(F.sum("tokens"), F.sum("trained"), F.sum("texts"), F.sum(F.octet_length("names") / 8)).first()
     all_tokens, tokens, texts, words = (int(x or 0) for x in sums)
-    heavy = heavy_contexts(table, tokens)
     parts = max(1, -(-all_tokens // shard_ngrams))
+    heavy = {k: heavy_contexts(table, k, all_tokens, min(HEAVY_SHARE, 1 / parts)) for k in range(2, order + 1)}
     counted = cut(word_counts(table, max(1, -(-words // shard_ngrams))), "words")
     distinct = counted.groupBy("part").agg(F.max("distinct").alias("n")).agg(F.sum("n")).first()[0] or 0
     folder = model or fresh_path(spark, "tries")
     answers = counted.select("block", F.lit(1).alias("k"), "part", F.col("counts").alias("codes"))
     for k in range(2, order + 1):
-        got = cut(ngram_codes(table, k, parts, heavy, folder, model is not None), "codes")
+        got = cut(ngram_codes(table, k, parts, heavy[k], folder, model is not None), "codes")
         answers = answers.unionAll(got.select("block", F.lit(k).alias("k"), "part", "codes"))
 
     def run(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

@@ -74,6 +74,30 @@ def test_order_three_and_empty_table(spark):
     assert lm.score(docs.limit(0), crc_of_id("doc_id") % 7 == 2).count() == 0
 
 
+def test_start_context_is_spread_over_shards(spark):
+    """Short texts, each with a first word of its own: no shard gets most n-grams of the start, whatever the order, and scores stay."""
+    docs = spark.createDataFrame([(i, f"w{i} x{i % 50}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    held = crc_of_id("doc_id") % 7 == 2
+    table = lm.blocks(docs, held, 1000).cache()
+    start = int(lm._names([lm.START])[0])
+    two = lm.heavy_contexts(table, 2, 9000, 0.05)
+    assert two == {start: 1 / 3}
+    assert int(lm._names([lm.END])[0]) not in two
+    three = lm.heavy_contexts(table, 3, 9000, 0.05)
+    assert list(three.values()) == [1 / 3]
+    for k, heavy in ((2, two), (3, three)):
+        rows = 0
+        for row in table.collect():
+            codes, lengths, names, _ = lm._block_arrays(row)
+            g = lm.Grams(codes, lengths, names, k)
+            part = g.shards(18, heavy)[g.context == np.uint64(next(iter(heavy)))]
+            rows = rows + np.bincount(part, minlength=24)
+        assert rows.sum() == 3000 and rows.max() < 700  # six shards of about 500
+    for order in (2, 3):
+        one, many = ({r.doc_id: round(r.score, 8) for r in lm.score(docs, held, order, 1000, n).collect()} for n in (10 ** 6, 500))
+        assert one == many
+
+
 def test_trees_learn_and_traverse():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, len(quality.FEATURES)))
