@@ -52,7 +52,7 @@ class MTree:
         pivot = points.mean(0)
         distance = np.sqrt(((points - pivot) ** 2).sum(1))
         node = Page(pivot, float(distance.max()))
-        if len(points) <= page or node.radius == 0:
+        if len(points) <= page or (points == points[0]).all():  # the mean of equal rows is rounded: their radius need not be 0
             order = np.argsort(distance, kind="stable")
             node.points, node.ids, node.to_parent = points[order], ids[order], distance[order]
             return node
@@ -134,15 +134,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHA
     """query_id, rank, vec_id, score: the k largest inner products for each query.
 
     ``rows`` and ``queries`` have vec_id and v. Rows with the query's vec_id are not its candidates; a repeated vec_id is a
-    candidate once per row, and repeated query rows are one query. Vectors meet only those of their own length. Shards and query blocks are
-    bounded, so a task holds at most ``shard_rows`` rows and ``query_block`` queries; the k best of each shard meet last.
+    candidate once per row, and repeated query rows are one query. Vectors meet only those of their own length. Shards (dealt by vector and
+    row number, so equal rows spread) and query blocks are bounded, so a task holds at most ``shard_rows`` rows and ``query_block`` queries; the k best of each shard meet last.
     """
     queries = queries.dropDuplicates(["vec_id"])
     n_rows, n_queries = rows.count(), queries.count()
     shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // query_block))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    deal = lambda n, *more: F.pmod(F.xxhash64("vec_id", "v", *more), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", deal(shards)).withColumn("block", every(blocks))
+    left = rows.withColumn("shard", deal(shards, F.monotonically_increasing_id())).withColumn("block", every(blocks))
     right = queries.withColumn("block", deal(blocks)).withColumn("shard", every(shards))
 
     def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

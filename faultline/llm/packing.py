@@ -1,7 +1,7 @@
 """Best-fit packing: token pieces into sequences of fixed length.
 
 Documents are tokenised in Spark tasks, which keep only (document, piece, length, checksum) rows. These small rows are dealt
-by hash to groups of bounded size, and each group is packed by best-fit decreasing; a segment tree over the remaining
+by hash to groups of bounded size (equal rows by their row number), and each group is packed by best-fit decreasing; a segment tree over the remaining
 capacities finds the tightest open sequence in logarithmic time. Groups grow in number, never in size.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, text_of
+from .shared import cut, hinted, text_of
 
 CAPACITY = 2048
 GROUP_ROWS = 25_000
@@ -161,7 +161,10 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], l
 
 
 def pack(pieces_table: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Add sequence_id and offset to piece rows. Every group holds about ``group_rows`` rows, whatever the input's size."""
+    """Add sequence_id and offset to piece rows. Every group holds about ``group_rows`` rows, whatever the input's size.
+
+    Rows are dealt by what they hold. Groups of over 2 ``group_rows``, into which equal rows have met, are dealt again by row number.
+    """
     groups = max(1, -(-pieces_table.count() // group_rows))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -170,8 +173,13 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY, group_rows: int = GR
         group = int(rows["_group"].iloc[0])
         return rows.drop(columns="_group").assign(sequence_id=np.array(bins, "int64") + (group << 32), offset=np.array(offsets, "int64"))
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    return pieces_table.withColumn("_group", group).groupBy("_group").applyInPandas(run, PACKED)
+    dealt = pieces_table.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    full = (dealt.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 2 * group_rows)
+            .select("_group", F.ceil(F.col("_rows") / group_rows).alias("_parts")))
+    # at most one full group to 2 group_rows rows: a small table
+    dealt = dealt.withColumn("_row", F.xxhash64(F.monotonically_increasing_id())).join(hinted(full, 16), "_group", "left")
+    part = F.coalesce(F.pmod("_row", "_parts"), F.lit(0))
+    return dealt.withColumn("_group", F.col("_group") + groups * part).drop("_row", "_parts").groupBy("_group").applyInPandas(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -188,6 +188,16 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark, texts).limit(0), tokenizer_path()).count() == 0
 
 
+def test_equal_pieces_spread_over_groups(spark):
+    """A third of all rows are equal: no group takes them all, and every piece is packed once."""
+    texts = [(None, "")] * 1000 + [(i, f"text {i}") for i in range(2000)]
+    pieces = packing.pieces(frame(spark, texts).repartition(3), tokenizer_path(), 64)
+    rows = packing.pack(pieces, 64, group_rows=100).collect()
+    check_packing(rows, texts, 64, 1.2)
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert max(groups.values()) <= 200  # at most 2 group_rows
+
+
 def test_best_fit_takes_the_tightest_bin():
     rng = random.Random(5)
     lengths = sorted((rng.randint(1, 100) for _ in range(400)), reverse=True)

@@ -4,6 +4,7 @@ import io
 import json
 import math
 import random
+import uuid
 
 import duckdb
 import numpy as np
@@ -55,6 +56,28 @@ def test_search_equals_brute_force(spark):
     assert mtree.search_table(table.limit(0)).count() == 0
 
 
+def test_equal_vectors_spread_over_shards(spark, tmp_path, monkeypatch):
+    rows = [(1, [3.0, 4.0])] * 900 + [(i, [float(i), 1.0]) for i in range(2, 102)]
+    ints = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    queries = ints.filter("vec_id = 50")
+
+    class Seen(mtree.MTree):
+        def __init__(self, points, ids):
+            (tmp_path / f"{uuid.uuid4().hex}-{len(ids)}").touch()
+            super().__init__(points, ids)
+
+    monkeypatch.setattr(mtree, "MTree", Seen)
+    got = mtree.top_k(ints, queries, 5, shard_rows=100).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, 101 - k, (101 - k) * 50 + 1) for k in range(5)]
+    sizes = [int(f.name.split("-")[1]) for f in tmp_path.iterdir()]
+    assert sum(sizes) == 1000 and max(sizes) < 200
+
+
+def test_tree_of_equal_vectors():
+    tree = mtree.MTree(np.array([[3.0, 4.0]] * 900 + [[50.0, 1.0]]), np.arange(901))
+    assert tree.search(np.array([1.0, 1.0]), -1, 3) == [(51, 900), (7, 0), (7, 1)]
+
+
 def test_tree_skips_distances():
     rng = np.random.default_rng(1)
     centres = rng.integers(-200, 200, (40, 16))
