@@ -55,8 +55,8 @@ class Index:
     Impacts are BM25 weights divided by the item's score for its own text: 1 means that all its terms occur.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
-        items = sorted((i, t) for i, t in items if terms_of(t))
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD):
+        items = sorted(((i, t) for i, t in items if terms_of(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids, self.threshold = [i for i, _ in items], threshold
         words = [terms_of(t) for _, t in items]
         self.longest = max(map(len, words), default=1)
@@ -175,9 +175,9 @@ def search_text(index: Index, text: str, overlap: float = OVERLAP) -> list[tuple
 FOUND = "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double"
 
 
-def item_chunks(items: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def item_chunks(items: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """The items in chunks of about ``chunk_bytes`` of text, dealt by hash; each comes to the driver alone."""
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of().alias("text")).filter(F.col("item_id").isNotNull())
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     if chunks > 1:
@@ -190,8 +190,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                  chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, item_id, passage_start, score, question_overlap, answer_overlap: the items that each document holds.
 
-    One row per document row and item. Null texts are empty and hold nothing; items without words, or without item_id, are left
-    out; items that repeat an item_id are searched alike, each giving its own row. A null doc_id stays null. Other columns are ignored.
+    One row per document row and item. Null texts are empty and hold nothing; items without words are left out; items that repeat
+    an item_id are searched alike, each giving its own row. A null doc_id or item_id stays null. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     out = None
@@ -208,7 +208,7 @@ def _searcher(docs: DataFrame, chunk: list, threshold: float, overlap: float):
         for batch in batches:
             out = [(d, *row) for d, text in zip(batch["doc_id"], batch["text"]) for row in search_text(index.value, text, overlap)]
             frame = pd.DataFrame(out, columns=["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield frame.astype({"doc_id": "Int64"}).assign(item_id=pd.array([row[1] for row in out], "Int64"))  # nulls, without floats
 
     return run
 

@@ -140,6 +140,17 @@ def test_items_found_wherever_they_stand(spark):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_items_without_item_id_count(spark):
+    big = 2 ** 62 + 1
+    items = spark.createDataFrame([(None, "one two three four five six seven eight"), (None, "red green blue black white grey pink brown"),
+                                   (big, "one two three four five six seven eight"), (None, None)], "item_id long, text string")
+    docs = frame(spark, [(1, "x y one two three four five six seven eight z"), (2, "red green blue black white grey pink brown"), (3, "nothing of these")])
+    for size in (1 << 20, 40):
+        got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, chunk_bytes=size).collect())
+        assert got == {(1, None): 1, (1, big): 1, (2, None): 1}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items.filter("item_id is null")).collect()] == [3]
+
+
 def test_wand_equals_full_scores():
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     index = decontam.Index(items)
