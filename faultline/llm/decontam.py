@@ -1,10 +1,11 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
 The index is built per chunk of items whose text is bounded (``CHUNK_BYTES``), and each chunk is broadcast in turn, so a larger
-benchmark means more chunks, never a larger broadcast. A passage is a window of words, long enough that every item lies whole in
-one. Its score for an item is BM25 over its distinct terms, as a share of the item's score for its own text. Block-max WAND
-retrieves all items at or above a threshold: sums of block maxima discard most passages for all blocks at once, and the rest
-move through the posting lists by pivots. Retrieved items are verified by the overlap of question and answer.
+benchmark means more chunks, never a larger broadcast; document frequencies, mean and greatest length are those of all items, so that chunks
+do not change results. A passage of an item is a window of twice its words, so that the item lies whole in one. Its score is BM25 over its
+distinct terms, as a share of the item's score for its own text. Block-max WAND retrieves all items at or above a threshold in
+windows sized by the longest item: sums of block maxima discard most windows for all blocks at once, and the rest
+move through the posting lists by pivots. Retrieved items are verified in their own passages by score and by overlap of question and answer.
 """
 
 from __future__ import annotations
@@ -53,9 +54,10 @@ class Index:
     """Postings of a chunk of items, ordered by item, in at most ``BLOCKS`` blocks of items.
 
     Impacts are BM25 weights divided by the item's score for its own text: 1 means that all its terms occur.
+    ``stats``: number, mean and greatest length of all items, and their document frequencies by term, where the chunk is not all.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, stats: tuple[int, float, int, dict[str, int]] | None = None):
         items = sorted(((i, t) for i, t in items if terms_of(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids, self.threshold = [i for i, _ in items], threshold
         words = [terms_of(t) for _, t in items]
@@ -64,15 +66,21 @@ class Index:
         self.block = max(1, -(-len(items) // BLOCKS))
         n_blocks, n_terms = -(-len(items) // self.block), len(self.vocabulary)
         coded = [np.array([self.vocabulary[t] for t in w]) for w in words]
-        df = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=n_terms) if coded else np.zeros(0)
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for w in words]) if words else 1.0
+        if stats:
+            n_items, mean, self.longest, frequency = stats
+            df = np.array([frequency[t] for t in self.vocabulary], float)
+        else:
+            n_items, mean = len(items), sum(map(len, words)) / len(words) if words else 1.0
+            df = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=n_terms) if coded else np.zeros(0)
+        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
         lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
+        self.lengths, self.weights = [len(w) for w in words], []
         self.block_max = np.zeros((n_terms + 1, n_blocks), np.float32)  # the last row is for words that no item has
         for item, c in enumerate(coded):
             term, tf = np.unique(c, return_counts=True)
             weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(c) / mean))
             weight /= weight.sum()
+            self.weights.append(dict(zip(term.tolist(), weight.tolist())))
             for t, w in zip(term.tolist(), weight.tolist()):
                 lists[t].append((item, w))
                 b = item // self.block
@@ -138,7 +146,8 @@ class Index:
 def search_text(index: Index, text: str, overlap: float = OVERLAP) -> list[tuple]:
     """(item, start, score, question share, answer share) of each item that a passage of ``text`` holds; the best passage of each.
 
-    Passages are windows of 2 s words at each multiple of s, where s is the number of words of the longest item.
+    Windows have 2 s words and start at each multiple of s, where s is the number of words of the longest item. Passages of an item of n words
+    are the runs of 2 n words in a window at each n words, and the last one: every n words that stand together lie in one.
     """
     words = terms_of(text)
     t = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int32, len(words))
@@ -156,17 +165,26 @@ def search_text(index: Index, text: str, overlap: float = OVERLAP) -> list[tuple
     windows = np.nonzero((bound[:-1] + bound[1:]).max(1) >= index.threshold - 1e-4)[0]
     best: dict[int, tuple] = {}
     for w in windows.tolist():
-        passage = t[w * step:(w + 2) * step]
-        distinct = np.unique(passage)
+        window = t[w * step:(w + 2) * step]
+        distinct = np.unique(window)
         distinct = distinct[distinct >= 0]
         if index.block_max[distinct].sum(0).max() < index.threshold - 1e-4:
             continue
-        for item, score in index.wand(distinct.tolist()):
-            q, a = index.overlaps(item, passage.tolist())
-            if q >= overlap and a >= overlap:
-                row = (score, q, a, -w * step)
-                if item not in best or row > best[item]:
-                    best[item] = row
+        for item, _ in index.wand(distinct.tolist()):
+            n, weights = index.lengths[item], index.weights[item]
+            last = 2 * (step - n)
+            for at in [*range(0, last, n), last]:
+                start = w * step + at
+                passage = window[at:at + 2 * n].tolist()
+                have = set(passage)
+                score = sum(x for k, x in weights.items() if k in have)
+                if score < index.threshold - 1e-9:
+                    continue
+                q, a = index.overlaps(item, passage)
+                if q >= overlap and a >= overlap:
+                    row = (score, q, a, -start)
+                    if item not in best or row > best[item]:
+                        best[item] = row
     return [(index.ids[i], -at, score, q, a) for i, (score, q, a, at) in sorted(best.items())]
 
 
@@ -175,15 +193,36 @@ def search_text(index: Index, text: str, overlap: float = OVERLAP) -> list[tuple
 FOUND = "doc_id bigint, item_id bigint, passage_start bigint, score double, question_overlap double, answer_overlap double"
 
 
-def item_chunks(items: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in chunks of about ``chunk_bytes`` of text, dealt by hash; each comes to the driver alone."""
+def item_terms(items: DataFrame) -> DataFrame:
+    """chunk, term, n, words, longest: for each distinct term of a chunk the number of its items; for a null term all its items, and their words."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for chunk, text in zip(batch["chunk"], batch["text"]):
+                if words := terms_of(text):
+                    out += [(chunk, None, len(words)), *((chunk, t, 0) for t in set(words))]
+            yield pd.DataFrame(out, columns=["chunk", "term", "words"]).astype({"term": object})
+
+    rows = items.select("chunk", "text").mapInPandas(run, "chunk bigint, term string, words bigint")
+    return rows.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest"))
+
+
+def item_indexes(items: DataFrame, threshold: float = THRESHOLD, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Index]:
+    """Indexes of the items in chunks of about ``chunk_bytes`` of text, dealt by hash; each chunk, with its terms, comes to the driver alone."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), text_of().alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    if chunks > 1:
-        items = cut(items, "items")
+    if chunks == 1:
+        yield Index([(r.item_id, r.text) for r in items.collect()], threshold)
+        return
+    items = cut(items.withColumn("chunk", F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)).cast("bigint")), "items")
+    terms = cut(item_terms(items), "terms")
+    n, words, longest = terms.filter(F.col("term").isNull()).agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
+    terms = terms.filter(F.col("term").isNotNull()).select("chunk", "term", "n")
+    df = cut(terms.select("chunk", "term").join(terms.groupBy("term").agg(F.sum("n").alias("df")), "term"), "frequencies")
     for k in range(chunks):
-        yield [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).collect()]
+        frequency = {r.term: r.df for r in df.filter(F.col("chunk") == k).select("term", "df").collect()}
+        yield Index([(r.item_id, r.text) for r in items.filter(F.col("chunk") == k).collect()], threshold, (n, words / n, longest, frequency) if n else None)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
@@ -195,14 +234,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     out = None
-    for chunk in item_chunks(items, chunk_bytes):
-        found = docs.mapInPandas(_searcher(docs, chunk, threshold, overlap), FOUND)
+    for index in item_indexes(items, threshold, chunk_bytes):
+        found = docs.mapInPandas(_searcher(docs, index, overlap), FOUND)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _searcher(docs: DataFrame, chunk: list, threshold: float, overlap: float):
-    index = docs.sparkSession.sparkContext.broadcast(Index(chunk, threshold))
+def _searcher(docs: DataFrame, index: Index, overlap: float):
+    index = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,8 +254,8 @@ def _searcher(docs: DataFrame, chunk: list, threshold: float, overlap: float):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their own columns; each chunk of items filters what the one before kept."""
-    for chunk in item_chunks(items):
-        index = docs.sparkSession.sparkContext.broadcast(Index(chunk))
+    for index in item_indexes(items):
+        index = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -140,6 +140,27 @@ def test_items_found_wherever_they_stand(spark):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_chunks_do_not_change_results(spark):
+    """Edited passages near the threshold, items of different lengths: scores and places are the same however items are dealt."""
+    rng = random.Random(8)
+    words = [f"w{int(rng.expovariate(0.02))}" for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [8, 12, 20, 30, 300] * 6]
+    rows = []
+    for k in range(90):
+        w = texts[k % 30].split()
+        for _ in range(len(w) * (k // 30) // 8):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((k, " ".join([rng.choice(words) for _ in range(rng.randint(0, 90))] + w)))
+    # the trigrams of a short item, far apart: no passage of its own length holds them
+    short = texts[1].split()
+    rows.append((900, " ".join(" ".join([*short[i:i + 3], *["filler"] * 20]) for i in range(0, 12))))
+    docs = frame(spark, rows)
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    one, many, all_apart = (sorted(tuple(r) for r in decontam.contaminated(docs, items, chunk_bytes=size).collect()) for size in (1 << 20, 3000, 1500))
+    assert one == many == all_apart
+    assert {(k, k) for k in range(30)} <= {r[:2] for r in one} and not [r for r in one if r[0] == 900]
+
+
 def test_items_without_item_id_count(spark):
     big = 2 ** 62 + 1
     items = spark.createDataFrame([(None, "one two three four five six seven eight"), (None, "red green blue black white grey pink brown"),
