@@ -16,6 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import cut, text_of
@@ -235,31 +236,48 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     out = None
     for index in item_indexes(items, threshold, chunk_bytes):
-        found = docs.mapInPandas(_searcher(docs, index, overlap), FOUND)
+        found = docs.mapInArrow(_searcher(docs, index, overlap), FOUND)
         out = found if out is None else out.unionAll(found)
     return out
 
 
+def _sent(docs: DataFrame, index: Index):
+    """The index's lists and arrays, sent to all tasks; a task wraps them in an Index of its own."""
+    return docs.sparkSession.sparkContext.broadcast(vars(index))
+
+
+def _received(parts) -> Index:
+    index = Index.__new__(Index)
+    vars(index).update(parts.value)
+    return index
+
+
 def _searcher(docs: DataFrame, index: Index, overlap: float):
-    index = docs.sparkSession.sparkContext.broadcast(index)
+    parts = _sent(docs, index)
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _received(parts)
         for batch in batches:
-            out = [(d, *row) for d, text in zip(batch["doc_id"], batch["text"]) for row in search_text(index.value, text, overlap)]
-            frame = pd.DataFrame(out, columns=["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"])
-            yield frame.astype({"doc_id": "Int64"}).assign(item_id=pd.array([row[1] for row in out], "Int64"))  # nulls, without floats
+            out = [(d, *row) for d, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))) for row in search_text(index, text, overlap)]
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(columns)], names=names)
 
     return run
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their own columns; each chunk of items filters what the one before kept."""
+    """The rows of ``docs`` that hold no item, with their own columns, of any type, as they are.
+
+    Each chunk of items filters what the one before kept. Null texts are empty and stay; repeated rows, and rows without doc_id, are rows of their own.
+    """
     for index in item_indexes(items):
-        index = docs.sparkSession.sparkContext.broadcast(index)
+        parts = _sent(docs, index)
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], parts=parts) -> Iterator[pa.RecordBatch]:
+            index = _received(parts)
             for batch in batches:
-                yield batch[[not search_text(index.value, t) for t in batch["text"].fillna("")]]
+                yield batch.filter(pa.array([not search_text(index, t or "") for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -19,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import cut, hinted, spare, text_of
+from .shared import cut, hinted, spare, spread_join, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -158,18 +159,19 @@ def _parts(texts: list[str]) -> Iterator[slice]:
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, node (64-bit name of the word sequence, null without words), keys (one per band)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch.column("text").to_pylist()
             for part in _parts(texts):
                 t = texts[part]
                 row, value, copy = shingles(t, hashes)
                 keys = band_keys(dart_signatures(row, units(value, copy), len(t), bands * rows), bands, rows)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64").array, "node": node_names(t), "keys": list(keys)})
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(t)), pa.array(node_names(t)), lists], names=["doc_id", "node", "keys"])
 
     rows_in = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows_in.mapInPandas(run, "doc_id bigint, node bigint, keys array<bigint>")
+    return rows_in.mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
 
 
 def node_names(texts: list[str]) -> pd.array:
@@ -214,7 +216,8 @@ def similar_pairs(pairs: DataFrame, names: DataFrame, similarity: float) -> Data
 
     left = names.select(F.col("node").alias("a"), F.col("names").alias("x"))
     right = names.select(F.col("node").alias("b"), F.col("names").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+    # one text may be the first of very many pairs
+    return spread_join(pairs, left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
 
 
 def linked_within(names: list[np.ndarray], root: np.ndarray, node: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -301,10 +304,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: the larger neighbours of a node link to the smallest of the node and its neighbours
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = spread_join(both.filter("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # small star: a node and its smaller neighbours link to the smallest neighbour (pairs are now larger, smaller)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = (spread_join(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         after = cut(small, "edges")
         # done when each node has one edge and no root is itself a node: stars
@@ -315,7 +318,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """``members`` (node, ...) with the root of their class; very many rows may have one text, so one node."""
+    return spread_join(members, roots.select(F.col("id").alias("node"), "root"), "node").withColumn("root", F.coalesce("root", "node"))
 
 
 def _linked(docs: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
@@ -351,9 +355,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     table = cut(signed(docs, bands, rows), "signatures")
     roots = _linked(docs, table, similarity)
-    found = _with_root(table.select("doc_id", "node"), roots)
+    found = cut(_with_root(table.select("doc_id", "node"), roots), "roots")
     by_root = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return (found.join(by_root, "root", "left")
+    return (spread_join(found, by_root, "root")
             .select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import cut, hinted, text_of
@@ -98,19 +98,20 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     A null or empty text is one piece holding the end id. Rows that repeat a doc_id are documents of their own; a null
     doc_id is kept. Other columns are ignored.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(tokenizer_path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
                 ids = encoder.encode(text) + b"\0\0\0\0"
                 for k, (start, n) in enumerate(cut_points(len(ids) // 4, capacity)):
                     out.append((doc_id, k, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            kinds = [f.split() for f in PIECES.split(", ")]
+            columns = zip(*out) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == "int" else pa.int64()) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(run, PIECES)
+    return rows.mapInArrow(run, PIECES)
 
 
 class CapacityTree:
@@ -167,11 +168,12 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY, group_rows: int = GR
     """
     groups = max(1, -(-pieces_table.count() // group_rows))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = best_fit_decreasing(rows["length"].tolist(), capacity)
-        group = int(rows["_group"].iloc[0])
-        return rows.drop(columns="_group").assign(sequence_id=np.array(bins, "int64") + (group << 32), offset=np.array(offsets, "int64"))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = best_fit_decreasing(rows.column("length").to_pylist(), capacity)
+        first = rows.column("_group")[0].as_py() << 32
+        return (rows.drop_columns("_group").append_column("sequence_id", pa.array(np.array(bins, "int64") + first))
+                .append_column("offset", pa.array(offsets, pa.int64())))
 
     dealt = pieces_table.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     full = (dealt.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 2 * group_rows)
@@ -179,7 +181,7 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY, group_rows: int = GR
     # at most one full group to 2 group_rows rows: a small table
     dealt = dealt.withColumn("_row", F.xxhash64(F.monotonically_increasing_id())).join(hinted(full, 16), "_group", "left")
     part = F.coalesce(F.pmod("_row", "_parts"), F.lit(0))
-    return dealt.withColumn("_group", F.col("_group") + groups * part).drop("_row", "_parts").groupBy("_group").applyInPandas(run, PACKED)
+    return dealt.withColumn("_group", F.col("_group") + groups * part).drop("_row", "_parts").groupBy("_group").applyInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:

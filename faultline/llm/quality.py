@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import crc_of_id, text_of
@@ -147,19 +147,26 @@ def _columns(nodes: list[list], first: int) -> tuple[np.ndarray, ...]:
 
 # --- Spark --------------------------------------------------------------------------------------
 
+def _model(docs: DataFrame, forest: Forest):
+    """The forest's arrays, sent to all tasks; a task builds its own Forest from them."""
+    return docs.sparkSession.sparkContext.broadcast(tuple(getattr(forest, f.name) for f in fields(forest)))
+
+
 def _scored(docs: DataFrame, columns: list[str], forest: Forest | None) -> DataFrame:
-    """``columns`` with the statistics of text (no forest) or its score."""
-    model = docs.sparkSession.sparkContext.broadcast(forest)
+    """``columns`` with the statistics of text (no forest) or its score. Other columns pass as they are, as Arrow arrays."""
+    model = None if forest is None else _model(docs, forest)
+    name, kind = ("x", "array<double>") if forest is None else ("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = None if model is None else Forest(*model.value)
         for batch in batches:
-            x = statistics(batch["_text"].tolist())
-            out = batch.drop(columns="_text")
-            yield out.assign(x=list(x)) if model.value is None else out.assign(score=model.value.score(x))
+            x = statistics(batch.column("_text").to_pylist())
+            made = pa.array(x.tolist(), pa.list_(pa.float64())) if trees is None else pa.array(trees.score(x))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), made], names=[*columns, name])
 
     rows = docs.select(*columns, text_of().alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(run, f"{kinds}, {'x array<double>' if forest is None else 'score double'}")
+    return rows.mapInArrow(run, f"{kinds}, {name} {kind}")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
@@ -171,10 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ids = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
            .agg(F.min("quality").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(ids), "_id")
-    sample = _scored(rows, ["_id", "_label"], None).limit(sample_rows).toPandas().sort_values("_id", kind="stable")
-    x = np.stack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, len(FEATURES)))
+    # ids may repeat in docs: the order decides which rows are taken, the same ones in every run
+    sample = _scored(rows, ["_id", "_label"], None).orderBy(F.xxhash64("_id"), "_id", "x").limit(sample_rows).toArrow()
+    x = np.array(sample.column("x").to_pylist(), float).reshape(sample.num_rows, len(FEATURES))
     order = np.lexsort(x.T)
-    return fit(x[order], sample["_label"].to_numpy(float)[order])
+    return fit(x[order], np.array(sample.column("_label").to_pylist(), float)[order])
 
 
 def held_out() -> F.Column:
@@ -194,16 +202,19 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their own columns."""
-    forest = train(docs.filter(~held_out()), labels.filter(~held_out()), sample_rows)
-    model = docs.sparkSession.sparkContext.broadcast(forest)
+    """The rows of ``docs`` that score at least ``threshold``, with their own columns, of any type, as they are.
+
+    Null text counts as empty and is scored like others; repeated rows, and rows without doc_id, are rows of their own. An empty table gives none.
+    """
+    model = _model(docs, train(docs.filter(~held_out()), labels.filter(~held_out()), sample_rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest(*model.value)
         for batch in batches:
-            score = model.value.score(statistics(batch["text"].fillna("").tolist()))
-            yield batch[score >= threshold]
+            score = trees.score(statistics([t or "" for t in batch.column("text").to_pylist()]))
+            yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify_table(spark: SparkSession, sf: str) -> DataFrame:

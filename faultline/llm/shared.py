@@ -68,3 +68,23 @@ def crc_of_id(column: str) -> Column:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+HOT_ROWS = 20_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined (left outer) with ``right`` on ``key``, of which ``right`` has each value once.
+
+    Keys with more than ``hot_rows`` rows in ``left`` are few (one for each ``hot_rows`` rows of it at most): their rows are dealt to as many
+    parts as they need, and their row of ``right`` is copied to each part. The rows are those of a plain join.
+    """
+    hot = cut(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+              .select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    known = hinted(hot, 16)
+    dealt = left.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int"))
+    copied = right.join(known, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_hot", "_parts").join(copied.drop("_hot", "_parts"), [key, "_part"], "left").drop("_part")

@@ -245,6 +245,54 @@ def test_best_fit_takes_the_tightest_bin():
     assert sorted(100 - sum(n for n, b in zip(lengths, bins) if b == k) for k in range(len(left))) == sorted(left)
 
 
+# --- ids and columns ----------------------------------------------------------------------------
+
+BIG = 2 ** 60
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, nested struct<a:array<long>,b:map<string,long>>, money decimal(38,9), at timestamp"
+
+
+def wide(spark):
+    """Ids and numbers beyond doubles beside nulls in one batch, with columns of types that pandas does not keep."""
+    from datetime import datetime
+    from decimal import Decimal
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    texts = ["the quick brown fox jumps over the lazy dog near the river bank", "another text of quite different words, said twice for good measure", item, None, ""]
+    rows = [(BIG + 1 + 3 * k if k != 3 else None, t, "en", None, BIG + 2 if k != 1 else None, ([BIG + 1, None], {"k": BIG + 3}), Decimal("12345678901234567890.000000001"),
+             datetime(2020, 1, 2, 3, 4, 5, 678901)) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, WIDE).coalesce(1), rows
+
+
+def test_large_ids_stay_exact(spark):
+    docs, rows = wide(spark)
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    ids = sorted((r[0] for r in rows), key=str)
+    assert sorted((r.doc_id for r in quality.classify(docs, labels).collect()), key=str) == ids
+    found = neardup.classes(docs).collect()
+    assert sorted((r.doc_id for r in found), key=str) == ids and all(r.class_id == r.doc_id for r in found)
+    assert {r.doc_id for r in decontam.contaminated(docs, items).collect()} == {BIG + 7}
+    assert sorted((r.doc_id for r in packing.pack_documents(docs, tokenizer_path()).collect()), key=str) == ids
+    assert sorted((r.doc_id for r in pii.find_personal_data(docs).collect()), key=str) == ids
+
+
+def test_stages_keep_columns_of_any_type(spark):
+    docs, _ = wide(spark)
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    given = {str(r) for r in docs.collect()}
+    for kept in (quality.keep_good(docs, labels, threshold=0.0), neardup.keep_one(docs), decontam.drop_contaminated(docs, items), pii.redact(docs)):
+        assert kept.columns == docs.columns
+        got = [str(r) for r in kept.collect()]
+        assert len(got) >= 4 and set(got) <= given
+
+
+def test_join_on_a_hot_key_equals_a_plain_join(spark):
+    from faultline.llm.shared import spread_join
+    left = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN null ELSE id END AS k")
+    right = spark.range(0, 3000, 7).selectExpr("id AS k", "id * 2 AS v")
+    want = sorted(map(tuple, left.join(right, "k", "left").select("id", "k", "v").collect()), key=str)
+    joined = spread_join(left, right, "k", hot_rows=100)
+    assert sorted(map(tuple, joined.select("id", "k", "v").collect()), key=str) == want
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_equals_its_operators(spark):
