@@ -1,29 +1,24 @@
-"""Vector operators: text encoding, exact and partition-pruned top-k, recall statistics.
+"""Vector operators: text encoding, exact top-k, recall statistics.
 
 Exact search never materialises query × corpus pairs.  Each task multiplies its corpus rows with
-a query block and emits at most k rows per query; only those meet in a shuffle.
+a query block and emits at most k rows per query; only those meet in a shuffle.  Stored indexes are in ``vectorstore``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as nf, text as tf
-from ..plans.stage import cut
 from . import aggregates as ag
 
-# Query blocks up to this size travel as a broadcast; larger ones use the grid.
+# Query blocks up to this size travel as a broadcast; larger ones meet the corpus by cell.
 MAX_BROADCAST_BYTES = 64 << 20
-GRID_QUERIES, GRID_VECTORS = 4096, 200_000
-IVF_PROBES = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -77,171 +72,162 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 class _TopK:
-    """Running k best (score desc, id asc) per query over any number of corpus batches."""
+    """Running k best (score desc, id asc) per query over any number of corpus batches.
 
-    def __init__(self, queries: np.ndarray, k: int, cosine: bool, digits: int, allowed: list[list[str]] | None = None):
-        self.q, self.k, self.cosine, self.digits = queries, k, cosine, digits
+    ``allowed``: (sets of labels, number of each query's set). ``after``: (score, id) marks; only rows behind a query's mark in that order count.
+    ``floor``: scores below which a query needs no row. Hits are merged when as many wait as are kept, and each merge raises the floors.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str = "ip", digits: int = 6, allowed: tuple | None = None, after: tuple | None = None,
+                 floor: np.ndarray | None = None):
+        self.q, self.k, self.metric, self.digits, self.after = queries, k, metric, digits, after
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
         self.codes: dict[str, int] | None = None
         if allowed is not None:
-            self.codes = {x: i for i, x in enumerate(sorted({x for a in allowed for x in a or ()}))}
-            self.may = np.zeros((len(self.codes) + 1, len(queries)), bool)  # last row: labels that no query allows
-            for j, a in enumerate(allowed):
+            sets, self.set_of = allowed
+            self.codes = {x: i for i, x in enumerate(sorted({x for a in sets for x in a or ()}))}
+            self.may = np.zeros((len(self.codes) + 1, len(sets)), bool)  # last row: labels that no query allows
+            for j, a in enumerate(sets):
                 self.may[[self.codes[x] for x in a or ()], j] = True
         self.qn = _unit(queries)
-        self.best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-
-    def add(self, ids: np.ndarray, vecs: np.ndarray, labels: list[str] | None = None) -> None:
+        self.kept = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
+
+    def scores(self, vecs: np.ndarray, vn: np.ndarray, which: np.ndarray) -> np.ndarray:
+        sims = vecs @ self.q[which].T
+        if self.metric == "cosine":
+            sims /= vn[:, None] * self.qn[None, which]
+        elif self.metric == "l2":
+            sims = 2 * sims - (vecs * vecs).sum(1)[:, None] - (self.q[which] ** 2).sum(1)[None]
+        return np.round(sims, self.digits) + 0.0
+
+    def add(self, ids: np.ndarray, vecs: np.ndarray, labels: list[str] | None = None, which: np.ndarray | None = None) -> None:
+        """Rows for the queries ``which`` (all, if not given)."""
         if not len(ids):
             return
         if self.codes is not None:
             label = np.array([self.codes.get(x, len(self.codes)) for x in labels])
         vn = _unit(vecs)
-        for lo in range(0, len(self.q), 512):
-            sims = vecs @ self.q[lo:lo + 512].T
-            if self.cosine:
-                sims = sims / (vn[:, None] * self.qn[None, lo:lo + 512])
-            sims = np.round(sims, self.digits) + 0.0
+        which = np.arange(len(self.q)) if which is None else which
+        for lo in range(0, len(which), 512):
+            part = which[lo:lo + 512]
+            sims = self.scores(vecs, vn, part)
+            may = sims >= self.floor[part]
             if self.codes is not None:
-                sims = np.where(self.may[label, lo:lo + 512], sims, -np.inf)
-            kth = np.partition(sims, len(ids) - self.k, axis=0)[len(ids) - self.k] if len(ids) > self.k else -np.inf
-            rows, cols = np.nonzero((sims >= kth) & (sims > -np.inf))
-            self._merge(cols + lo, sims[rows, cols], ids[rows])
-
-    def _merge(self, q, s, i) -> None:
-        q, s, i = (np.concatenate(p) for p in zip(self.best, (q, s, i)))
-        order = np.lexsort((i, -s, q))
-        q, s, i = q[order], s[order], i[order]
-        start = np.searchsorted(q, q, side="left")
-        keep = np.arange(len(q)) - start < self.k
-        self.best = (q[keep], s[keep], i[keep])
-
-
-def _rank(hits: DataFrame, k: int) -> DataFrame:
+                may &= self.may[label][:, self.set_of[part]]
+            if self.after is not None:
+                score, mark = self.after[0][part], self.after[1][part]
+                may &= (sims < score) | ((sims == score) & (ids[:, None] > mark))
+            if len(ids) > self.k:
+                sims = np.where(may, sims, -np.inf)
+                may &= sims >= np.partition(sims, len(ids) - self.k, axis=0)[len(ids) - self.k]
+            rows, cols = np.nonzero(may)
+            self.waiting.append((part[cols], sims[rows, cols], ids[rows]))
+            self.n_waiting += len(rows)
+        if self.n_waiting > max(len(self.kept[0]), 100_000):
+            self.merge()
+
+    def merge(self) -> tuple:
+        """(query number, score, id) of the k best so far."""
+        if self.waiting:
+            q, s, i = (np.concatenate(p) for p in zip(self.kept, *self.waiting))
+            order = np.lexsort((i, -s, q))
+            q, s, i = q[order], s[order], i[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+            keep = place < self.k
+            self.kept, self.waiting, self.n_waiting = (q[keep], s[keep], i[keep]), [], 0
+            last = place == self.k - 1
+            self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
+        return self.kept
+
+
+HITS = "query_id bigint, id bigint, score double"
+
+
+def hit_batches(names: np.ndarray, top: _TopK, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    q, s, i = top.merge()
+    for lo in range(0, len(q), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(names[q[lo:lo + rows]]), pa.array(i[lo:lo + rows]), pa.array(s[lo:lo + rows])], ["query_id", "id", "score"])
+
+
+def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """The k best of each query: thinned by salt first, since every task of a scan sends up to k."""
     return ag.top_n_per_group(hits, ["query_id"], [F.desc("score"), F.asc("id")], k, "id", salts=16)
 
 
-def topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, digits: int = 6) -> DataFrame:
+def numbered_sets(queries: DataFrame) -> tuple[DataFrame, list[list[str]]]:
+    """Queries with the number of their ``allowed`` set instead of it, and the distinct sets.
+
+    The sets follow from the distinct targets of the queries, a fixed vocabulary; more than MAX_BROADCAST_BYTES of them are refused.
+    """
+    distinct = queries.select("allowed").distinct()
+    size = distinct.agg(F.sum(F.length(F.array_join("allowed", " ")))).first()[0] or 0
+    if size > MAX_BROADCAST_BYTES:
+        raise ValueError(f"the distinct allowed sets hold {size} characters; {MAX_BROADCAST_BYTES} are the limit")
+    sets = sorted([r.allowed or [] for r in distinct.collect()])
+    number = queries.sparkSession.createDataFrame([("\x1f".join(x), i) for i, x in enumerate(sets)], "_set string, set_no int")
+    named = queries.withColumn("_set", F.array_join(F.coalesce("allowed", F.array().cast("array<string>")), "\x1f"))
+    return named.join(F.broadcast(number), "_set", "left").drop("_set", "allowed"), sets
+
+
+@dataclass
+class Asked:
+    """Queries as arrays, for a task."""
+    names: np.ndarray
+    vectors: np.ndarray
+    sets: list[list[str]] | None
+    set_of: np.ndarray | None
+    after: tuple | None
+
+    @staticmethod
+    def of(rows: pa.Table | pa.RecordBatch, sets: list[list[str]] | None) -> "Asked":
+        names = np.asarray(rows.column("query_id").to_numpy(), dtype=np.int64)
+        set_of = None if sets is None else np.asarray(rows.column("set_no").to_numpy(), dtype=np.int64)
+        after = None
+        if "after_id" in rows.schema.names:
+            after = tuple(np.asarray(rows.column(c).to_numpy()) for c in ("after_score", "after_id"))
+        return Asked(names, _matrix(rows.column("vec")), sets, set_of, after)
+
+    def top(self, k: int, metric: str, digits: int, floor: np.ndarray | None = None) -> _TopK:
+        return _TopK(self.vectors, k, metric, digits, None if self.sets is None else (self.sets, self.set_of), self.after, floor)
+
+
+def asked_columns(queries: DataFrame) -> tuple[DataFrame, list[list[str]] | None]:
+    """query_id, vec and what else a search reads of its queries: set_no for ``allowed``, after_score and after_id."""
+    queries = queries.where("vec IS NOT NULL").select("query_id", "vec", *[c for c in ("allowed", "after_score", "after_id") if c in queries.columns])
+    return numbered_sets(queries) if "allowed" in queries.columns else (queries, None)
+
+
+def topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, digits: int = 6, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Exact top-k by inner product (or cosine): (query_id, id, score, rank).
 
-    ``queries``: query_id bigint, vec[, allowed array<string>]; ``corpus``: id bigint, vec[, label].
-    With ``allowed``, only rows of an allowed label are candidates.  Order is score (rounded to ``digits``) descending, then id.  A query block whose size is checked to be small is broadcast
-    and the corpus is scanned in place; a larger query side uses a shard × block grid.
+    ``queries``: query_id bigint, vec[, allowed array<string>][, after_score, after_id]; ``corpus``: id bigint, vec[, label].
+    With ``allowed``, only rows of an allowed label are candidates; with a mark, only rows behind it. Order is score (rounded to ``digits``)
+    descending, then id. Queries whose size is checked to be small are broadcast and the corpus is scanned in place; more queries meet
+    the cells of an inverted file that is written for them, block by block and only where bounds allow (``vectorstore``).
     """
-    by_label = "allowed" in queries.columns
-    corpus = corpus.where("vec IS NOT NULL").select("id", "vec", *["label"] * by_label)
-    queries = queries.where("vec IS NOT NULL").select("query_id", "vec", *["allowed"] * by_label)
+    spark, metric = corpus.sparkSession, "cosine" if cosine else "ip"
+    queries, sets = asked_columns(queries)
+    corpus = corpus.where("vec IS NOT NULL").select("id", "vec", *["label"] * (sets is not None))
     probe = queries.select(F.size("vec").alias("n")).first()
     if probe is None:
-        return corpus.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    cap = max(1, MAX_BROADCAST_BYTES // (8 * max(1, probe["n"])))
+        return spark.createDataFrame([], HITS + ", rank int")
+    cap = max(1, max_bytes // (8 * (max(1, probe["n"]) + 3)))
     rows = queries.limit(cap + 1).toArrow()
     if rows.num_rows > cap:
-        return _topk_grid(queries, corpus, k, cosine, digits)
-    names = np.asarray(rows.column("query_id").to_numpy(), dtype=np.int64)
-    block = corpus.sparkSession.sparkContext.broadcast((_matrix(rows.column("vec")), rows.column("allowed").to_pylist() if by_label else None))
+        from . import vectorstore as vs
+        return vs.search_cells(vs.temporary(corpus, metric), queries, sets, k, digits)
+    block = spark.sparkContext.broadcast(vars(Asked.of(rows, sets)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _TopK(block.value[0], k, cosine, digits, block.value[1])
+        asked = Asked(**block.value)
+        top = asked.top(k, metric, digits)
         for b in batches:
             if b.num_rows:
-                top.add(np.asarray(b.column("id"), dtype=np.int64), _matrix(b.column("vec")), b.column("label").to_pylist() if by_label else None)
-        q, s, i = top.best
-        for lo in range(0, len(q), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[q[lo:lo + 50_000]]), pa.array(i[lo:lo + 50_000]),
-                                              pa.array(s[lo:lo + 50_000])], ["query_id", "id", "score"])
-    return _rank(corpus.mapInArrow(scan, "query_id bigint, id bigint, score double"), k)
-
-
-def _replicate(df: DataFrame, name: str, n: int) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-
-def _topk_grid(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool, digits: int,
-               vectors_per_shard: int = GRID_VECTORS, queries_per_block: int = GRID_QUERIES) -> DataFrame:
-    """Top-k over a hash grid: corpus shards × query blocks, each cell of bounded size."""
-    shards = max(1, math.ceil(corpus.count() / vectors_per_shard))
-    blocks = max(1, math.ceil(queries.count() / queries_per_block))
-    c = _replicate(corpus.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "block", blocks)
-    q = _replicate(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")),
-                   "shard", shards)
-    return _rank(_cogroup_topk(q, c, ["shard", "block"], k, cosine, digits), k)
-
-
-def _cogroup_topk(q: DataFrame, c: DataFrame, keys: list[str], k: int, cosine: bool, digits: int) -> DataFrame:
-    def cell(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-        if not qt.num_rows or not ct.num_rows:
-            return schema.empty_table()
-        by_label = "allowed" in qt.column_names
-        top = _TopK(_matrix(qt.column("vec")), k, cosine, digits, qt.column("allowed").to_pylist() if by_label else None)
-        top.add(ct.column("id").to_numpy(), _matrix(ct.column("vec")), ct.column("label").to_pylist() if by_label else None)
-        bq, bs, bi = top.best
-        names = qt.column("query_id").to_numpy()
-        return pa.table([pa.array(names[bq]), pa.array(bi), pa.array(bs)], schema=schema)
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(
-        cell, "query_id bigint, id bigint, score double")
-
-
-# --- partition-pruned (inverted-file) search ----------------------------------------------------
-
-def ivf_lists(n: int) -> int:
-    """Number of centroids for n vectors."""
-    return max(100, min(4096, int(2 * math.sqrt(max(n, 100)))))
-
-
-def build_ivf(corpus: DataFrame, lists: int, seed: int = 42, max_iter: int = 10) -> tuple[DataFrame, DataFrame]:
-    """K-means cells: (corpus with ``cell``, centroids(cell, vec, radius)).  Centroids are at most 4096 rows; the radius is
-    the largest distance of a cell's vector to its centroid."""
-    pts = corpus.where("vec IS NOT NULL").withColumn("_v", array_to_vector(F.col("vec").cast("array<double>")))
-    model = KMeans(k=lists, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cell").fit(pts)
-    centres = corpus.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, vec array<double>")
-    cells = model.transform(pts).drop("_v")
-    apart = F.zip_with("vec", "_c", lambda x, y: x.cast("double") - y)
-    radii = (cells.join(F.broadcast(centres.withColumnRenamed("vec", "_c")), "cell")
-             .groupBy("cell").agg(F.max(F.sqrt(dot(apart, apart))).alias("radius")))
-    return cells, centres.join(radii, "cell")
-
-
-def ivf_topk(queries: DataFrame, cells: DataFrame, centroids: DataFrame, k: int, probes: int = IVF_PROBES,
-             rows_per_salt: int = GRID_VECTORS, digits: int = 6, exact: bool = True) -> DataFrame:
-    """Top-k by inner product over the cells of an inverted file.
-
-    First the ``probes`` best cells of each query are searched.  With ``exact``, every other cell follows whose bound
-    q.c + |q| r (no vector of the cell can score more) reaches the k-th score found; the result is that of ``topk``.
-    Cells larger than ``rows_per_salt`` are split by a hash salt and probed in every split.
-    """
-    n_cells = centroids.count()
-    near = topk(queries, centroids.select(F.col("cell").cast("bigint").alias("id"), "vec"), n_cells, False, digits)
-    near = cut(near.join(centroids.select(F.col("cell").cast("bigint").alias("id"), "radius"), "id").join(queries, "query_id").select(
-        "query_id", "vec", F.col("id").cast("int").alias("cell"), "rank",
-        (F.col("score") + F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.col("radius") + 10.0 ** -digits).alias("bound")))
-    splits = cells.groupBy("cell").count().select(
-        "cell", F.ceil(F.col("count") / rows_per_salt).cast("int").alias("splits"))
-    have = (cells.select("id", "vec", "cell").join(splits, "cell")
-            .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).drop("splits"))
-
-    def search(wanted: DataFrame) -> DataFrame:
-        want = (wanted.select("query_id", "vec", "cell").join(splits, "cell")
-                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits"))
-        return _cogroup_topk(want, have, ["cell", "salt"], k, False, digits)
-
-    first = _rank(search(near.where(F.col("rank") <= probes)), k)
-    if not exact:
-        return first
-    first = cut(first)
-    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    more = near.where(F.col("rank") > probes).join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
-    return _rank(first.drop("rank").unionByName(search(more)), k)
-
-
-def indexed_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str = "flat", cosine: bool = False) -> DataFrame:
-    """Search by kind of index: ``flat`` (also for cosine), or ``ivf``, which gives the same rows from fewer cells."""
-    if kind == "flat" or cosine:
-        return topk(queries, corpus, k, cosine)
-    cells, centres = build_ivf(corpus, ivf_lists(corpus.count()))
-    return ivf_topk(queries, cut(cells), cut(centres), k)
+                top.add(np.asarray(b.column("id"), dtype=np.int64), _matrix(b.column("vec")), b.column("label").to_pylist() if sets is not None else None)
+        yield from hit_batches(asked.names, top)
+    return rank_hits(corpus.mapInArrow(scan, HITS), k)
 
 
 # --- recall helpers -----------------------------------------------------------------------------

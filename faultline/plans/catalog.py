@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numeric as nf, sqltext as sq, text as tf, versions as vf
 from ..operators import aggregates as ag, commits as co, crashes as cx, explain as ex, filters as fl, graph as gr
-from ..operators import index as ix, ranking as rk, vectors as ve
+from ..operators import index as ix, ranking as rk, vectors as ve, vectorstore as vs
 from . import retrieval as rt, views as vw
-from .stage import cut, spread
+from .stage import cut, fresh, spread
 
 _C = F.col
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,25 @@ def stage(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame
     return _STAGES[key]
 
 
+_STORES: dict[tuple, vs.StoredIndex] = {}
+
+
+def store(spark: SparkSession, sf: str, name: str, rows: DataFrame, metric: str) -> vs.StoredIndex:
+    """A stored vector index, built once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORES:
+        _STORES[key] = rt.store_of(rows, fresh(spark), metric)
+    return _STORES[key]
+
+
+def vector_store(spark, sf) -> vs.StoredIndex:
+    return store(spark, sf, "vector", vector_index(spark, sf), "ip")
+
+
+def text_store(spark, sf) -> vs.StoredIndex:
+    return store(spark, sf, "text", text_index(spark, sf), "cosine")
+
+
 def joined(c) -> Column:
     return F.array_join(c, "|")
 
@@ -499,13 +518,13 @@ def _(spark, sf):
 
 @query("r10_batch_topk")
 def _(spark, sf):
-    h = ve.topk(label_queries(spark, sf), vector_index(spark, sf), 50)
+    h = vs.search(vector_store(spark, sf), label_queries(spark, sf), 50)
     return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
 @query("r3_auto_index")
 def _(spark, sf):
-    h = ve.indexed_topk(label_queries(spark, sf).select("query_id", "vec"), vector_index(spark, sf).select("id", "vec"), 20, "ivf")
+    h = vs.search(vector_store(spark, sf), label_queries(spark, sf).select("query_id", "vec"), 20)
     return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
@@ -584,7 +603,7 @@ def _(spark, sf):
     """Benchmark texts against all commit texts, hashed term vectors, cosine."""
     q = ve.encode_text(vw.table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "text")
     c = ve.encode_text(caused(spark, sf).withColumnRenamed("doc_id", "id"), "embedding_text")
-    h = ve.topk(q, c, 10, cosine=True)
+    h = vs.search(store(spark, sf, "caused", c, "cosine"), q, 10)
     return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
 
 
@@ -645,10 +664,10 @@ def _(spark, sf):
 
 @query("k15_deep")
 def _(spark, sf):
-    """Deep mode with one judge answer a query: two candidates get a score, the others the default."""
+    """Deep mode with one judge answer a query: three candidates get a score, one of them far down, the others the default."""
     q = label_queries(spark, sf)
     said = q.select("query_id", F.concat(F.lit('Scores: [{"index": '), (_C("query_id") % 3).cast("string"), F.lit(
-        ', "score": 0.9, "reason": "same lock"}, {"index": 4, "score": 0.1}] end')).alias("answer"))
+        ', "score": 0.9, "reason": "same lock"}, {"index": 4, "score": 0.1}, {"index": 61, "score": 0.8, "reason": "far"}] end')).alias("answer"))
     d = rt.retrieve(q, vector_index(spark, sf), rt.DEEP, cosine=False, answers=said)
     return d.select("query_id", big("rank").alias("rank"), "id", F.round("judge_score", 6).alias("judge_score"), "judge_reason",
                     F.round("final_score", 12).alias("final_score"))
@@ -658,7 +677,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Benchmark texts as free queries against every commit; no targets, so only the ranking applies."""
     q = rt.text_queries(vw.table(spark, sf, "benchmark").select(_C("item_id").alias("query_id"), _C("text").alias("query_text")))
-    h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50)
+    h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50, store=text_store(spark, sf))
     return h.where("rank <= 5").select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 10).alias("vector_score"),
                                        F.round("reranker_score", 10).alias("reranker_score"), F.round("final_score", 12).alias("final_score"))
 
@@ -744,7 +763,7 @@ def _(spark, sf):
         kinds = analysed(spark, sf).groupBy("subsystem", "bug_type").agg(F.min("doc_id").alias("query_id"))
         return rt.bug_type_queries(kinds)
     q = stage(spark, sf, "bug_queries", build).select("query_id", "vec", "query_text", "target_subsystem", "target_bug_type", "target_version")
-    h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50)
+    h = rt.retrieve(q, text_index(spark, sf), rt.STANDARD, 50, store=text_store(spark, sf))
     return h.where("rank <= 5").select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 10).alias("vector_score"),
                                        F.round("reranker_score", 10).alias("reranker_score"), F.round("final_score", 12).alias("final_score"))
 
@@ -756,7 +775,7 @@ def text_index(spark, sf) -> DataFrame:
 @query("k18_diagnose")
 def _(spark, sf):
     """Every crash log against every commit: parse, diagnose, encode, recall, filter, rank; top 3."""
-    d = rt.diagnose_and_retrieve(vw.crashes(spark, sf), text_index(spark, sf), rt.FAST, 100, 3)
+    d = rt.diagnose_and_retrieve(vw.crashes(spark, sf), text_index(spark, sf), rt.FAST, 100, 3, text_store(spark, sf))
     return d.select("crash_id", big("rank").alias("rank"), "root_cause", "commit_hash", "subject", F.round("final_score", 6).alias("final_score"))
 
 

@@ -39,10 +39,16 @@ def drop_stages(spark: SparkSession) -> int:
     return n
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``drop_stages`` deletes too."""
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage and read it back: later stages prune columns, push filters, see sizes, and a
     lost executor re-reads the table instead of recomputing the stage."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -579,8 +579,8 @@ oracle("k13_why_not", "ranked", f"""SELECT query_id, rank::BIGINT AS rank, CASE
       concat('Cross Encoder 重排: Top1=', {_num('r1', 3)}, ' vs Top', rank, '=', {_num('rer', 3)}, ' (差 ', {_num('r1 - rer', 4)}, ')'), CASE WHEN abs(w - w1) > 0.01 THEN CASE WHEN w < w1 THEN concat('版本兼容性较低 (权重 ', {_num('w', 2)}, ' vs Top1 ', {_num('w1', 2)}, ')') END
         WHEN w <> 1.0 THEN concat('版本匹配权重 ', {_num('w', 2)}, ' (偏离中性值 1.0)') END], lambda x: x IS NOT NULL) AS dlist
     FROM (SELECT *, first_value(bug_type) OVER x AS b1, first_value(subsystem) OVER x AS s1, first_value(vs) OVER x AS v1, first_value(rer) OVER x AS r1, first_value(w) OVER x AS w1, first_value(fin) OVER x AS f1 FROM ranked WINDOW x AS (PARTITION BY query_id ORDER BY rank)))""")
-oracle("k15_deep", "rr", """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord)::BIGINT AS rank, id, j AS judge_score, CASE WHEN ord > 50 THEN NULL WHEN ord - 1 = query_id % 3 THEN 'same lock' WHEN ord = 5 THEN '' ELSE 'Not found in response' END AS judge_reason, fin::DOUBLE AS final_score
-    FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * j)), 12) AS fin FROM (SELECT *, CASE WHEN ord - 1 = query_id % 3 THEN 0.9 WHEN ord = 5 THEN 0.1 ELSE 0.5 END::DOUBLE AS j FROM rr))""")
+oracle("k15_deep", "rr", """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord)::BIGINT AS rank, id, j AS judge_score, CASE WHEN ord - 1 = query_id % 3 THEN 'same lock' WHEN ord = 5 THEN '' WHEN ord = 62 THEN 'far' ELSE 'Not found in response' END AS judge_reason, fin::DOUBLE AS final_score
+    FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * j)), 12) AS fin FROM (SELECT *, CASE WHEN ord - 1 = query_id % 3 THEN 0.9 WHEN ord = 5 THEN 0.1 WHEN ord = 62 THEN 0.8 ELSE 0.5 END::DOUBLE AS j FROM rr))""")
 oracle("k3_judge_answers", "", """SELECT conv_id, turn, i::BIGINT AS index, CASE WHEN z = 0 AND i = conv_id % 5 THEN 0.75 ELSE 0.5 END::DOUBLE AS judge_score, CASE WHEN z = 2 THEN 'Parse failed' WHEN z = 0 AND i = conv_id % 5 THEN 'same file' ELSE 'Not found in response' END AS judge_reason
     FROM (SELECT conv_id, turn, (conv_id + turn) % 3 AS z, unnest(range(5)) AS i FROM conversations)""")
 oracle("a6_normalizers", "", """SELECT event_id, round(nv, 6) AS normalized, round(1000 * exp(nv - mx) / sum(exp(nv - mx)) OVER (PARTITION BY event_type), 6) AS permille FROM (SELECT *, max(nv) OVER (PARTITION BY event_type) AS mx FROM (

@@ -22,17 +22,13 @@ def _rows(df):
     return {(r.query_id, r.id, r["rank"]) for r in df.collect()}
 
 
-def test_topk_with_ties_broadcast_grid_and_cells(spark):
+def test_topk_with_ties_broadcast_and_cells(spark):
     qs, q = _vecs(spark, 7, 6, "query_id", 1)
     cs, c = _vecs(spark, 400, 6, "id", 2)
     c = c.repartition(5)
     want = _brute(qs, cs, 9)
     assert _rows(ve.topk(q, c, 9)) == want
-    assert _rows(ve._topk_grid(q, c, 9, False, 6, vectors_per_shard=90, queries_per_block=3)) == want
-    cells, centres = ve.build_ivf(c, 8)
-    assert _rows(ve.ivf_topk(q, cells, centres, 9, probes=8, rows_per_salt=30)) == want
-    near = _rows(ve.ivf_topk(q, cells, centres, 9, probes=4))
-    assert len(near & want) / len(want) > 0.5
+    assert _rows(ve.topk(q, c, 9, max_bytes=100)) == want  # more queries than may travel
 
 
 def test_topk_fewer_rows_than_k_and_prefixes(spark):
