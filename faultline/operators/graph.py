@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import sqltext as sq, text as tf
+from ..plans.stage import cut
 from ..rules import knowledge as kn
 
 _C = F.col
@@ -56,13 +57,42 @@ def parent(s: Column) -> Column:
     return tf.lookup(s, parent_table())
 
 
-def ancestors(s: Column) -> Column:
-    """Nearest to farthest; the hierarchy is at most three levels deep."""
-    chain, cur = [], s
-    for _ in range(3):
-        cur = parent(cur)
-        chain.append(cur)
-    return F.array_compact(F.array(*chain))
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): all ancestors of every node of an edge table (node, parent), of any depth, nearest depth first.
+
+    Each round joins the newest pairs with the edges and keeps those that are new, until there are none; a pair is kept once, so cycles end. A node
+    on a cycle is not its own ancestor.
+    """
+    edges = cut(edges.where("node IS NOT NULL AND parent IS NOT NULL AND node <> parent").select("node", "parent").distinct())
+    known = edges.select("node", _C("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    new, depth = known, 1
+    step = edges.select(_C("node").alias("ancestor"), "parent")
+    while True:
+        depth += 1
+        found = new.join(step, "ancestor").select("node", _C("parent").alias("ancestor")).where("node <> ancestor").distinct()
+        new = cut(found.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
+            return known
+        known = cut(known.unionByName(new))
+
+
+def _above(parents: dict[str, str]) -> dict[str, list[str]]:
+    """Ancestors of every entry of a fixed table, nearest first, at any depth; a cycle is an error in the table."""
+    out: dict[str, list[str]] = {}
+    for child in parents:
+        chain, at = [], parents.get(child)
+        while at is not None:
+            if at in chain or at == child:
+                raise ValueError(f"{child} is on a cycle of the hierarchy")
+            chain.append(at)
+            at = parents.get(at)
+        out[child] = chain
+    return out
+
+
+def ancestors(s: Column, parents: dict[str, str] | None = None) -> Column:
+    """Nearest to farthest, at any depth of the hierarchy."""
+    return F.coalesce(F.try_element_at(F.expr(sq.map_of(_above(parents or parent_table()))), s), _empty())
 
 
 def related_subsystems(s: Column, include_children: bool = True) -> Column:

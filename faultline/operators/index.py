@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.stage import cut
+from ..sources import committed
 from . import commits as co, vectors as ve
 
 _C = F.col
@@ -47,8 +48,12 @@ def write_index(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file
      .option("maxRecordsPerFile", rows_per_file).partitionBy("subsystem").parquet(path))
 
 
+BUCKETS = 64
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """An index that was appended to (its committed rows), or one that was written as a whole."""
+    return committed.read(spark, path) if committed.exists(path) else spark.read.parquet(path)
 
 
 def exists_index(spark: SparkSession, path: str) -> bool:
@@ -81,14 +86,19 @@ def new_rows(rows: DataFrame, index: DataFrame, key: str = "commit_hash", row_id
     return kept.join(known, (_C("_key") == _C("_k")) & mark.eqNullSafe(_C("_i")), "left_anti").drop("_key", "_row")
 
 
-def append_index(rows: DataFrame, path: str) -> None:
-    """Incremental append of not yet indexed commits; an index that does not exist is made.  Appending again adds nothing."""
+def append_index(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Incremental append of not yet indexed commits; an index that does not exist is made.  Appending again adds nothing.
+
+    Rows lie in buckets by the hash of their commit hash (of their id, where that is empty). An append reads the keys of those files only whose Bloom
+    filter may hold one of its rows, and commits its files as a whole: a failed append leaves the index as it was.
+    """
     spark = rows.sparkSession
-    if exists_index(spark, path):
-        write_index(cut(new_rows(rows, read_index(spark, path), row_id="id")), path, mode="append")
-    else:
-        empty = spark.createDataFrame([], rows.schema)
-        write_index(cut(new_rows(rows, empty, row_id="id")), path)
+    named = F.coalesce(_C("commit_hash"), F.lit("")) != ""
+    rows = cut(rows.withColumn("_by", F.when(named, F.concat(F.lit("h"), "commit_hash")).otherwise(F.concat(F.lit("i"), _C("id").cast("string")))))
+    files = committed.files_that_may_hold(rows, path, "_by", buckets) if committed.exists(path) else []
+    known = committed.read(spark, path, rows.drop("_by").schema, files).select("commit_hash", "id")
+    new = cut(new_rows(rows, known, row_id="id"))
+    committed.append(new.select(*rows.columns), path, "_by", buckets, ["subsystem"], keep_key=False)
 
 
 def resume_since(spark: SparkSession, path: str) -> str | None:

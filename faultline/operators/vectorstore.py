@@ -385,3 +385,147 @@ def _meet(index: StoredIndex, asked: DataFrame, blocks: DataFrame, wanted: DataF
     n = max(index.spark.sparkContext.defaultParallelism, sizes.agg(F.sum(F.col("splits") * F.col("shares"))).first()[0] or 1)
     return (left.unionByName(right).repartition(min(n, 20_000), "cell", "split", "share").sortWithinPartitions("cell", "split", "share", "kind")
             .mapInArrow(run, ve.HITS))
+
+
+# --- neighbour graph ----------------------------------------------------------------------------
+
+REFINEMENTS = 2
+OVERLAP, ENTRY_CELLS = 3, 3
+
+
+def _similar(metric: str):
+    """Scores of pairs of rows, in Arrow batches: (x, y) array columns to score; other columns pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = ve._matrix(b.column("x")), ve._matrix(b.column("y"))
+            s = -((x - y) ** 2).sum(1) if metric == "l2" else (x * y).sum(1)
+            if metric == "cosine":
+                s = s / (ve._unit(x) * ve._unit(y))
+            kept = [n for n in b.schema.names if n not in ("x", "y")]
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(np.round(s, 6) + 0.0)], names=[*kept, "score"])
+    return run
+
+
+def _nearest_of(pairs: DataFrame, n: int) -> DataFrame:
+    """The n best-scored neighbours of each row; a row that very many others point to is thinned by salt."""
+    from . import aggregates as ag
+    return ag.top_n_per_group(pairs, ["id"], [F.desc("score"), F.asc("nbr")], n, "nbr", salts=16).select("id", "nbr", "score")
+
+
+def _write_edges(index: StoredIndex, neighbours: int) -> None:
+    """``edges/``: (id, nbr, nbr_cell). Every row joins the groups of its OVERLAP nearest cells (a large cell has several), and its first neighbours are the nearest
+    of its groups, so cells are linked; then neighbours of neighbours, in both directions, are scored and the best are kept, REFINEMENTS times. Links between entry
+    rows of near cells are added for long steps."""
+    metric, spark = index.metric, index.spark
+    rows = cut(index.rows.select("id", F.col("vec").cast("array<double>").alias("vec"), "cell"))
+    part = max(256, min(4096, SPLIT_BYTES // (8 * max(1, index.dim))))
+    cells, centres, _, _ = _centroid_arrays(index)
+    sent = spark.sparkContext.broadcast((cells, centres))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, centres = sent.value
+        half = (centres * centres).sum(1) / 2
+        for b in batches:
+            m = _space(ve._matrix(b.column("vec")), metric) if b.num_rows else np.zeros((0, centres.shape[1]))
+            near = np.argsort(-(m @ centres.T - half), axis=1, kind="stable")[:, :OVERLAP]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(cells[near].tolist(), pa.list_(pa.int32()))], names=["id", "vec", "groups"])
+
+    in_groups = cut(rows.select("id", "vec").mapInArrow(groups, "id bigint, vec array<double>, groups array<int>"))
+    many = in_groups.select("id", "vec", F.explode("groups").alias("cell"))
+    sizes = many.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))  # one row a cell
+    dealt = many.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def within(t: pa.Table) -> pa.Table:
+        top = ve._TopK(ve._matrix(t.column("vec")), neighbours + 1, metric)
+        ids = t.column("id").to_numpy()
+        top.add(ids, top.q)
+        q, s, i = top.merge()
+        keep = ids[q] != i
+        return pa.table({"id": ids[q[keep]], "nbr": i[keep], "score": s[keep]})
+
+    found = dealt.select("cell", "part", "id", "vec").groupBy("cell", "part").applyInArrow(within, "id bigint, nbr bigint, score double")
+    edges = cut(_nearest_of(found.dropDuplicates(["id", "nbr"]), neighbours))
+    vec = rows.select("id", "vec")
+    for _ in range(REFINEMENTS):
+        both = edges.select("id", "nbr").union(edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr")))
+        far = both.select(F.col("id").alias("a"), F.col("nbr").alias("b")).join(edges.select(F.col("id").alias("b"), F.col("nbr").alias("c")), "b").select(F.col("a").alias("id"), F.col("c").alias("nbr"))
+        new = cut(far.union(both).where("id <> nbr").distinct())
+        scored = (new.join(vec.withColumnRenamed("vec", "x"), "id").join(vec.select(F.col("id").alias("nbr"), F.col("vec").alias("y")), "nbr")
+                  .select("id", "nbr", "x", "y").mapInArrow(_similar(metric), "id bigint, nbr bigint, score double"))
+        edges = cut(_nearest_of(scored, neighbours))
+    # an edge serves both ways, or a row that is nobody's neighbour could not be reached
+    edges = edges.select("id", "nbr").union(_across(index, rows))
+    reached = edges.union(edges.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"))).distinct()
+    reached.join(rows.select(F.col("id").alias("nbr"), F.col("cell").alias("nbr_cell")), "nbr").select("id", "nbr", "nbr_cell").write.parquet(f"{index.path}/edges")
+    _entries(rows, index).write.parquet(f"{index.path}/entries")
+
+
+def _entries(rows: DataFrame, index: StoredIndex) -> DataFrame:
+    """(cell, id): each cell's row nearest to its centroid."""
+    scored = rows.join(F.broadcast(index.centroids.select("cell", F.col("vec").alias("y"))), "cell").select("cell", "id", F.col("vec").alias("x"), "y")
+    near = scored.mapInArrow(_similar("l2" if index.metric == "l2" else "cosine"), "cell int, id bigint, score double")
+    return near.groupBy("cell").agg(F.max_by("id", F.struct("score", "id")).alias("id"))
+
+
+def _across(index: StoredIndex, rows: DataFrame) -> DataFrame:
+    """(id, nbr): links from each cell's entry row to those of the four nearest cells."""
+    cells, centres, _, _ = _centroid_arrays(index)
+    square = (centres * centres).sum(1)
+    apart = square[:, None] + square[None] - 2 * centres @ centres.T
+    np.fill_diagonal(apart, np.inf)
+    near = [(int(cells[i]), int(cells[j])) for i in range(len(cells)) for j in np.argsort(apart[i], kind="stable")[:min(4, len(cells) - 1)]]
+    pairs = index.spark.createDataFrame(near, "cell int, other int")  # four rows a cell
+    entry = cut(_entries(rows, index))
+    return entry.join(F.broadcast(pairs), "cell").join(entry.select(F.col("cell").alias("other"), F.col("id").alias("nbr")), "other").select("id", "nbr")
+
+
+def search_graph(index: StoredIndex, queries: DataFrame, k: int, ef: int = 64, beam: int = 16, max_rounds: int = 100) -> DataFrame:
+    """Approximate top-k by steps along the graph: (query_id, id, score, rank). ``search`` on the same index is the exact way.
+
+    A query holds its ``ef`` best rows so far. It starts from the entry rows of its nearest cells; in each round the best ``beam`` rows that have
+    not been left yet send it to their neighbours, which are scored, and it ends when all its ``ef`` rows have been left. A round is joins of at most
+    ``beam`` rows a query; rows are read from the cells of their neighbours only. ``max_rounds`` ends a search that would not end.
+    """
+    if index.kind != "graph":
+        raise ValueError("this index has no neighbour graph")
+    spark, metric = index.spark, index.metric
+    queries, _ = ve.asked_columns(queries.drop("allowed", "after_score", "after_id"))
+    asked = cut(queries.select("query_id", F.col("vec").cast("array<double>").alias("x")))
+    if asked.isEmpty() or not index.rows_n:
+        return spark.createDataFrame([], ve.HITS + ", rank int")
+    cells, centres, _, _ = _centroid_arrays(index)
+    sent = spark.sparkContext.broadcast((cells, centres))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, centres = sent.value
+        half = (centres * centres).sum(1) / 2
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(_space(ve._matrix(b.column("x")), metric) @ centres.T - half), axis=1, kind="stable")[:, :ENTRY_CELLS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("query_id").to_numpy(), near.shape[1])), pa.array(cells[near.ravel()].astype(np.int32))], names=["query_id", "cell"])
+
+    entries = spark.read.schema("cell int, id bigint").parquet(f"{index.path}/entries")
+    start = asked.mapInArrow(enter, "query_id bigint, cell int").join(entries, "cell").select("query_id", "id", "cell")
+    edges = spark.read.schema("id bigint, nbr bigint, nbr_cell int").parquet(f"{index.path}/edges")
+
+    def scored(at: DataFrame) -> DataFrame:
+        at = cut(at)
+        used = [r.cell for r in at.select("cell").distinct().collect()]  # cells at most
+        rows = index.rows.where(F.col("cell").isin(used)).select("id", F.col("vec").cast("array<double>").alias("y"))
+        return at.join(rows, "id").join(asked, "query_id").select("query_id", "id", "x", "y").mapInArrow(_similar(metric), "query_id bigint, id bigint, score double")
+
+    by_query = Window.partitionBy("query_id")
+    best = by_query.orderBy(F.desc("score"), "id")
+    state = cut(scored(start.distinct()).withColumn("left", F.lit(False)))
+    for _ in range(max_rounds):
+        open_ = state.where(~F.col("left")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= beam).select("query_id", "id")
+        if open_.isEmpty():
+            break
+        to = open_.join(edges, "id").select("query_id", F.col("nbr").alias("id"), F.col("nbr_cell").alias("cell")).distinct()
+        to = to.join(state.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        gone = state.join(open_.withColumn("_open", F.lit(True)), ["query_id", "id"], "left").withColumn("left", F.col("left") | F.col("_open").isNotNull()).drop("_open")
+        grown = gone.unionByName(scored(to).withColumn("left", F.lit(False)))
+        state = cut(grown.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= ef).drop("_n"))
+    return state.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")

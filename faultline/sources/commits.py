@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators import commits as co
+from .store import files_under, open_store
 
 GITLOG_SCHEMA = ("commit_hash string, author string, email string, date string, committer_date string, parents string, "
                  "message string, diff_content string, pos bigint")
@@ -19,33 +21,83 @@ SPLIT_BYTES = 64 << 20
 
 
 class _Dump(InputPartition):
-    def __init__(self, path: str, number: int, lo: int, hi: int, since: str | None, to: str | None):
-        self.path, self.number, self.lo, self.hi, self.since, self.to = path, number, lo, hi, since, to
+    def __init__(self, path: str, first: int, lo: int, hi: int):
+        self.path, self.first, self.lo, self.hi = path, first, lo, hi
 
 
-class GitLogReader(DataSourceReader):
-    """Byte ranges of dump files, cut at record marks; the options since and to bound ``date`` while reading."""
+def _first_place(name: str) -> int:
+    """Where the places of a file begin: a hash of its name under the dump folder, so that batch and stream number alike whatever other files there are."""
+    return int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big") >> 3
 
-    def __init__(self, path: str, split_bytes: int, since: str | None, to: str | None):
-        self.path, self.split_bytes, self.since, self.to = path, split_bytes, since, to
 
-    def partitions(self):
-        files = [self.path] if os.path.isfile(self.path) else sorted(
-            os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names)
-        return [_Dump(p, k, lo, lo + self.split_bytes, self.since, self.to) for k, p in enumerate(files)
-                for lo in range(0, max(1, os.path.getsize(p)), self.split_bytes)]
+class _Dumps:
+    """Byte ranges of dump files on any store, cut at record marks; the options since and to bound ``date`` while reading."""
+
+    def __init__(self, options):
+        self.path, self.split_bytes = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
+        self.since, self.to = options.get("since"), options.get("to")
+        self.hold_last = options.get("holdLast", "true").lower() == "true"
+
+    def files(self) -> dict[str, tuple[str, int]]:
+        """(path, size) by name under the folder; the name of a single dump is its last part."""
+        root = open_store(self.path)[1].rstrip("/")
+        return {path[len(root):].lstrip("/") or root.rsplit("/", 1)[-1]: (path, size) for path, size in files_under(self.path)}
+
+    def ranges(self, name: str, path: str, lo: int, hi: int) -> list[_Dump]:
+        return [_Dump(path, _first_place(name), at, min(at + self.split_bytes, hi)) for at in range(lo, hi, self.split_bytes)]
 
     def read(self, part: _Dump):
-        for at, record in _records(part.path, part.lo, part.hi):
+        for at, record in _records(open_store(self.path)[0], part.path, part.lo, part.hi):
             fields = record.decode("utf-8", "replace").split(FIELD)
-            if len(fields) == 8 and (part.since is None or fields[3] >= part.since) and (part.to is None or fields[3] <= part.to):
-                yield (*(x.strip("\n") for x in fields), (part.number << 44) + at)
+            if len(fields) == 8 and (self.since is None or fields[3] >= self.since) and (self.to is None or fields[3] <= self.to):
+                yield (*(x.strip("\n") for x in fields), part.first + at)
+
+
+class GitLogReader(_Dumps, DataSourceReader):
+    def partitions(self):
+        return [d for name, (path, size) in self.files().items() for d in self.ranges(name, path, 0, size)] or [_Dump("", 0, 0, 0)]
+
+    def read(self, part: _Dump):
+        return iter(()) if not part.path else super().read(part)
+
+
+class GitLogStreamReader(_Dumps, DataSourceStreamReader):
+    """Growing dumps. An offset is the byte up to which each known file is read.
+
+    With ``holdLast`` (the default) a file's last record waits until another record's mark ends it, so a record that is still being written is never
+    cut; without it the end of the file ends the last record.
+    """
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        store = open_store(self.path)[0]
+        return {name: _last_mark(store, path, size) if self.hold_last else size for name, (path, size) in sorted(self.files().items())}
+
+    def partitions(self, start: dict, end: dict):
+        files = self.files()
+        return [d for name, hi in end.items() if name in files for d in self.ranges(name, files[name][0], start.get(name, 0), hi)]
+
 
+def _last_mark(store, path: str, size: int, step: int = 1 << 20) -> int:
+    """Place of the last record mark of a file, 0 where it has none."""
+    with store.open_input_file(path) as f:
+        hi = size
+        while hi > 0:
+            lo = max(0, hi - step)
+            f.seek(lo)
+            at = f.read(hi - lo).rfind(RECORD.encode())
+            if at >= 0:
+                return lo + at
+            hi = lo
+    return 0
 
-def _records(path: str, lo: int, hi: int, size: int = 1 << 20):
+
+def _records(store, path: str, lo: int, hi: int, size: int = 1 << 20):
     """(place, record) of the records whose mark lies in [lo, hi); a dump may be larger than memory."""
     mark = RECORD.encode()
-    with open(path, "rb") as f:
+    with store.open_input_file(path) as f:
         f.seek(lo)
         at, held, started = lo, b"", False
         while True:
@@ -84,20 +136,35 @@ class GitLogSource(DataSource):
         return GITLOG_SCHEMA
 
     def reader(self, schema) -> GitLogReader:
-        return GitLogReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)), self.options.get("since"), self.options.get("to"))
+        return GitLogReader(self.options)
+
+    def streamReader(self, schema) -> GitLogStreamReader:
+        return GitLogStreamReader(self.options)
+
+
+def _commits(df: DataFrame) -> DataFrame:
+    return (df.withColumn("subject", F.substring_index("message", "\n", 1)).withColumn("body", F.col("message"))
+            .withColumn("parent_hashes", F.filter(F.split("parents", " "), lambda p: p != ""))
+            .withColumn("is_merge", F.size("parent_hashes") > 1).drop("message", "parents")).transform(co.changed_files)
+
+
+def stream_git_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, since: str | None = None, to: str | None = None, hold_last: bool = True) -> DataFrame:
+    """The commits of growing dumps as a stream; each row as ``read_git_log`` gives it."""
+    spark.dataSource.register(GitLogSource)
+    reader = spark.readStream.format("gitlog").option("path", path).option("splitBytes", str(split_bytes)).option("holdLast", str(hold_last).lower())
+    for name, value in (("since", since), ("to", to)):
+        reader = reader.option(name, value) if value else reader
+    return _commits(reader.load())
 
 
 def read_git_log(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, since: str | None = None, to: str | None = None) -> DataFrame:
     """Dumps to commits, ready for the index: subject = first line, body = whole message, merge flag from the parents, changed
-    files and lines from the diff.  The reader skips commits outside [since, to]; ``pos`` grows with the place in the dump."""
+    files and lines from the diff.  The reader skips commits outside [since, to]; ``pos`` grows with the place in a dump, and each dump has a range of its own."""
     spark.dataSource.register(GitLogSource)
     reader = spark.read.format("gitlog").option("path", path).option("splitBytes", str(split_bytes))
     for name, value in (("since", since), ("to", to)):
         reader = reader.option(name, value) if value else reader
-    df = reader.load()
-    return (df.withColumn("subject", F.substring_index("message", "\n", 1)).withColumn("body", F.col("message"))
-            .withColumn("parent_hashes", F.filter(F.split("parents", " "), lambda p: p != ""))
-            .withColumn("is_merge", F.size("parent_hashes") > 1).drop("message", "parents")).transform(co.changed_files)
+    return _commits(reader.load())
 
 
 def read_commits(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, since: str | None = None,

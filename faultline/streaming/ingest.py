@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import commits as co, index as ix
 from ..plans import retrieval as rt
+from ..sources import commits as sc
 
 
 def stream_commits(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -31,3 +32,13 @@ def index_stream(commits: DataFrame, index_path: str, checkpoint: str, dim: int
         ix.append_index(ix.index_rows(batch, dim), index_path)
     return (commits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def index_dumps(spark: SparkSession, dumps: str, index_path: str, checkpoint: str, dim: int = 512, since: str | None = None, hold_last: bool = True):
+    """What has been added to a folder of growing dumps since the checkpoint goes into the index; returns the started query.
+
+    The first run of an index that was loaded otherwise starts at the day before its newest commit (``since="resume"``).
+    """
+    if since == "resume":
+        since = ix.resume_since(spark, index_path) if ix.exists_index(spark, index_path) else None
+    return index_stream(sc.stream_git_log(spark, dumps, since=since, hold_last=hold_last), index_path, checkpoint, dim)

@@ -35,6 +35,18 @@ def test_rate_limit_matches_brute_force(spark, tmp_path):
     assert got == want and not all(want.values())
 
 
+def test_one_client_with_very_many_requests_in_a_batch(spark, tmp_path):
+    n = 1_000_000
+    spark.range(n).select(F.lit(1).cast("long").alias("client"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("id") * 7919 % n) * 1000).alias("ts"),
+                          F.col("id").alias("request_id")).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("client long, ts timestamp, request_id long").parquet(str(tmp_path / "in"))
+    state.rate_limit(src, limit=60, window=60, delay="1 day").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    # one request a millisecond for 1,000 s: the first 60 of each minute from the last accepted batch on
+    assert out.count() == n and out.where("allowed").count() == 60 * 17
+
+
 def test_task_rows_keep_the_latest(spark, tmp_path):
     spark.createDataFrame([(1, 10, "new"), (1, 30, "done"), (1, 20, "run"), (2, 5, "new")], "task_id long, s long, status string") \
         .select("task_id", F.timestamp_seconds("s").alias("ts"), "status").write.parquet(str(tmp_path / "t"))

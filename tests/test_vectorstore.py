@@ -134,3 +134,17 @@ def test_search_goes_on_behind_rejected_rows(spark):
     best = got(want=3)
     assert {"copy", "good0", "good1"} <= set(best[1]) and len(best[1]) == len(set(best[1])) and best[3] == []
     assert best[2][:3] == ["good3", "good2", "good1"]
+
+
+def test_graph_search_recall(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=12).round(3).tolist(), "a") for i in range(1500)] + [(2000 + i, [0.1] * 12, "b") for i in range(50)]
+    queries = [(i, rng.normal(size=12).round(3).tolist(), "") for i in range(40)]
+    q, c = _frames(spark, queries, rows)
+    index = vs.create(c, str(tmp_path / "g"), "graph", "cosine", lists=20)
+    want = {(a, b) for a, b, _ in _rows(vs.search(index, q, 10))}
+    assert want == {(a, b) for a, b, _ in _brute(queries, rows, 10, "cosine")}
+    found = vs.search_graph(index, q, 10).collect()
+    assert len(found) == 400 and len({(r.query_id, r.id) for r in found} & want) / 400 >= 0.9
+    with pytest.raises(ValueError):
+        vs.search_graph(vs.create(c, str(tmp_path / "i"), "ivf"), q, 3)
