@@ -141,7 +141,7 @@ def bug_pattern_key(bug: Column) -> Column:
 
 
 def bug_pattern_list(key: Column, field: str) -> Column:
-    """fixes / keywords / tools / subsystems / symptoms of a pattern key; empty when unknown."""
+    """fixes / keywords / tools / subsystems / symptoms / causes / options of a pattern key; empty when unknown."""
     return _members(key, {k: p[field] for k, p in kn.BUG_PATTERNS.items()})
 
 
@@ -214,6 +214,21 @@ def lock_usage(df: DataFrame, trace: str = "call_trace") -> DataFrame:
         F.when(c, F.lit(t)) for c, t in zip(issues, kn.LOCK_ISSUES)])))
 
 
+def lock_context(df: DataFrame, trace: str = "call_trace", width: int = 80) -> DataFrame:
+    """``lock_usage`` with a text context for a prompt in ``lock_context``: lock types, acquisitions with their frames (``width`` characters, as the
+    layout has it), issues.  All acquisitions are listed."""
+    acquire = [a for _, apis in kn.LOCK_APIS for a in apis if "lock" in a and "unlock" not in a]
+    said = sq.kept([(f"contains(lower(f), {sq.lit(a)})", f"concat({sq.lit(f'- `{a}()` in `')}, left(f, {width}), '`')") for a in acquire])
+    titles = {t: f"- **{t}**: {name} — {use}" for t, (name, use) in kn.LOCK_TITLES.items()}
+    part = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"### {head}\n"), F.array_join(lines, "\n"), F.lit("\n")))
+    df = lock_usage(df, trace)
+    types = F.transform("lock_types", lambda t: F.element_at(F.expr(sq.map_of(titles)), t))
+    nothing = F.when((F.size("lock_types") == 0) & (F.size("lock_issues") == 0), F.lit("*(No lock operations detected in call trace)*"))
+    return df.withColumn("lock_context", F.concat_ws("\n", F.lit("## Lock Usage Analysis\n"), part("Lock Types Detected", types),
+                         part("Lock Acquire Operations", F.expr(f"flatten(transform({trace}, f -> {said}))")),
+                         part("⚠️ Potential Lock Issues", F.transform("lock_issues", lambda i: F.concat(F.lit("- **"), i, F.lit("**")))), nothing))
+
+
 def subsystem_context(s: Column) -> Column:
     """Text context of a subsystem for a prompt."""
     def joined(i: int) -> Column:
@@ -231,7 +246,7 @@ def bug_context(bug: Column) -> Column:
     for k, p in kn.BUG_PATTERNS.items():
         items = lambda name: "\n".join("- " + x for x in p[name])
         texts[k] = (f"## {p['name']}\n**Severity**: {p['severity']}\n**Category**: {p['category']}\n\n"
-                    f"### Typical Symptoms\n{items('symptoms')}\n\n### Fix Patterns\n{items('fixes')}\n\n"
+                    f"### Typical Symptoms\n{items('symptoms')}\n\n### Common Causes\n{items('causes')}\n\n### Fix Patterns\n{items('fixes')}\n\n"
                     f"### Detection Tools\n{', '.join(p['tools'])}\n\n### Related Subsystems\n"
                     f"{', '.join(p['subsystems'])}")
     return F.coalesce(tf.lookup(bug_pattern_key(bug), texts),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numeric as nf, sqltext as sq, text as tf, versions as vf
 from ..operators import aggregates as ag, commits as co, crashes as cx, explain as ex, filters as fl, graph as gr
-from ..operators import index as ix, ranking as rk, vectors as ve, vectorstore as vs
+from ..operators import index as ix, models as md, ranking as rk, vectors as ve, vectorstore as vs
 from . import retrieval as rt, views as vw
 from .stage import cut, fresh, spread
 
@@ -478,7 +478,8 @@ def _(spark, sf):
     k = gr.bug_pattern_key(_C("bug_type"))
     return analysed(spark, sf).select("doc_id", k.alias("pattern"), joined(gr.bug_pattern_list(k, "fixes")).alias("fixes"),
                                       joined(gr.bug_pattern_list(k, "keywords")).alias("keywords"),
-                                      joined(gr.bug_pattern_list(k, "tools")).alias("tools"))
+                                      joined(gr.bug_pattern_list(k, "tools")).alias("tools"), joined(gr.bug_pattern_list(k, "causes")).alias("causes"),
+                                      joined(gr.bug_pattern_list(k, "options")).alias("options"))
 
 
 @query("g14_lock_usage")
@@ -588,6 +589,44 @@ LOCK_FIX_KINDS = ["add_spinlock", "add_spinlock_irqsave", "add_mutex", "add_rcu"
                   "add_rcu_dereference"]
 
 
+@query("g15_lock_context")
+def _(spark, sf):
+    return gr.lock_context(parsed(spark, sf)).select("crash_id", "lock_context")
+
+
+@query("k6_extended_reason")
+def _(spark, sf):
+    d = rk.extended_reason(rk.score_breakdown(ranked(spark, sf)))
+    return d.select("query_id", big("rank").alias("rank"), "id", "reason_extended")
+
+
+@query("g4_closure")
+def _(spark, sf):
+    """The subsystem hierarchy that the commits' files span (folder above folder), closed by iterated joins: (node, ancestor, depth)."""
+    files = vw.commits(spark, sf).select(F.explode("files_changed").alias("f")).distinct()
+    parts = files.select(F.split("f", "/").alias("p")).select(F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"), "p").where("n > 0")
+    edges = parts.select(F.array_join(F.slice("p", 1, _C("n") + 1), "/").alias("node"), F.array_join(F.slice("p", 1, _C("n")), "/").alias("parent")).distinct()
+    return gr.closure(edges).select("node", "ancestor", big("depth").alias("depth"))
+
+
+@query("k1_scorer_hook")
+def _(spark, sf):
+    """The standard mode with a batched model hook in the reranker's place; the hook's stand-in is the token overlap, row for row."""
+    d = rt.retrieve(label_queries(spark, sf), vector_index(spark, sf), cosine=False, scorer=md.pair_scorer(md.overlap_model))
+    return d.select("query_id", big("rank").alias("rank"), "id", F.round("vector_score", 10).alias("vector_score"), F.round("reranker_score", 10).alias("reranker_score"),
+                    F.round("final_score", 12).alias("final_score"), "rank_reason")
+
+
+@query("r1_encoder_hook")
+def _(spark, sf):
+    """Benchmark texts against all commit texts, both encoded through the batched model hook."""
+    hook = md.text_encoder(md.hashed_model)
+    q = ve.encode_text(vw.table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "text", encoder=hook)
+    c = ve.encode_text(caused(spark, sf).withColumnRenamed("doc_id", "id"), "embedding_text", encoder=hook)
+    h = ve.topk(q.select("query_id", "vec"), c.select("id", "vec"), 10, cosine=True)
+    return h.select("query_id", "id", F.round("score", 6).alias("score"), big("rank").alias("rank"))
+
+
 @query("g15_bug_context")
 def _(spark, sf):
     return analysed(spark, sf).select("doc_id", gr.bug_context(_C("bug_type")).alias("bug_context"))

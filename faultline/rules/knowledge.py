@@ -139,6 +139,59 @@ BUG_PATTERNS = {
         tools=["CONFIG_VMAP_STACK", "CONFIG_FRAME_WARN"], subsystems=["kernel", "fs", "mm"]),
 }
 
+# FIXED VALUES: common causes and kernel configuration options of each bug pattern.
+COMMON_CAUSES = {
+    "use_after_free": ["Race condition between kfree() and concurrent access", "Missing reference count increment before queuing work",
+                       "Error path frees object while it's still in use", "RCU callback frees object but reader still holds RCU lock",
+                       "Module unload frees memory still referenced by kernel"],
+    "deadlock": ["ABBA deadlock: two locks acquired in different order", "Spinlock held during schedule()/sleep",
+                 "Interrupt context acquires a lock already held by process context",
+                 "Recursive lock acquisition (spin_lock on already held lock)", "Missing unlock on error path"],
+    "null_pointer": ["Missing NULL check after allocation failure", "Function returns NULL on error but caller doesn't check",
+                     "Data structure not yet initialized", "Race condition: pointer set to NULL while in use",
+                     "kzalloc/kcalloc returning NULL under memory pressure"],
+    "race_condition": ["Missing lock for shared data access", "Check-then-act race (TOCTOU - Time of Check to Time of Use)",
+                       "Missing memory barrier between CPU writes", "Incorrect use of RCU (missing rcu_read_lock)",
+                       "Per-CPU variable access without preemption disable"],
+    "buffer_overflow": ["Off-by-one error in buffer size calculation", "Unbounded strcpy/strcat/sprintf usage",
+                        "User-supplied length not validated", "Integer overflow in size calculation", "Missing bounds check on array index"],
+    "memory_leak": ["Missing kfree on error path", "Forgetting to call put_*() after get_*()",
+                    "Allocation in loop without corresponding free", "Module unload without freeing resources",
+                    "Reference count leak (extra get without put)"],
+    "double_free": ["Error path frees same object twice", "Concurrent kfree from two threads",
+                    "Object freed by both release callback and caller", "Reference count drops below zero and object freed twice",
+                    "Module use-after-free triggering false double-free detection"],
+    "rcu_stall": ["RCU read-side critical section too long", "Preemption disabled while holding rcu_read_lock",
+                  "synchronize_rcu called from non-sleepable context", "Missing rcu_read_unlock on error path",
+                  "Too many call_rcu callbacks pending"],
+    "oom": ["Genuine memory shortage (high memory pressure)", "Memory leak causing slow exhaustion",
+            "High-order allocation failure under fragmentation", "Memory cgroup limit too low", "Slab cache growing unboundedly"],
+    "stack_overflow": ["Deep recursion (e.g., nested filesystem operations)", "Large on-stack variables (arrays > 1KB)",
+                       "Heavy function call chain (many small stack frames)", "Interrupt stacking on already-deep stack"],
+}
+KERNEL_OPTIONS = {
+    "use_after_free": ["CONFIG_KASAN=y", "CONFIG_SLUB_DEBUG=y", "CONFIG_KFENCE=y"],
+    "deadlock": ["CONFIG_PROVE_LOCKING=y", "CONFIG_DEBUG_LOCKDEP=y", "CONFIG_LOCK_STAT=y"],
+    "null_pointer": ["CONFIG_KASAN=y", "CONFIG_UBSAN=y"],
+    "race_condition": ["CONFIG_KCSAN=y", "CONFIG_PROVE_LOCKING=y"],
+    "buffer_overflow": ["CONFIG_KASAN=y", "CONFIG_FORTIFY_SOURCE=y", "CONFIG_UBSAN_BOUNDS=y"],
+    "memory_leak": ["CONFIG_DEBUG_KMEMLEAK=y", "CONFIG_DEBUG_KMEMLEAK_DEFAULT_OFF=n"],
+    "double_free": ["CONFIG_KASAN=y", "CONFIG_SLUB_DEBUG=y"],
+    "rcu_stall": ["CONFIG_PROVE_RCU=y", "CONFIG_RCU_CPU_STALL_TIMEOUT=60"],
+    "oom": ["CONFIG_MEMCG=y", "CONFIG_COMPACTION=y"],
+    "stack_overflow": ["CONFIG_VMAP_STACK=y", "CONFIG_FRAME_WARN=2048"],
+}
+for _name, _pattern in BUG_PATTERNS.items():
+    _pattern.update(causes=COMMON_CAUSES[_name], options=KERNEL_OPTIONS[_name])
+# FIXED VALUES: title and use of each lock type.
+LOCK_TITLES = {
+    "spinlock": ("自旋锁 (Spinlock)", "短临界区、中断上下文、不可睡眠"),
+    "mutex": ("互斥锁 (Mutex)", "可能睡眠的临界区、进程上下文"),
+    "rwsem": ("读写信号量 (R/W Semaphore)", "读多写少的场景、页表锁、文件系统锁"),
+    "rcu": ("RCU (Read-Copy-Update)", "读频繁写稀少、指针更新保护"),
+    "rwlock": ("读写自旋锁 (R/W Spinlock)", "读多写少 + 不可睡眠的短临界区"),
+    "seqlock": ("顺序锁 (Seqlock)", "写非常稀少、读非常频繁 (如 jiffies, timekeeping)"),
+}
 LOCK_APIS = [
     ("spinlock", ["spin_lock", "spin_unlock", "spin_lock_irq", "spin_unlock_irq",
                   "spin_lock_irqsave", "spin_unlock_irqrestore", "spin_lock_bh", "spin_unlock_bh",

@@ -348,12 +348,12 @@ oracle("g6_path_and_function", "cf si p3", """SELECT doc_id, (i - 1)::BIGINT AS
 _keys = list(kn.BUG_PATTERNS)
 values("bk(o, k)", list(enumerate(_keys)))
 _bp = lambda f: case("pattern", {k: "|".join(p[f]) for k, p in kn.BUG_PATTERNS.items()}, "''")
-oracle("g9_bug_pattern", "an bk", f"""SELECT doc_id, pattern, {_bp('fixes')} AS fixes, {_bp('keywords')} AS keywords, {_bp('tools')} AS tools FROM (SELECT doc_id, coalesce(CASE WHEN bug_type IN {one_of(_keys)} THEN bug_type END,
+oracle("g9_bug_pattern", "an bk", f"""SELECT doc_id, pattern, {_bp('fixes')} AS fixes, {_bp('keywords')} AS keywords, {_bp('tools')} AS tools, {_bp('causes')} AS causes, {_bp('options')} AS options FROM (SELECT doc_id, coalesce(CASE WHEN bug_type IN {one_of(_keys)} THEN bug_type END,
     (SELECT arg_min(k, o) FROM bk WHERE contains(bug_type, k) OR contains(k, bug_type))) AS pattern FROM an)""")
 _acq = [(a, t) for t, apis in kn.LOCK_APIS for a in apis if "lock" in a and "unlock" not in a]
 _rls = [(a, t) for t, apis in kn.LOCK_APIS for a in apis if "unlock" in a or ("up_" in a and "lock" not in a)]
 values("api(o, a, t, rel)", [(i, a, t, False) for i, (a, t) in enumerate(_acq)] + [(i, a, t, True) for i, (a, t) in enumerate(_rls)])
-cte("lockhits", "frames api", "SELECT crash_id, r, o, a, t, rel FROM frames JOIN api ON contains(lower(s), a)")
+cte("lockhits", "frames api", "SELECT crash_id, r, o, a, t, rel, s FROM frames JOIN api ON contains(lower(s), a)")
 cte("locku", "crashes lockhits frames", f"""SELECT c.crash_id, coalesce(ty, '') AS types, coalesce(acq, '') AS acquired, coalesce(rl, '') AS released, list_filter([
       CASE WHEN spin AND slp THEN {v(kn.LOCK_ISSUES[0])} END, CASE WHEN plain AND irq THEN {v(kn.LOCK_ISSUES[1])} END, CASE WHEN rcu AND slp THEN {v(kn.LOCK_ISSUES[2])} END], lambda x: x IS NOT NULL) AS issues FROM crashes c
     LEFT JOIN (SELECT crash_id, string_agg(DISTINCT t, '|' ORDER BY t) AS ty, bool_or(t IN ('spinlock', 'rwlock')) AS spin FROM lockhits GROUP BY crash_id) USING (crash_id)
@@ -613,7 +613,7 @@ oracle("x3_evidence_table", "rc ranked", """SELECT crash_id, (u).o::BIGINT AS or
     {'o': 4, 'f': 'Rerank Score', 'x': CASE WHEN rer IS NOT NULL THEN printf('%.3f', rer) END}, {'o': 5, 'f': 'Call Trace', 'x': nullif(array_to_string(tr, ', '), '')}, {'o': 6, 'f': 'Kernel Version', 'x': nullif(kernel_version, '')}]) AS u
     FROM (SELECT rc.crash_id, rc.rule_id, nb, rc.subsystem, tr, rc.kernel_version, vs, rer FROM rc LEFT JOIN (SELECT query_id, vs, rer FROM ranked WHERE rank = 1) r ON r.query_id = rc.crash_id))""")
 oracle("g15_bug_context", "an bk", f"""SELECT doc_id, coalesce({case("pattern", {k: f"## {p['name']}{chr(10)}**Severity**: {p['severity']}{chr(10)}**Category**: {p['category']}{chr(10)}{chr(10)}### Typical Symptoms{chr(10)}" + chr(10).join('- ' + x for x in p['symptoms'])
-    + f"{chr(10)}{chr(10)}### Fix Patterns{chr(10)}" + chr(10).join('- ' + x for x in p['fixes']) + f"{chr(10)}{chr(10)}### Detection Tools{chr(10)}{', '.join(p['tools'])}{chr(10)}{chr(10)}### Related Subsystems{chr(10)}{', '.join(p['subsystems'])}" for k, p in kn.BUG_PATTERNS.items()})},
+    + f"{chr(10)}{chr(10)}### Common Causes{chr(10)}" + chr(10).join('- ' + x for x in p['causes']) + f"{chr(10)}{chr(10)}### Fix Patterns{chr(10)}" + chr(10).join('- ' + x for x in p['fixes']) + f"{chr(10)}{chr(10)}### Detection Tools{chr(10)}{', '.join(p['tools'])}{chr(10)}{chr(10)}### Related Subsystems{chr(10)}{', '.join(p['subsystems'])}" for k, p in kn.BUG_PATTERNS.items()})},
     concat('Bug type ' || chr(39), bug_type, chr(39) || ' not found in knowledge base.')) AS bug_context FROM (SELECT doc_id, bug_type, coalesce(CASE WHEN bug_type IN {one_of(_keys)} THEN bug_type END,
     (SELECT arg_min(k, o) FROM bk WHERE contains(bug_type, k) OR contains(k, bug_type))) AS pattern FROM an)""")
 oracle("g15_contexts", "an si related", """SELECT doc_id, CASE WHEN title IS NULL THEN concat('Subsystem ''', subsystem, ''' not found.') ELSE concat('## Subsystem: ', title, ' (', subsystem, ')', chr(10), chr(10), '**Key Functions**: ',
@@ -674,6 +674,21 @@ oracle("s24_store_cap", "", "SELECT event_id, user_id FROM events ORDER BY ts DE
 oracle("s15_new_rows", "commits", "SELECT doc_id, commit_hash FROM commits WHERE commit_hash = '' OR commit_hash NOT IN (SELECT commit_hash FROM commits WHERE date < '2019-01-01')")
 
 
+_titles = case("x", {t: f"- **{t}**: {n} — {u}" for t, (n, u) in kn.LOCK_TITLES.items()})
+oracle("g15_lock_context", "locku lockhits", f"""SELECT crash_id, concat('## Lock Usage Analysis', chr(10),
+    CASE WHEN types <> '' THEN chr(10) || '### Lock Types Detected' || chr(10) || array_to_string(list_transform(string_split(types, '|'), lambda x: {_titles}), chr(10)) || chr(10) ELSE '' END,
+    CASE WHEN said IS NOT NULL THEN chr(10) || '### Lock Acquire Operations' || chr(10) || said || chr(10) ELSE '' END,
+    CASE WHEN len(issues) > 0 THEN chr(10) || '### ⚠️ Potential Lock Issues' || chr(10) || array_to_string(list_transform(issues, lambda x: '- **' || x || '**'), chr(10)) || chr(10) ELSE '' END,
+    CASE WHEN types = '' AND len(issues) = 0 THEN chr(10) || '*(No lock operations detected in call trace)*' ELSE '' END) AS lock_context
+    FROM locku LEFT JOIN (SELECT crash_id, string_agg('- `' || a || '()` in `' || left(s, 80) || '`', chr(10) ORDER BY r, o) AS said FROM lockhits WHERE NOT rel GROUP BY crash_id) USING (crash_id)""")
+oracle("g4_closure", "cf", """SELECT DISTINCT array_to_string(p[1:j], '/') AS node, array_to_string(p[1:i], '/') AS ancestor, (j - i)::BIGINT AS depth
+    FROM (SELECT string_split(f, '/') AS p FROM cf) t, range(1, 40) a(i), range(2, 41) b(j) WHERE i < j AND j <= len(p)""")
+_SQL["k1_scorer_hook"], _SQL["r1_encoder_hook"] = _SQL["k15_standard"], _SQL["r12_similar_commits"]
+oracle("k6_extended_reason", "bd", f"""SELECT query_id, rank::BIGINT AS rank, id, concat_ws(' | ', CASE WHEN fin >= 0.85 THEN '高度匹配' WHEN fin >= 0.7 THEN '显著相关' WHEN fin >= 0.5 THEN '中度相关' ELSE '低度相关' END,
+    CASE WHEN ss >= 0.8 THEN '子系统精确匹配' WHEN ss >= 0.5 THEN '子系统部分匹配' END, CASE WHEN cs >= 0.8 THEN '调用栈直接命中' WHEN cs >= 0.4 THEN '调用栈间接关联' END,
+    CASE WHEN {_vm} >= 1.0 THEN '版本兼容' WHEN {_vm} < 0.8 THEN '版本兼容性偏低' END, CASE WHEN er >= 0.85 THEN '专家规则高度匹配' END) AS reason_extended FROM bd""")
+
+
 def _build(deps: list[str], sql: str) -> str:
     order: list[str] = []
 
