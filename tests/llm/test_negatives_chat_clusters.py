@@ -61,7 +61,7 @@ def test_negatives_equal_brute_force(spark):
     want = mined(rows)
     assert len(want) > 150 and _negatives(negatives.mine_table(table)) == want
     kept = cut(negatives.labelled_vectors(table))
-    assert _negatives(negatives.mine(kept, shard_rows=150, anchors_per_task=8)) == want
+    assert _negatives(negatives.mine(kept, shard_rows=200, anchors_per_task=30)) == want
     assert negatives.mine_table(table.limit(0)).count() == 0
 
 
@@ -114,9 +114,9 @@ def test_conversations_round_trip(spark):
     table = spark.createDataFrame([(*r, "p", True) for r in rows], "conv_id long, turn long, role string, text string, piece string, whole boolean").repartition(5)
     want = digests(rows)
     get = lambda df: sorted(map(tuple, df.collect()), key=str)
-    formatted = chat.format_conversations(table, tokenizer_path())
+    formatted = cut(chat.format_conversations(table, tokenizer_path()))
     assert formatted.filter("whole").count() == len(want) and get(chat.digest(formatted)) == want
-    pieces = chat.format_conversations(table, tokenizer_path(), piece_chars=500, partition_chars=4000)
+    pieces = cut(chat.format_conversations(table, tokenizer_path(), piece_chars=500, partition_chars=40_000))
     of_hot = pieces.filter("conv_id = 70").orderBy("piece").collect()
     assert len(of_hot) > 5 and len({r.piece >> 32 for r in of_hot}) > 1 and get(chat.digest(pieces)) == want
     # the tokens of the pieces are those of the whole

@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from faultline.llm import mtree, warc
-from faultline.llm.shared import file_system
+from faultline.llm.shared import cut, file_system
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,8 +36,10 @@ def brute(rows, every, k):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             whole.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
     out = []
-    for q, a in sorted(dict((i, v) for i, v in whole if i % every == 0).items()):
-        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))[:k]
+    for at, (q, a) in enumerate(whole):
+        if q % every:
+            continue
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(whole) if n != at and len(a) == len(b))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     return out
 
@@ -46,31 +48,34 @@ def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(400)]
     rows += [(500 + i, [0.5] * 6) for i in range(60)]  # ties
-    rows += [(700, None), (701, [None] * 6), (702, [float("nan")] * 6), (750, [float("inf")] * 6), (None, [1.0] * 6), (800, []), (850, [0.0] * 6), (703, [1.0, 2.0]), (704, [2.0, 1.0])]
+    rows += [(700, None), (701, [None] * 6), (702, [float("nan")] * 6), (750, [float("inf")] * 6), (None, [1.0] * 6), (800, []), (850, [0.0] * 6), (703, [1.0, 2.0]), (704, [2.0, 1.0]),
+             (900, [0.5] * 6), (900, [0.5] * 6), (900, [1.0] * 6), (801, []), (950, [2.0 ** 22, 3.0]), (951, [2.0 ** 22, 1.0]), (952, [2.0 ** 22, 2.0])]
     table = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, v string, shard string")
     get = lambda df: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
     want = sorted(brute(rows, 50, 5))
     assert get(mtree.search_table(table)) == want
-    ints = mtree.integer_vectors(table)
-    assert get(mtree.top_k(ints, ints.filter("vec_id % 50 = 0"), 5, shard_rows=70, query_block=3)) == want
+    ints = cut(mtree.integer_vectors(table))
+    assert get(mtree.top_k(ints, ints.filter("vec_id % 50 = 0"), 5, shard_rows=120)) == want
     assert mtree.search_table(table.limit(0)).count() == 0
 
 
 def test_equal_vectors_spread_over_shards(spark, tmp_path, monkeypatch):
     rows = [(1, [3.0, 4.0])] * 900 + [(i, [float(i), 1.0]) for i in range(2, 102)]
-    ints = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(3)
+    ints = cut(spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "row long, vec_id long, v array<double>").repartition(3))
     queries = ints.filter("vec_id = 50")
 
     class Seen(mtree.MTree):
-        def __init__(self, points, ids):
+        def __init__(self, points, ids, rows):
             (tmp_path / f"{uuid.uuid4().hex}-{len(ids)}").touch()
-            super().__init__(points, ids)
+            super().__init__(points, ids, rows)
 
     monkeypatch.setattr(mtree, "MTree", Seen)
     got = mtree.top_k(ints, queries, 5, shard_rows=100).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, 101 - k, (101 - k) * 50 + 1) for k in range(5)]
     sizes = [int(f.name.split("-")[1]) for f in tmp_path.iterdir()]
-    assert sum(sizes) == 1000 and max(sizes) < 200
+    assert sum(sizes) < 500 and max(sizes) < 200  # bounds leave most shards without a tree
+    shards = [r["count"] for r in mtree._sharded(ints, 100).groupBy("n", "shard", "split").count().collect()]
+    assert sum(shards) == 1000 and max(shards) < 200
 
 
 def test_tree_of_equal_vectors():
