@@ -11,6 +11,7 @@ move through the posting lists by pivots. Retrieved items are verified in their
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -97,6 +98,7 @@ class Index:
         """All (item, score) of at least the threshold for distinct terms, by block-max WAND."""
         limit = self.threshold - 1e-9
         cursors = [[self.postings[t][0][0], t, 0] for t in terms]  # current item, term, place
+        most = dict(zip(terms, self.block_max[terms].tolist()))
         found = []
         while cursors:
             cursors.sort()
@@ -112,7 +114,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // self.block
-            if sum(float(self.block_max[t, block]) for _, t, _ in cursors[:pivot + 1]) >= limit:
+            if sum([most[t][block] for _, t, _ in cursors[:pivot + 1]]) >= limit:
                 if cursors[0][0] == item:
                     score = sum(self.postings[t][1][p] for _, t, p in cursors[:pivot + 1])
                     if score >= limit:
@@ -128,8 +130,7 @@ class Index:
             alive = []
             for c in cursors[:pivot + 1]:
                 ids = self.postings[c[1]][0]
-                while c[2] < len(ids) and ids[c[2]] < goal:
-                    c[2] += 1
+                c[2] = bisect_left(ids, goal, c[2])
                 if c[2] < len(ids):
                     c[0] = ids[c[2]]
                     alive.append(c)
