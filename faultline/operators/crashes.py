@@ -268,9 +268,9 @@ def fix_flags(bug_type: Column, panic: Column) -> dict[str, Column]:
     """needs_* flags of a bug type with trace and panic additions (reads the trace set columns)."""
     low = F.lower(panic)
     kfree = F.exists("memory_functions", lambda f: F.contains(f, F.lit("kfree")))
-    extra = {"lock": F.size("lock_functions") > 0, "rcu": F.size("rcu_functions") > 0, "refcount": kfree,
-             "null": F.contains(low, F.lit("null pointer")),
-             "bound": F.contains(low, F.lit("out of bound")) | F.contains(low, F.lit("overflow"))}
+    extra = {"needs_lock_fix": F.size("lock_functions") > 0, "needs_rcu_fix": F.size("rcu_functions") > 0, "needs_refcount_fix": kfree,
+             "needs_null_check": F.contains(low, F.lit("null pointer")),
+             "needs_bound_check": F.contains(low, F.lit("out of bound")) | F.contains(low, F.lit("overflow"))}
     return {k: bug_type.isin([b for b, (f, _) in cr.FIX_HINTS.items() if k in f]) | extra[k] for k in extra}
 
 
@@ -289,7 +289,7 @@ def fix_keywords(bug_type: Column) -> Column:
 
 def infer_fixes(df: DataFrame, bug_type: str = "bug_type") -> DataFrame:
     flags = fix_flags(_C(bug_type), _C("panic_msg"))
-    return (df.withColumns({f"needs_{k}": v for k, v in flags.items()})
+    return (df.withColumns(flags)
             .withColumn("search_keywords", fix_keywords(_C(bug_type))))
 
 
@@ -297,7 +297,7 @@ def confirm_fixes(df: DataFrame) -> DataFrame:
     """Fixes seen in a commit's diff confirm the inferred ones: flags are set and their search words join (sorted, once)."""
     seen = {"lock": _C("lock_added"), "refcount": _C("refcount_fix"), "rcu": _C("rcu_fix")}
     words = [F.when(c, F.array(*[F.lit(w) for w in kn.DIFF_EVIDENCE_WORDS[k]])).otherwise(_empty()) for k, c in seen.items()]
-    return df.withColumns({**{f"needs_{k}": _C(f"needs_{k}") | c for k, c in seen.items()},
+    return df.withColumns({**{f"needs_{k}_fix": _C(f"needs_{k}_fix") | c for k, c in seen.items()},
                            "search_keywords": F.sort_array(F.array_distinct(F.concat("search_keywords", *words)))})
 
 
@@ -305,7 +305,7 @@ def retrieval_query(df: DataFrame) -> DataFrame:
     """Labelled query text of a diagnosed crash (mirrors the commit embedding text)."""
     known = lambda c: F.when(F.coalesce(_C(c), F.lit("unknown")).isin("unknown", "") == F.lit(False), _C(c))
     key = F.array_distinct(F.concat(trace_function_names(_C("call_trace")), "lock_functions", "memory_functions", "rcu_functions"))
-    fixes = F.array_compact(F.array(*[F.when(_C(f"needs_{k}"), F.lit(s)) for k, s in cr.FIX_SENTENCES]))
+    fixes = F.array_compact(F.array(*[F.when(_C(k), F.lit(s)) for k, s in cr.FIX_SENTENCES]))
     parts = [F.concat(F.lit("RootCause: "), _C("root_cause")),
              F.concat(F.lit("BugType: "), F.translate(known("cause_bug_type"), "_", " ")),
              F.concat(F.lit("Subsystem: "), known("subsystem")),

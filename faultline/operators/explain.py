@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric as nf, text as tf
 from ..rules import texts as say
-from ..rules.knowledge import PATCH_REASONS
+from ..rules.knowledge import DISPLAY_WEIGHTS, PATCH_REASONS
 from . import crashes
 
 _C = F.col
@@ -73,8 +73,8 @@ def evidence_table(crash_df: DataFrame, best: DataFrame, key: str = "crash_id")
         F.when(_C("e.value").isNull(), F.lit("Unavailable")).otherwise(F.lit("Available")).alias("status"))
 
 
-def patch_comparison(df: DataFrame, top: int = 5) -> DataFrame:
-    """One row per query and dimension, one column per rank (Top1..TopN)."""
+def patch_comparison(df: DataFrame, top: int) -> DataFrame:
+    """One row per query and dimension, one column per rank (Top1..TopN, as many as the caller wants to see)."""
     dims = [(say.DIM_SUBSYSTEM, _C("subsystem")), (say.DIM_BUG_TYPE, _C("bug_type")),
             ("Embedding", F.format_number("vector_score", 3)), ("Rerank", F.format_number("reranker_score", 3)),
             (say.DIM_FIX, _C("fix_method")), (say.DIM_VERSION, F.coalesce("kernel_version", F.lit(""))),
@@ -141,3 +141,54 @@ def reports(crash_df: DataFrame, ranked: DataFrame, key: str = "query_id", top:
     body = F.struct(key, "panic_class", "severity", "subsystem", "root_cause", "bug_type", "causal_chain",
                     F.round("score", 4).alias("confidence"), _C("patches").alias("recommended_patches"))
     return df.withColumn("report_json", F.to_json(body)).withColumn("report_markdown", md)
+
+
+_DIMENSIONS = (("Embedding", "embedding"), ("Reranker", "reranker"), ("Expert Rule", "expert_rule"), ("Call Stack", "callstack_match"),
+               ("Subsystem", "subsystem_match"), ("Version", "version_match"), ("LLM Judge", "llm_judge"))
+
+
+def rule_explanation(crash_df: DataFrame, ranked: DataFrame, key: str = "query_id", top: int | None = None) -> DataFrame:
+    """Adds ``explanation``: a report from rules and scores alone, for when no model is there; one row per crash.
+
+    ``crash_df`` has the diagnosis and its evidence, ``ranked`` the patches with score breakdown and why-not columns. All patches of a crash are
+    listed, or the first ``top``; whole subjects. A crash without patches gets the report that says so.
+    """
+    num = F.format_number
+    scores = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(DISPLAY_WEIGHTS[c])).alias("weight"), _C(f"{c}_score").alias("score"),
+                                _C(f"{c}_contribution").alias("part")) for name, c in _DIMENSIONS])
+    patch = F.struct("rank", "commit_hash", "subject", "bug_type", "final_score", "rank_reason", "different_aspects", "ranking_reason",
+                     F.when(_C("rank") == 1, scores).alias("scores"))
+    patches = first_ranks(ranked, top).groupBy(key).agg(F.array_sort(F.collect_list(patch)).alias("_p"))  # at most the k of the search
+    df = crash_df.join(patches, key, "left")
+    first, second = F.get("_p", 0), F.get("_p", 1)
+    say_if = lambda c, *parts: F.when(c, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    lines = lambda *xs: F.concat_ws("\n", *xs)
+    there = F.size("call_trace") > 0
+    missing = F.array_join(F.array_compact(F.array(F.when(~there, F.lit("Call Trace")), F.when(F.coalesce("kernel_version", F.lit("")) == "", F.lit("Kernel Version")))), ", ")
+    yes = F.lit(True)
+    table = F.transform("_p", lambda p: F.concat(F.lit("| "), p["rank"].cast("string"), F.lit(" | "), num(p["final_score"], 3), F.lit(" | `"), p["commit_hash"],
+                                                 F.lit("` | "), p["subject"], F.lit(" |")))
+    parts = F.transform(first["scores"], lambda d: F.concat(F.lit("| "), d["name"], F.lit(" | "), num(d["weight"] * 100, 0), F.lit("% | "), num(d["score"], 3), F.lit(" | "),
+                                                            num(d["part"], 3), F.lit(" |")))
+    reasons = F.transform("_p", lambda p: lines(
+        F.concat(F.lit("**Top"), p["rank"].cast("string"), F.lit("** — "), p["subject"], F.lit("...")), F.concat(F.lit(say.RULES_MATCH), p["rank_reason"]),
+        F.when(F.size(p["different_aspects"]) > 0, F.concat(F.lit(say.RULES_DIFFERENCE), F.array_join(p["different_aspects"], "; "))),
+        F.concat(F.lit(say.RULES_PLACE), p["ranking_reason"]), F.lit("")))
+    gap = first["final_score"] - second["final_score"]
+    text = lines(
+        F.lit(say.RULES_HEAD), say_if(yes, say.RULES_CAUSE, _C("root_cause")), say_if(yes, say.RULES_SUBSYSTEM, _C("subsystem"), "`"),
+        say_if(yes, say.RULES_CONFIDENCE, num(_C("score") * 100, 0), "%"),
+        F.lit(say.RULES_EVIDENCE), say_if(_C("panic_keyword").isNotNull(), say.RULES_KEYWORD, _C("panic_keyword")), say_if(_C("fault_address").isNotNull(), say.RULES_ADDRESS, _C("fault_address"), "`"),
+        say_if(_C("rule_id").isNotNull(), say.RULES_RULE, _C("rule_id"), " — ", F.coalesce("matched_rule_name", F.lit(""))),
+        say_if(there, say.RULES_FUNCTIONS, F.array_join("call_trace", ", ")),
+        F.lit(say.RULES_PATCHES), F.array_join(table, "\n"),
+        F.lit(say.RULES_SCORES), F.array_join(parts, "\n"), say_if(yes, "| **Total** | — | — | **", num(first["final_score"], 3), "** |"),
+        F.lit(say.RULES_REASONS), F.array_join(reasons, "\n"),
+        say_if(missing != "", say.RULES_LIMITS, missing, say.RULES_LIMITS_END, missing, say.RULES_LIMITS_CLOSE),
+        say_if(yes, say.RULES_DECISION, first["commit_hash"], "` — *", first["subject"], "*"), say_if(yes, say.RULES_WHY, num(first["final_score"], 3), ")"),
+        say_if(yes, say.RULES_BY_RULE, F.coalesce("rule_id", F.lit("N/A"))), say_if(yes, say.RULES_KIND, first["bug_type"], say.RULES_KIND_MIDDLE, _C("root_cause"), say.RULES_KIND_END),
+        say_if(second.isNotNull() & (gap < 0.01), say.RULES_CLOSE_RACE, num(gap, 4), say.RULES_CLOSE_RACE_END),
+        say_if(second.isNotNull() & (gap >= 0.01), say.RULES_CLEAR, num(gap, 4), say.RULES_CLEAR_END),
+        F.lit(say.RULES_STEPS), say_if(missing != "", say.RULES_RISK, missing, say.RULES_RISK_END, missing, say.RULES_RISK_CLOSE), F.when(missing == "", F.lit(say.RULES_TRUST)),
+        F.lit(say.RULES_SCOPE))
+    return df.withColumn("explanation", F.when(F.size("_p") > 0, text).otherwise(F.lit(say.RULES_NONE))).drop("_p")

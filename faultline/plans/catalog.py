@@ -392,7 +392,7 @@ def _(spark, sf):
 
 @query("d16_fix_inference")
 def _(spark, sf):
-    return diagnosed(spark, sf).select("crash_id", *[f"needs_{k}" for k in ("lock", "refcount", "rcu", "null", "bound")],
+    return diagnosed(spark, sf).select("crash_id", "needs_lock_fix", "needs_refcount_fix", "needs_rcu_fix", "needs_null_check", "needs_bound_check",
                                        joined("search_keywords").alias("keywords"))
 
 
@@ -565,7 +565,7 @@ def _(spark, sf):
     for n in ("lock_functions", "memory_functions", "rcu_functions"):
         d = d.withColumn(n, F.array().cast("array<string>"))
     d = cx.confirm_fixes(cx.infer_fixes(d, "bug_type"))
-    return d.select("doc_id", "needs_lock", "needs_refcount", "needs_rcu", joined("search_keywords").alias("keywords"))
+    return d.select("doc_id", "needs_lock_fix", "needs_refcount_fix", "needs_rcu_fix", joined("search_keywords").alias("keywords"))
 
 
 @query("a8_usage")
@@ -771,7 +771,7 @@ def _(spark, sf):
 
 @query("x2_comparison")
 def _(spark, sf):
-    d = ex.patch_comparison(ex.patch_explanations(ranked(spark, sf)))
+    d = ex.patch_comparison(ex.patch_explanations(ranked(spark, sf)), 5)
     return d.select("query_id", big("ord").alias("ord"), "dimension", "top1", "top2", "top3", "top4", "top5")
 
 
@@ -784,6 +784,13 @@ def _(spark, sf):
                     F.get_json_object("report_json", "$.root_cause").alias("json_cause"), "report_markdown")
 
 
+@query("x6_rule_explanation")
+def _(spark, sf):
+    """All crashes, each with the ranked patches of the query of the same number."""
+    d = diagnosed(spark, sf).withColumn("query_id", _C("crash_id"))
+    return ex.rule_explanation(d, rk.score_breakdown(rk.why_not(ranked(spark, sf)))).select("crash_id", "explanation")
+
+
 @query("x3_evidence_summary")
 def _(spark, sf):
     return ex.evidence_summary(ex.patch_explanations(ranked(spark, sf)))

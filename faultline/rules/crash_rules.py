@@ -330,27 +330,27 @@ PANIC_HINTS = [
 ]
 UNKNOWN_CAUSE = ("Unknown Root Cause", "无法从可用特征中确定根因。建议人工检查 vmcore 和完整 dmesg。", 0.10)
 
-# bug type -> (flags among lock/refcount/rcu/null/bound, search keywords)
+# FIXED VALUES: bug type -> (flags, search keywords)
 FIX_HINTS = {
-    "deadlock": (["lock"], ["spin_lock", "mutex_lock", "lock order", "lockdep"]),
-    "race_condition": (["lock", "rcu"], ["spin_lock", "mutex_lock", "atomic", "synchronization", "rcu"]),
-    "use_after_free": (["refcount", "rcu"], ["kref", "refcount", "kfree_rcu", "synchronize_rcu"]),
-    "double_free": (["refcount"], ["kref_put", "refcount_dec", "NULL after free"]),
-    "null_pointer": (["null"], ["NULL check", "null check", "error handling"]),
-    "buffer_overflow": (["bound"], ["strscpy", "snprintf", "bounds check", "size check"]),
-    "out_of_bound": (["bound"], ["bounds check", "index check", "array size"]),
-    "memory_leak": (["refcount"], ["kfree", "memory leak", "free", "put"]),
-    "memory_corruption": (["lock", "refcount"], ["spin_lock", "mutex_lock", "refcount", "synchronization"]),
-    "hang": (["lock"], ["cond_resched", "schedule_timeout", "timeout", "spin_unlock"]),
-    "concurrency": (["lock"], ["spin_lock", "mutex_lock", "atomic", "cmpxchg"]),
-    "security": (["lock", "refcount", "bound"], ["CVE", "security", "privilege", "bounds"]),
+    "deadlock": (["needs_lock_fix"], ["spin_lock", "mutex_lock", "lock order", "lockdep"]),
+    "race_condition": (["needs_lock_fix", "needs_rcu_fix"], ["spin_lock", "mutex_lock", "atomic", "synchronization", "rcu"]),
+    "use_after_free": (["needs_refcount_fix", "needs_rcu_fix"], ["kref", "refcount", "kfree_rcu", "synchronize_rcu"]),
+    "double_free": (["needs_refcount_fix"], ["kref_put", "refcount_dec", "NULL after free"]),
+    "null_pointer": (["needs_null_check"], ["NULL check", "null check", "error handling"]),
+    "buffer_overflow": (["needs_bound_check"], ["strscpy", "snprintf", "bounds check", "size check"]),
+    "out_of_bound": (["needs_bound_check"], ["bounds check", "index check", "array size"]),
+    "memory_leak": (["needs_refcount_fix"], ["kfree", "memory leak", "free", "put"]),
+    "memory_corruption": (["needs_lock_fix", "needs_refcount_fix"], ["spin_lock", "mutex_lock", "refcount", "synchronization"]),
+    "hang": (["needs_lock_fix"], ["cond_resched", "schedule_timeout", "timeout", "spin_unlock"]),
+    "concurrency": (["needs_lock_fix"], ["spin_lock", "mutex_lock", "atomic", "cmpxchg"]),
+    "security": (["needs_lock_fix", "needs_refcount_fix", "needs_bound_check"], ["CVE", "security", "privilege", "bounds"]),
 }
 FIX_SENTENCES = [
-    ("lock", "adds spin_lock or mutex_lock synchronization"),
-    ("refcount", "adds refcount_inc/kref_get or fixes kref_put pairing"),
-    ("rcu", "adds kfree_rcu or synchronize_rcu protection"),
-    ("null", "adds NULL pointer check or error handling"),
-    ("bound", "adds boundary check or buffer size validation"),
+    ("needs_lock_fix", "adds spin_lock or mutex_lock synchronization"),
+    ("needs_refcount_fix", "adds refcount_inc/kref_get or fixes kref_put pairing"),
+    ("needs_rcu_fix", "adds kfree_rcu or synchronize_rcu protection"),
+    ("needs_null_check", "adds NULL pointer check or error handling"),
+    ("needs_bound_check", "adds boundary check or buffer size validation"),
 ]
 
 # Evidence: (label, case-insensitive patterns), first match.

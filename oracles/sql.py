@@ -9,7 +9,7 @@ import re
 
 from faultline.functions.text import normalize_bug_label
 from faultline.plans import catalog as cat, views as vw
-from faultline.rules import commit_rules as cr, crash_rules as kr, knowledge as kn, taxonomy as tx
+from faultline.rules import texts as say, commit_rules as cr, crash_rules as kr, knowledge as kn, taxonomy as tx
 
 W = r"\p{L}\p{N}_"
 Q = vw.quote
@@ -403,15 +403,15 @@ cte("rc", "rc2 g16c", """SELECT *, ch || CASE WHEN subsystem <> 'unknown' AND le
 _svl = "CASE WHEN score >= 0.85 THEN 'CRITICAL' WHEN score >= 0.70 THEN 'HIGH' WHEN score >= 0.50 THEN 'MEDIUM' WHEN score >= 0.30 THEN 'LOW' ELSE 'UNCERTAIN' END"
 oracle("d21_root_cause", "rc", f"SELECT crash_id, root_cause, nb AS bug_type, round(score, 4) AS score, reason, subsystem, array_to_string(chain, '|') AS chain, {_svl} AS severity FROM rc")
 _flag = lambda k: f"cbug IN {one_of([b for b, (f, _) in kr.FIX_HINTS.items() if k in f])}"
-cte("fx", "rc", f"""SELECT *, {_flag('lock')} OR len(lf) > 0 AS needs_lock, {_flag('refcount')} OR contains(array_to_string(mf, '|'), 'kfree') AS needs_refcount, {_flag('rcu')} OR len(rf) > 0 AS needs_rcu,
-    {_flag('null')} OR contains(lower(panic_msg), 'null pointer') AS needs_null, {_flag('bound')} OR regexp_matches(lower(panic_msg), 'out of bound|overflow') AS needs_bound,
+cte("fx", "rc", f"""SELECT *, {_flag('needs_lock_fix')} OR len(lf) > 0 AS needs_lock_fix, {_flag('needs_refcount_fix')} OR contains(array_to_string(mf, '|'), 'kfree') AS needs_refcount_fix, {_flag('needs_rcu_fix')} OR len(rf) > 0 AS needs_rcu_fix,
+    {_flag('needs_null_check')} OR contains(lower(panic_msg), 'null pointer') AS needs_null_check, {_flag('needs_bound_check')} OR regexp_matches(lower(panic_msg), 'out of bound|overflow') AS needs_bound_check,
     kw || CASE WHEN len(rf) > 0 AND NOT contains(array_to_string(kw, '|'), 'rcu') THEN ['kfree_rcu'] ELSE [] END AS kws FROM (SELECT *, base || CASE WHEN len(lf) > 0 AND NOT contains(array_to_string(base, '|'), 'spin_lock') THEN ['spin_lock', 'mutex_lock'] ELSE [] END AS kw
       FROM (SELECT *, {case('cbug', {b: k for b, (_, k) in kr.FIX_HINTS.items()}, '[]')} AS base FROM rc))""")
-oracle("d16_fix_inference", "fx", "SELECT crash_id, needs_lock, needs_refcount, needs_rcu, needs_null, needs_bound, array_to_string(list_sort(list_distinct(kws)), '|') AS keywords FROM fx")
+oracle("d16_fix_inference", "fx", "SELECT crash_id, needs_lock_fix, needs_refcount_fix, needs_rcu_fix, needs_null_check, needs_bound_check, array_to_string(list_sort(list_distinct(kws)), '|') AS keywords FROM fx")
 cte("keyf", "fx fname", """SELECT crash_id, string_agg(f, ', ' ORDER BY o) AS keyf FROM (SELECT crash_id, f, min(o) AS o FROM (
     SELECT crash_id, n AS f, r AS o FROM fname UNION ALL SELECT crash_id, unnest(lf), 1000000 + generate_subscripts(lf, 1) FROM fx
     UNION ALL SELECT crash_id, unnest(mf), 2000000 + generate_subscripts(mf, 1) FROM fx UNION ALL SELECT crash_id, unnest(rf), 3000000 + generate_subscripts(rf, 1) FROM fx) GROUP BY crash_id, f) GROUP BY crash_id""")
-_fixs = "concat_ws('; ', " + ", ".join(f"CASE WHEN needs_{k} THEN {v(s)} END" for k, s in kr.FIX_SENTENCES) + ")"
+_fixs = "concat_ws('; ', " + ", ".join(f"CASE WHEN {k} THEN {v(s)} END" for k, s in kr.FIX_SENTENCES) + ")"
 cte("rq", "fx keyf", f"""SELECT fx.*, concat_ws(chr(10), 'RootCause: ' || root_cause, CASE WHEN cbug <> 'unknown' THEN 'BugType: ' || replace(cbug, '_', ' ') END, CASE WHEN subsystem <> 'unknown' THEN 'Subsystem: ' || subsystem END,
     CASE WHEN kernel_version <> '' THEN 'KernelVersion: ' || kernel_version END, CASE WHEN panic_msg <> '' THEN 'PanicInfo: ' || panic_msg END, 'KeyFunctions: ' || keyf, CASE WHEN rip <> '' THEN 'CrashFunction: ' || rip END,
     CASE WHEN {_fixs} <> '' THEN 'FixPattern: commit that ' || {_fixs} END, CASE WHEN len(chain) > 0 THEN 'CausalChain: ' || array_to_string(chain, ' -> ') END) AS retrieval_query FROM fx LEFT JOIN keyf USING (crash_id)""")
@@ -471,10 +471,10 @@ oracle("r4_postfilter", "rk vi", "SELECT query_id, id, bug_type, round(s, 6) AS
 oracle("r11_recall_stats", "rk", "SELECT query_id, count(*) AS hit_count, round(avg(s), 5) AS avg_distance FROM rk WHERE rank <= 100 GROUP BY query_id")
 oracle("r11_recall_counts", "rk vi", """SELECT query_id, facet, value, n, row_number() OVER (PARTITION BY query_id, facet ORDER BY n DESC, value) AS place FROM (SELECT query_id, 'subsystem' AS facet, subsystem AS value, count(*) AS n FROM rk JOIN vi USING (id)
     WHERE rank <= 100 GROUP BY ALL UNION ALL SELECT query_id, 'bug_type', bug_type, count(*) FROM rk JOIN vi USING (id) WHERE rank <= 100 GROUP BY ALL)""")
-oracle("p28_confirmed_fixes", "an", f"""SELECT doc_id, lk OR lock_added AS needs_lock, rf OR refcount_fix AS needs_refcount, rc OR rcu_fix AS needs_rcu, array_to_string(list_sort(list_distinct(base
+oracle("p28_confirmed_fixes", "an", f"""SELECT doc_id, lk OR lock_added AS needs_lock_fix, rf OR refcount_fix AS needs_refcount_fix, rc OR rcu_fix AS needs_rcu_fix, array_to_string(list_sort(list_distinct(base
     || CASE WHEN lock_added THEN ['spin_lock', 'mutex_lock', 'lock_irqsave'] ELSE [] END || CASE WHEN refcount_fix THEN ['kref_get', 'kref_put', 'refcount_inc', 'refcount_dec'] ELSE [] END
     || CASE WHEN rcu_fix THEN ['kfree_rcu', 'synchronize_rcu', 'rcu_read_lock', 'rcu_read_unlock'] ELSE [] END)), '|') AS keywords FROM (SELECT *, {case('bug_type', {b: k for b, (_, k) in kr.FIX_HINTS.items()}, '[]')} AS base,
-      {', '.join(f"bug_type IN {one_of([b for b, (f, _) in kr.FIX_HINTS.items() if k in f])} AS {n}" for k, n in (('lock', 'lk'), ('refcount', 'rf'), ('rcu', 'rc')))} FROM an)""")
+      {', '.join(f"bug_type IN {one_of([b for b, (f, _) in kr.FIX_HINTS.items() if k in f])} AS {n}" for k, n in (('needs_lock_fix', 'lk'), ('needs_refcount_fix', 'rf'), ('needs_rcu_fix', 'rc')))} FROM an)""")
 oracle("a8_usage", "", """SELECT coalesce(role, 'unknown') AS role, count(*) AS calls, sum(length(coalesce(text, '')))::BIGINT AS characters,
     sum(len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')))::BIGINT AS words FROM conversations GROUP BY 1""")
 oracle("u11_flatten", "", "SELECT doc_id, lang AS meta_lang, source AS meta_of_source, n_chars AS meta_of_n_chars FROM documents")
@@ -689,6 +689,24 @@ oracle("k6_extended_reason", "bd", f"""SELECT query_id, rank::BIGINT AS rank, id
     CASE WHEN {_vm} >= 1.0 THEN '版本兼容' WHEN {_vm} < 0.8 THEN '版本兼容性偏低' END, CASE WHEN er >= 0.85 THEN '专家规则高度匹配' END) AS reason_extended FROM bd""")
 
 
+_say = {k: v(x) for k, x in vars(say).items() if k.startswith("RULES_")}
+_miss = "concat_ws(', ', CASE WHEN len(tr) = 0 THEN 'Call Trace' END, CASE WHEN coalesce(kernel_version, '') = '' THEN 'Kernel Version' END)"
+_dimrows = " || chr(10) || ".join(f"'| {n} | {w} | ' || {_num(x, 3)} || ' | ' || {_num(f'round({x} * {f}, 4)', 3)} || ' |'" for n, w, f, x in (
+    ("Embedding", "15%", 0.15, "round(vs, 4)"), ("Reranker", "25%", 0.25, "round(rer, 4)"), ("Expert Rule", "15%", 0.15, "round(er, 4)"), ("Call Stack", "10%", 0.10, "round(cs, 4)"),
+    ("Subsystem", "10%", 0.10, "round(ss, 4)"), ("Version", "10%", 0.10, f"round({_vm}, 4)"), ("LLM Judge", "15%", 0.15, "0.5")))
+oracle("x6_rule_explanation", "rc ev2 ranked bd", f"""SELECT rc.crash_id, CASE WHEN n IS NULL THEN {_say['RULES_NONE']} ELSE concat_ws(chr(10), {_say['RULES_HEAD']}, {_say['RULES_CAUSE']} || rc.root_cause, {_say['RULES_SUBSYSTEM']} || rc.subsystem || '`',
+    {_say['RULES_CONFIDENCE']} || {_num('rc.score * 100', 0)} || '%', {_say['RULES_EVIDENCE']}, {_say['RULES_KEYWORD']} || panic_keyword, {_say['RULES_ADDRESS']} || fa || '`', {_say['RULES_RULE']} || rc.rule_id || ' — ' || coalesce({_rule(1)}, ''),
+    CASE WHEN len(tr) > 0 THEN {_say['RULES_FUNCTIONS']} || array_to_string(tr, ', ') END, {_say['RULES_PATCHES']}, rows_, {_say['RULES_SCORES']}, dims, '| **Total** | — | — | **' || {_num('f1', 3)} || '** |', {_say['RULES_REASONS']}, why,
+    CASE WHEN {_miss} <> '' THEN {_say['RULES_LIMITS']} || {_miss} || {_say['RULES_LIMITS_END']} || {_miss} || {_say['RULES_LIMITS_CLOSE']} END, {_say['RULES_DECISION']} || h1 || '` — *' || s1 || '*', {_say['RULES_WHY']} || {_num('f1', 3)} || ')',
+    {_say['RULES_BY_RULE']} || coalesce(rc.rule_id, 'N/A'), {_say['RULES_KIND']} || b1 || {_say['RULES_KIND_MIDDLE']} || rc.root_cause || {_say['RULES_KIND_END']},
+    CASE WHEN f1 - f2 < 0.01 THEN {_say['RULES_CLOSE_RACE']} || {_num('f1 - f2', 4)} || {_say['RULES_CLOSE_RACE_END']} WHEN f1 - f2 >= 0.01 THEN {_say['RULES_CLEAR']} || {_num('f1 - f2', 4)} || {_say['RULES_CLEAR_END']} END, {_say['RULES_STEPS']},
+    CASE WHEN {_miss} <> '' THEN {_say['RULES_RISK']} || {_miss} || {_say['RULES_RISK_END']} || {_miss} || {_say['RULES_RISK_CLOSE']} ELSE {_say['RULES_TRUST']} END, {_say['RULES_SCOPE']}) END AS explanation
+    FROM rc JOIN (SELECT crash_id, panic_keyword, fa FROM ev2) e USING (crash_id) LEFT JOIN (SELECT query_id, count(*) AS n, string_agg('| ' || rank || ' | ' || {_num('fin', 3)} || ' | `' || commit_hash || '` | ' || subject || ' |', chr(10) ORDER BY rank) AS rows_,
+      string_agg(concat_ws(chr(10), '**Top' || rank || '** — ' || subject || '...', {_say['RULES_MATCH']} || rank_reason, {_say['RULES_DIFFERENCE']} || replace(nullif(different, ''), '|', '; '), {_say['RULES_PLACE']} || ranking_reason, ''), chr(10) ORDER BY rank) AS why,
+      max(fin) FILTER (rank = 1) AS f1, max(fin) FILTER (rank = 2) AS f2, max(commit_hash) FILTER (rank = 1) AS h1, max(subject) FILTER (rank = 1) AS s1, max(bug_type) FILTER (rank = 1) AS b1, max({_dimrows}) FILTER (rank = 1) AS dims
+      FROM bd JOIN (SELECT query_id, rank, different, ranking_reason FROM ({_SQL['k13_why_not'][1]})) w USING (query_id, rank) JOIN (SELECT query_id, rank, rank_reason FROM ({_SQL['k15_standard'][1]})) k USING (query_id, rank) GROUP BY query_id) p ON p.query_id = rc.crash_id""")
+
+
 def _build(deps: list[str], sql: str) -> str:
     order: list[str] = []
 
