@@ -70,7 +70,7 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-HOT_ROWS = 1_000
+HOT_ROWS = 20_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
