@@ -1,7 +1,7 @@
 """Facets, statistics, paging, dense numbering, top-n per group and score normalisers.
 
 Group sizes are not assumed to be even: counts aggregate map-side, per-group top-n works on
-salted sub-groups first, and numbering uses fixed-width key buckets.
+salted sub-groups first, and numbering, deep pages and running counts work in ranges of equal row counts.
 """
 
 from __future__ import annotations
@@ -52,18 +52,24 @@ def stratified_sample(df: DataFrame, max_count: int, group: str, newest: Column,
     return picked.orderBy(F.desc(group), F.asc("rank")).limit(max_count).drop("_newest")
 
 
-def dense_number(df: DataFrame, key: str, out: str = "row_no") -> DataFrame:
-    """Consecutive 0-based numbers in the order of a unique ``key``.
+def _ranges(df: DataFrame, order: list[Column], weight: Column) -> tuple[DataFrame, DataFrame]:
+    """``df`` cut into ranges of ``order`` with _p, the range; and _p, _w, _off: the weight of each range and of all before it.
 
-    Rows are cut into ranges of about equal row counts, numbered inside their range and shifted by the counts of earlier
-    ranges; there are as many ranges as shuffle partitions, however sparse the keys are.  The ranged rows are written
-    first, so both steps see the same ranges.
+    Ranges have about equal row counts and there are as many as shuffle partitions, however uneven the keys are.  The
+    ranged rows are written first, so all later steps see the same ranges.
     """
-    ranged = cut(df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
+    sums = ranged.groupBy("_p").agg(F.sum(weight).alias("_w"))
+    return ranged, cut(sums.withColumn("_off", F.coalesce(F.sum("_w").over(before), F.lit(0))))
+
+
+def dense_number(df: DataFrame, key: str, out: str = "row_no") -> DataFrame:
+    """Consecutive 0-based numbers in the order of a unique ``key``: rows are numbered inside their range and shifted by
+    the counts of earlier ranges."""
+    ranged, offsets = _ranges(df, [_C(key)], F.lit(1))
     inner = Window.partitionBy("_p").orderBy(key)
-    return (ranged.join(cut(offsets), "_p").withColumn(out, _C("_off") + F.row_number().over(inner) - 1).drop("_p", "_off"))
+    return ranged.join(offsets.drop("_w"), "_p").withColumn(out, _C("_off") + F.row_number().over(inner) - 1).drop("_p", "_off")
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -80,9 +86,19 @@ def even_chunks(df: DataFrame, key: str, n_chunks: int) -> DataFrame:
     return dense_number(df, key, "_no").withColumn("chunk_no", chunk).drop("_no")
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 1) of an ordered result."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+def page(df: DataFrame, order: list[Column], number: int, size: int, gather: int = 10_000) -> DataFrame:
+    """Page ``number`` (from 1) of an ordered result.
+
+    A page within the first ``gather`` rows is a top-k.  A deeper one would bring all rows before it to one task; there the
+    rows are cut into ranges of the order, and only the ranges that hold the page are read and sorted.
+    """
+    first, last = (number - 1) * size, number * size
+    if last <= gather:
+        return df.orderBy(*order).offset(first).limit(size)
+    ranged, offsets = _ranges(df, order, F.lit(1))
+    held = offsets.where((_C("_off") < last) & (_C("_off") + _C("_w") > first)).orderBy("_p").collect()
+    skipped = held[0]["_off"] if held else 0
+    return ranged.where(_C("_p").isin([r["_p"] for r in held])).orderBy(*order).offset(first - skipped if held else 0).limit(size).drop("_p")
 
 
 def min_max(df: DataFrame, group: list[str], value: str, out: str = "normalized") -> DataFrame:
@@ -102,17 +118,24 @@ def softmax(df: DataFrame, group: list[str], value: str, out: str = "probability
 
 
 def attempts_in_window(df: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """Requests of the same key in (ts - seconds, ts], this one included.
+    """Requests of the same key in (ts - seconds, ts], this one included; rows without ts are left out, null keys are one key.
 
-    Each row also visits the next time bucket, so windows run on (key, bucket) pieces that hold
-    two windows of traffic; a busy key is cut along time.
+    A window's count is the difference of two running counts.  Rows of one key and time are counted map-side; both ends of
+    each window are marks in one order of (key, time), cut into ranges of equal row counts, so a busy key, or a busy hour of
+    it, spans as many ranges as it needs.  Counts run within a range and are shifted by those of all ranges before.
     """
-    us = F.unix_micros(_C(ts).cast("timestamp"))
     span = seconds * 1_000_000
-    own = F.floor(us / span)
-    rows = df.withColumn("_us", us).withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-(span - 1), 0)
-    return rows.withColumn("attempts", F.count("*").over(w)).where("_bucket = _own").drop("_us", "_own", "_bucket")
+    rows = df.withColumn("_us", F.unix_micros(_C(ts).cast("timestamp"))).where(_C("_us").isNotNull())
+    times = rows.groupBy(_C(key).alias("_key"), "_us").agg(F.count("*").alias("_n"))
+    mark = lambda at, late, n, sign: F.struct(at.alias("at"), F.lit(late).alias("late"), n.alias("n"), F.lit(sign).alias("sign"))
+    ends = F.explode(F.array(mark(_C("_us"), 0, _C("_n"), 1), mark(_C("_us") - span, 1, F.lit(0).cast("bigint"), -1)))
+    marks = times.select("_key", "_us", ends.alias("_m")).select("_key", "_us", "_m.*")
+    order = [_C("_key"), _C("at"), _C("late")]  # a window's open end follows the rows of its time
+    ranged, offsets = _ranges(marks, order, _C("n"))
+    running = F.sum("n").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = ranged.join(offsets.drop("_w"), "_p").withColumn("_count", _C("sign") * (running + _C("_off")))
+    found = counted.groupBy("_key", _C("_us").alias("_at")).agg(F.sum("_count").alias("attempts"))
+    return (rows.join(found, _C(key).eqNullSafe(_C("_key")) & (_C("_us") == _C("_at"))).drop("_us", "_key", "_at"))
 
 
 def newest_per_store(df: DataFrame, cap: int, created: str, tie: str) -> DataFrame:

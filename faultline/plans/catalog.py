@@ -744,14 +744,14 @@ def _(spark, sf):
 
 @query("k3_judge_answers")
 def _(spark, sf):
-    """One judge answer per conversation turn over five candidates."""
-    d = vw.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(JUDGE.replace("{{", "{").replace("}}", "}")).alias("answer"))
+    """One judge answer per conversation turn over five candidates; the turn's whole text is the reason given."""
+    d = vw.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(JUDGE).alias("answer"))
     return rk.parse_judge(d, "answer", 5).select("conv_id", "turn", big("index").alias("index"), "judge_score", "judge_reason")
 
 
-JUDGE = ("CASE (conv_id + turn) % 3 WHEN 0 THEN concat('Scores: [{\"index\": ', CAST(conv_id % 5 AS STRING), "
-         "', \"score\": 0.75, \"reason\": \"same file\"}, {\"index\": 9, \"score\": 1.0}] end') "
-         "WHEN 1 THEN '[]' ELSE 'sorry, no scores' END")
+JUDGE = (f"CASE (conv_id + turn) % 3 WHEN 0 THEN concat('Scores: [{{\"index\": ', CAST(conv_id % 5 AS STRING), "
+         f"', \"score\": 0.75, \"reason\": \"', {vw.QUOTED}, '\"}}, {{\"index\": 9, \"score\": 1.0}}] end') "
+         "WHEN 1 THEN '[]' ELSE concat('sorry, no scores: ', replace(coalesce(text, ''), '[', '(')) END")
 
 
 @query("a6_normalizers")
@@ -833,6 +833,13 @@ def _(spark, sf):
     return d.select("doc_id", "score", "subsystem")
 
 
+@query("k19_deep_page")
+def _(spark, sf):
+    """Page 30 of all orders by price, from the ranges that hold it."""
+    d = ag.page(vw.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 30, 25, gather=100)
+    return d.select("o_orderkey", "o_totalprice")
+
+
 @query("s19_index_stats")
 def _(spark, sf):
     return ix.index_stats(vector_index(spark, sf))

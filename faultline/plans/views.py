@@ -2,7 +2,8 @@
 
 The given documents carry no kernel vocabulary, so each document row becomes one
 commit (subject, trailers, diff and files follow from ``doc_id``; the whole
-document text is the commit body) and each event row becomes one crash log.
+document text is the commit body) and each event row becomes one crash log, which
+opens with a console line of the event's user, type and properties.
 Every column is an expression both Spark SQL and ANSI engines read the same
 way; ``{arr}`` stands for the array constructor.
 """
@@ -192,14 +193,15 @@ COMMIT_COLUMNS = [
 CRASH_COLUMNS = [
     ("crash_id", "event_id"),
     ("name", "concat('log-', CAST(event_id AS STRING))"),
-    ("content", "replace(replace(replace(replace("
+    ("content", "concat('session-', coalesce(CAST(user_id AS STRING), ''), ': ', coalesce(event_type, ''), ' ', coalesce(props, ''), chr(10), "
+                "replace(replace(replace(replace("
                 + pick("event_id % 16", LOGS)
                 + f", '{{ver}}', {pick('(event_id * 5) % 9', VERSIONS)})"
                 + f", '{{fn2}}', {pick('(event_id * 3 + 1) % 11', LOG_FUNCTIONS)})"
                 + f", '{{fn}}', {pick(_div('event_id', 16) + ' % 11', LOG_FUNCTIONS)})"
                 + ", '{addr}', "
                 + pick("event_id % 4", ["0000000000000028", "ffff8881045a3c00", "dead000000000122",
-                                        "0000000000000000"]) + ")"),
+                                        "0000000000000000"]) + "))"),
 ]
 
 # Memory-dump features arrive pre-extracted, one row per order.
@@ -216,6 +218,8 @@ DUMP_COLUMNS = [
 
 # Model answers, one per conversation turn; the turn's whole text is quoted inside.
 _SAFE = "replace(replace(replace(text, '\"', ' '), chr(92), ' '), chr(10), ' ')"
+# A turn's text as the content of a JSON string.
+QUOTED = "replace(replace(replace(replace(replace(coalesce(text, ''), '\"', ' '), chr(92), ' '), chr(10), ' '), chr(9), ' '), chr(13), ' ')"
 _OBJ = ("concat('{\"subsystem\": \"', " + pick("conv_id % 4", ["net", "mm", "warp", "unknown"])
         + ", '\", \"bug_type\": \"', " + pick("turn % 3", ["deadlock", "gremlin", "use_after_free"])
         + ", '\", \"severity\": \"', " + pick("(conv_id + turn) % 3", ["high", "HIGH", "low"])

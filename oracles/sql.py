@@ -581,8 +581,8 @@ oracle("k13_why_not", "ranked", f"""SELECT query_id, rank::BIGINT AS rank, CASE
     FROM (SELECT *, first_value(bug_type) OVER x AS b1, first_value(subsystem) OVER x AS s1, first_value(vs) OVER x AS v1, first_value(rer) OVER x AS r1, first_value(w) OVER x AS w1, first_value(fin) OVER x AS f1 FROM ranked WINDOW x AS (PARTITION BY query_id ORDER BY rank)))""")
 oracle("k15_deep", "rr", """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, ord)::BIGINT AS rank, id, j AS judge_score, CASE WHEN ord - 1 = query_id % 3 THEN 'same lock' WHEN ord = 5 THEN '' WHEN ord = 62 THEN 'far' ELSE 'Not found in response' END AS judge_reason, fin::DOUBLE AS final_score
     FROM (SELECT *, round(greatest(0, least(1, 0.2 * greatest(0, least(1, vs0)) + 0.4 * coalesce(rer, 0.5) + 0.4 * j)), 12) AS fin FROM (SELECT *, CASE WHEN ord - 1 = query_id % 3 THEN 0.9 WHEN ord = 5 THEN 0.1 WHEN ord = 62 THEN 0.8 ELSE 0.5 END::DOUBLE AS j FROM rr))""")
-oracle("k3_judge_answers", "", """SELECT conv_id, turn, i::BIGINT AS index, CASE WHEN z = 0 AND i = conv_id % 5 THEN 0.75 ELSE 0.5 END::DOUBLE AS judge_score, CASE WHEN z = 2 THEN 'Parse failed' WHEN z = 0 AND i = conv_id % 5 THEN 'same file' ELSE 'Not found in response' END AS judge_reason
-    FROM (SELECT conv_id, turn, (conv_id + turn) % 3 AS z, unnest(range(5)) AS i FROM conversations)""")
+oracle("k3_judge_answers", "", f"""SELECT conv_id, turn, i::BIGINT AS index, CASE WHEN z = 0 AND i = conv_id % 5 THEN 0.75 ELSE 0.5 END::DOUBLE AS judge_score, CASE WHEN z = 2 THEN 'Parse failed' WHEN z = 0 AND i = conv_id % 5 THEN said ELSE 'Not found in response' END AS judge_reason
+    FROM (SELECT conv_id, turn, {vw.QUOTED} AS said, (conv_id + turn) % 3 AS z, unnest(range(5)) AS i FROM conversations)""")
 oracle("a6_normalizers", "", """SELECT event_id, round(nv, 6) AS normalized, round(1000 * exp(nv - mx) / sum(exp(nv - mx)) OVER (PARTITION BY event_type), 6) AS permille FROM (SELECT *, max(nv) OVER (PARTITION BY event_type) AS mx FROM (
     SELECT event_id, event_type, CASE WHEN hi = lo THEN 0.5 ELSE (value - lo) / (hi - lo) END AS nv FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events)))""")
 cte("x1", "ranked", """SELECT *, CASE WHEN coalesce(functions[1], '') <> '' THEN functions[1] WHEN instr(subject, ':') > 0 THEN regexp_extract(subject, '(\\w+)\\s*\\(\\)', 1) ELSE '' END AS ft,
@@ -661,6 +661,7 @@ oracle("k18_diagnose", "rq qs qrank", """SELECT crash_id, rank::BIGINT AS rank,
 
 # --- aggregation, paging, maintenance -----------------------------------------------------------
 
+oracle("k19_deep_page", "", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 725")
 oracle("k19_page", "an", "SELECT doc_id, score, subsystem FROM an ORDER BY score DESC, doc_id LIMIT 20 OFFSET 40")
 oracle("s19_index_stats", "vi", "SELECT count(*) AS rows, count(vec) AS vectors, count(DISTINCT commit_hash) AS hashes, min(date) AS first_date, max(date) AS last_date FROM vi")
 oracle("s22_stratified", "an", """SELECT doc_id, ver, r::BIGINT AS rank FROM (SELECT doc_id, ver, row_number() OVER (PARTITION BY ver ORDER BY coalesce(committer_date, date) DESC, doc_id) AS r, (SELECT count(DISTINCT coalesce(concat(kmajor, '.', kminor), '0.0')) FROM an) AS g

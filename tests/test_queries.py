@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = ["p2_fix_tags", "p3_functions", "p9_bug_type", "p16_score", "p23_root_cause", "p24_embedding_text", "v1_resolve_version", "u1_text_scalars",
            "d2_trace_bounds", "d6_panic_info", "d18_expert_rule", "d21_root_cause", "d17_retrieval_query", "d26_hybrid", "d28_fuse_dump_and_log",
            "g14_lock_usage", "r10_batch_topk", "r12_similar_commits", "f1_dedupe", "f6_filter_chain", "k15_standard", "k13_why_not", "k18_diagnose",
-           "x1_patch_explain", "s22_stratified", "st4_attempts", "r3_auto_index", "g15_lock_context", "g4_closure", "d16_fix_inference"]
+           "x1_patch_explain", "s22_stratified", "st4_attempts", "r3_auto_index", "g15_lock_context", "g4_closure", "d16_fix_inference", "k3_judge_answers", "k19_deep_page"]
 
 
 @pytest.fixture(scope="module")

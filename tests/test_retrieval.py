@@ -65,3 +65,25 @@ def test_numbering_chunks_and_top_n(spark):
     g = spark.range(500).select("id", F.when(F.col("id") < 400, "hot").otherwise("cold").alias("g"))
     top = ag.top_n_per_group(g, ["g"], [F.desc("id")], 3, "id", salts=8)
     assert {(r.g, r.id) for r in top.collect()} == {("hot", 399), ("hot", 398), ("hot", 397), ("cold", 499), ("cold", 498), ("cold", 497)}
+
+
+def test_deep_pages_read_their_ranges_only(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("score")).repartition(8)
+    order = [F.desc("score"), F.asc("id")]
+    want = sorted(((r.id, r.score) for r in df.collect()), key=lambda r: (-r[1], r[0]))
+    for number, size in [(1, 40), (4, 40), (63, 40), (125, 40), (126, 40), (2, 4999), (1, 6000)]:
+        got = ag.page(df, order, number, size, gather=10)
+        assert [(r.id, r.score) for r in got.collect()] == want[(number - 1) * size:number * size], (number, size)
+        assert got.columns == ["id", "score"]
+    assert ag.page(df.limit(0), order, 2, 10, gather=1).count() == 0
+
+
+def test_attempts_with_a_busy_key_ties_and_nulls(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 50 == 0 else "busy" if i % 3 else str(i % 11), None if i % 97 == 0 else float(t) / 4) for i, t in enumerate(rng.integers(0, 2000, 1500))]
+    df = spark.createDataFrame(rows, "id long, user string, at double").withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    got = {r.id: r.attempts for r in ag.attempts_in_window(df, "user", "ts", 30).collect()}
+    want = {i: sum(u == v and b is not None and t - 30 < b <= t for _, v, b in rows) for i, u, t in rows if t is not None}
+    assert got == want
+    assert ag.attempts_in_window(df, "user", "ts", 30).columns == [*df.columns, "attempts"]
+    assert ag.attempts_in_window(df.limit(0), "user", "ts", 30).count() == 0
