@@ -40,6 +40,18 @@ TEMPLATES = {
                       "copyright notice and this permission notice appear in all copies.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
                       "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-version": "either version 2 of the License, or (at your option) any later version.",
+    "LGPL-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+                      "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+                      "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+                      "in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+                    "this software without specific prior written permission.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+               "You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public "
+               "domain worldwide. This software is distributed without any warranty.",
 }
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 AROUND = 32
+BLOCK = 64  # appending copies an array: spans are built in blocks, so that a text with very many of them copies few
 SPAN = "struct<start:int,ord:int,kind:string,stop:int,piece:string,before:string,after:string>"
 
 
@@ -30,8 +31,24 @@ def matches(text: Column, kind: str, ord_: int, pattern: str, gate: Column) -> C
                         x["piece"].alias("piece"), F.right(x["gap"], F.lit(AROUND)).alias("before"), F.left(x["next"], F.lit(AROUND)).alias("after"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(F.filter(rows, lambda x: x["piece"].isNotNull()), F.struct(F.lit(0).alias("at"), none().alias("out")), step, lambda acc: acc["out"])
-    return F.when(gate, found).otherwise(none())
+    def spans_of(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), none().alias("out")), step, lambda acc: acc["out"])
+
+    def width(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, x: n + F.char_length(x["gap"]) + F.char_length(x["piece"]))
+
+    def shift(acc: Column, block: Column) -> Column:
+        return F.struct((acc["at"] + width(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def of_blocks(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), shift, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, spans_of))
+
+    def of_rows(rows: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(rows) / BLOCK).cast("int") - 1, F.lit(0))
+        return let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK))), of_blocks)
+
+    return F.when(gate, let(F.filter(rows, lambda x: x["piece"].isNotNull()), of_rows)).otherwise(none())
 
 
 def listed(spans: Column) -> Column:

@@ -43,6 +43,7 @@ def texts():
     out = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for i in range(800)]
     out += [(801, None), (802, ""), (803, "9" * 30000), (804, "1-" * 20000), (805, "a" * 50000), (806, "a.b@" + "c." * 20000 + "d"), (807, "1." * 2001),
             (808, "+1" + " 2" * 20000), (809, "f" * 40000), (None, "x@y.z"), (5, "x@y.z"), (5, "x@y.z")]
+    out += [(810 + n, "é x@y.z +1 555 123 4567 1.2.3.4 token=abcdefgh " * n) for n in (63, 64, 65, 128, 3000)]  # spans are built in blocks of 64
     return out + duckdb.sql(f"select doc_id + 10000, text from '{SF}/documents.parquet'").fetchall()
 
 
@@ -132,3 +133,23 @@ def test_licenses_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1:] == want[k][1:] for k in want)
     assert licenses.retrieval_chance(0.8 / 1.45) > 0.9999
     assert licenses.scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_licenses_as_files_word_them(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+           "and/or other materials provided with the distribution.\n")
+    third = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+             "without specific prior written permission.\n")
+    gnu = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = [(1, bsd), (2, bsd + third), (3, "This program is free software; you can redistribute it and/or modify " + gnu.format("", "2")),
+            (4, "This library is free software; you can redistribute it and/or modify " + gnu.format("Lesser ", "2.1")),
+            (5, "The terms of the license, any later version of the software, and its documentation are distributed to the public domain worldwide.")]
+    best = {}
+    for r in licenses.scan(frame(spark, rows)).collect():
+        best.setdefault(r.doc_id, {})[r.license] = round(r.containment, 2)
+    assert set(best[1]) == {"BSD-conditions"} and set(best[2]) == {"BSD-conditions", "BSD-3-Clause"}
+    assert best[3]["GPL-2.0-version"] == 1.0 and best[3].get("GPL-3.0-notice", 0) < 1  # the two notices differ in one word
+    assert best[4]["LGPL-notice"] == 1.0 and "GPL-2.0-version" not in best[4]
+    assert 5 not in best
