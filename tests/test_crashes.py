@@ -76,3 +76,23 @@ def test_graph_paths(spark):
             ("mm/slab.c", "mm"), ("net/ipv4/tcp.c", "net")]
     df = spark.createDataFrame(rows, "p string, want string")
     assert all(r.got == r.want for r in df.select(graph.subsystem_of_path(F.col("p")).alias("got"), "want").collect())
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from faultline.plans import stage
+    n = 5 * stage.ROWS_PER_TASK
+    pq.write_table(pa.table({"event_id": list(range(n))}), f"{tmp_path}/one.parquet", row_group_size=n)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = spark.read.parquet(f"{tmp_path}/one.parquet")
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = stage.spread(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == n and max(sizes) <= 2 * stage.ROWS_PER_TASK
+        assert stage.spread(df).distinct().count() == n
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
