@@ -96,3 +96,22 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     finally:
         for c, v in kept.items():
             spark.conf.set(c, v)
+
+
+def test_anchors_are_in_every_match():
+    from faultline.functions import sqltext as sq
+    from faultline.rules import crash_rules as cr
+    assert sq.anchor(r"INFO: task .* blocked for more than \d+ seconds") == " blocked for more than "
+    assert sq.anchor(r"ab?cd") == "cd" and sq.anchor(r"x\[ab\]") == "x[ab]" and sq.anchor("UBSAN: (a|b)") == "ubsan: "
+    for unsure in ("a|b", "x{2}", "[ab]cd", "(a(b)c)d", r"\Qab", r"a\\b", "(?i)ab", "ä"):
+        assert sq.anchor(unsure) == ""
+    assert all(sq.anchor(p) for r in cr.EXPERT_RULES for p in r[5])
+
+
+def test_best_rule_level_comes_before_table_order(spark):
+    rules = [("A", "a", "x", 1, ["alpha"], [], [], ""), ("B", "b", "x", 1, ["beta"], [r"oops: \d+"], [], ""), ("C", "c", "x", 1, ["beta"], [r"OOPS: \d+"], [], "")]
+    rows = [(1, "alpha Oops: 12", []), (2, "beta", ["alpha+0x1/0x2"]), (3, "none", ["beta+0x1/0x2", "ALPHA+0x1/0x2"]), (4, None, None), (5, "oops: x", [])]
+    df = spark.createDataFrame(rows, "crash_id bigint, panic_msg string, call_trace array<string>")
+    got = {r.crash_id: (r.rule_id, r.rule_score, r.rule_match) for r in cx.match_rules(df, rules).collect()}
+    assert got == {1: ("B", 0.95, r"panic_pattern:oops: \d+"), 2: ("B", 0.85, "panic_keyword:beta"), 3: ("A", 0.7, "trace_keyword:alpha"),
+                   4: (None, None, None), 5: (None, None, None)}
