@@ -56,3 +56,10 @@ def test_text_utilities(spark):
     r = df.select(tf.clean_text(F.col("t")).alias("c"), tf.truncate_text(F.col("w"), 50).alias("s"), tf.format_duration(F.col("a")).alias("x"),
                   tf.format_duration(F.col("b")).alias("y"), tf.overlap_score(F.lit("A b  a"), F.lit("b c")).alias("o")).first()
     assert r.c == "red\n\nend" and r.s == ("word " * 10)[:44] + "..." and (r.x, r.y) == ("0μs", "1m 2s") and r.o == 0.5
+
+
+def test_tags_are_found_in_either_case_beside_other_letters(spark):
+    rows = [(1, "FIXES a BuG", "no crashed thing, İ oopsie, CVE-1"), (2, None, None), (3, "prefix", "nullable; Kaos Leakİ racė _panic panic")]
+    df = spark.createDataFrame(rows, "doc_id bigint, subject string, body string")
+    got = {r.doc_id: r.fix_tags for r in co.extract_fix_tags(df).collect()}
+    assert got == {1: ["Fixes", "BUG", "bug", "CVE"], 2: [], 3: ["panic", "race"]}
