@@ -3,7 +3,7 @@
 Every shard of candidates holds one sorted list per dimension. An anchor reads each list from its good end (from the top where
 its component is positive, from the bottom where it is negative), scores every row that it meets by random access, and
 stops once the threshold, the best score that a row not met yet can have, lies strictly below the k-th score of each of
-its windows. First the best rows of the anchor's own label are found, then, between two shares of each one's score, rows of other labels.
+its windows, or once all rows that count are met. First the best rows of the anchor's own label are found, then, between two shares of each one's score, rows of other labels.
 """
 
 from __future__ import annotations
@@ -36,15 +36,26 @@ class SortedLists:
     def scores(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Integer inner products, exact at any size."""
         if self.largest * float(np.abs(anchor).max(initial=0)) * max(1, len(anchor)) < EXACT:
-            return (self.vectors[at] @ anchor).astype(np.int64)
+            # of most rows: multiplied in place, without a copy of their vectors
+            return ((self.vectors @ anchor)[at] if 2 * len(at) > len(self.vectors) else self.vectors[at] @ anchor).astype(np.int64)
         a = [int(x) for x in anchor]
         return np.array([sum(int(x) * y for x, y in zip(v, a)) for v in self.vectors[at]], dtype=object)
 
+    def first(self, fit: np.ndarray, scores: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """Places of the k first of the fitting rows by (score desc, id, row)."""
+        places = np.nonzero(fit)[0]
+        if len(places) <= k or scores.dtype == object:
+            return places
+        held = scores[places]
+        places = places[held >= np.partition(held, len(held) - k)[len(held) - k]]
+        return places[np.lexsort((self.rows[at[places]], self.ids[at[places]], -scores[places]))[:k]]
+
     def search(self, anchor: np.ndarray, row: int, label: int, same: bool, windows: list[tuple], k: int) -> list[list[tuple]]:
         """For each (lowest, highest) window the k best (score, id, row number) of the rows that have (``same``) or do not have the
         label, without the anchor's own row; ties to the smaller id."""
         n, live = len(self.ids), np.nonzero(anchor)[0]
-        weight, lists, values = anchor[live], self.order[live], self.values[live]
+        whole = len(live) == len(anchor)  # then the lists serve as they are, without a copy for each anchor
+        weight, lists, values = anchor[live], self.order if whole else self.order[live], self.values if whole else self.values[live]
         up, each = weight > 0, np.arange(len(live))
         may = ((self.labels == label) == same) & (self.rows != row)
         seen = np.zeros(n, bool)
@@ -80,16 +91,17 @@ class SortedLists:
                 fit = (scores >= low) & (scores <= high) if len(at) else np.zeros(0, bool)
                 if len(best[j]) == k:
                     fit &= scores >= best[j][-1][0]
+                fit = self.first(fit, scores, at, k)
                 found = list(zip(scores[fit].tolist(), self.ids[at[fit]].tolist(), self.rows[at[fit]].tolist()))
                 best[j] = sorted(best[j] + found, key=lambda x: (-x[0], x[1], x[2]))[:k]
             least = min(target(j) for j in range(len(windows)))
-            if threshold(depth) < least:
+            if threshold(depth) < least or not (may & ~seen).any():  # or no row is left to meet
                 break
             low, high = depth, n  # the first depth at which the threshold lies below what is held now
             while low < high:
                 middle = (low + high) // 2
                 low, high = (low, middle) if threshold(middle) < least else (middle + 1, high)
-            wanted = min(low, 4 * depth)
+            wanted = min(low, 2 * depth)
         return best
 
 

@@ -216,3 +216,37 @@ def test_curve_walks_to_neighbours(dims, bits):
     assert len(set(keys)) == len(cells)
     path = cells[sorted(range(len(cells)), key=lambda i: keys[i])]
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_only_the_first_rows_are_listed():
+    rng = np.random.default_rng(7)
+    n, k = 500, 3
+    scores, ids, rows = rng.integers(0, 9, n), rng.integers(0, 40, n), rng.permutation(n)
+    lists = negatives.SortedLists(rng.normal(size=(n, 4)), ids, np.zeros(n, int), rows)
+    fit = scores < 7
+    for s in (scores, scores.astype(object)):
+        found = lists.first(fit, s, np.arange(n), k)
+        best = sorted(np.nonzero(fit)[0], key=lambda i: (-scores[i], ids[i], rows[i]))[:k]
+        assert sorted(found.tolist(), key=lambda i: (-scores[i], ids[i], rows[i]))[:k] == best
+    assert len(lists.first(fit, scores, np.arange(n), k)) == k
+
+
+def test_search_ends_when_all_rows_are_met():
+    """Lists of one short label: the rows are met long before the lists end, and nothing is read behind them."""
+    rng = np.random.default_rng(8)
+    n, dim = 2000, 64
+    v, labels = rng.integers(-99, 99, (n, dim)).astype(float), np.where(np.arange(n) < 5, 1, 2)
+    lists = negatives.SortedLists(v, np.arange(n), labels, np.arange(n))
+    read = []
+    whole = lists.order
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, tuple) and isinstance(at[1], slice):
+                read.append((at[1].stop or 0) - (at[1].start or 0))
+            return np.asarray(super().__getitem__(at))
+    lists.order = whole.view(Counted)
+    found = lists.search(v[0], 0, 1, True, [(-np.inf, np.inf)], 10)[0]
+    scores = v[1:5] @ v[0]
+    assert [x[0] for x in found] == sorted(scores.astype(int).tolist(), reverse=True)
+    assert 0 < sum(read) < n  # both ends of the lists; 2n when read to the end
