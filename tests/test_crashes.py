@@ -115,3 +115,28 @@ def test_best_rule_level_comes_before_table_order(spark):
     got = {r.crash_id: (r.rule_id, r.rule_score, r.rule_match) for r in cx.match_rules(df, rules).collect()}
     assert got == {1: ("B", 0.95, r"panic_pattern:oops: \d+"), 2: ("B", 0.85, "panic_keyword:beta"), 3: ("A", 0.7, "trace_keyword:alpha"),
                    4: (None, None, None), 5: (None, None, None)}
+
+
+def test_modules_of_long_words(spark):
+    """The module pattern tried each place of a word: a word of 200,000 characters took 2 * 10^10 steps, also in logs that name no module."""
+    import time
+    rows = [(0, None), (1, "x" * 200_000), (2, "evil_mod: loading out-of-tree module taints\nb: loading out-of-tree module"), (3, "")]
+    df = spark.createDataFrame(rows, "k int, content string")
+    started = time.time()
+    got = {r.k: r.modules for r in df.select("k", cx.modules_in(F.col("content")).alias("modules")).collect()}
+    assert got == {0: None, 1: [], 2: ["evil_mod", "b"], 3: []} and time.time() - started < 8
+
+
+def test_trace_marks_with_white_space_around(spark):
+    lines = ["  Call Trace:", "\u2003 \u00a0", "Code: 4 ", "  Code: ", "---[ end trace 0a ]---", "---[ end trace x", " f+0x1/0x2\u3000", "?[<ff>] f", "[<ff>] ", " [<ff>] g",
+             "x Kernel panic - not syncing: y"]
+    df = spark.createDataFrame([(x,) for x in lines], "l string").select(
+        "l", F.array_join(F.array(*[F.when(t(F.col("l")), F.lit(n)).otherwise(F.lit("")) for n, t in
+                                    (("s", cx._is_start), ("e", cx._is_end), ("f", cx.is_frame))]), "").alias("kind"))
+    assert [r.kind for r in df.collect()] == ["s", "e", "e" if STOP.search("Code: 4") else "", "", "se", "e", "f", "", "", "f", "e"]
+
+
+def test_lock_calls_of_frames_in_any_case(spark):
+    df = spark.createDataFrame([(1, ["MUTEX_LOCK+0x1/0x2", "mutex_unlock+0x1/0x2"]), (2, None), (3, [])], "k int, call_trace array<string>")
+    got = {r.k: (r.locks_acquired, r.locks_released) for r in graph.lock_usage(df).collect()}
+    assert "mutex_lock" in got[1][0] and "mutex_unlock" in got[1][1] and got[2] == (None, None) and got[3] == ([], [])
