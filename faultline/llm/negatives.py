@@ -3,7 +3,7 @@
 Every shard of candidates holds one sorted list per dimension. An anchor reads each list from its good end (from the top where
 its component is positive, from the bottom where it is negative), scores every row that it meets by random access, and
 stops once the threshold, the best score that a row not met yet can have, lies strictly below the k-th score of each of
-its windows, or once all rows that count are met. First the best rows of the anchor's own label are found, then, between two shares of each one's score, rows of other labels.
+its windows, or once all rows that count are met; when most of them are met, the rest are met at once, without their places in the lists. First the best rows of the anchor's own label are found, then, between two shares of each one's score, rows of other labels.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ class SortedLists:
         self.values = np.take_along_axis(vectors.T, self.order, axis=1)
         self.largest = float(np.abs(vectors).max()) if vectors.size else 0.0
         self.met = 0  # random accesses so far
+        self.read = 0  # places of lists read so far
 
     def scores(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """Integer inner products, exact at any size."""
@@ -58,6 +59,7 @@ class SortedLists:
         weight, lists, values = anchor[live], self.order if whole else self.order[live], self.values if whole else self.values[live]
         up, each = weight > 0, np.arange(len(live))
         may = ((self.labels == label) == same) & (self.rows != row)
+        counting = np.count_nonzero(may)
         seen = np.zeros(n, bool)
         best: list[list[tuple]] = [[] for _ in windows]
 
@@ -76,7 +78,8 @@ class SortedLists:
             wanted = n
         while wanted > depth:
             new = np.zeros(n, bool)
-            if len(live):
+            if wanted < n and len(live):
+                self.read += len(live) * (wanted - depth)
                 new[lists[up, n - wanted:n - depth].ravel()] = True
                 new[lists[~up, depth:wanted].ravel()] = True
             else:
@@ -95,8 +98,12 @@ class SortedLists:
                 found = list(zip(scores[fit].tolist(), self.ids[at[fit]].tolist(), self.rows[at[fit]].tolist()))
                 best[j] = sorted(best[j] + found, key=lambda x: (-x[0], x[1], x[2]))[:k]
             least = min(target(j) for j in range(len(windows)))
-            if threshold(depth) < least or not (may & ~seen).any():  # or no row is left to meet
+            left = np.count_nonzero(may & ~seen)
+            if threshold(depth) < least or not left:  # or no row is left to meet
                 break
+            if 2 * left < counting:  # the lists mostly hold rows met before: the rest are met at once
+                wanted = n
+                continue
             low, high = depth, n  # the first depth at which the threshold lies below what is held now
             while low < high:
                 middle = (low + high) // 2

@@ -250,3 +250,23 @@ def test_search_ends_when_all_rows_are_met():
     scores = v[1:5] @ v[0]
     assert [x[0] for x in found] == sorted(scores.astype(int).tolist(), reverse=True)
     assert 0 < sum(read) < n  # both ends of the lists; 2n when read to the end
+
+
+def test_rest_is_met_at_once_when_most_rows_are_met():
+    """On evenly spread vectors no threshold falls: the lists are left when they mostly hold rows met before, and the result is that of all rows."""
+    rng = np.random.default_rng(5)
+    n, dims = 4000, 64
+    v = np.floor(256 * rng.normal(size=(n, dims)))
+    lists = negatives.SortedLists(v, np.arange(n), np.arange(n) % 10, np.arange(n))
+    for a in (0, 7, 11):
+        scores = (v @ v[a]).astype(int)
+        others = [i for i in range(n) if i % 10 != a % 10]
+        high = int(np.median(scores))
+        windows = [(-high - 1000, high), (high, high + 10_000)]
+        want = []
+        for low, top in windows:
+            fit = [(int(scores[i]), i, i) for i in others if low <= scores[i] <= top]
+            want.append(sorted(fit, key=lambda x: (-x[0], x[1]))[:3])
+        before = lists.read
+        assert lists.search(v[a], a, a % 10, False, windows, 3) == want
+        assert lists.read - before < dims * n * 0.1
