@@ -140,3 +140,27 @@ def test_lock_calls_of_frames_in_any_case(spark):
     df = spark.createDataFrame([(1, ["MUTEX_LOCK+0x1/0x2", "mutex_unlock+0x1/0x2"]), (2, None), (3, [])], "k int, call_trace array<string>")
     got = {r.k: (r.locks_acquired, r.locks_released) for r in graph.lock_usage(df).collect()}
     assert "mutex_lock" in got[1][0] and "mutex_unlock" in got[1][1] and got[2] == (None, None) and got[3] == ([], [])
+
+
+def test_symptom_words_are_looked_for_once(spark):
+    """Scores as counted word by word, from one search a distinct word: there were two for each word of each symptom."""
+    from faultline.rules import knowledge as kn
+
+    def scores(text):
+        out = []
+        for i, (bug, p) in enumerate(kn.BUG_PATTERNS.items()):
+            counts = [(sum(w in text.lower() for w in words), len(words)) for words in (s.lower().split() for s in p["symptoms"])]
+            if total := sum(n for n, of in counts if n >= of * 0.5):
+                out.append((total, -i, bug, p["name"]))
+        return sorted(out, reverse=True)
+    symptoms = [s for p in kn.BUG_PATTERNS.values() for s in p["symptoms"]]
+    texts = ["", *symptoms, *(" ".join(x) for x in zip(symptoms, symptoms[7:])), "KASAN: USE-AFTER-FREE in x", "list_del corruption corruption /"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "k int, panic_msg string").transform(cx.symptom_matches, "panic_msg")
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") <= 10
+    got = {r.k: [tuple(s) for s in r.symptoms] for r in df.collect()}
+    assert got.pop(-1) == [] and got == {i: scores(t) for i, t in enumerate(texts)}
+
+
+def test_only_words_that_decide_are_looked_for():
+    from faultline.functions import sqltext as sq
+    assert sq.decisive([("a", ["lock", "deadlock", "lock"]), ("b", ["spinlock", "race"]), ("c", ["races"])]) == [("a", ["lock"]), ("b", ["race"])]
