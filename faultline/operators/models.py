@@ -31,17 +31,25 @@ def sigmoid(logits: np.ndarray) -> np.ndarray:
     return np.where(logits >= 0, 1, small) / (1 + small)
 
 
+KEPT_WORDS = 1 << 16
+
+
 def hashed_model(dim: int = 512) -> Callable:
-    """Counts of hashed tokens."""
+    """Counts of hashed tokens; the places of the words met last are kept."""
+    import functools
     import hashlib
     import regex
     token = regex.compile(rf"[{tf.WORD}]+")
 
+    @functools.lru_cache(maxsize=KEPT_WORDS)
+    def place(t: str) -> int:
+        return int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+
     def encode(texts: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for row, text in zip(out, texts):
-            for t in token.findall((text or "").lower()):
-                row[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim] += 1
+            at = np.fromiter(map(place, token.findall((text or "").lower())), np.int64)
+            row += np.bincount(at, minlength=dim)
         return out
     return encode
 
