@@ -63,3 +63,26 @@ def test_tags_are_found_in_either_case_beside_other_letters(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, subject string, body string")
     got = {r.doc_id: r.fix_tags for r in co.extract_fix_tags(df).collect()}
     assert got == {1: ["Fixes", "BUG", "bug", "CVE"], 2: [], 3: ["panic", "race"]}
+
+
+def test_tags_and_evidence_try_few_regexes(spark):
+    """A tag's letters come before the sign in front of them, and an evidence pattern is tried where its longest piece occurs; the hits are as before."""
+    texts = ["fix", "a_fix", "é fix.", "1fix", "FIX-leak", "prefix nullé", "ref count\nleak", "a ref b leak", "inconsistent x ref", "synchronize the rcu", "rcu bug", "missing put", ""]
+    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "k int, subject string, body string").withColumn("added_lines", F.array().cast("array<string>"))
+    out = df.transform(co.extract_fix_tags).transform(co.fix_evidence)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)(?<!" not in plan and "Contains(_msg" in plan.replace(" ", "")
+    got = {texts[r.k]: (r.fix_tags, r.refcount_fix, r.rcu_fix) for r in out.collect()}
+    assert got["fix"][0] == got["é fix."][0] == ["fix"]
+    assert got["a_fix"][0] == got["1fix"][0] == got["prefix nullé"][0] == got[""][0] == [] and "leak" in got["FIX-leak"][0]
+    assert [t for t in texts if got[t][1]] == ["a ref b leak", "inconsistent x ref", "missing put"] and [t for t in texts if got[t][2]] == ["synchronize the rcu", "rcu bug"]
+
+
+def test_a_word_is_hashed_once(monkeypatch):
+    import hashlib
+    import numpy as np
+    from faultline.operators import models as md
+    calls, md5 = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda b: calls.append(b) or md5(b))
+    out = md.hashed_model(8)(np.array(["a b a", None, "", "B a"], object))
+    assert len(calls) == 2 and out.sum(1).tolist() == [3, 0, 0, 2] and out.max() == 2
