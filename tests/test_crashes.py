@@ -164,3 +164,14 @@ def test_symptom_words_are_looked_for_once(spark):
 def test_only_words_that_decide_are_looked_for():
     from faultline.functions import sqltext as sq
     assert sq.decisive([("a", ["lock", "deadlock", "lock"]), ("b", ["spinlock", "race"]), ("c", ["races"])]) == [("a", ["lock"]), ("b", ["race"])]
+
+
+def test_symptom_rows_search_words_once(spark):
+    """A row for each match; a plain explode let Spark filter by the list's size below the masks, which wrote their searches out 244 times."""
+    df = spark.createDataFrame([(1, "use-after-free in x"), (1, "use-after-free in x"), (2, ""), (3, None)], "k int, panic_msg string")
+    rows = cx.symptom_rows(df, "k", "panic_msg")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("aggregate(") <= 4
+    want = {r.k: r.symptoms for r in df.transform(cx.symptom_matches, "panic_msg").collect()}
+    assert want[1] and not want[2] and not want[3]
+    assert sorted((r.k, r.place, r.bug_type, r.score) for r in rows.collect()) == sorted(
+        (1, i + 1, s.bug_type, s.score) for i, s in enumerate(want[1]) for _ in range(2))
