@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import numpy as np
@@ -148,3 +149,43 @@ def test_graph_search_recall(spark, tmp_path):
     assert len(found) == 400 and len({(r.query_id, r.id) for r in found} & want) / 400 >= 0.9
     with pytest.raises(ValueError):
         vs.search_graph(vs.create(c, str(tmp_path / "i"), "ivf"), q, 3)
+
+
+def test_norm_is_computed_once_a_vector(spark):
+    """A lambda that reads the norm computed it anew for each component, as many products as the square of the length."""
+    began = time.perf_counter()
+    df = spark.createDataFrame([(0, [float(i % 7) for i in range(60_000)]), (1, [3.0, 4.0]), (2, []), (3, None), (4, [0.0])], "k int, v array<double>")
+    got = {r.k: r.u for r in df.select("k", ve.l2_normalize(F.col("v")).alias("u")).collect()}
+    long = np.array([float(i % 7) for i in range(60_000)])
+    assert np.allclose(got[0], long / (np.sqrt((long * long).sum()) + 1e-8)) and np.allclose(got[1], [0.6, 0.8]) and got[2] == [] and got[3] is None and got[4] == [0.0]
+    assert time.perf_counter() - began < 60
+
+
+def test_centroids_move_to_the_means_of_their_rows(spark):
+    """One step, dealt over tasks, equals the means computed here; a centroid without rows stays. The learning was one task."""
+    rows = [(i, v) for i, v, _ in _clusters(5, 300)]
+    sample = spark.createDataFrame(rows, "id long, v array<double>").select("v").repartition(5)
+    m = np.array([v for _, v in rows])
+    centres = np.vstack([m[:7], np.full(8, 1e3)])
+    near = ((m[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    want = np.array([m[near == c].mean(0) if (near == c).any() else centres[c] for c in range(8)])
+    assert np.allclose(vs._moved(sample, centres, 3), want)
+    frame = spark.createDataFrame(rows, "id long, vec array<double>")
+    found = vs._centres(frame, 12, 300, "l2", 42)
+    spread = ((m[:, None] - found[None]) ** 2).sum(2).min(1).mean()
+    assert found.shape == (12, 8) and spread < ((m - m.mean(0)) ** 2).sum(1).mean() / 2
+
+
+def test_encoded_texts_count_hashed_tokens(spark):
+    """Counts by bucket as hashed token by token; texts go to the encoder whole, which hashes a token once."""
+    import hashlib
+    import re
+    texts = ["", "  ", "Fix fix FIX_it, use-after-free", "Größe ÉCOLE naïve\tx\ny", "a" * 70_000, "one " * 3000, "٣ ½ ⅷ x²", None]
+    df = spark.createDataFrame([*enumerate(texts)], "k int, t string").repartition(2)
+    encoded = ve.encode_text(df, "t", "vec", 64)
+    assert "md5(" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    for r in encoded.collect():
+        want = np.zeros(64)
+        for t in re.findall(r"\w+", (texts[r.k] or "").lower()):
+            want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
+        assert list(r.vec) == want.tolist(), r.k
